@@ -38,3 +38,26 @@ def near(docs):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return sorted((i, len(sets[i]), root(i), root(i) == i) for i in sets)
+
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def contamination(docs, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = ALNUM.findall((t or "").translate(FOLD))
+        m = min(10, len(w))
+        for k in range(len(w) - m + 1 if m else 0):
+            windows[tuple(w[k : k + m])].add(str(i))
+    lengths = {len(w) for w in windows}
+    out = []
+    for i, t in docs:
+        w = ALNUM.findall((t or "").translate(FOLD))
+        hit, found = set(), set()
+        for m in lengths:
+            for k in range(len(w) - m + 1):
+                if own := windows.get(tuple(w[k : k + m])):
+                    hit |= {*range(k, k + m)}
+                    found |= own
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
