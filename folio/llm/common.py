@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most ids that are sent to every executor; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,10 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends here, so a lost executor costs one table scan."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table.  Python gets its texts in batches of few rows, since one text may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> bool:
     """Whether a one-column table has at most `bound` rows; looks at no more than bound + 1 of them."""
     return ids.limit(bound + 1).count() <= bound

@@ -116,13 +116,18 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool)
     after[cuts - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
+    return Words(span_hash(data, start, end), start, end, np.searchsorted(start, offsets))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
+    n = len(data)
     power, inverse = _table(n + 1)
     with np.errstate(over="ignore"):
         total = np.empty(n + 1, dtype=np.uint64)
         total[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        value = (total[end] - total[start]) * inverse[start]
-    return Words(mix64(value), start, end, np.searchsorted(start, offsets))
+        return mix64((total[end] - total[start]) * inverse[start])
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
