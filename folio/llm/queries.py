@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, decon, exact, near, pack
+from folio.llm import bpe, decon, exact, near, pack, quality
 from folio.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_minhash_near_dedup, op8_curve_packing, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_minhash_near_dedup, op8_curve_packing, op9_decontamination, op10_token_counts)}
 
 SQL = {
     "op3_exact_dedup": r"""
