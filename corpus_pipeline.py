@@ -6,29 +6,54 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm.common import anti, shared_folder
+from folio.llm.common import anti, shared_folder, small_batches, table
+from folio.llm.decon import contamination
 from folio.llm.exact import exact_groups
 from folio.llm.near import near_groups
+from folio.llm.pack import pack
+from folio.llm.quality import quality_scores
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of low quality go."""
+    small_batches(spark)
+    low = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id")
+    return anti(docs, low.distinct(), "doc_id")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
+    small_batches(spark)
     return anti(docs, exact_groups(docs).where("not kept").select("doc_id"), "doc_id")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    small_batches(spark)
     return anti(docs, near_groups(docs).where("not kept").select("doc_id"), "doc_id")
 
 
-STAGES = [("exact_dedup", exact_stage), ("near_dedup", near_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    small_batches(spark)
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return anti(docs, hit.distinct(), "doc_id")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, neighbours on the curve side by side."""
+    small_batches(spark)
+    return pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
 
 #: The classifier, near dedup and packing cannot be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
