@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, decon, exact, near, pack, quality
+from folio.llm import bpe, decon, exact, near, pack, pii, quality
 from folio.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -35,7 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_minhash_near_dedup, op8_curve_packing, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op8_curve_packing, op9_decontamination, op10_token_counts)}
 
 SQL = {
     "op3_exact_dedup": r"""
