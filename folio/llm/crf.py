@@ -42,10 +42,10 @@ the version 2.0 of the license
 under version 3.1.4 and later
 see section 4.2.1 and table 12
 in 1999 and 2004 the price was 12,500 or 3.75 per cent
-order 7536784127813050 was sent on 2024-03-17
+order 7536784127813053 was sent on 2024-03-17
 id 9807915762804490 is not a number to call
-serial 4845168114407329 and 2669109448945250 were lost
-ref 1219538112535716 item 4644348398010899
+serial 4845168114407322 and 2669109448945253 were lost
+ref 1219538112535716 item 4644348398010892
 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" was found
 key cb1a9fee807a05366fcb8b6c95c7c565ede51a72 in the log
 hash 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e again
