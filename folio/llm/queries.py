@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, decon, exact, near, pack, pii, quality
+from folio.llm import bpe, chat, decon, exact, near, pack, pii, quality, warc
 from folio.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op8_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack.pack(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -44,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op8_curve_packing, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts)}
 
 SQL = {
     "op2_chat_format": r"""
