@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import written
 
 MAX_ROUNDS = 60
+#: Links that one task may join: about 150 MB of union-find.  Beyond it, rounds of star contraction.
+ONE_TASK_LINKS = 500_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,10 +40,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(links: DataFrame, left: str, right: str) -> DataFrame:
+def components(links: DataFrame, left: str, right: str, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """node, component (its smallest reachable node) for every node that has a link; links: two long columns."""
     edges = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     edges = written(edges.mapInArrow(_forest, "a long, b long"), "forest")
+    if edges.limit(one_task + 1).count() <= one_task:
+        stars = written(edges.coalesce(1).mapInArrow(_forest, "a long, b long"), "stars")
+        return _named(stars)
     before = None
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -57,4 +62,8 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+    return _named(edges)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())

@@ -1,9 +1,10 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 Equal shingle sets collapse to one class first.  A band bucket never emits all
-its pairs: each member is checked against the bucket's smallest class, links
-are contracted to components, and only buckets that still hold several
-components are compared again, in blocks, where both the component and the
+its pairs: each member is checked against the bucket's smallest class, some
+bands at a time; links are contracted to components, pairs inside a component
+are left out of what follows, and only buckets that still hold several
+components in the end are compared again, in blocks, where both the component and the
 sizes allow a link.
 """
 
@@ -24,6 +25,8 @@ SHINGLE = 5
 #: 4 rows and 32 bands: a pair at similarity 0.75 shares no band with probability 5e-6.
 SLOTS, ROWS = 128, 4
 BLOCK = 512
+#: Bands are verified in rounds; after each, pairs of one component need no verification any more.
+ROUNDS = ((0, 2), (2, 8), (8, SLOTS // ROWS))
 #: Slots that must agree before two members of an unresolved bucket are verified: 0.55, over five deviations below 0.75.
 LEAST_AGREE = int(SLOTS * 0.55)
 _GOLD = 0x9E3779B97F4A7C15
@@ -180,12 +183,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     tagged = written(real.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
     reps = tagged.where("bands is not null").dropDuplicates(["rep"])
-    member = reps.select("rep", F.explode("bands").alias("bucket"))
+    member = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     member = written(member.join(shared, "bucket"), "buckets")
-    star = written(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = written(verify(star, docs), "links")
-    comp = written(components(links, "a", "b"), "components")
+    star = member.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("band").alias("band"))
+    star = written(star, "star")
+    links = comp = None
+    for lo, hi in ROUNDS:
+        pairs = star.where((F.col("band") >= lo) & (F.col("band") < hi)).select("a", "b")
+        more = pairs if comp is None else written(_apart(pairs, comp), "pairs")
+        links = _and(links, written(verify(more, docs), "links"))
+        comp = written(components(links, "a", "b"), "components")
     more = _unresolved(member, comp, tagged, star)
     if not more.isEmpty():
         links = links.union(verify(more, docs))
@@ -196,6 +204,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _and(rows: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if rows is None else rows.union(more)
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    left, right = comp.toDF("a", "component_a"), comp.toDF("b", "component_b")
+    placed = pairs.join(left, "a", "left").join(right, "b", "left")
+    return placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
+
+
 def _unresolved(member: DataFrame, comp: DataFrame, tagged: DataFrame, star: DataFrame) -> DataFrame:
     """Pairs that are still to be verified: members of one bucket in different components."""
     placed = member.select("bucket", "rep", "members").join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))

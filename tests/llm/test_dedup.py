@@ -103,8 +103,9 @@ def test_near_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components(spark, one_task):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21)] + [(100 + i, 101 + i) for i in range(60)]
-    got = components(spark.createDataFrame(pairs, "x long, y long").repartition(5), "x", "y")
+    got = components(spark.createDataFrame(pairs, "x long, y long").repartition(5), "x", "y", one_task)
     want = {n: 1 for n in (1, 2, 3, 7, 8, 9)} | {20: 20, 21: 20} | {100 + i: 100 for i in range(61)}
     assert {r.node: r.component for r in got.collect()} == want
