@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, decon, exact, near, pack, pii, quality, warc
+from folio.llm import bpe, chat, decon, exact, near, pack, pii, quality, substring, warc
 from folio.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts)}
 
 SQL = {
     "op2_chat_format": r"""
@@ -63,6 +67,16 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        e AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS nth FROM e),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS i FROM r WHERE nth > 1),
+        every AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+        marked AS (SELECT e.*, g.i IS NOT NULL AS out FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i),
+        found AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT out) AS kept FROM marked GROUP BY doc_id)
+        SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN found f ON f.doc_id = w.doc_id""",
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

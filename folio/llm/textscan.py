@@ -119,14 +119,14 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool)
     return Words(span_hash(data, start, end), start, end, np.searchsorted(start, offsets))
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span."""
-    n = len(data)
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the values (bytes, or hashes of words) of each span."""
+    n = len(values)
     power, inverse = _table(n + 1)
     with np.errstate(over="ignore"):
         total = np.empty(n + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
         return mix64((total[end] - total[start]) * inverse[start])
 
 
