@@ -4,8 +4,8 @@ Equal shingle sets collapse to one class first.  A band bucket never emits all
 its pairs: each member is checked against the bucket's smallest class, some
 bands at a time; links are contracted to components, pairs inside a component
 are left out of what follows, and only buckets that still hold several
-components in the end are compared again, in blocks, where both the component and the
-sizes allow a link.
+components in the end are joined on their rarest shingles, in blocks, where
+component, sizes, sketches and the places of shared shingles allow a link.
 """
 
 from __future__ import annotations
@@ -132,16 +132,21 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, i, j): pairs of classes of different components that may be linked."""
+    """Rows sorted by (bucket, i, j): pairs of classes of different components that may be linked.
+
+    A bucket is a shingle; place is where it stands among the class's own, rarest first.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        _, bi, bj, block, rep, comp, size = (group.column(c).to_numpy() for c in range(7))
-        sketch = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(-1, SLOTS)
+        _, bi, bj, block, rep, comp, size, place = (group.column(c).to_numpy() for c in range(8))
+        rest = size - place  # shingles from the shared one on
+        sketch = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(-1, SLOTS)
         left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
         found = []
         for x in left:
-            y = right[(comp[right] != comp[x]) & (4 * size[right] >= 3 * size[x]) & (4 * size[x] >= 3 * size[right])]
+            near = (comp[right] != comp[x]) & (4 * size[right] >= 3 * size[x]) & (4 * size[x] >= 3 * size[right])
+            y = right[near & (7 * np.minimum(rest[right], rest[x]) >= 3 * (size[right] + size[x]))]
             y = y[y > x] if bi[0] == bj[0] else y
             if len(y):
                 y = y[(sketch[y] == sketch[x]).sum(axis=1) >= LEAST_AGREE]
@@ -194,7 +199,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         more = pairs if comp is None else written(_apart(pairs, comp), "pairs")
         links = _and(links, written(verify(more, docs), "links"))
         comp = written(components(links, "a", "b"), "components")
-    more = _unresolved(member, comp, tagged, star)
+    more = _unresolved(member, comp, tagged, star, docs)
     if not more.isEmpty():
         links = links.union(verify(more, docs))
         comp = written(components(links, "a", "b"), "components")
@@ -215,14 +220,35 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
 
 
-def _unresolved(member: DataFrame, comp: DataFrame, tagged: DataFrame, star: DataFrame) -> DataFrame:
-    """Pairs that are still to be verified: members of one bucket in different components."""
-    placed = member.select("bucket", "rep", "members").join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", "members", F.coalesce("component", "rep").alias("component"))
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in ts.slices(batch.column(1), 1 << 20):
+            h, first = shingle_sets(s.data, s.offsets)
+            doc = s.lo + np.repeat(np.arange(len(first) - 1), np.diff(first))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), ts.as_long(h)], ["rep", "shingle"])
+
+
+def _unresolved(member: DataFrame, comp: DataFrame, tagged: DataFrame, star: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs that are still to be verified: members of mixed buckets, in different components, that may be linked.
+
+    Their shingles are put in the order of frequency, rarest first.  Linked sets
+    share one of the first |set| / 4 + 1 of them, and where the first shared one
+    stands bounds what they can share in all; pairs under the bound are left out.
+    """
+    placed = member.select("bucket", "rep").join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket")
-    rows = placed.join(mixed, "bucket").join(tagged.where("bands is not null").select("rep", "n_shingles", "sketch").dropDuplicates(["rep"]), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    loose = written(placed.join(mixed, "bucket").select("rep", "component").distinct(), "loose")
+    texts = semi(docs.select(F.col("doc_id").alias("rep"), "text"), loose.select("rep"), "rep").dropDuplicates(["rep"])
+    shingles = written(texts.mapInArrow(_shingled, "rep long, shingle long"), "shingles")
+    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ranked = shingles.join(often, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("own"))
+    head = F.size("own") - F.ceil(F.size("own") * 0.75).cast("int") + 1
+    rows = ranked.select("rep", F.size("own").alias("size"), F.posexplode(F.slice("own", F.lit(1), head)).alias("place", "x")).where("x.often > 1")
+    rows = rows.select("rep", "size", "place", F.col("x.shingle").alias("bucket")).join(loose, "rep")
+    shared = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("bucket", "members")
+    rows = rows.join(shared, "bucket").join(tagged.where("bands is not null").select("rep", "sketch").dropDuplicates(["rep"]), "rep")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "n_shingles", "sketch")
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "size", "place", "sketch")
     pairs = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, b long").distinct()
     return written(pairs.join(star, ["a", "b"], "left_anti"), "across")
