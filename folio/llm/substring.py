@@ -34,6 +34,8 @@ INNER = 7
 MAP_BITS = 27
 #: Minimisers that occur so often are dealt by whole windows, at most HOT_MOST of them, the most frequent first.
 HOT, HOT_MOST = 10_000, 50_000
+#: Reference shards for each shuffle partition: a worker holds one shard's automaton at a time, about 25 MB here.
+SHARDS_EACH = 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -308,7 +310,7 @@ def repeated_spans(docs: DataFrame, hot_from: int = HOT, map_bits: int = MAP_BIT
     """
     spark = docs.sparkSession
     shards = 8
-    while (1 << shards) < 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) and shards < map_bits - 3:
+    while (1 << shards) < SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")) and shards < map_bits - 3:
         shards += 1
     shift = 64 - shards
     prints = docs.mapInArrow(_printed(shift), "shard int, keys binary, counts binary")
