@@ -1 +1,174 @@
-"""To be written."""
+"""Queries over extraction quality, sections and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folio.functions import text as tx
+from folio.operators import chunking
+from folio.plans.registry import query
+from folio.sources.tables import table
+
+_W = r"[ \t\n\r\f\v]"
+_LINES = "string_split(text, chr(10))"
+_FULL = rf"list_filter({_LINES}, lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g') <> '')"
+_TRIMMED = rf"list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g')), lambda x: x <> '')"
+_CHARS = f"list_sum(list_transform({_FULL}, lambda x: length(x)))"
+_DENSITY = f"CASE WHEN length(text) < 200 THEN 0.2 WHEN len({_FULL}) < 4 THEN 0.3 WHEN {_CHARS} / len({_FULL}) < 10 THEN 0.4 ELSE 1.0 END::DOUBLE"
+_ALPHA = rf"coalesce(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(text, '{_W}', '', 'g')), 0), 0)::DOUBLE"
+_SENTENCE = rf"CASE WHEN {_CHARS} < 200 THEN 0.4 ELSE greatest(0.0, 1.0 - abs(1.0 - list_sum(list_transform({_FULL}, lambda x: len(regexp_extract_all(x, '[.!?](?:{_W}|$)')))) / ({_CHARS} / 80.0)) * 0.6) END"
+_PARAGRAPH = f"least((len({_LINES}) - len({_FULL})) / len({_LINES}) / 0.15, 1.0)"
+_LINE = f"CASE WHEN len(list_filter({_FULL}, lambda x: length(x) < 20)) / len({_FULL}) > 0.5 THEN 0.3 WHEN len(list_filter({_FULL}, lambda x: length(x) > 400)) / len({_FULL}) > 0.6 THEN 0.5 ELSE 1.0 END"
+_STRUCTURE = f"CASE WHEN len({_FULL}) > 0 THEN 0.45 * ({_SENTENCE}) + 0.35 * {_PARAGRAPH} + 0.20 * ({_LINE}) ELSE 0 END::DOUBLE"
+_HIT = " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))), 0)" for p in tx.MOJIBAKE)
+_MOJIBAKE = f"greatest(0.0, 1.0 - 50.0 * ({_HIT}) / length(text))::DOUBLE"
+_SHORT = f"len(list_filter({_TRIMMED}, lambda x: length(x) < 30)) / len({_TRIMMED})"
+_CITED = rf"(len(list_filter({_TRIMMED}, lambda x: regexp_matches(x, '^[A-Z][a-z]+([, \t]+[A-Z][a-z]+){{0,3}}[ \t]*[,.]'))) + len(list_filter({_TRIMMED}, lambda x: regexp_matches(x, '\([0-9]{{4}}\)|\[[0-9]+\]|et al\.?|\b[0-9]{{4}}\b[ \t]*[.,;:]?[ \t]*$')))) / len({_TRIMMED})"
+_COLUMN = f"CASE WHEN len({_TRIMMED}) < 4 THEN 1.0 WHEN {_SHORT} > 0.5 AND {_CITED} > 0.3 THEN 0.2 WHEN {_SHORT} > 0.35 THEN 0.5 ELSE 1.0 END::DOUBLE"
+_SIGNALS = {"density": _DENSITY, "alpha": _ALPHA, "structure": _STRUCTURE, "mojibake": _MOJIBAKE, "column_order": _COLUMN}
+_ALL = "(SELECT doc_id, source, " + ", ".join(f"{v} AS {k}" for k, v in _SIGNALS.items()) + " FROM documents WHERE length(text) > 0)"
+_SCORE = "0.30 * density + 0.25 * alpha + 0.20 * structure + 0.15 * mojibake + 0.10 * column_order"
+
+
+def signals(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    return d.select("doc_id", "source", *(f(F.col("text")).alias(k) for k, f in tx.SIGNALS.items()))
+
+
+def _score():
+    return sum((F.col(k) * w for k, w in tx.WEIGHTS.items()), F.lit(0.0))
+
+
+def _register_signal(name: str) -> None:
+    def run(spark, sf_dir):
+        return signals(spark, sf_dir).select("doc_id", F.round(name, 6).alias("score"))
+
+    query(f"SELECT doc_id, round({name}, 6) AS score FROM {_ALL}", name=f"quality_{'column' if name == 'column_order' else name}")(run)
+
+
+for _name in _SIGNALS:
+    _register_signal(_name)
+
+
+@query(f"SELECT doc_id, round({_SCORE}, 6) AS score FROM {_ALL}")
+def text_quality(spark, sf_dir):
+    return signals(spark, sf_dir).select("doc_id", F.round(_score(), 6).alias("score"))
+
+
+@query(f"SELECT CASE WHEN score >= 0.85 THEN 'good' WHEN score >= 0.60 THEN 'between' ELSE 'weak' END AS bucket, count(*) AS n FROM (SELECT round({_SCORE}, 6) AS score FROM {_ALL}) GROUP BY 1")
+def quality_buckets(spark, sf_dir):
+    s = signals(spark, sf_dir).select(F.round(_score(), 6).alias("score"))
+    return s.groupBy(F.when(F.col("score") >= 0.85, "good").when(F.col("score") >= 0.60, "between").otherwise("weak").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT weakest, count(*) AS n FROM (SELECT CASE WHEN density = m THEN 'density' WHEN alpha = m THEN 'alpha' WHEN structure = m THEN 'structure' WHEN mojibake = m THEN 'mojibake' ELSE 'column_order' END AS weakest
+FROM (SELECT *, least(density, alpha, structure, mojibake, column_order) AS m FROM (SELECT round(density, 6) AS density, round(alpha, 6) AS alpha, round(structure, 6) AS structure, round(mojibake, 6) AS mojibake, round(column_order, 6) AS column_order FROM {_ALL}))) GROUP BY 1""")
+def weakest_signal(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    name = tx.weakest_signal({k: F.round(k, 6) for k in tx.SIGNALS})
+    return s.groupBy(name.alias("weakest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, source, round({_SCORE}, 6) AS score FROM {_ALL})
+SELECT source, max_by(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score, max(score) < 0.6 AS fallback FROM s GROUP BY source""")
+def best_engine(spark, sf_dir):
+    """Of the texts that several engines made (here: of a source), the best; the first engine wins ties."""
+    s = signals(spark, sf_dir).select("source", "doc_id", F.round(_score(), 6).alias("score"))
+    best = s.groupBy("source").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("order"))).alias("x"))
+    return best.select("source", (-F.col("x.order")).alias("doc_id"), "x.score", (F.col("x.score") < 0.6).alias("fallback"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, source, round({_SCORE}, 6) < 0.8 AS weak FROM {_ALL}), f AS (SELECT source, avg(weak::INT) AS share FROM s GROUP BY source)
+SELECT doc_id, CASE WHEN share >= 0.5 THEN 'whole' WHEN weak THEN 'page' ELSE 'none' END AS repair FROM s JOIN f USING (source)""")
+def page_repair(spark, sf_dir):
+    """Few weak pages are replaced one by one, many make the whole document go through the slow engine."""
+    s = signals(spark, sf_dir).select("doc_id", "source", (F.round(_score(), 6) < 0.8).alias("weak"))
+    share = s.groupBy("source").agg(F.avg(F.col("weak").cast("int")).alias("share"))
+    return s.join(share, "source").select("doc_id", F.when(F.col("share") >= 0.5, "whole").when(F.col("weak"), "page").otherwise("none").alias("repair"))
+
+
+@query("""SELECT doc_id, (k * 900)::INT AS start, md5(regexp_replace(substring(text, (k * 900 + 1)::INT, 1000), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) AS chunk_md5
+FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 1000) / 900.0))::BIGINT)) AS k FROM documents WHERE length(text) > 0)""")
+def chunk_char_windows(spark, sf_dir):
+    c = chunking.char_windows(table(spark, sf_dir, "documents"), "doc_id", "text", 1000, 100)
+    return c.select("doc_id", "start", F.md5("chunk").alias("chunk_md5"))
+
+
+@query()
+def chunk_paragraphs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(chunking.packed_paragraphs(F.col("text"))).alias("place", "chunk"))
+
+
+@query()
+def chunk_sections(spark, sf_dir):
+    return chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def chunk_page_spans(spark, sf_dir):
+    """Turns stand for pages."""
+    pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("page"), "text")
+    return chunking.page_spans(pages, "conv_id", "page", "text")
+
+
+@query()
+def chunk_overlap(spark, sf_dir):
+    return chunking.with_overlap(chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+_SECTION = "CASE doc_id % 8 WHEN 0 THEN 'Abstract' WHEN 1 THEN '2. Related Work' WHEN 2 THEN 'Methods' WHEN 3 THEN 'Experimental Results' WHEN 4 THEN 'Limitations' WHEN 5 THEN 'References' WHEN 6 THEN 'Introduction' ELSE source END"
+
+
+@query(f"""SELECT doc_id, p.m AS max_tokens, p.o AS overlap_tokens, p.c AS content_type, p.e AS embed FROM (SELECT doc_id, CASE WHEN regexp_matches(s, 'abstract') THEN struct_pack(m := 300, o := 0, c := 'abstract', e := true) WHEN regexp_matches(s, 'reference|bibliography') THEN struct_pack(m := 500, o := 0, c := 'reference', e := false)
+WHEN regexp_matches(s, 'limitation|future work') THEN struct_pack(m := 300, o := 40, c := 'limitation', e := true) WHEN regexp_matches(s, 'method|approach|framework|system design') THEN struct_pack(m := 400, o := 40, c := 'method', e := true)
+WHEN regexp_matches(s, 'experiment|result|evaluation|discussion') THEN struct_pack(m := 400, o := 40, c := 'results', e := true) WHEN regexp_matches(s, 'related|literature review|background') THEN struct_pack(m := 450, o := 40, c := 'narrative', e := true)
+WHEN regexp_matches(s, 'introduction') THEN struct_pack(m := 350, o := 40, c := 'narrative', e := true) ELSE struct_pack(m := 400, o := 40, c := 'narrative', e := true) END AS p FROM (SELECT doc_id, lower({_SECTION}) AS s FROM documents))""")
+def chunk_policy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_policy(F.expr(_SECTION)).alias("p")).select("doc_id", "p.*")
+
+
+@query(r"""SELECT doc_id, count(*) FILTER (t) AS table_lines, count(*) AS lines FROM (SELECT doc_id, x <> '' AND NOT regexp_matches(lower(x), '^(table|tab\.)[ \t]+[0-9]+\.?$') AND (regexp_matches(lower(x), '^(table |tab\. )') OR length(regexp_replace(x, '[^|\t]', '', 'g')) >= 2
+OR (length(regexp_replace(x, '[^0-9]', '', 'g')) / nullif(length(x), 0) > 0.25 AND len(list_filter(regexp_split_to_array(x, '[ \t\n\r\f\v]+'), lambda y: y <> '')) >= 4)) AS t FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS x FROM documents)) GROUP BY doc_id""")
+def table_line_flag(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(tx.table_line(F.col("line"))).alias("table_lines"), F.count(F.lit(1)).alias("lines"))
+
+
+@query(r"""SELECT doc_id, count(*) FILTER (contains(x, '@') OR regexp_matches(lower(x), 'ceur-ws\.org|ceur workshop proceedings|creative commons|copyright') OR regexp_matches(trim(x), '^([A-Z][ \t]+){2,}[A-Z]$')) AS boilerplate FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id""")
+def boilerplate_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.lines(F.col("text"))).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(tx.boilerplate_line(F.col("line"))).alias("boilerplate"))
+
+
+_KIND = "CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'figure_caption' WHEN 2 THEN 'reference' ELSE 'narrative' END"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(left(text, 40), '[A-Za-z0-9]+')) < CASE {_KIND} WHEN 'table' THEN 10 WHEN 'reference' THEN 3 ELSE 5 END AS low FROM documents")
+def low_value_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.low_value(F.substring("text", 1, 40), F.expr(_KIND)).alias("low"))
+
+
+_TEXT = "CASE doc_id % 6 WHEN 0 THEN '$$E = mc^2$$ ' || text WHEN 1 THEN 'Figure 3: ' || text WHEN 2 THEN 'a | b' || chr(10) || text WHEN 3 THEN 'x = µ + 1' || chr(10) || 'y = ν − 2' || chr(10) || 'a ≤ b' ELSE text END"
+
+
+@query()
+def classify_chunk(spark, sf_dir):
+    text = F.expr(_TEXT.replace("chr(10)", "'\\n'"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_kind(text).alias("kind"))
+
+
+@query("""SELECT source, round(sum(CASE WHEN q = 1 THEN w ELSE 0 END) / nullif(sum(w), 0)::DOUBLE, 6) AS score FROM (SELECT source, quality AS q, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS w FROM documents JOIN labels USING (doc_id)) GROUP BY source""")
+def section_quality(spark, sf_dir):
+    """Valid sections over all; core ones count twice."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    w = F.when(F.col("lang") == "en", 2).otherwise(1)
+    return rows.groupBy("source").agg(F.round(F.try_divide(F.sum(F.when(F.col("quality") == 1, w).otherwise(0)).cast("double"), F.sum(w)), 6).alias("score"))
+
+
+@query("SELECT conv_id, turn, place::INT AS place, md5(part) AS part_md5 FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS part, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS place FROM conversations)")
+def nested_flatten(spark, sf_dir):
+    """Documents, their sections and their lines, one row each."""
+    nested = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.split("text", "\n").alias("lines"))).alias("sections"))
+    turns = nested.select("conv_id", F.explode("sections").alias("s"))
+    return turns.select("conv_id", "s.turn", F.posexplode("s.lines").alias("place", "part")).select("conv_id", "turn", "place", F.md5("part").alias("part_md5"))

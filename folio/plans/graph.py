@@ -1 +1,147 @@
-"""To be written."""
+"""Queries over the concept graph, claims, conflicts and citations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folio.functions import text as tx
+from folio.operators import graph as gx
+from folio.operators import synthesis as sx
+from folio.plans.registry import query
+from folio.sources.tables import table
+
+_COLUMNS = {"method": "method", "dataset": "dataset"}
+_LONG = "(SELECT p_partkey, 'method' AS kind, p_brand || ' ' || p_type || ' ' || p_size AS label FROM part UNION SELECT p_partkey, 'dataset', p_name FROM part)"
+_LINKS = f"(SELECT 'paper:' || p_partkey AS source, kind || ':' || lower(label) AS target, 'uses_' || kind AS relation FROM {_LONG})"
+_NODES = f"(SELECT 'paper:' || p_partkey AS id, 'paper' AS kind, p_partkey::VARCHAR AS label FROM part UNION SELECT kind || ':' || lower(label), kind, label FROM {_LONG})"
+_DEGREE = f"(SELECT id, count(*) AS degree FROM (SELECT source AS id FROM {_LINKS} UNION ALL SELECT target FROM {_LINKS}) GROUP BY id)"
+
+
+def papers(spark, sf_dir):
+    """Parts stand for papers, what they are made of for methods and their names for data sets."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("method"), F.col("p_name").alias("dataset"))
+
+
+@query(f"SELECT * FROM {_NODES}")
+def graph_nodes(spark, sf_dir):
+    return gx.nodes(papers(spark, sf_dir), "p_partkey", _COLUMNS)
+
+
+@query(f"SELECT * FROM {_LINKS}")
+def graph_links(spark, sf_dir):
+    return gx.links(papers(spark, sf_dir), "p_partkey", _COLUMNS)
+
+
+@query(f"SELECT a.p_partkey AS a, b.p_partkey AS b, a.kind, count(*) AS n FROM {_LONG} a JOIN {_LONG} b ON a.kind = b.kind AND a.label = b.label AND a.p_partkey < b.p_partkey GROUP BY 1, 2, 3")
+def graph_shared_edges(spark, sf_dir):
+    return gx.shared(papers(spark, sf_dir), "p_partkey", _COLUMNS)
+
+
+@query(f"SELECT * FROM {_DEGREE}")
+def graph_degree(spark, sf_dir):
+    return gx.degrees(gx.links(papers(spark, sf_dir), "p_partkey", _COLUMNS))
+
+
+@query(f"SELECT kind, count(*) AS n FROM {_NODES} GROUP BY kind UNION ALL SELECT 'edges', count(*) FROM {_LINKS}")
+def graph_stats(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    n = gx.nodes(p, "p_partkey", _COLUMNS).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return n.unionByName(gx.links(p, "p_partkey", _COLUMNS).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("kind"), "n"))
+
+
+@query(f"WITH k AS (SELECT id FROM {_DEGREE} WHERE degree >= 3) SELECT source, target, relation FROM {_LINKS} WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k) UNION ALL SELECT id, NULL, 'node' FROM {_NODES} WHERE id IN (SELECT id FROM k)")
+def graph_min_degree(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    kept, edges = gx.filtered(gx.nodes(p, "p_partkey", _COLUMNS), gx.links(p, "p_partkey", _COLUMNS), 3)
+    return edges.unionByName(kept.select(F.col("id").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("node").alias("relation")))
+
+
+@query(rf"""SELECT id, label, len(list_intersect(['steel', 'brand#11', 'large'], list_filter(regexp_split_to_array(lower(replace(replace(label, '/', ' '), '-', ' ')), '[ \t]+'), lambda x: x <> ''))) * 10 + coalesce(degree, 0) AS rank FROM {_NODES} LEFT JOIN {_DEGREE} USING (id) WHERE kind <> 'paper'""")
+def graph_concept_rank(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    return gx.ranked(gx.nodes(p, "p_partkey", _COLUMNS), gx.links(p, "p_partkey", _COLUMNS), "Steel Brand#11/large").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""SELECT pair_id, side, paper, left(claim, 500) AS claim, 'contradict' AS type, 1 AS supports, 1 AS contradicts, confidence FROM (
+SELECT l_orderkey * 10 + l_linenumber AS pair_id, unnest(['a', 'b']) AS side, unnest([l_partkey, l_suppkey]) AS paper, unnest(['ships ' || l_shipdate::DATE, 'returns ' || l_returnflag]) AS claim, l_linestatus AS confidence FROM lineitem WHERE l_quantity > 45)""")
+def claims_from_pairs(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    pairs = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), F.col("l_partkey").alias("paper_a"), F.col("l_suppkey").alias("paper_b"), F.concat(F.lit("ships "), F.to_date("l_shipdate").cast("string")).alias("claim_a"), F.concat(F.lit("returns "), F.col("l_returnflag")).alias("claim_b"), F.col("l_linestatus").alias("confidence"))
+    return sx.claims_from_pairs(pairs)
+
+
+@query("""SELECT paper, type, claim FROM (SELECT p_partkey AS paper, unnest(['support', 'weak']) AS type, unnest([CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE trim(p_name) END, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE trim(p_type) END]) AS claim FROM part) WHERE trim(claim) <> ''""")
+def claims_from_matrix(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper"), F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise(F.col("p_name")).alias("key_result"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("limitation"))
+    return sx.claims_from_matrix(rows)
+
+
+@query("""SELECT field, value, n FROM (SELECT 0 AS place, 'p_brand' AS field, p_brand AS value, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY p_brand UNION ALL SELECT 1, 'p_type', p_type, count(*), min(p_partkey) FROM part GROUP BY p_type) WHERE n >= 2 ORDER BY place, first, value LIMIT 10""")
+def conflict_groups(spark, sf_dir):
+    return sx.conflict_groups(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type"])
+
+
+_PARAGRAPHS = "(SELECT l_orderkey AS paragraph, list(CASE WHEN l_quantity > 40 THEN -1 - l_partkey ELSE l_partkey END) AS cites FROM lineitem GROUP BY l_orderkey)"
+
+
+def _paragraphs(spark, sf_dir):
+    id_ = F.when(F.col("l_quantity") > 40, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("paragraph")).agg(F.collect_list(id_).alias("cites"))
+
+
+@query("SELECT l_orderkey AS paragraph, count(*) AS cited, count(*) FILTER (l_quantity <= 40 AND l_partkey IN (SELECT p_partkey FROM part)) AS valid FROM lineitem GROUP BY 1")
+def citation_validate(spark, sf_dir):
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return sx.valid_citations(_paragraphs(spark, sf_dir), known)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (l_quantity > 40) AS invalid, count(DISTINCT CASE WHEN l_quantity <= 40 THEN l_partkey END) AS valid_papers, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity <= 40)) AS uncited FROM lineitem")
+def citation_audit(spark, sf_dir):
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    good = l.where("l_quantity <= 40")
+    uncited = p.join(good.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").agg(F.count(F.lit(1)).alias("uncited"))
+    return l.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_quantity") > 40).alias("invalid"), F.countDistinct(F.when(F.col("l_quantity") <= 40, F.col("l_partkey"))).alias("valid_papers")).crossJoin(uncited)
+
+
+@query("SELECT l_orderkey AS section, count(DISTINCT l_partkey) AS papers, count(DISTINCT l_partkey) < 3 AS flagged FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
+def citation_density(spark, sf_dir):
+    n = F.countDistinct("l_partkey")
+    return table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("section")).agg(n.alias("papers"), (n < 3).alias("flagged"))
+
+
+_C = r"list_distinct(regexp_extract_all(text, '\b[0-9]+(?:\.[0-9]+)?[ ]*%') || regexp_extract_all(text, '(?i)\b[0-9][0-9,]*[ ]*tokens?\b') || regexp_extract_all(text, '(?i)\b[0-9]+[ ]+of[ ]+[0-9]+\b') || list_filter(regexp_extract_all(text, '\b[0-9][0-9,]*(?:\.[0-9]+)?\b'), lambda x: length(rtrim(replace(x, ',', ''), '.0')) >= 3))"
+
+
+@query(f"""WITH c AS (SELECT doc_id AS key, source, unnest({_C}) AS claim FROM documents WHERE lang = 'en'), k AS (SELECT source, text AS chunk FROM documents WHERE lang <> 'en')
+SELECT key, claim, coalesce(bool_or(contains(chunk, claim) OR contains(chunk, replace(claim, ',', '')) OR contains(chunk, trim(replace(claim, '%', '')))), false) AS grounded FROM c LEFT JOIN k USING (source) GROUP BY key, claim""")
+def claim_grounding(spark, sf_dir):
+    """English documents stand for reports, others of the same source for the evidence they cite."""
+    d = table(spark, sf_dir, "documents")
+    texts = d.where("lang = 'en'").select(F.col("doc_id").alias("key"), "source", "text")
+    return sx.grounded(texts, d.where("lang <> 'en'").select("source", F.col("text").alias("chunk_text")))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS gap, count(DISTINCT l_partkey) AS valid FROM lineitem WHERE l_quantity <= 10 AND l_partkey IN (SELECT p_partkey FROM part) GROUP BY 1)
+SELECT o_orderkey AS gap, coalesce(valid, 0) AS valid, CASE WHEN coalesce(valid, 0) >= 2 THEN 'kept' WHEN valid = 1 AND o_orderstatus = 'O' THEN 'downgraded' ELSE 'dropped' END AS status FROM orders LEFT JOIN v ON gap = o_orderkey""")
+def gap_guard(spark, sf_dir):
+    gaps = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gap"), F.when(F.col("o_orderstatus") == "O", "A single paper says so").otherwise("Several say so").alias("text"))
+    evidence = table(spark, sf_dir, "lineitem").where("l_quantity <= 10").select(F.col("l_orderkey").alias("gap"), F.col("l_partkey").alias("id"))
+    return sx.gap_guard(gaps, evidence, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(html || ' http://x.org/' || page_id || '.pdf ', 'https?://[^ \"<>()]+\\.pdf'), ''), '') AS pdf FROM pages")
+def pages_pdf_links(spark, sf_dir):
+    body = F.concat("html", F.lit(" http://x.org/"), F.col("page_id"), F.lit(".pdf "))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(body, 'https?://[^ "<>()]+\\.pdf', 0).alias("pdf"))
+
+
+@query("""SELECT page_id, len(l)::INT AS n_links, md5(array_to_string(l, '|')) AS links_md5 FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)""")
+def pages_links(spark, sf_dir):
+    l = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)
+    return table(spark, sf_dir, "pages").select("page_id", F.size(l).alias("n_links"), F.md5(F.array_join(l, "|")).alias("links_md5"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style|figure|math|nav)\b.*?</(?:script|style|figure|math|nav)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS text_md5 FROM pages""")
+def pages_html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_text(F.col("html"))).alias("text_md5"))

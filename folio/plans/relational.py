@@ -113,11 +113,12 @@ def semi_any_key(spark, sf_dir):
     return own.select("c_custkey", "k.kind", "k.value").join(keys, ["kind", "value"], "left_semi").select("c_custkey").distinct()
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE (doc_id, sha256(text)) NOT IN (SELECT doc_id, sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE (doc_id, sha256(text)) NOT IN (SELECT doc_id, sha256(text) FROM documents JOIN labels USING (doc_id))")
 def anti_incremental(spark, sf_dir):
     """Rows whose content was not processed before."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return d.join(d.where("doc_id % 3 = 0"), ["doc_id", "hash"], "left_anti")
+    done = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return d.join(done, ["doc_id", "hash"], "left_anti")
 
 
 @query("SELECT c_nationkey, count(*) AS n, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS children FROM customer GROUP BY c_nationkey")
@@ -148,10 +149,10 @@ def upload_dedup_status(spark, sf_dir):
     return d.join(first, "hash").select("doc_id", status.alias("status"))
 
 
-@query("""SELECT c_custkey, c_name || '!' AS name, c_acctbal + 1 AS balance FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 10 <> 0""")
+@query("""SELECT c_custkey, c_name || '!' AS name, c_acctbal + 1 AS balance FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0""")
 def upsert_merge(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    new = old.where("c_custkey % 10 = 0").select("c_custkey", F.concat("name", F.lit("!")).alias("name"), (F.col("balance") + 1).alias("balance"))
+    new = old.where("balance < 0").select("c_custkey", F.concat("name", F.lit("!")).alias("name"), (F.col("balance") + 1).alias("balance"))
     return sinks.upserted(old, new, ["c_custkey"])
 
 

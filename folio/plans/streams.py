@@ -1 +1,63 @@
-"""To be written."""
+"""Batch twins of the stream operators, over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folio.plans.registry import query
+from folio.sources.tables import table
+from folio.streaming import events as ev
+
+
+def events(spark, sf_dir):
+    return table(spark, sf_dir, "events")
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) <= 3 AS accepted FROM events")
+def sliding_rate_limit(spark, sf_dir):
+    return ev.attempts(events(spark, sf_dir), 86_400).select("event_id", "user_id", "in_window", (F.col("in_window") <= 3).alias("accepted"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2")
+def tumbling_window_counts(spark, sf_dir):
+    return ev.tumbling(events(spark, sf_dir), "1 hour").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n", F.round("tokens", 4).alias("tokens"))
+
+
+@query("SELECT strftime(b - INTERVAL (k * 15) MINUTE, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS b, event_type, unnest([0, 1, 2, 3]) AS k FROM events) GROUP BY 1, 2")
+def ext_sliding_window(spark, sf_dir):
+    return ev.sliding(events(spark, sf_dir)).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("""WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR > ts THEN 0 ELSE 1 END AS new FROM events))
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM s GROUP BY user_id, nth""")
+def ext_session_window(spark, sf_dir):
+    return ev.sessions(events(spark, sf_dir), "6 hours").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
+
+
+@query("""SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, epoch_us(max(ts)) - epoch_us(min(ts)) AS micros FROM events GROUP BY user_id""")
+def session_metrics(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("micros"))
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR value > before")
+def monotonic_progress(spark, sf_dir):
+    return ev.progress(events(spark, sf_dir)).select("event_id", "user_id")
+
+
+@query("""WITH s AS (SELECT *, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)
+SELECT event_id, user_id, (s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))::BIGINT AS open FROM s""")
+def running_gauge(spark, sf_dir):
+    return ev.gauge(events(spark, sf_dir)).select("event_id", "user_id", "open")
+
+
+@query("""WITH c AS (SELECT user_id, max((ts, event_id)) AS cut FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT e.user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM events e LEFT JOIN c USING (user_id) WHERE cut IS NULL OR (ts, event_id) > cut GROUP BY e.user_id""")
+def delta_gate(spark, sf_dir):
+    return ev.final_text(events(spark, sf_dir))
+
+
+@query("SELECT DISTINCT ON (user_id, event_type) user_id, event_type, event_id FROM events ORDER BY user_id, event_type, ts, event_id")
+def message_idempotency(spark, sf_dir):
+    """The first delivery of a message; user and type stand for its key."""
+    g = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("x"))
+    return g.select("user_id", "event_type", "x.event_id")
