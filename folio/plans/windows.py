@@ -57,7 +57,7 @@ def reference_numbering(spark, sf_dir):
 
 
 @query("SELECT doc_id, source, used::BIGINT AS used FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 30000")
-def budget_prefix(spark, sf_dir):
+def context_budget(spark, sf_dir):
     """Blocks of each source while they fit the budget; the first that does not ends the list."""
     used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     return table(spark, sf_dir, "documents").select("doc_id", "source", used.alias("used")).where("used <= 30000")
