@@ -43,16 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(ids: DataFrame, bound: int = BROADCAST_IDS) -> bool:
-    """Whether a one-column table has at most `bound` rows; looks at no more than bound + 1 of them."""
-    return ids.limit(bound + 1).count() <= bound
+def sized(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """A one-column table, written so that it can be counted cheaply, and broadcast if it has at most `bound` rows."""
+    ids = written(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= bound else ids
 
 
 def semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows whose `column` is in the one-column table ids: broadcast if it is provably small, else a shuffled join."""
-    return rows.join(F.broadcast(ids) if small(ids) else ids, column, "left_semi")
+    return rows.join(sized(ids), column, "left_semi")
 
 
 def anti(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows whose `column` is not in ids; rows with a null stay."""
-    return rows.join(F.broadcast(ids) if small(ids) else ids, column, "left_anti")
+    return rows.join(sized(ids), column, "left_anti")
