@@ -77,6 +77,17 @@ SQL = {
         found AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT out) AS kept FROM marked GROUP BY doc_id)
         SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN found f ON f.doc_id = w.doc_id""",
+    "op9_decontamination": r"""
+        WITH b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        bs AS (SELECT item_id, ws, least(10, len(ws)) AS m, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS s FROM b WHERE len(ws) > 0),
+        bw AS (SELECT DISTINCT item_id, m, array_to_string(ws[s:s + m - 1], ' ') AS k FROM bs),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        ds AS (SELECT doc_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS s FROM d, (SELECT DISTINCT m FROM bw) WHERE len(ws) >= m),
+        hit AS (SELECT doc_id, ds.m, s, item_id FROM ds JOIN bw ON bw.m = ds.m AND bw.k = array_to_string(ws[s:s + ds.m - 1], ' ')),
+        cover AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + m - 1)) AS i FROM hit) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN cover c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id""",
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
