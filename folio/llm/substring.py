@@ -34,8 +34,11 @@ INNER = 7
 MAP_BITS = 27
 #: Minimisers that occur so often are dealt by whole windows, at most HOT_MOST of them, the most frequent first.
 HOT, HOT_MOST = 10_000, 50_000
-#: Reference shards for each shuffle partition: a worker holds one shard's automaton at a time, about 25 MB here.
-SHARDS_EACH = 20
+#: Groups of reference shards for each shuffle partition.
+GROUPS_EACH = 2
+#: Words of the passages of one reference shard, as far as its minimisers can be parted: a worker holds one shard's
+#: automaton at a time, 25 to 50 MB.
+SHARD_WORDS = 200_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -184,9 +187,9 @@ def _marked(shift: int, hot: int, map_bits: int):
     return marked
 
 
-def _rows(kind: list[int], shard: list[int], a: list[bytes], b: list[bytes], c: list[bytes], d: list[bytes], e: list[bytes]) -> pa.RecordBatch:
+def _rows(kind: list[int], shard: list[int], *columns: list[bytes]) -> pa.RecordBatch:
     binary = pa.binary()
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), *(pa.array(x, binary) for x in (a, b, c, d, e))], ["kind", "shard", "docs", "texts", "starts", "sizes", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), *(pa.array(x, binary) for x in columns)], ["kind", "shard", "docs", "texts", "starts", "sizes", "parts", "words"])
 
 
 def _passages(bitmap, hot, shift: int, map_bits: int):
@@ -228,56 +231,67 @@ def _passages(bitmap, hot, shift: int, map_bits: int):
                 here = np.flatnonzero(~again)[np.cumsum(~again)[again] - 1]
                 moved = (own[later] != own[order[here]]) | (begin[later] != begin[order[here]])
                 later = later[moved]  # a row that repeats a document is that document
-                rows: tuple[list, ...] = ([], [], [], [], [], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 if len(later):
-                    for column, x in zip(rows, (1, -1, own[later].tobytes(), text[later].tobytes(), begin[later].astype(np.int32).tobytes(), count[later].astype(np.int32).tobytes(), b""), strict=True):
+                    for column, x in zip(rows, (1, -1, own[later].tobytes(), text[later].tobytes(), begin[later].astype(np.int32).tobytes(), count[later].astype(np.int32).tobytes(), b"", b""), strict=True):
                         column.append(x)
                 lengths = count + SPAN - 1
                 signs = w.hash.astype(np.uint32)
+                part = (key >> np.uint64(shift - 16)).astype(np.uint16)  # parts a group into shards
                 for shard, (_, which) in _packed(key[first], shift, first):
                     total = np.concatenate([[0], np.cumsum(lengths[which])])
                     where = np.arange(total[-1]) + np.repeat(start[which] - total[:-1], lengths[which])
-                    for column, x in zip(rows, (0, shard, own[which].tobytes(), text[which].tobytes(), begin[which].astype(np.int32).tobytes(), count[which].astype(np.int32).tobytes(), signs[where].tobytes()), strict=True):
+                    for column, x in zip(rows, (0, shard, own[which].tobytes(), text[which].tobytes(), begin[which].astype(np.int32).tobytes(), count[which].astype(np.int32).tobytes(), part[which].tobytes(), signs[where].tobytes()), strict=True):
                         column.append(x)
                 yield _rows(*rows)
 
     return passages
 
 
-def _judged(shard: pa.Table) -> pa.Table:
-    """Repeats of a shard: rows (doc, text, start, size)."""
-    schema = pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
-    kind = shard.column("kind").to_numpy()
-
-    def joined(name: str, where: np.ndarray, dtype) -> np.ndarray:
-        column = shard.column(name)
-        return np.concatenate([np.frombuffer(column[int(i)].as_buffer(), dtype) for i in where]) if len(where) else np.zeros(0, dtype)
-
-    parts = []
-    known = np.flatnonzero(kind == 1)
-    if len(known):
-        parts.append([joined(c, known, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32))])
-    asked = np.flatnonzero(kind == 0)
-    if len(asked):
-        doc, text, start, size = (joined(c, asked, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32)))
-        words = joined("words", asked, np.uint32)
-        ends = np.cumsum(size.astype(np.int64) + SPAN - 1)
-        order = np.lexsort((start, doc))
-        # one place of one document is asked once, even if its row is repeated
-        alike = np.zeros(len(order), bool)
-        alike[1:] = (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & (text[order][1:] == text[order][:-1])
-        order = order[~alike]
-        found = repeats([words[ends[i] - size[i] - SPAN + 1 : ends[i]].tolist() for i in order])
-        hits = [(i, s) for i, f in zip(order, found, strict=True) for s in f]
-        if hits:
-            which, at = np.array(hits, np.int64).T
-            runs = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)]))
-            length = np.diff(np.append(runs, len(which))).astype(np.int32)
-            which, at = which[runs], at[runs]
-            parts.append([doc[which], text[which], (start[which] + at).astype(np.int32), length])
-    if not parts:
-        return schema.empty_table()
-    return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], schema=schema)
+def _judged(shard_words: int):
+    """Repeats in a group of shards, one shard after the other: rows (doc, text, start, size)."""
+
+    def judged(shard: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
+        kind = shard.column("kind").to_numpy()
+
+        def joined(name: str, where: np.ndarray, dtype) -> np.ndarray:
+            column = shard.column(name)
+            return np.concatenate([np.frombuffer(column[int(i)].as_buffer(), dtype) for i in where]) if len(where) else np.zeros(0, dtype)
+
+        parts = []
+        known = np.flatnonzero(kind == 1)
+        if len(known):
+            parts.append([joined(c, known, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32))])
+        asked = np.flatnonzero(kind == 0)
+        if len(asked):
+            doc, text, start, size = (joined(c, asked, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32)))
+            words = joined("words", asked, np.uint32)
+            ends = np.cumsum(size.astype(np.int64) + SPAN - 1)
+            shards = joined("parts", asked, np.uint16)
+            bits = min(16, max(0, int(len(words) // shard_words).bit_length()))
+            shards = shards.astype(np.int64) >> (16 - bits)
+            hits = []
+            for shard_id in np.unique(shards):
+                own = np.flatnonzero(shards == shard_id)
+                order = own[np.lexsort((start[own], doc[own]))]
+                # one place of one document is asked once, even if its row is repeated
+                alike = np.zeros(len(order), bool)
+                alike[1:] = (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & (text[order][1:] == text[order][:-1])
+                order = order[~alike]
+                found = repeats([words[ends[i] - size[i] - SPAN + 1 : ends[i]].tolist() for i in order])
+                hits += [(i, s) for i, f in zip(order, found, strict=True) for s in f]
+            if hits:
+                which, at = np.array(hits, np.int64).T
+                runs = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)]))
+                length = np.diff(np.append(runs, len(which))).astype(np.int32)
+                which, at = which[runs], at[runs]
+                parts.append([doc[which], text[which], (start[which] + at).astype(np.int32), length])
+        if not parts:
+            return schema.empty_table()
+        return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], schema=schema)
+
+    return judged
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,14 +317,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def repeated_spans(docs: DataFrame, hot_from: int = HOT, map_bits: int = MAP_BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot_from: int = HOT, map_bits: int = MAP_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc, text, spans of documents that hold repeated windows: spans are (first start, number of windows) in turn.
 
     docs: doc_id long, text_key long (a hash of the text), text.
     """
     spark = docs.sparkSession
     shards = 8
-    while (1 << shards) < SHARDS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")) and shards < map_bits - 3:
+    while (1 << shards) < GROUPS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")) and shards < map_bits - 3:
         shards += 1
     shift = 64 - shards
     prints = docs.mapInArrow(_printed(shift), "shard int, keys binary, counts binary")
@@ -322,13 +336,13 @@ def repeated_spans(docs: DataFrame, hot_from: int = HOT, map_bits: int = MAP_BIT
     frequent = marks.select(F.explode(F.arrays_zip("hot", "often")).alias("x")).select("x.hot", "x.often").orderBy(F.desc("often"), "hot").limit(HOT_MOST)
     hot = np.array(sorted(r.hot for r in frequent.collect()), np.int64).view(np.uint64)
     bitmap, listed = spark.sparkContext.broadcast(bytes(whole)), spark.sparkContext.broadcast(hot)
-    rows = docs.mapInArrow(_passages(bitmap, listed, shift, map_bits), "kind int, shard int, docs binary, texts binary, starts binary, sizes binary, words binary")
+    rows = docs.mapInArrow(_passages(bitmap, listed, shift, map_bits), "kind int, shard int, docs binary, texts binary, starts binary, sizes binary, parts binary, words binary")
     salted = rows.withColumn("shard", F.when(F.col("kind") == 1, F.pmod(F.xxhash64("docs", "starts"), F.lit(1 << shards)).cast("int")).otherwise(F.col("shard")))
-    found = salted.groupBy("shard").applyInArrow(_judged, "doc long, text long, start int, size int")
+    found = salted.groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
     return found.groupBy(F.col("doc").alias("doc_key"), F.col("text").alias("text_key")).agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT, map_bits: int = MAP_BITS) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, map_bits: int = MAP_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, joined by one space).
 
     A word goes if a window of SPAN words that covers it also starts earlier:
@@ -338,7 +352,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, map_bits: int = MAP_BITS) -
     its text are one document, of which no row is earlier than another.
     """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    spans = repeated_spans(body, hot, map_bits)
+    spans = repeated_spans(body, hot, map_bits, shard_words)
     keyed = body.withColumn("doc_key", F.coalesce("doc_id", F.lit(int(NO_ID))))
     joined = keyed.join(spans, ["doc_key", "text_key"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

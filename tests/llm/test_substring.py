@@ -62,7 +62,7 @@ def test_matches_brute_force(spark, hot, parts):
 
 def test_a_full_bitmap_changes_nothing(spark):
     docs = cases()
-    assert rows(substring.without_repeats(spark.createDataFrame(docs, SCHEMA).repartition(3), map_bits=12)) == brute(docs)
+    assert rows(substring.without_repeats(spark.createDataFrame(docs, SCHEMA).repartition(3), map_bits=12, shard_words=50)) == brute(docs)
 
 
 def test_on_the_small_table(spark):
