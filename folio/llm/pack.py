@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,8 +258,13 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, range_token
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_tokens))
     bounds = sorted({int(x) for x in rows.stat.approxQuantile("key", [k / parts for k in range(1, parts)], 0.1 / parts)}) if total else []
-    part = F.lit(0) if not bounds else F.expr("size(filter(bounds, x -> x <= key))")
-    placed = rows.withColumn("bounds", F.array(*map(F.lit, bounds)).cast("array<bigint>")).withColumn("part", part.cast("int")).drop("bounds")
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, key.to_numpy(), side="right").astype(np.int32))
+
+    placed = rows.withColumn("part", part_of("key"))
     sums = {r.part: r.total for r in placed.groupBy("part").agg(F.sum("n").alias("total")).collect()}  # a number for each range
     base, at = [], 0
     for p in range(len(bounds) + 1):
