@@ -35,7 +35,7 @@ MAP_BITS = 27
 #: Minimisers that occur so often are dealt by whole windows, at most HOT_MOST of them, the most frequent first.
 HOT, HOT_MOST = 10_000, 50_000
 #: Groups of reference shards for each shuffle partition.
-GROUPS_EACH = 2
+GROUPS_EACH = 8
 #: Words of the passages of one reference shard, as far as its minimisers can be parted: a worker holds one shard's
 #: automaton at a time, 25 to 50 MB.
 SHARD_WORDS = 200_000
