@@ -27,8 +27,8 @@ from folio.llm.common import written
 
 SIZE, END = 4096, 2
 DIMS, BITS, BUCKETS, TIE_BITS = 4, 11, 256, 19
-#: Tokens of one task, as far as documents allow.
-RANGE_TOKENS = 4_000_000
+#: Tokens of one task, as far as documents allow, and ranges of the key for each task: tasks with several small ranges are more even.
+RANGE_TOKENS, RANGES_EACH = 4_000_000, 8
 #: Pieces whose ids a worker keeps: about 30 MB.
 KNOWN_PIECES = 1_000_000
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -257,7 +257,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, range_token
     rows = written(body.mapInArrow(_encoded(path or default_path()), f"doc_id {kind}, key long, n long, ids binary"), "tokens")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_tokens))
-    bounds = sorted({int(x) for x in rows.stat.approxQuantile("key", [k / parts for k in range(1, parts)], 0.1 / parts)}) if total else []
+    ranges = parts * RANGES_EACH
+    bounds = sorted({int(x) for x in rows.stat.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if total else []
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
