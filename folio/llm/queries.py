@@ -69,10 +69,10 @@ SQL = {
         FROM e GROUP BY conv_id""",
     "op6_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        e AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS s FROM w WHERE len(ws) >= 20),
-        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY doc_id, s) AS nth FROM e),
-        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS i FROM r WHERE nth > 1),
-        every AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+        every AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i, len(ws) AS n FROM w),
+        e AS (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM every),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM e WHERE i <= n - 19),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS i FROM r WHERE nth > 1),
         marked AS (SELECT e.*, g.i IS NOT NULL AS out FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i),
         found AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT out) AS kept FROM marked GROUP BY doc_id)
         SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
