@@ -12,7 +12,8 @@ from folio.operators import graph as gx
 from folio.plans.graph import _COLUMNS, _DEGREE, _NODES, papers
 from folio.plans.registry import query
 from folio.plans.retrieval import _duck_keyword
-from folio.sources.tables import table, year_of
+from folio.sources import sinks
+from folio.sources.tables import fan_out, table, year_of
 
 _ANSWER = "concat('As shown [CITE:', doc_id, '] and [CITE: ', doc_id + 100000, ' ] by ', left(text, 10))"
 
@@ -190,3 +191,26 @@ def content_probe(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
     first = d.groupBy("hash").agg(F.min("doc_id").alias("first"))
     return d.join(first, "hash").select("doc_id", (F.col("first") != F.col("doc_id")).alias("known"))
+
+
+@query("SELECT stage, '## ' || stage || chr(10) || chr(10) || string_agg('- ' || label || ': ' || n, chr(10) ORDER BY label) AS body FROM (SELECT lang AS stage, source AS label, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY stage")
+def audit_markdown(spark, sf_dir):
+    long = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("stage"), F.col("source").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return sinks.long_markdown(long, "stage", "label", "n")
+
+
+@query("""SELECT conv_id, md5(string_agg(CASE WHEN before IS NULL OR before <> role THEN '### ' || role || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY turn)) AS body_md5 FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id""")
+def report_markdown(spark, sf_dir):
+    body = sinks.report_markdown(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return body.select("conv_id", F.md5("body").alias("body_md5"))
+
+
+@query("SELECT url, min(page_id) AS page_id, count(*) AS matches FROM (SELECT page_id, lower(trim(split_part(url, '?', 1))) AS url FROM pages UNION ALL SELECT page_id + 1000000, lower(trim(split_part(url, '?', 1))) FROM pages WHERE contains(url, 'page=2')) GROUP BY url")
+def source_fan_out(spark, sf_dir):
+    """Two sources, of which the second repeats some of the first's records."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.split_part("url", F.lit("?"), F.lit(1)).alias("title"), F.col("url").alias("raw"))
+    none = F.lit(None).cast("string")
+    rows = p.select("page_id", "title", none.alias("arxiv_id"), none.alias("doi"), F.col("raw").alias("url"))
+    second = rows.where(F.col("url").contains("page=2")).withColumn("page_id", F.col("page_id") + 1_000_000)
+    merged = fan_out([rows.withColumn("url", F.lpad(F.col("page_id").cast("string"), 9, "0")), second])
+    return merged.select(F.lower(F.trim("title")).alias("url"), "page_id", "matches")

@@ -49,3 +49,22 @@ def filled(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def append(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").parquet(path)
+
+
+def long_markdown(rows: DataFrame, section: str, label: str, value: str) -> DataFrame:
+    """section, body: a Markdown part for each section of (section, label, value) rows, labels in order."""
+    line = F.concat(F.lit("- "), F.col(label), F.lit(": "), F.col(value).cast("string"))
+    grouped = rows.groupBy(section).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), line.alias("line")))).alias("x"))
+    return grouped.select(section, F.concat(F.lit("## "), F.col(section), F.lit("\n\n"), F.array_join(F.col("x.line"), "\n")).alias("body"))
+
+
+def report_markdown(paragraphs: DataFrame, report: str, place: str, heading: str, text: str) -> DataFrame:
+    """report, body: paragraphs in order, a heading above the first of each run of one heading."""
+    x = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), F.col(heading).alias("h"), F.col(text).alias("t"))))
+    grouped = paragraphs.groupBy(report).agg(x.alias("x"))
+
+    def part(row: Column, k: Column) -> Column:
+        new = (k == 0) | (F.get(F.col("x.h"), k - 1) != row["h"])
+        return F.when(new, F.concat(F.lit("### "), row["h"], F.lit("\n\n"), row["t"])).otherwise(row["t"])
+
+    return grouped.select(report, F.array_join(F.transform("x", part), "\n\n").alias("body"))

@@ -67,3 +67,32 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
     body = F.decode("content", "UTF-8")
     return raw.select("path", body.alias("text"), F.when(F.length(tx.strip(body)) < 50, "ocr_required").otherwise("completed").alias("status"))
+
+
+def search(papers: DataFrame, words: list[str], limit: int = 25, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
+    """PAPER rows that hold every word in title or abstract, within the years, newest first; the limit is the caller's page."""
+    text = F.lower(F.concat_ws(" ", "title", "abstract"))
+    for word in words:
+        papers = papers.where(text.contains(word.lower()))
+    if year_from is not None:
+        papers = papers.where(F.col("year") >= year_from)
+    if year_to is not None:
+        papers = papers.where(F.col("year") <= year_to)
+    return papers.orderBy(F.col("year").desc_nulls_last(), "title", "url").limit(limit)
+
+
+def strongest_id(papers: DataFrame) -> Column:
+    """arXiv number, else DOI, else the title without regard to case and blanks around it."""
+    return F.coalesce(blank_to_null(papers["arxiv_id"]), blank_to_null(papers["doi"]), F.lower(tx.strip(papers["title"])))
+
+
+def fan_out(results: list[DataFrame]) -> DataFrame:
+    """Rows of several sources, each paper once: that of the source named first."""
+    every = None
+    for place, rows in enumerate(results):
+        marked = rows.withColumn("_place", F.lit(place))
+        every = marked if every is None else every.unionByName(marked)
+    keyed = every.withColumn("_key", strongest_id(every))
+    columns = [c for c in every.columns if c != "_place"]
+    first = keyed.groupBy("_key").agg(F.min_by(F.struct(*columns), F.struct("_place", "title", "url")).alias("_row"), F.count(F.lit(1)).alias("matches"))
+    return first.select("_row.*", "matches")

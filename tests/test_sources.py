@@ -45,3 +45,17 @@ def test_sinks(spark, tmp_path):
     old, new = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string"), spark.createDataFrame([(2, "n"), (1, "x"), (3, "y")], "k int, v string")
     assert sorted(tuple(r) for r in sinks.filled(old, new, ["k"]).collect()) == [(1, "a"), (2, "n"), (3, "y")]
     assert sorted(tuple(r) for r in sinks.upserted(old, new, ["k"]).collect()) == [(1, "x"), (2, "n"), (3, "y")]
+
+
+def test_search_and_fan_out(spark):
+    rows = [
+        ("a", "Deep nets", "about cancer", 2020, None, " 10.1/x ", None, "u1", ["A"]),
+        ("a", "Old nets", "cancer", 2001, None, None, "2001.1", "u2", []),
+        ("a", "No year", "cancer nets", None, None, None, None, "u3", []),
+    ]
+    first = spark.createDataFrame(rows, tables.PAPER)
+    second = spark.createDataFrame([("b", "DEEP NETS again", None, 2021, None, "10.1/x", None, "v1", ["B"]), ("b", " no YEAR ", None, None, None, None, None, "v2", [])], tables.PAPER)
+    assert [r.url for r in tables.search(first, ["CANCER", "nets"]).collect()] == ["u1", "u2", "u3"]
+    assert [r.url for r in tables.search(first, ["cancer"], year_from=2010, year_to=2030).collect()] == ["u1"]
+    got = sorted((r.url, r.source, r.matches) for r in tables.fan_out([first, second]).collect())
+    assert got == [("u1", "a", 2), ("u2", "a", 1), ("u3", "a", 2)]
