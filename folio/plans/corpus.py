@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as tx
 from folio.operators import chunking
 from folio.plans.registry import query
-from folio.sources.tables import table
+from folio.sources.tables import spread, table
 
 _W = r"[ \t\n\r\f\v]"
 _LINES = "string_split(text, chr(10))"
@@ -31,7 +31,7 @@ _SCORE = "0.30 * density + 0.25 * alpha + 0.20 * structure + 0.15 * mojibake + 0
 
 
 def signals(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).where(F.length("text") > 0)
     return d.select("doc_id", "source", *(f(F.col("text")).alias(k) for k, f in tx.SIGNALS.items()))
 
 
@@ -102,7 +102,7 @@ def chunk_paragraphs(spark, sf_dir):
 
 @query()
 def chunk_sections(spark, sf_dir):
-    return chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.chunked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query()
@@ -114,7 +114,7 @@ def chunk_page_spans(spark, sf_dir):
 
 @query()
 def chunk_overlap(spark, sf_dir):
-    return chunking.with_overlap(chunking.chunked(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return chunking.with_overlap(chunking.chunked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 _SECTION = "CASE doc_id % 8 WHEN 0 THEN 'Abstract' WHEN 1 THEN '2. Related Work' WHEN 2 THEN 'Methods' WHEN 3 THEN 'Experimental Results' WHEN 4 THEN 'Limitations' WHEN 5 THEN 'References' WHEN 6 THEN 'Introduction' ELSE source END"
@@ -155,7 +155,7 @@ _TEXT = "CASE doc_id % 6 WHEN 0 THEN '$$E = mc^2$$ ' || text WHEN 1 THEN 'Figure
 @query()
 def classify_chunk(spark, sf_dir):
     text = F.expr(_TEXT.replace("chr(10)", "'\\n'"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_kind(text).alias("kind"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.chunk_kind(text).alias("kind"))
 
 
 @query("""SELECT source, round(sum(CASE WHEN q = 1 THEN w ELSE 0 END) / nullif(sum(w), 0)::DOUBLE, 6) AS score FROM (SELECT source, quality AS q, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS w FROM documents JOIN labels USING (doc_id)) GROUP BY source""")

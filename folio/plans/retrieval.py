@@ -10,7 +10,7 @@ from folio.functions import text as tx
 from folio.functions import values as vx
 from folio.operators import retrieval as rx
 from folio.plans.registry import query
-from folio.sources.tables import table
+from folio.sources.tables import spread, table
 
 WORDS = ["the", "of", "and", "this"]
 _KIND = "CASE doc_id % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'results' WHEN 2 THEN 'limitation' WHEN 3 THEN 'abstract' ELSE 'narrative' END"
@@ -61,7 +61,7 @@ def paper_retrieval(spark, sf_dir):
 
 @query(f"SELECT doc_id AS chunk_id, round({_duck_keyword(WORDS)} * 0.45 + {_BOOST}, 6) AS score FROM documents WHERE round({_duck_keyword(WORDS)} * 0.45 + {_BOOST}, 6) > 0 ORDER BY score DESC, chunk_id LIMIT 20")
 def keyword_retrieval(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.expr(_KIND).alias("content_type"), F.lit(None).cast("array<float>").alias("embedding"))
     return rx.hybrid(rows, [], WORDS, 20).select("chunk_id", "score")
 
@@ -74,7 +74,7 @@ b AS (SELECT query, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OV
 SELECT doc_id AS chunk_id, max(score) AS score, count(*) AS n_queries FROM b GROUP BY doc_id ORDER BY score DESC, chunk_id LIMIT 50""")
 def multi_query_merge(spark, sf_dir):
     """Queries against all documents: the token set of a document is made once."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), tx.tokens(F.col("text")).alias("tokens"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("chunk_id"), tx.tokens(F.col("text")).alias("tokens"))
     score = lambda words: F.round(vx.keyword_score(F.array(*map(F.lit, words)), F.col("tokens")), 6)
     scored = d.select("chunk_id", F.explode(F.array(*(F.struct(F.lit(k).alias("query"), score(v).alias("score")) for k, v in ANGLES.items()))).alias("x"))
     return rx.merged(scored.select("chunk_id", "x.query", "x.score").where("score > 0"), "chunk_id", "query", 15, 50)

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows for work that costs far more than moving them: a table in fewer splits than there are cores is dealt to all.
+
+    A large table has more splits than that and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, categories: list[str] | None = None) -> DataFrame:
     """Records of a JSON-lines file; blank and malformed lines are dropped, and records outside the categories."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
