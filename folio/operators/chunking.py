@@ -101,7 +101,7 @@ def pack_sentences(text: str, most: int, overlap: int) -> list[str]:
     return [*chunks, " ".join(held)] if held else chunks
 
 
-def typed_parts(section: str, text: str) -> list[tuple[str, str]]:
+def typed_parts(text: str) -> list[tuple[str, str]]:
     """(kind, text): runs of table lines, captions and prose of a section."""
     out: list[tuple[str, str]] = []
     held: list[str] = []
@@ -109,7 +109,7 @@ def typed_parts(section: str, text: str) -> list[tuple[str, str]]:
 
     def close() -> None:
         body = "\n".join(held).strip()
-        if body and (kind != "table" or len(body) >= 30):
+        if body:
             out.append((kind, body))
         held.clear()
 
@@ -124,31 +124,62 @@ def typed_parts(section: str, text: str) -> list[tuple[str, str]]:
     return out
 
 
+def cut(text: str, most: int) -> list[str]:
+    """The whole text in pieces of at most `most` characters, cut at the end of a line, else between words, else hard."""
+    out: list[str] = []
+    text = text.strip()
+    while len(text) > most:
+        at = max(text.rfind("\n", most // 2, most + 1), 0) or max(text.rfind(" ", most // 2, most + 1), 0) or most
+        out.append(text[:at].strip())
+        text = text[at:].strip()
+    return [*out, text] if text else out
+
+
+def joined(parts: list[str], most: int, least: int) -> list[str]:
+    """Parts in their order, those under `least` characters joined to a neighbour; a pair that is too long is cut near its middle."""
+    out: list[str] = []
+    for part in parts:
+        if not out or min(len(out[-1]), len(part)) >= least:
+            out.append(part)
+            continue
+        whole = f"{out.pop()}\n{part}"
+        out += [whole] if len(whole) <= most else cut(whole, len(whole) * 5 // 8)
+    return out
+
+
 def chunks_of(text: str | None, most: int = MOST_CHARS, least: int = LEAST_CHARS) -> list[dict]:
-    """Chunks of a document, section by section; a document without headings is one section, Full Text."""
+    """Chunks of a document, section by section; a document without headings is one section, Full Text.
+
+    The floor holds for whole sections with their heading; a document of which nothing reaches it is kept whole.
+    """
     if not text or not text.strip():
         return []
     lines = text.split("\n")
     out = []
     for name, start, end in sections_of(text) or [("Full Text", -1, len(lines) - 1)]:
-        body = "\n".join(lines[start + 1 : end + 1])
+        body = "\n".join(lines[start + 1 : end + 1]).strip()
+        if body and len(body) < least and start >= 0:
+            body = f"{lines[start].strip()}\n{body}"
+        if len(body) < least:
+            continue
         if name.lower() in ("references", "bibliography"):
-            parts = split_references(body)
+            parts = [c for p in split_references(body) for c in cut(p, most)]
         else:
-            parts = [c for kind, t in typed_parts(name, body) for c in (pack_sentences(t, most, 0) if kind == "narrative" else [t])]
-        out += [(name, p) for p in parts if len(p) >= least]
-    return [{"place": k, "section": name, "text": p} for k, (name, p) in enumerate(out or [("Full Text", text.strip()[:most])])]
+            parts = [c for kind, t in typed_parts(body) for c in (pack_sentences(t, most, 0) if kind == "narrative" else cut(t, most))]
+        out += [(name, p) for p in joined(parts, most, least)]
+    out = out or [("Full Text", p) for p in joined(cut(text, most), most, least)]
+    return [{"place": k, "section": name, "text": p} for k, (name, p) in enumerate(out)]
 
 
 def chunked(rows: DataFrame, key: str, text: str, most: int = MOST_CHARS) -> DataFrame:
     """key, place, section, chunk_text, content_type: typed chunks of every document."""
 
     @F.pandas_udf(CHUNK)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: chunks_of(t, most))
 
-    parts = rows.select(key, F.explode(cut(text)).alias("c"))
+    parts = rows.select(key, F.explode(udf(text)).alias("c"))
     return parts.select(key, "c.place", "c.section", F.col("c.text").alias("chunk_text"), tx.chunk_kind(F.col("c.text")).alias("content_type"))
 
 
