@@ -74,3 +74,29 @@ def test_chunk_overlap_keeps_every_word(spark, folder):
 def test_floor_counts_the_heading():
     text = "Limitations\n" + "x" * 70
     assert [(c["section"], c["text"]) for c in chunking.chunks_of(text + "\nMethods\n" + PROSE * 3)] == [("Limitations", text), ("Methods", (PROSE * 3).strip())]
+
+
+@pytest.mark.parametrize(
+    ("lines", "names"),
+    [
+        (["Abstract", "x", "1. Introduction", "x", "C E U R", "W Pr o o r c k", "2. Methodology", "x", "3. Results and Evaluation", "x", "4. Conclusion and Future Work", "x", "References", "[1] x"], ["Abstract", "Introduction", "Methodology", "Results and evaluation", "Conclusion and future work", "References"]),
+        (["Title", "Abstract. We present an effective approach.", "1 Introduction", "x", "2 Related Work", "x", "3 Method", "x", "4 Results", "x", "5 Conclusion", "x", "References", "[1] x"], ["Abstract", "Introduction", "Related work", "Method", "Results", "Conclusion", "References"]),
+        (["\\section{Introduction}", "x", "\\section{The Grandfather Paradox}", "x"], ["Introduction", "The grandfather paradox"]),
+        (["## A Paper About Chunks", "**Ann Lee**", "arXiv:1234.5678", "Copyright 2020", "Introduction", "x", "Manuscript"], ["Introduction"]),
+        (["#### Some Long Title", "x", "#### Introduction", "x", "#### Data Sources", "x"], ["Introduction", "Data sources"]),
+        (["Contents", "1. Introduction ........ 3", "2. Our Method ....... 9", "1. Introduction", "x"], ["Introduction"]),
+        (["Abstract", "x", "## Table of Contents", "**1** **Introduction** 3", "1. Introduction", "x"], ["Abstract", "Introduction"]),
+        (["Introduction", "x", "1. Let us choose the coordinates so that", "2. We show results", "3. The second approach creates a user feature vector it"], ["Introduction"]),
+        (["RELATED WORK", "x", "III. PROPOSED SYSTEM", "x", "**Discussion**", "x"], ["Related work", "Proposed system", "Discussion"]),
+        (["nothing here", "**Ann Lee**"], []),
+    ],
+)
+def test_section_names(lines, names):
+    assert [name for name, _, _ in chunking.sections_of("\n".join(lines))] == names
+
+
+def test_inline_abstract_is_kept():
+    text = f"Title\n**Ann Lee**\nAbstract. We present chunks. {PROSE * 4}\n1 Introduction\n{PROSE * 4}"
+    got = chunking.chunks_of(text)
+    assert [c["section"] for c in got] == ["Abstract", "Introduction"]
+    assert got[0]["text"] == f"Abstract. We present chunks. {PROSE * 4}".strip()
