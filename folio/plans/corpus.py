@@ -149,6 +149,11 @@ def low_value_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.low_value(F.substring("text", 1, 40), F.expr(_KIND)).alias("low"))
 
 
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) < CASE {_KIND} WHEN 'table' THEN 10 WHEN 'reference' THEN 3 ELSE 5 END AS low FROM documents")
+def low_value_chunks_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.low_value(F.col("text"), F.expr(_KIND)).alias("low"))
+
+
 _TEXT = "CASE doc_id % 6 WHEN 0 THEN '$$E = mc^2$$ ' || text WHEN 1 THEN 'Figure 3: ' || text WHEN 2 THEN 'a | b' || chr(10) || text WHEN 3 THEN 'x = µ + 1' || chr(10) || 'y = ν − 2' || chr(10) || 'a ≤ b' ELSE text END"
 
 

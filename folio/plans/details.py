@@ -23,12 +23,24 @@ def sanitize_citations(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.known_citations(F.expr(_ANSWER), F.array(F.col("doc_id").cast("string"))).alias("answer"))
 
 
+@query("SELECT doc_id, md5('As shown [CITE:' || doc_id || '] and [citation removed] by ' || text) AS answer_md5 FROM documents")
+def sanitize_citations_whole(spark, sf_dir):
+    answer = F.expr(_ANSWER.replace("left(text, 10)", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.known_citations(answer, F.array(F.col("doc_id").cast("string")))).alias("answer_md5"))
+
+
 @query("SELECT conv_id, turn, '- ' || left(text, 15) || ' done' AS answer FROM conversations")
 def strip_emoji(spark, sf_dir):
     raw = F.concat(F.lit("• "), F.substring("text", 1, 15), F.lit("\U0001f600✨ done"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.plain_answer(raw).alias("answer"))
 
 
+@query(f"SELECT conv_id, turn, md5('- ' || replace(regexp_replace(text, '{tx.DECORATION}', '', 'g'), '•', '-') || ' done') AS answer_md5 FROM conversations")
+def strip_emoji_whole(spark, sf_dir):
+    raw = F.concat(F.lit("• "), F.col("text"), F.lit("\U0001f600✨ done"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(tx.plain_answer(raw)).alias("answer_md5"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_brand || ' ' || p_type END AS q FROM part")
 def evidence_query(spark, sf_dir):
     some = lambda c: F.when(F.col("p_size") % 3 == 0, "  ").otherwise(F.col(c))

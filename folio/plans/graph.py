@@ -62,12 +62,20 @@ def graph_concept_rank(spark, sf_dir):
     return gx.ranked(gx.nodes(p, "p_partkey", _COLUMNS), gx.links(p, "p_partkey", _COLUMNS), "Steel Brand#11/large").withColumn("rank", F.col("rank").cast("long"))
 
 
+def pairs_of(items):
+    return items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), F.col("l_partkey").alias("paper_a"), F.col("l_suppkey").alias("paper_b"), F.concat(F.lit("ships "), F.to_date("l_shipdate").cast("string")).alias("claim_a"), F.concat(F.lit("returns "), F.col("l_returnflag")).alias("claim_b"), F.col("l_linestatus").alias("confidence"))
+
+
 @query("""SELECT pair_id, side, paper, left(claim, 500) AS claim, 'contradict' AS type, 1 AS supports, 1 AS contradicts, confidence FROM (
 SELECT l_orderkey * 10 + l_linenumber AS pair_id, unnest(['a', 'b']) AS side, unnest([l_partkey, l_suppkey]) AS paper, unnest(['ships ' || l_shipdate::DATE, 'returns ' || l_returnflag]) AS claim, l_linestatus AS confidence FROM lineitem WHERE l_quantity > 45)""")
 def claims_from_pairs(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    pairs = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), F.col("l_partkey").alias("paper_a"), F.col("l_suppkey").alias("paper_b"), F.concat(F.lit("ships "), F.to_date("l_shipdate").cast("string")).alias("claim_a"), F.concat(F.lit("returns "), F.col("l_returnflag")).alias("claim_b"), F.col("l_linestatus").alias("confidence"))
-    return sx.claims_from_pairs(pairs)
+    return sx.claims_from_pairs(pairs_of(table(spark, sf_dir, "lineitem").where("l_quantity > 45")))
+
+
+@query("""SELECT pair_id, side, paper, left(claim, 500) AS claim, 'contradict' AS type, 1 AS supports, 1 AS contradicts, confidence FROM (
+SELECT l_orderkey * 10 + l_linenumber AS pair_id, unnest(['a', 'b']) AS side, unnest([l_partkey, l_suppkey]) AS paper, unnest(['ships ' || l_shipdate::DATE, 'returns ' || l_returnflag]) AS claim, l_linestatus AS confidence FROM lineitem)""")
+def claims_from_pairs_whole(spark, sf_dir):
+    return sx.claims_from_pairs(pairs_of(table(spark, sf_dir, "lineitem")))
 
 
 @query("""SELECT paper, type, claim FROM (SELECT p_partkey AS paper, unnest(['support', 'weak']) AS type, unnest([CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE trim(p_name) END, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE trim(p_type) END]) AS claim FROM part) WHERE trim(claim) <> ''""")

@@ -79,6 +79,14 @@ def strip_markdown(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.strip_markdown(F.expr(_MARKED)).alias("plain"))
 
 
+_MARKED_WHOLE = f"concat(text, ' ', {_MARKED})"
+
+
+@query(f"SELECT doc_id, md5({_STRIPPED.format(_MARKED_WHOLE)}) AS plain_md5 FROM documents")
+def strip_markdown_whole(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_markdown(F.expr(_MARKED_WHOLE))).alias("plain_md5"))
+
+
 @query(f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace({_STRIPPED.format('text')}, ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) AS plain_md5 FROM documents""")
 def strip_markdown_noise(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_noise(F.col("text"))).alias("plain_md5"))
@@ -100,6 +108,14 @@ def strip_uuids(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.strip_uuids(F.expr(_LEAKED)).alias("clean"))
 
 
+_LEAKED_WHOLE = _LEAKED.replace("left(text, 20)", "text")
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LEAKED_WHOLE}, '(?i)[ ]*\[[ ]*{_U}([ ]*,[ ]*{_U})*[ ]*\]', '', 'g'), '(?i)[ ]*\({_U}\)', '', 'g'), '(?i)[ ]*{_U}', '', 'g'), '[ ]+([,.;])', '\1', 'g'), '[ ]{{2,}}', ' ', 'g')) AS clean_md5 FROM documents""")
+def strip_uuids_whole(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_uuids(F.expr(_LEAKED_WHOLE))).alias("clean_md5"))
+
+
 @query(r"""WITH h AS (SELECT p_partkey, concat('## ', p_partkey % 9, '.', p_partkey % 4, ' ', p_type, '  ', p_name, ':') AS x FROM part),
 b AS (SELECT p_partkey, regexp_replace(regexp_replace(trim(x), '^#{1,6}[ \t]*', ''), '^\*+', '') AS x FROM h),
 c AS (SELECT p_partkey, regexp_replace(x, '^([0-9]+(\.[0-9]+)*\.?[ \t]+|[A-Z]+\.[ \t]+)+', '') AS x FROM b),
@@ -322,6 +338,12 @@ def offtopic_flag(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", ((F.size(own) < 6) & ~F.arrays_overlap(own, F.array(F.lit("the"), F.lit("of"), F.lit("la")))).alias("off_topic"))
 
 
+@query(r"""SELECT doc_id, len(w) < 6 AND len(list_intersect(w, ['the', 'of', 'la'])) = 0 AS off_topic FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents)""")
+def offtopic_flag_whole(spark, sf_dir):
+    own = tx.words(F.lower("text"))
+    return docs(spark, sf_dir).select("doc_id", ((F.size(own) < 6) & ~F.arrays_overlap(own, F.array(F.lit("the"), F.lit("of"), F.lit("la")))).alias("off_topic"))
+
+
 @query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 's' || doc_id END, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lower(trim(left(text, 20)))) AS key FROM documents""")
 def canonical_key(spark, sf_dir):
     s2 = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("s"), F.col("doc_id")))
