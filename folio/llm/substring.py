@@ -223,13 +223,15 @@ def _passages(bitmap, hot, shift: int, map_bits: int):
                 start, key, doc = start[head], key[head], doc[head]
                 body = ts.span_hash(w.hash, start, start + count + SPAN - 1) ^ count.astype(np.uint64)
                 own, text, begin = ids[s.lo + doc], texts[s.lo + doc], start - w.first[doc]
-                order = np.lexsort((begin, own, body, key))
+                order = np.lexsort((text, begin, own, body, key))
                 again = np.zeros(len(order), bool)
                 again[1:] = (body[order][1:] == body[order][:-1]) & (key[order][1:] == key[order][:-1])
                 first = order[~again]
                 later = order[again]
                 here = np.flatnonzero(~again)[np.cumsum(~again)[again] - 1]
                 moved = (own[later] != own[order[here]]) | (begin[later] != begin[order[here]])
+                other = ~moved & (text[later] != text[order[here]])
+                first = np.concatenate([first, later[other]])  # another text under the id is a passage of its own
                 later = later[moved]  # a row that repeats a document is that document
                 rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
                 if len(later):
@@ -274,7 +276,7 @@ def _judged(shard_words: int):
             hits = []
             for shard_id in np.unique(shards):
                 own = np.flatnonzero(shards == shard_id)
-                order = own[np.lexsort((start[own], doc[own]))]
+                order = own[np.lexsort((text[own], start[own], doc[own]))]
                 # one place of one document is asked once, even if its row is repeated
                 alike = np.zeros(len(order), bool)
                 alike[1:] = (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & (text[order][1:] == text[order][:-1])
@@ -349,7 +351,8 @@ def without_repeats(docs: DataFrame, hot: int = HOT, map_bits: int = MAP_BITS, s
     in a document of smaller doc_id, or in the same one further ahead.  Windows
     are judged on the input.  A null text has no words.  Rows without a doc_id
     come after all others and are one document; rows that repeat a doc_id and
-    its text are one document, of which no row is earlier than another.
+    its text are one document, of which no row is earlier than another.  Of
+    different texts under one doc_id, windows at the same place go by text_key.
     """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     spans = repeated_spans(body, hot, map_bits, shard_words)

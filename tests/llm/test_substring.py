@@ -92,3 +92,12 @@ def test_automaton_finds_every_repeat():
                 seen.add(tuple(p[s : s + 4]))
             want.append(hits)
         assert substring.repeats(passages, 4) == want
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_that_share_an_id_do_not_depend_on_slices(spark, key):
+    shared = " ".join(f"s{k}" for k in range(25))
+    docs = [(1, f"{shared} one"), (key, f"{shared} two {' '.join(f'b{k}' for k in range(30))}"), (key, f"{shared} three {' '.join(f'c{k}' for k in range(30))}")]
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    for df in (frame(docs), frame(docs[:1]).union(frame(docs[1:])), frame(docs[:2]).union(frame(docs[2:]))):
+        assert sorted((r.n_words, r.n_removed) for r in substring.without_repeats(df).collect()) == [(26, 0), (56, 25), (56, 25)]
