@@ -175,10 +175,12 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_words: int = BROA
 
     A null or empty text has no words and is not contaminated; a null or empty
     item occurs nowhere; equal items under one id count once, under several ids
-    each.  Rows that repeat a doc_id are judged each by its own text.  Empty
+    each.  Items without an id are one item: it counts in n_items, is a null at
+    the head of items, and adds nothing to the digest.  Rows that repeat a
+    doc_id are judged each by its own text.  Empty
     tables are allowed on either side.
     """
-    known = written(items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_item_words, "item_id string, words binary, n long").where("n > 0"), "items")
+    known = written(items.select(F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit("")).alias("item_id"), "text").mapInArrow(_item_words, "item_id string, words binary, n long").where("n > 0"), "items")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     body = docs.select("doc_id", "text")
     if total <= broadcast_words:
@@ -187,6 +189,7 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_words: int = BROA
         out = body.mapInArrow(scan, f"{_ddl(docs)}, n_words long, n_hit long, items array<string>")
     else:
         out = _joined(body, known)
+    out = out.withColumn("items", F.transform("items", lambda x: F.when(x != "", F.substr(x, F.lit(2)))))  # keys are "=" and the id, "" without one
     digest = F.sha2(F.array_join("items", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

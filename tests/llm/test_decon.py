@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -46,3 +47,13 @@ def test_empty_tables(spark):
     assert decon.contamination(none, one).collect() == []
     got = decon.contamination(one, none).collect()
     assert [(r.n_words, r.n_hit, r.items_sha256) for r in got] == [(2, 0, decon.NOTHING)]
+
+
+@pytest.mark.parametrize("bound", [decon.BROADCAST_WORDS, 0])
+def test_items_without_an_id(spark, bound):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    docs = spark.createDataFrame([(1, a), (2, f"{a} {b}"), (3, f"{a} {c}"), (4, "z"), (5, b)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, c), ("b", b), ("", "z")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.items_sha256, r.contaminated) for r in decon.contamination(docs, items, bound).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (12, 1, [None], sha(""), True), 2: (24, 2, [None, "b"], sha("b"), True), 3: (24, 1, [None], sha(""), True), 4: (1, 1, [""], sha(""), True), 5: (12, 1, ["b"], sha("b"), True)}
