@@ -4,31 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most ids that are sent to every executor; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: A key with so many rows is hot; at most BROADCAST_KEYS hot keys are sent to every executor.
+HOT_ROWS, BROADCAST_KEYS = 1_000, 500_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 500
 
+_open: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local session (tests) gets a temporary one, and a
+    cluster an error: executors would write into folders of their own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and (known := context._jsc.sc().getCheckpointDir()).isDefined():
+        folder = known.get()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="folio-")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes with the scratch() it was made in."""
+    path = f"{shared_folder(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that were written inside, so results must have been written elsewhere by its end."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for name in _open.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends here, so a lost executor costs one table scan."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +76,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(df: DataFrame, size: int, each: int) -> int:
+    """Partitions for `size` bytes of data: `each` bytes in one at most, and at least what the session has set."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def sized(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     """A one-column table, written so that it can be counted cheaply, and broadcast if it has at most `bound` rows."""
     ids = written(ids, "ids")
@@ -57,3 +95,24 @@ def semi(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def anti(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows whose `column` is not in ids; rows with a null stay."""
     return rows.join(sized(ids), column, "left_anti")
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows, left joined with groups: a written table with one row for each key and the number of its rows in `size`.
+
+    A key may hold any share of the rows.  Hot keys are broadcast: their number
+    is bounded, since the bound on a key's rows grows with all rows once there
+    are too many.  Rows of hot keys are spread by `spread` in the shuffle, where
+    they meet nothing; all other keys have few rows each.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    bound = max(hot_rows, -(-total // BROADCAST_KEYS))
+    hot = groups.where(F.col(size) >= bound)
+    values = [c for c in groups.columns if c not in keys]
+    if hot.isEmpty():
+        return rows.join(groups, keys, "left")
+    known = rows.join(F.broadcast(hot.withColumnsRenamed({v: f"hot {v}" for v in values})), keys, "left")
+    salt = F.when(F.col(f"hot {size}").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
+    rest = groups.where(F.col(size) < bound).withColumn("hot salt", F.lit(0).cast("long"))
+    joined = known.withColumn("hot salt", salt.cast("long")).join(rest, [*keys, "hot salt"], "left")
+    return joined.select(*rows.columns, *(F.coalesce(F.col(f"hot {v}"), F.col(v)).alias(v) for v in values))

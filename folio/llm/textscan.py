@@ -1,8 +1,8 @@
 """Vectorised word scanning over Arrow string columns.
 
 A batch's texts already lie in one contiguous UTF-8 buffer, so words are found
-with a 256-entry byte class table and hashed with prefix sums; no Python string
-is made for a word.  Every function works on a slice of bounded size.
+with a 256-entry byte class table and hashed eight bytes at a time; no Python
+string is made for a word.  Every function works on a slice of bounded size.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 21
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[str, np.ndarray] = {}
+#: The low k bytes of a block.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Words(NamedTuple):
@@ -63,16 +63,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
-        for key, base in (("p", _BASE), ("q", _BASE_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps)
-    return _powers["p"], _powers["q"]
-
-
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cut a string or binary column into runs of rows of about `limit` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,7 +85,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool, seed: int = 0) -> Words:
     """Find and hash the words of each document; none crosses a document's end."""
     n = len(data)
     if n == 0:
@@ -116,18 +106,29 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, fold: bool)
     after[cuts - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    return Words(span_hash(data, start, end), start, end, np.searchsorted(start, offsets))
+    return Words(span_hash(data, start, end, seed), start, end, np.searchsorted(start, offsets))
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the values (bytes, or hashes of words) of each span."""
-    n = len(values)
-    power, inverse = _table(n + 1)
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span; different seeds give independent hashes.
+
+    Blocks of eight bytes are mixed with their place in the span before they are
+    added up, so no regular pattern of letters cancels out.  Spans of at most
+    eight bytes and one length never collide.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    blocks = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(first[-1] + blocks[-1]) - np.repeat(first, blocks)
+    at = np.repeat(start, blocks) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     with np.errstate(over="ignore"):
-        total = np.empty(n + 1, dtype=np.uint64)
-        total[0] = 0
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        return mix64((total[end] - total[start]) * inverse[start])
+        value = every[at] & _LOW[np.clip(np.repeat(end, blocks) - at, 0, 8)]
+        value = mix64(value ^ mix64((place.astype(np.uint64) + np.uint64(1)) * _GOLD + np.uint64(seed)))
+        return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * _STEP)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -138,6 +139,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = hashes[:n].copy()
         for i in range(1, k):
+            out ^= out >> np.uint64(29)  # a step is not linear, so regular sequences of words do not cancel out
             out *= _STEP
             out += hashes[i : i + n]
     return mix64(out)
