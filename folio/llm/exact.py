@@ -1,12 +1,15 @@
 """Exact dedup with an extendible-hash index on shared files.
 
-Every document gets a 64-bit key of its normalised text.  Entries of equal
-texts collapse before they are shuffled (partial aggregation), so one text that
-holds a third of all rows is one index entry.  A directory over the key's
-leading bits is doubled until no bucket is overfull; each bucket is a key range
-owned by one task, which chains entries whose keys collide.  Members of a chain
-link are then compared byte for byte with the link's first document, salted so
-that a large group is spread over many tasks.
+Every row gets a 64-bit key of its normalised text.  A directory over the key's
+leading bits splits overfull buckets, one more bit at a time, which doubles it
+where a bucket is as deep as the directory; a bucket is a range of keys.  Rows
+go to the owner of their bucket, which keeps its rows sorted by key and bytes:
+rows of one key are a chain, its links differ in bytes, and a link is a group
+of equal texts.  What the owners find is the index, written as shared files.
+
+A key that many rows share is dealt to several owners by a salt.  Each of them
+compares its own rows, and the first row of each of its links meets those of
+the other salts in a second, small round.
 """
 
 from __future__ import annotations
@@ -14,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import semi, written
+from folio.llm.common import BROADCAST_KEYS, partitions, written
 
-CAPACITY = 100_000
-MAX_DEPTH = 16
-MEMBERS_PER_SALT = 2_000
+#: Entries of a bucket, and bytes of text that one owner task gets, as far as buckets can be dealt.
+CAPACITY, OWNER_BYTES = 4_000, 64 << 20
+#: Bits of a cell beyond those that evenly spread keys need, and of the directory's first depth below those.
+SPARE_BITS, LESS_BITS = 4, 3
+#: Rows of one salt of a key; of a key with more rows than this squared, there are as many salts as rows in each.
+ROWS_PER_SALT = 2_000
 
 
 def normalised(text: Column) -> Column:
@@ -26,94 +32,75 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def directory(cells: dict[int, int], depth: int, capacity: int = CAPACITY) -> tuple[int, list[int]]:
-    """Extendible-hash directory from the entry counts of 2**depth key cells.
+def depth_of(entries: int, capacity: int = CAPACITY) -> int:
+    """Bits with which evenly spread keys fill no bucket."""
+    return max(0, (-(-entries // capacity) - 1).bit_length())
 
-    Returns the global depth g and the bucket of each of 2**g leading-bit
-    patterns.  A bucket over `capacity` is split by one more bit, which doubles
-    the directory where the bucket is as deep as the directory.
-    """
-    count = lambda prefix, bits: sum(n for c, n in cells.items() if c >> (depth - bits) == prefix)
-    buckets = [(0, 0)]  # prefix, local depth
-    done = []
-    while buckets:
-        prefix, bits = buckets.pop()
-        if bits < depth and count(prefix, bits) > capacity:
-            buckets += [(prefix * 2, bits + 1), (prefix * 2 + 1, bits + 1)]
-        else:
-            done.append((prefix, bits))
-    deep = max(bits for _, bits in done)
-    slots = [0] * (1 << deep)
-    for bucket, (prefix, bits) in enumerate(sorted(done, key=lambda x: x[0] << (deep - x[1]))):
-        at = prefix << (deep - bits)
-        slots[at : at + (1 << (deep - bits))] = [bucket] * (1 << (deep - bits))
-    return deep, slots
-
-
-def _bucket(key: Column, deep: int, slots: list[int]) -> Column:
-    if deep == 0:
-        return F.lit(0)
-    return F.element_at(F.array(*map(F.lit, slots)), (F.shiftrightunsigned(key, 64 - deep) + 1).cast("int"))
-
-
-def index(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The written index: bucket, key, digest, size, chain (place among colliding keys), keep_id, group_size.
-
-    entries: doc_id, key, digest, size.
+
+def cell(key: Column, bits: int) -> Column:
+    """The leading bits of a key."""
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def directory(cells: DataFrame, bits: int, capacity: int = CAPACITY, least: int = 0) -> DataFrame:
+    """cell, bucket, depth from cell, entries: for each cell of `bits` leading bits, the bucket it belongs to.
+
+    A bucket of `least` bits is split while it holds more than `capacity`
+    entries and bits are left.  It is named by its first cell, so buckets are in
+    the order of keys.  The table has a row for each cell that is not empty;
+    depths are found from sums over all cells that share the leading bits.
     """
-    links = written(entries.groupBy("key", "digest", "size").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "links")
-    cell = F.shiftrightunsigned("key", 64 - max_depth).alias("cell")
-    cells = {r["cell"]: r["count"] for r in links.groupBy(cell).count().collect()}  # 2**max_depth rows at most
-    deep, slots = directory(cells, max_depth, capacity)
-    owned = links.withColumn("bucket", _bucket(F.col("key"), deep, slots)).repartition(max(1, len(set(slots))), "bucket")
-    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("digest", "size"))
-    return written(owned.withColumn("chain", chain), "index")
+    depth = F.lit(bits)
+    for b in range(bits - 1, least - 1, -1):
+        held = F.sum("entries").over(Window.partitionBy(F.shiftright("cell", bits - b)))
+        depth = F.when(held <= capacity, F.lit(b)).otherwise(depth)
+    found = cells.withColumn("depth", depth)
+    return found.select("cell", F.expr(f"shiftleft(shiftright(cell, {bits} - depth), {bits} - depth)").alias("bucket"), "depth")
+
 
+def index(docs: DataFrame, text: Column, key, capacity: int = CAPACITY) -> DataFrame:
+    """The written index: a row for each row of docs with doc_id, bucket, key, salt, link, text_sha256, first, members, body.
 
-def exact_groups(docs: DataFrame, text: Column | str = "text", key=None, digest=None, capacity: int = CAPACITY) -> DataFrame:
+    first and members: smallest doc_id and number of rows of the link within
+    the salt.  body: the text of a link's first row where its key is salted.
+    """
+    entries = docs.select("doc_id", normalised(text).alias("body")).withColumn("key", key(F.col("body")))
+    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("body")).alias("bytes")), "keys")
+    total, size = keys.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bits = depth_of(total, capacity) + SPARE_BITS
+    cells = written(keys.groupBy(cell(F.col("key"), bits).alias("cell")).agg(F.sum(F.least("rows", F.lit(ROWS_PER_SALT))).alias("entries")), "cells")
+    slots = written(directory(cells, bits, capacity, max(0, bits - SPARE_BITS - LESS_BITS)), "directory")
+    few = slots.count() <= BROADCAST_KEYS
+    bound = max(ROWS_PER_SALT, -(-total // BROADCAST_KEYS))
+    hot = keys.where(F.col("rows") > bound).select("key", F.ceil(F.col("rows") / F.greatest(F.lit(ROWS_PER_SALT), F.sqrt("rows"))).cast("int").alias("salts"))
+    salted = entries.join(F.broadcast(hot), "key", "left")  # at most rows / bound of them
+    salted = salted.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
+    placed = salted.withColumn("cell", cell(F.col("key"), bits)).join(F.broadcast(slots) if few else slots, "cell")
+    owned = placed.withColumn("text_sha256", F.sha2("body", 256)).repartition(partitions(docs, size, OWNER_BYTES), "bucket", "salt")
+    chain = Window.partitionBy("bucket", "salt", "key").orderBy("body")
+    link = Window.partitionBy("bucket", "salt", "key", "body")
+    held = owned.withColumn("link", F.dense_rank().over(chain)).withColumn("first", F.min("doc_id").over(link)).withColumn("members", F.count(F.lit(1)).over(link))
+    kept = F.when(F.col("salts").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")), F.col("body"))
+    return written(held.select("doc_id", "bucket", "key", "salt", "link", "text_sha256", "first", "members", kept.alias("body")), "index")
+
+
+def exact_groups(docs: DataFrame, text: Column | str = "text", key=F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal: identical after normalised().  The smallest doc_id of a group stays;
-    rows that repeat that doc_id stay with it.  A null text is an empty one;
+    rows that repeat that doc_id stay with it.  Each row is judged by its own
+    text, also where a doc_id comes with several.  A null text is an empty one;
     a row with a null doc_id is never preferred to one that has an id, and a
-    group of only such rows keeps them all.  An empty table gives an empty result.
-    key and digest: functions of the normalised text (tests make them collide).
+    group of only such rows keeps them all.  An empty table gives an empty
+    result.  doc_id may be of any type with an order.  key: a function of the
+    normalised text (tests make keys collide).
     """
     text = F.col(text) if isinstance(text, str) else text
-    body = docs.select("doc_id", normalised(text).alias("body"))
-    key = key or F.xxhash64
-    digest = digest or (lambda x: F.unhex(F.sha2(x, 256)))
-    entries = written(body.select("doc_id", key(F.col("body")).alias("key"), digest(F.col("body")).alias("digest"), F.octet_length("body").alias("size"), F.sha2("body", 256).alias("text_sha256")), "entries")
-    found = index(entries.drop("text_sha256"), capacity)
-    many = found.where("group_size > 1 and keep_id is not null").select("bucket", "key", "digest", "size", "keep_id", "group_size")
-    joined = entries.join(found.select("key", "digest", "size", "keep_id", "group_size"), ["key", "digest", "size"])
-    other = _unequal(body, entries, many)
-    out = joined
-    if not other.isEmpty():
-        out = _regrouped(body, joined, other)
-    return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
-
-
-def _unequal(body: DataFrame, entries: DataFrame, many: DataFrame) -> DataFrame:
-    """Documents whose bytes differ from those of their link's first document: doc_id, keep_id."""
-    salts = F.ceil(F.col("group_size") / MEMBERS_PER_SALT).cast("int")
-    member = entries.select("doc_id", "key", "digest", "size").join(many, ["key", "digest", "size"]).where("doc_id <> keep_id")
-    member = written(member.select("doc_id", "keep_id", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt")), "members")
-    heads = many.select("keep_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    ids = member.select("doc_id").union(many.select(F.col("keep_id").alias("doc_id"))).distinct()
-    texts = written(semi(body, ids, "doc_id"), "copies")
-    first = heads.join(texts.dropDuplicates(["doc_id"]).withColumnsRenamed({"doc_id": "keep_id", "body": "first"}), "keep_id")
-    compared = member.join(texts, "doc_id").join(first, ["keep_id", "salt"])
-    return written(compared.where(F.encode("body", "UTF-8") != F.encode("first", "UTF-8")).select("doc_id", "keep_id").distinct(), "unequal")
-
-
-def _regrouped(body: DataFrame, joined: DataFrame, other: DataFrame) -> DataFrame:
-    """Links whose digests collided are grouped by their bytes."""
-    mixed = other.select("keep_id").distinct()
-    texts = body.dropDuplicates(["doc_id"])
-    loose = written(joined.join(mixed, "keep_id", "left_semi").join(texts, "doc_id"), "loose")
-    own = loose.groupBy("key", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = loose.drop("keep_id", "group_size").join(own, ["key", "body"])
-    rest = joined.join(mixed, "keep_id", "left_anti")
-    columns = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    return rest.select(columns).unionByName(again.select(columns))
+    found = index(docs, text, key, capacity)
+    heads = found.where("body is not null").select("key", "salt", "link", "body", "first", "members").distinct()
+    same = Window.partitionBy("key", "body")
+    across = heads.select("key", "salt", "link", F.min("first").over(same).alias("keep_id"), F.sum("members").over(same).alias("group_size"))
+    joined = found.drop("body").join(across, ["key", "salt", "link"], "left")
+    keep = F.coalesce("keep_id", "first", "doc_id")
+    stays = F.coalesce(F.col("doc_id") == F.coalesce("keep_id", "first"), F.coalesce("keep_id", "first").isNull())
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", "members").alias("group_size"), stays.alias("kept"), "text_sha256")
