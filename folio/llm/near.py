@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textscan as ts
-from folio.llm.common import semi, written
+from folio.llm.common import attach, semi, written
 from folio.llm.graph import components
 
 SHINGLE = 5
 #: 4 rows and 32 bands: a pair at similarity 0.75 shares no band with probability 5e-6.
 SLOTS, ROWS = 128, 4
-BLOCK = 512
+BLOCK = 2048
+#: Members that are verified against one copy of their hub's text.
+HUB_MEMBERS = 128
 #: Bands are verified in rounds; after each, pairs of one component need no verification any more.
 ROUNDS = ((0, 2), (2, 8), (8, SLOTS // ROWS))
 #: Slots that must agree before two members of an unresolved bucket are verified: 0.55, over five deviations below 0.75.
@@ -32,9 +34,9 @@ LEAST_AGREE = int(SLOTS * 0.55)
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, sorted by (document, hash): hashes and each document's first."""
-    w = ts.words(data, offsets, ts.SPACE_WORDS, True)
+    w = ts.words(data, offsets, ts.SPACE_WORDS, True, seed)
     count = np.diff(w.first)
     n = len(offsets) - 1
     g = ts.grams(w.hash, SHINGLE)
@@ -93,9 +95,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in ts.slices(batch.column(1), 1 << 20):
             h, first = shingle_sets(s.data, s.offsets)
             size = np.diff(first)
+            own = [batch.column(c).slice(s.lo, s.hi - s.lo) for c in (0, 2)]
             with np.errstate(over="ignore"):
-                pad = np.concatenate([h, np.zeros(1, np.uint64)])
-                sums = [np.where(size > 0, np.add.reduceat(x, np.minimum(first[:-1], len(pad) - 1)), np.uint64(0)) for x in (pad, ts.mix64(pad))]
+                sums = []
+                for hashes, begin in ((h, first), shingle_sets(s.data, s.offsets, 1)):  # independent hashes of the words
+                    pad = np.concatenate([ts.mix64(hashes), np.zeros(1, np.uint64)])
+                    sums.append(np.where(size > 0, np.add.reduceat(pad, np.minimum(begin[:-1], len(pad) - 1)), np.uint64(0)))
                 bits = superminhash(h, first).view(np.uint64)
                 sketch = (ts.mix64(bits) >> np.uint64(56)).astype(np.uint8)
                 lanes = bits.reshape(len(size), SLOTS // ROWS, ROWS)
@@ -103,32 +108,65 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(ROWS):
                     band = ts.mix64(band * np.uint64(_GOLD) + lanes[:, :, i])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (SLOTS // ROWS)), ts.as_long(np.ascontiguousarray(band).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.lo, s.hi - s.lo), pa.array(size, pa.int64()), ts.as_long(sums[0]), ts.as_long(sums[1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(size, pa.int64()), ts.as_long(sums[0]), ts.as_long(sums[1]), lists, pa.array([x.tobytes() for x in sketch], pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+            )
+
+
+def shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    """The document's set itself: its five-word shingles, or all of fewer words."""
+    words = text.lower().split()  # bytes: A-Z alone are lowered, the six ASCII spaces part words
+    if len(words) < SHINGLE:
+        return {tuple(words)} if words else set()
+    return {*zip(*(words[i:] for i in range(SHINGLE)))}
+
+
+def _alike(both: int, x: int, y: int) -> bool:
+    return both > 0 and 100 * both >= 75 * (x + y - both)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) with 100 * |A and B| >= 75 * |A or B|."""
+    """Rows (hub, salt, member, text), a hub's own (member null) before its members: the linked pairs (a, b).
+
+    Hashes of the shingles refuse most pairs; those that they allow are linked
+    if the shingles themselves, word by word, allow it too.
+    """
+    hub, own, exact = None, np.zeros(0, np.uint64), None
     for batch in batches:
-        sets = []
-        for column in (2, 3):
-            own = []
-            for s in ts.slices(batch.column(column)):
-                h, first = shingle_sets(s.data, s.offsets)
-                own += [h[first[i] : first[i + 1]] for i in range(len(first) - 1)]
-            sets.append(own)
-        keep = []
-        for x, y in zip(*sets, strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        hubs, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        found = []
+        for s in ts.slices(batch.column(3)):
+            h, first = shingle_sets(s.data, s.offsets)
+            for i in range(s.hi - s.lo):
+                a, b = hubs[s.lo + i], members[s.lo + i]
+                raw = s.data[s.offsets[i] : s.offsets[i + 1]]
+                mine = h[first[i] : first[i + 1]]
+                if b is None:
+                    hub, own, text, exact = a, mine.copy(), raw.tobytes(), None
+                elif hub == a and _alike(len(np.intersect1d(mine, own, assume_unique=True)), len(mine), len(own)):
+                    exact = shingles(text) if exact is None else exact
+                    sure = shingles(raw.tobytes())
+                    if _alike(len(sure & exact), len(sure), len(exact)):
+                        found.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents are linked."""
+    """The pairs (a, b) whose documents are linked.
+
+    A hub `a` may have any number of members: they are dealt in blocks, and its
+    text is sent once for each block, each member's text once for each pair.
+    """
+    pairs = written(pairs, "asked")
+    blocks = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("blocks")), "blocks")
+    dealt = attach(pairs, blocks, ["a"], F.col("b"), "n").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    wanted = dealt.select("a", "salt", "b", F.col("b").alias("doc_id")).union(heads)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(semi(docs.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+    texts = written(semi(docs, ids, "doc_id").groupBy("doc_id").agg(F.min_by("text", "text_key").alias("text")), "texts")
+    rows = wanted.join(texts, "doc_id").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(_linked, "a long, b long")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,17 +218,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no shingles and is linked with nothing, so it is
     its own component; a null doc_id is never linked and stays.  Rows that
-    repeat a doc_id are one document.  Columns besides doc_id and text are ignored.
+    repeat a doc_id are one document, which is linked by the first of its texts
+    (by a hash of the text) where they differ; n_shingles is each row's own.
+    doc_id is a whole number.  Columns besides doc_id and text are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"), "signatures")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    tagged = written(real.join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")), "classes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    signed = written(docs.mapInArrow(_signatures, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"), "signatures")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("own"), F.max("text_key").alias("last")).where("own <> last")
+    several = written(several.select("doc_id", "own"), "several")
+    chosen = signed.where("doc_id is not null").join(several, "doc_id", "left").where("own is null or own = text_key").drop("own")
+    real = chosen.where("n_shingles > 0")
+    classes = written(real.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    tagged = attach(real, classes, ["set_a", "set_b", "n_shingles"], F.col("doc_id"), "copies")
+    first = F.col("doc_id") == F.col("rep")
+    tagged = written(tagged.select("doc_id", "n_shingles", "rep", F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")), "classes")
     reps = tagged.where("bands is not null").dropDuplicates(["rep"])
-    member = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    shared = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    member = written(member.join(shared, "bucket"), "buckets")
+    member = written(reps.select("rep", F.posexplode("bands").alias("band", "bucket")), "bands")
+    shared = written(member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    member = written(attach(member, shared, ["bucket"], F.col("rep"), "members").where("members is not null"), "buckets")
     star = member.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("band").alias("band"))
     star = written(star, "star")
     links = comp = None
@@ -203,9 +248,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         links = links.union(verify(more, docs))
         comp = written(components(links, "a", "b"), "components")
-    named = tagged.select("doc_id", F.col("rep").alias("node")).join(comp, "node", "left")
-    out = named.select("doc_id", F.coalesce("component", "node").alias("component_id")).dropDuplicates(["doc_id"])
-    out = signed.select("doc_id", "n_shingles").join(out, "doc_id", "left")
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"))
+    placed = written(comp.join(sizes, "node").select("node", "component", "copies"), "placed")
+    named = attach(tagged.select("doc_id", "n_shingles", F.col("rep").alias("node")), placed, ["node"], F.col("doc_id"), "copies")
+    named = named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    by_id = several.join(named.select("doc_id", "component_id").distinct(), "doc_id", "left").select("doc_id", "own", "component_id")
+    others = signed.join(by_id, "doc_id").where("text_key <> own").select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("doc_id is null").unionByName(chosen.where("n_shingles = 0")).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = named.union(others).union(alone)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
@@ -215,8 +265,8 @@ def _and(rows: DataFrame | None, more: DataFrame) -> DataFrame:
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
-    left, right = comp.toDF("a", "component_a"), comp.toDF("b", "component_b")
-    placed = pairs.join(left, "a", "left").join(right, "b", "left")
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(comp.toDF("a", "component_a"), "a")
+    placed = attach(pairs, written(hubs, "hubs"), ["a"], F.col("b"), "n").join(comp.toDF("b", "component_b"), "b", "left")
     return placed.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
 
 
@@ -236,17 +286,18 @@ def _unresolved(member: DataFrame, comp: DataFrame, tagged: DataFrame, star: Dat
     stands bounds what they can share in all; pairs under the bound are left out.
     """
     placed = member.select("bucket", "rep").join(comp.withColumnsRenamed({"node": "rep"}), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket")
-    loose = written(placed.join(mixed, "bucket").select("rep", "component").distinct(), "loose")
-    texts = semi(docs.select(F.col("doc_id").alias("rep"), "text"), loose.select("rep"), "rep").dropDuplicates(["rep"])
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
+    loose = attach(placed, written(mixed, "mixed"), ["bucket"], F.col("rep"), "n").where("n is not null")
+    loose = written(loose.select("rep", "component").distinct(), "loose")
+    texts = semi(docs.withColumnRenamed("doc_id", "rep"), loose.select("rep"), "rep").groupBy("rep").agg(F.min_by("text", "text_key").alias("text"))
     shingles = written(texts.mapInArrow(_shingled, "rep long, shingle long"), "shingles")
-    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    ranked = shingles.join(often, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("own"))
+    often = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "often")
+    ranked = attach(shingles, often, ["shingle"], F.col("rep"), "often").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("own"))
     head = F.size("own") - F.ceil(F.size("own") * 0.75).cast("int") + 1
     rows = ranked.select("rep", F.size("own").alias("size"), F.posexplode(F.slice("own", F.lit(1), head)).alias("place", "x")).where("x.often > 1")
-    rows = rows.select("rep", "size", "place", F.col("x.shingle").alias("bucket")).join(loose, "rep")
+    rows = written(rows.select("rep", "size", "place", F.col("x.shingle").alias("bucket")).join(loose, "rep"), "rarest")
     shared = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("bucket", "members")
-    rows = rows.join(shared, "bucket").join(tagged.where("bands is not null").select("rep", "sketch").dropDuplicates(["rep"]), "rep")
+    rows = attach(rows, written(shared, "common"), ["bucket"], F.col("rep"), "members").where("members is not null").join(tagged.where("bands is not null").select("rep", "sketch").dropDuplicates(["rep"]), "rep")
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "size", "place", "sketch")

@@ -42,6 +42,25 @@ def test_words_match_the_pattern():
     assert len({*w.hash.tolist()}) == len({x.translate(brute.FOLD) for t in texts for x in brute.WORDS.findall(t)})
 
 
+def mirrored(n):
+    """Two words of n letters that differ in each: sums of powers of any odd base over them are equal."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_hashes_are_not_fooled_by_patterns(spark):
+    for n in (2, 8, 16, 1024, 4096):
+        s = next(ts.slices(pa.array([" ".join(mirrored(n))])))
+        for seed in (0, 1):
+            w = ts.words(s.data, s.offsets, ts.SPACE_WORDS, True, seed)
+            assert w.hash[0] != w.hash[1]
+    x, y = mirrored(1024)
+    many = [" ".join({"a": "on", "b": "off"}[c] for c in z) for z in mirrored(16)]
+    data = [(1, x), (2, y), (3, f"{x} q r s"), (4, f"{y} q r s"), (5, many[0]), (6, many[1])]
+    got = near.near_groups(spark.createDataFrame(data, SCHEMA))
+    assert rows(got, ["doc_id", "n_shingles", "component_id", "kept"]) == brute.near(data)
+
+
 def test_slices_cover_every_row():
     column = pa.array(["a" * n for n in (0, 5, 3_000_000, 1, 0)] + [None])
     got = [(s.lo, s.hi, len(s.data)) for s in ts.slices(column)]
@@ -54,7 +73,7 @@ def test_slices_cover_every_row():
 def test_exact_matches_brute_force(spark, weak):
     data = tricky()
     df = spark.createDataFrame(data, SCHEMA).withColumn("key", F.lit(1)).withColumn("keep_id", F.lit("clash"))
-    extra = {"key": lambda x: F.length(x).cast("long") % 3, "digest": lambda x: F.lit(b"0")} if weak else {}
+    extra = {"key": lambda x: F.length(x).cast("long") % 3} if weak else {}
     got = exact.exact_groups(df, capacity=3, **extra)
     assert rows(got, ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]) == brute.exact(data)
 
@@ -65,12 +84,39 @@ def test_exact_edges(spark):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True)]
 
 
-def test_directory_doubles_where_a_bucket_is_overfull():
-    cells = {0: 9, 1: 1, 7: 2}
-    deep, slots = exact.directory(cells, 3, 4)
-    assert deep == 3 and len(slots) == 8 and slots == sorted(slots)
-    assert slots[4] == slots[7] and slots[0] != slots[1]
-    assert exact.directory({}, 4, 5) == (0, [0])
+def test_exact_judges_each_row_by_its_own_text(spark):
+    data = [(1, "a b"), (5, "a b"), (5, "zzz"), (9, "zzz"), (9, "zzz"), (None, None), (None, "")]
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(spark.createDataFrame(data, SCHEMA)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 2, True), (5, 1, 2, False), (5, 5, 3, True), (9, 5, 3, False), (9, 5, 3, False), (None, None, 2, True), (None, None, 2, True)], key=str)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_a_large_group_is_salted(spark, monkeypatch, weak):
+    monkeypatch.setattr(exact, "ROWS_PER_SALT", 5)
+    data = tricky() + [(2000 + i, "same text") for i in range(300)] + [(5000 + i, "other  text") for i in range(70)]
+    extra = {"key": lambda x: F.length(x).cast("long") % 3} if weak else {}
+    got = exact.exact_groups(spark.createDataFrame(data, SCHEMA).repartition(7), capacity=8, **extra)
+    assert rows(got, ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]) == brute.exact(data)
+
+
+def test_groups_come_from_the_index(spark, monkeypatch):
+    """A directory with two buckets for each cell gives every group twice."""
+    docs = spark.createDataFrame([(i, "one text") for i in range(40)], SCHEMA)
+    assert {r.group_size for r in exact.exact_groups(docs).collect()} == {40}
+    real = exact.directory
+    twice = lambda cells, *a: (d := real(cells, *a)).union(d.withColumn("bucket", F.col("bucket") + 1))
+    monkeypatch.setattr(exact, "directory", twice)
+    got = exact.exact_groups(docs).collect()
+    assert len(got) == 80 and {r.group_size for r in got} == {40}
+
+
+def test_directory_doubles_where_a_bucket_is_overfull(spark):
+    cells = spark.createDataFrame([(0, 9), (1, 1), (7, 2)], "cell long, entries long")
+    got = sorted(tuple(r) for r in exact.directory(cells, 3, 4).collect())
+    assert got == [(0, 0, 3), (1, 1, 3), (7, 4, 1)]
+    assert sorted(tuple(r) for r in exact.directory(cells, 3, 4, 2).collect()) == [(0, 0, 3), (1, 1, 3), (7, 6, 2)]
+    assert sorted(tuple(r) for r in exact.directory(cells, 3, 99).collect()) == [(0, 0, 0), (1, 0, 0), (7, 0, 0)]
+    assert exact.directory(cells.where("false"), 4, 5).collect() == []
 
 
 def test_superminhash_estimates_similarity():
@@ -103,6 +149,24 @@ def test_near_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_near_rows_that_repeat_an_id(spark):
+    x, y = " ".join(f"x{k}" for k in range(30)), " ".join(f"y{k}" for k in range(40))
+    got = near.near_groups(spark.createDataFrame([(1, x), (7, x), (7, y), (9, y), (7, None), (7, "")], SCHEMA)).collect()
+    by_id = {i: {r.component_id for r in got if r.doc_id == i} for i in (1, 7, 9)}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 7) == [0, 0, 26, 36]
+    assert len(by_id[7]) == 1 and by_id[1] == {1} and by_id[9] in ({9}, {7}) and by_id[7] in ({1}, {7})
+
+
+def test_near_hubs_and_copies_of_any_number(spark, monkeypatch):
+    """Blocks of members, broadcast hot keys and the rarest shingles' join, all with bounds of a few rows."""
+    monkeypatch.setattr(near, "HUB_MEMBERS", 3)
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near.attach, "__defaults__", (4,))
+    data = tricky() + [(3000 + k, "a b c d e f g h i j") for k in range(40)]
+    got = near.near_groups(spark.createDataFrame(data, SCHEMA).repartition(5))
+    assert rows(got, ["doc_id", "n_shingles", "component_id", "kept"]) == brute.near(data)
+
+
 @pytest.mark.parametrize("one_task", [0, 10_000])
 def test_components(spark, one_task):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21)] + [(100 + i, 101 + i) for i in range(60)]
