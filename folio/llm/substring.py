@@ -1,18 +1,17 @@
 """Substring dedup with suffix automata of reference shards.
 
-A passage of SPAN words that occurs twice shares every k-gram, and so every
-minimiser (smallest k-gram of so many), with its other occurrence.  A first
-scan marks the minimisers that occur more than once in a bitmap of fixed size,
-which is broadcast.  A second scan keeps the windows all of whose minimisers
-are marked and sends each run of windows with one common minimiser, as a short
-passage, to the reference shard of that minimiser: equal windows meet in one
-shard, and an automaton of the whole corpus, which would grow with it, is
-never sent anywhere.  A shard streams its passages in the order of documents
-through the suffix automaton of what it has seen: matching statistics of SPAN
-or more mark windows that start earlier somewhere else, and only what is new
-is added.  Equal passages of one slice of input collapse before they are sent.
-A minimiser so frequent that its shard would grow out of bounds is listed, and
-its windows are dealt by their whole words instead.
+A window of SPAN words belongs to the reference shard of its minimiser, the
+k-gram of smallest hash in it, so equal windows meet in one shard.  Runs of
+neighbouring windows with one minimiser travel as one passage of text.  A shard
+streams its passages in the order of documents through the suffix automaton of
+what it has seen: matching statistics of SPAN or more mark windows that start
+earlier somewhere else, and only what is new is added.  Words are compared as
+they are.  Windows whose hash is alone in the shard have no match and are left
+out before.
+
+Shards are as many as the text is long, so a shard's size does not grow with
+the input.  k-grams that occur very often are counted first; they are nobody's
+minimiser, and a window that holds no others goes to a shard by all its words.
 """
 
 from __future__ import annotations
@@ -21,25 +20,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textscan as ts
 from folio.llm.common import written
 
-SPAN, K = 20, 8
-#: k-grams of an inner window: a window holds SPAN - K - INNER + 2 of these, and each one's minimiser must be marked.
-INNER = 7
-#: The bitmap has 2**MAP_BITS bits (16 MB).  If it fills up, more windows are sent, and the result stays the same.
-MAP_BITS = 27
-#: Minimisers that occur so often are dealt by whole windows, at most HOT_MOST of them, the most frequent first.
-HOT, HOT_MOST = 10_000, 50_000
-#: Groups of reference shards for each shuffle partition.
-GROUPS_EACH = 8
-#: Words of the passages of one reference shard, as far as its minimisers can be parted: a worker holds one shard's
-#: automaton at a time, 25 to 50 MB.
-SHARD_WORDS = 200_000
+SPAN, K = 20, 5
+#: k-grams of a window, and so the most windows of one passage.
+HELD = SPAN - K + 1
+#: A k-gram is frequent from so many occurrences on; with very many words the bound rises, so that at most FREQUENT are
+#: listed (a broadcast of 4 MB).  Any list gives the same result: it only deals the work.
+HOT, FREQUENT = 10_000, 500_000
+#: k-grams that a task counts at a time; those it meets only once there are not reported.
+COUNTED = 1 << 20
+#: Bytes of text for each group of shards (a group's passages come to about three times that), and words of one shard.
+GROUP_BYTES, SHARD_WORDS = 8 << 20, 200_000
+#: Frequent windows that a task remembers, to send only the first ones.
+REMEMBERED = 200_000
+SLICE_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Automaton:
@@ -121,8 +123,8 @@ def repeats(passages: list[list[int]], span: int = SPAN) -> list[list[int]]:
     return out
 
 
-def _slice_words(batch: pa.RecordBatch) -> Iterator[tuple[ts.Slice, ts.Words]]:
-    for s in ts.slices(batch.column(2)):
+def _slice_words(column: pa.Array) -> Iterator[tuple[ts.Slice, ts.Words]]:
+    for s in ts.slices(column, SLICE_BYTES):
         yield s, ts.words(s.data, s.offsets, ts.SPACE_WORDS, False)
 
 
@@ -137,161 +139,191 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
-def _inner(w: ts.Words) -> tuple[np.ndarray, np.ndarray]:
-    """k-gram hashes, and the smallest of each inner window."""
-    grams = ts.grams(w.hash, K)
-    return grams, _least(grams, INNER)
-
-
-def _packed(keys: np.ndarray, shift: int, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Rows sorted by key, cut into shards by the key's leading bits."""
-    if not len(keys):
-        return
-    shard = (keys >> np.uint64(shift)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-        yield int(shard[lo]), [c[lo:hi] for c in (keys, *columns)]
-
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k-grams that occur more than once in a stretch of the task's text."""
+    held: list[np.ndarray] = []
 
-def _printed(shift: int):
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, w in _slice_words(batch):
-                grams, low = _inner(w)
-                inside = ts.gram_mask(w.first, len(w.hash), K + INNER - 1)
-                chosen = np.zeros(len(grams), bool)  # every place whose k-gram is smallest in some inner window
-                for i in range(INNER):
-                    chosen[i : i + len(low)] |= (grams[i : i + len(low)] == low) & inside
-                keys, counts = np.unique(grams[chosen], return_counts=True)
-                rows = list(_packed(keys, shift, counts.astype(np.uint32)))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([c[0].tobytes() for _, c in rows], pa.binary()), pa.array([c[1].tobytes() for _, c in rows], pa.binary())], ["shard", "keys", "counts"])
+    def often() -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([ts.as_long(keys[counts > 1]), pa.array(counts[counts > 1], pa.int64())], ["gram", "n"])
 
-    return printed
+    for batch in batches:
+        for _, w in _slice_words(batch.column(0)):
+            held.append(ts.grams(w.hash, K)[ts.gram_mask(w.first, len(w.hash), K)])
+            if sum(map(len, held)) >= COUNTED:
+                yield often()
+                held.clear()
+    if held:
+        yield often()
 
 
-def _marked(shift: int, hot: int, map_bits: int):
-    """A shard's part of the bitmap, and its frequent minimisers."""
+_ROW = "kind int, shard int, docs binary, texts binary, starts binary, sizes binary, bytes binary, parts binary, words binary"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
-    def marked(shard: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in shard.column(1)])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in shard.column(2)]).astype(np.int64)
-        every, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, counts).astype(np.int64)
-        own = shard.column(0)[0].as_py()
-        bits = np.zeros(1 << map_bits - (64 - shift), np.uint8)
-        at = (every[total > 1] >> np.uint64(64 - map_bits)).astype(np.int64) - (own << (map_bits - (64 - shift)))
-        bits[at] = 1
-        many = total >= hot
-        return pa.table({"shard": pa.array([own], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "hot": pa.array([every[many].view(np.int64).tolist()], pa.list_(pa.int64())), "often": pa.array([total[many].tolist()], pa.list_(pa.int64()))})
 
-    return marked
+def _row(kind: int, shard: int, *columns: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], _NAMES)
 
 
-def _rows(kind: list[int], shard: list[int], *columns: list[bytes]) -> pa.RecordBatch:
-    binary = pa.binary()
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), *(pa.array(x, binary) for x in columns)], ["kind", "shard", "docs", "texts", "starts", "sizes", "parts", "words"])
+def _keys(w: ts.Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, key and whether it holds frequent k-grams alone, for each window of a slice."""
+    n = max(len(w.hash) - SPAN + 1, 0)
+    grams = ts.grams(w.hash, K)
+    if len(frequent) and len(grams):
+        grams[frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams] = _NEVER
+    start = np.flatnonzero(ts.gram_mask(w.first, len(w.hash), SPAN))
+    key = _least(grams, HELD)[:n][start]
+    single = key == _NEVER
+    key[single] = ts.grams_at(w.hash, start[single], SPAN)
+    return start, key, single
 
 
-def _passages(bitmap, hot, shift: int, map_bits: int):
-    """Runs of windows with one minimiser: packed for their shards; those known to be repeats already, as they are."""
+def _passages(frequent, groups: int):
+    """Runs of windows with one minimiser, packed for their shards (kind 0); those known to be repeats already (kind 1)."""
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, often = np.frombuffer(bitmap.value, np.uint8), hot.value
+        listed = frequent.value
+        met: dict[int, tuple[int, int]] = {}  # frequent windows of this task: where one was sent from
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
             texts = batch.column(1).to_numpy()
-            for s, w in _slice_words(batch):
-                grams, low = _inner(w)
-                n = len(w.hash) - SPAN + 1
-                if n <= 0:
-                    continue
-                at = (low >> np.uint64(64 - map_bits)).astype(np.int64)
-                good = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-                window = ts.gram_mask(w.first, len(w.hash), SPAN) & (_least(good, SPAN - K - INNER + 2)[:n] > 0)
-                key = np.minimum(low[:n], low[SPAN - K - INNER + 1 :][:n])  # minimiser of the whole window
-                start = np.flatnonzero(window)
+            for s, w in _slice_words(batch.column(2)):
+                start, key, single = _keys(w, listed)
                 if not len(start):
                     continue
-                key = key[start]
                 doc = np.searchsorted(w.first, start, side="right") - 1
-                single = np.isin(key, often)
-                key[single] = ts.span_hash(w.hash, start[single], start[single] + SPAN)
                 new = np.ones(len(start), bool)
                 new[1:] = (start[1:] != start[:-1] + 1) | (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | single[1:] | single[:-1]
                 head = np.flatnonzero(new)
+                new |= (np.arange(len(start)) - np.repeat(head, np.diff(np.append(head, len(start))))) % HELD == 0
+                head = np.flatnonzero(new)
                 count = np.diff(np.append(head, len(start)))
-                start, key, doc = start[head], key[head], doc[head]
-                body = ts.span_hash(w.hash, start, start + count + SPAN - 1) ^ count.astype(np.uint64)
+                start, key, doc, single = start[head], key[head], doc[head], single[head]
                 own, text, begin = ids[s.lo + doc], texts[s.lo + doc], start - w.first[doc]
-                order = np.lexsort((text, begin, own, body, key))
+                # of equal passages of the slice, the first is sent
+                one, two = ts.grams_at(w.hash, start, SPAN), ts.grams_at(w.hash, start + count - 1, SPAN)
+                order = np.lexsort((text, begin, own, count, two, one, key))
                 again = np.zeros(len(order), bool)
-                again[1:] = (body[order][1:] == body[order][:-1]) & (key[order][1:] == key[order][:-1])
-                first = order[~again]
-                later = order[again]
+                again[1:] = np.all([x[order][1:] == x[order][:-1] for x in (key, one, two, count)], axis=0)
+                first, later = order[~again], order[again]
                 here = np.flatnonzero(~again)[np.cumsum(~again)[again] - 1]
                 moved = (own[later] != own[order[here]]) | (begin[later] != begin[order[here]])
                 other = ~moved & (text[later] != text[order[here]])
                 first = np.concatenate([first, later[other]])  # another text under the id is a passage of its own
                 later = later[moved]  # a row that repeats a document is that document
-                rows: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+                known = []
+                for i in first[single[first]].tolist():
+                    at, place = int(key[i]), (int(own[i]), int(begin[i]))
+                    if at in met and met[at] < place:
+                        known.append(i)
+                    elif len(met) < REMEMBERED:
+                        met[at] = place
+                if known:
+                    later = np.concatenate([later, known])
+                    first = first[~np.isin(first, known)]
                 if len(later):
-                    for column, x in zip(rows, (1, -1, own[later].tobytes(), text[later].tobytes(), begin[later].astype(np.int32).tobytes(), count[later].astype(np.int32).tobytes(), b"", b""), strict=True):
-                        column.append(x)
-                lengths = count + SPAN - 1
-                signs = w.hash.astype(np.uint32)
-                part = (key >> np.uint64(shift - 16)).astype(np.uint16)  # parts a group into shards
-                for shard, (_, which) in _packed(key[first], shift, first):
-                    total = np.concatenate([[0], np.cumsum(lengths[which])])
-                    where = np.arange(total[-1]) + np.repeat(start[which] - total[:-1], lengths[which])
-                    for column, x in zip(rows, (0, shard, own[which].tobytes(), text[which].tobytes(), begin[which].astype(np.int32).tobytes(), count[which].astype(np.int32).tobytes(), part[which].tobytes(), signs[where].tobytes()), strict=True):
-                        column.append(x)
-                yield _rows(*rows)
+                    yield _row(1, -1, own[later].tobytes(), text[later].tobytes(), begin[later].astype(np.int32).tobytes(), count[later].astype(np.int32).tobytes(), b"", b"", b"")
+                shard = (key[first] >> np.uint64(20)) % np.uint64(groups)
+                first = first[np.argsort(shard, kind="stable")]
+                shard = np.sort(shard).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                a, b = w.start[start], w.end[start + count + SPAN - 2]
+                for lo, hi in zip(cuts, [*cuts[1:], len(first)], strict=True):
+                    which = first[lo:hi]
+                    size = b[which] - a[which]
+                    at = np.arange(size.sum()) + np.repeat(a[which] - (np.cumsum(size) - size), size)
+                    part = (key[which] & np.uint64(0xFFFF)).astype(np.uint16)
+                    columns = (own[which], text[which], begin[which].astype(np.int32), count[which].astype(np.int32), size.astype(np.int32), part)
+                    yield _row(0, int(shard[lo]), *(x.tobytes() for x in columns), pack.compress(s.data[at].tobytes()))
 
     return passages
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """True for the values that occur more than once."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _judge(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, text: np.ndarray, start: np.ndarray, part: np.ndarray, shard_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of passages that occur earlier: number of the passage, and place of the window there."""
+    w = ts.words(data, np.concatenate([[0], ends]), ts.SPACE_WORDS, False)
+    at = np.flatnonzero(ts.gram_mask(w.first, len(w.hash), SPAN))
+    at = at[_repeated(ts.grams_at(w.hash, at, SPAN))]
+    if not len(at):
+        return at, at
+    owner = np.searchsorted(w.first, at, side="right") - 1
+    bits = min(16, max(0, int(len(at) // shard_words).bit_length()))
+    shards = part.astype(np.int64)[owner] >> (16 - bits)
+    place = at - w.first[owner]
+    order = np.lexsort((place, owner, text[owner], start[owner], doc[owner], shards))
+    at, owner, shards, place = at[order], owner[order], shards[order], place[order]
+    cuts = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))  # runs of windows
+    raw = data.tobytes()
+    which, where = [], []
+    number: dict[bytes, int] = {}
+    runs: list[list[int]] = []
+    begins: list[int] = []
+
+    def ask() -> None:
+        for found, i in zip(repeats(runs), begins, strict=True):
+            which.extend([owner[i]] * len(found))
+            where.extend(place[i] + k for k in found)
+        runs.clear()
+        begins.clear()
+
+    last = None
+    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+        if begins and shards[i] != shards[begins[0]]:
+            ask()
+            number.clear()
+            last = None
+        same = (doc[owner[i]], start[owner[i]] + place[i], text[owner[i]], j - i)
+        if same != last:  # one place of one document is asked once, even if its row is repeated
+            a, b = int(at[i]), int(at[j - 1]) + SPAN
+            runs.append([number.setdefault(raw[x:y], len(number)) for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)])
+            begins.append(i)
+        last = same
+    if begins:
+        ask()
+    return np.array(which, np.int64), np.array(where, np.int64)
+
+
 def _judged(shard_words: int):
     """Repeats in a group of shards, one shard after the other: rows (doc, text, start, size)."""
 
-    def judged(shard: pa.Table) -> pa.Table:
+    def judged(rows: pa.Table) -> pa.Table:
         schema = pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
-        kind = shard.column("kind").to_numpy()
+        kind = rows.column("kind").to_numpy()
 
         def joined(name: str, where: np.ndarray, dtype) -> np.ndarray:
-            column = shard.column(name)
-            return np.concatenate([np.frombuffer(column[int(i)].as_buffer(), dtype) for i in where]) if len(where) else np.zeros(0, dtype)
+            column = rows.column(name)
+            return np.concatenate([np.frombuffer(column[int(i)].as_buffer(), dtype) for i in where])
 
-        parts = []
-        known = np.flatnonzero(kind == 1)
+        out = []
+        known, asked = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
         if len(known):
-            parts.append([joined(c, known, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32))])
-        asked = np.flatnonzero(kind == 0)
+            out.append([joined(c, known, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32))])
         if len(asked):
-            doc, text, start, size = (joined(c, asked, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32)))
-            words = joined("words", asked, np.uint32)
-            ends = np.cumsum(size.astype(np.int64) + SPAN - 1)
-            shards = joined("parts", asked, np.uint16)
-            bits = min(16, max(0, int(len(words) // shard_words).bit_length()))
-            shards = shards.astype(np.int64) >> (16 - bits)
-            hits = []
-            for shard_id in np.unique(shards):
-                own = np.flatnonzero(shards == shard_id)
-                order = own[np.lexsort((text[own], start[own], doc[own]))]
-                # one place of one document is asked once, even if its row is repeated
-                alike = np.zeros(len(order), bool)
-                alike[1:] = (doc[order][1:] == doc[order][:-1]) & (start[order][1:] == start[order][:-1]) & (text[order][1:] == text[order][:-1])
-                order = order[~alike]
-                found = repeats([words[ends[i] - size[i] - SPAN + 1 : ends[i]].tolist() for i in order])
-                hits += [(i, s) for i, f in zip(order, found, strict=True) for s in f]
-            if hits:
-                which, at = np.array(hits, np.int64).T
+            doc, text, start, size, part = (joined(c, asked, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("bytes", np.int32), ("parts", np.uint16)))
+            unpack = zstandard.ZstdDecompressor()
+            data = np.frombuffer(b"".join(unpack.decompress(rows.column("words")[int(i)].as_py()) for i in asked), np.uint8)
+            which, at = _judge(data, np.cumsum(size.astype(np.int64)), doc, text, start, part, shard_words)
+            if len(which):
+                order = np.lexsort((at, which))
+                which, at = which[order], at[order]
                 runs = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)]))
                 length = np.diff(np.append(runs, len(which))).astype(np.int32)
                 which, at = which[runs], at[runs]
-                parts.append([doc[which], text[which], (start[which] + at).astype(np.int32), length])
-        if not parts:
+                out.append([doc[which], text[which], (start[which] + at).astype(np.int32), length])
+        if not out:
             return schema.empty_table()
-        return pa.table([np.concatenate(c) for c in zip(*parts, strict=True)], schema=schema)
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], schema=schema)
 
     return judged
 
@@ -319,32 +351,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
 
-def repeated_spans(docs: DataFrame, hot_from: int = HOT, map_bits: int = MAP_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc, text, spans of documents that hold repeated windows: spans are (first start, number of windows) in turn.
 
     docs: doc_id long, text_key long (a hash of the text), text.
     """
     spark = docs.sparkSession
-    shards = 8
-    while (1 << shards) < GROUPS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")) and shards < map_bits - 3:
-        shards += 1
-    shift = 64 - shards
-    prints = docs.mapInArrow(_printed(shift), "shard int, keys binary, counts binary")
-    marks = written(prints.groupBy("shard").applyInArrow(_marked(shift, hot_from, map_bits), "shard int, bits binary, hot array<long>, often array<long>"), "marks")
-    part = (1 << (map_bits - shards)) // 8
-    whole = bytearray(part << shards)
-    for r in marks.select("shard", "bits").collect():  # 2**map_bits bits in all
-        whole[r.shard * part : (r.shard + 1) * part] = r.bits
-    frequent = marks.select(F.explode(F.arrays_zip("hot", "often")).alias("x")).select("x.hot", "x.often").orderBy(F.desc("often"), "hot").limit(HOT_MOST)
-    hot = np.array(sorted(r.hot for r in frequent.collect()), np.int64).view(np.uint64)
-    bitmap, listed = spark.sparkContext.broadcast(bytes(whole)), spark.sparkContext.broadcast(hot)
-    rows = docs.mapInArrow(_passages(bitmap, listed, shift, map_bits), "kind int, shard int, docs binary, texts binary, starts binary, sizes binary, parts binary, words binary")
-    salted = rows.withColumn("shard", F.when(F.col("kind") == 1, F.pmod(F.xxhash64("docs", "starts"), F.lit(1 << shards)).cast("int")).otherwise(F.col("shard")))
-    found = salted.groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-size // group_bytes))
+    grams = written(docs.select("text").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = grams.where(F.col("n") >= max(hot, -(-total // FREQUENT))).select("gram").collect()  # at most FREQUENT of them
+    listed = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in frequent], np.int64).view(np.uint64)))
+    rows = docs.mapInArrow(_passages(listed, groups), _ROW)
+    spread = F.pmod(F.xxhash64("docs", "starts"), F.lit(groups)).cast("int")
+    salted = rows.withColumn("shard", F.when(F.col("kind") == 1, spread).otherwise(F.col("shard")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
+    found = salted.repartition(parts, "shard").groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
     return found.groupBy(F.col("doc").alias("doc_key"), F.col("text").alias("text_key")).agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT, map_bits: int = MAP_BITS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, joined by one space).
 
     A word goes if a window of SPAN words that covers it also starts earlier:
@@ -353,9 +380,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT, map_bits: int = MAP_BITS, s
     come after all others and are one document; rows that repeat a doc_id and
     its text are one document, of which no row is earlier than another.  Of
     different texts under one doc_id, windows at the same place go by text_key.
+    doc_id is a whole number; further columns are ignored.
     """
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    spans = repeated_spans(body, hot, map_bits, shard_words)
+    spans = repeated_spans(body, hot, group_bytes, shard_words)
     keyed = body.withColumn("doc_key", F.coalesce("doc_id", F.lit(int(NO_ID))))
     joined = keyed.join(spans, ["doc_key", "text_key"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")

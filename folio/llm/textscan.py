@@ -145,6 +145,17 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+def grams_at(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """What grams() gives at these places alone."""
+    with np.errstate(over="ignore"):
+        out = hashes[starts]
+        for i in range(1, k):
+            out ^= out >> np.uint64(29)
+            out *= _STEP
+            out += hashes[starts + i]
+    return mix64(out)
+
+
 def gram_mask(first: np.ndarray, total: int, k: int) -> np.ndarray:
     """True where k consecutive words lie in one document."""
     n = total - k + 1

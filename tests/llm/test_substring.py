@@ -60,9 +60,23 @@ def test_matches_brute_force(spark, hot, parts):
     assert rows(substring.without_repeats(df, hot)) == brute(docs)
 
 
-def test_a_full_bitmap_changes_nothing(spark):
+@pytest.mark.parametrize("hot", [3, substring.HOT])
+def test_groups_and_shards_of_any_size(spark, hot):
+    docs = cases()
+    got = substring.without_repeats(spark.createDataFrame(docs, SCHEMA).repartition(3), hot, group_bytes=2000, shard_words=50)
+    assert rows(got) == brute(docs)
+
+
+def test_frequent_windows_of_a_task_are_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SLICE_BYTES", 200)
     docs = cases()
-    assert rows(substring.without_repeats(spark.createDataFrame(docs, SCHEMA).repartition(3), map_bits=12, shard_words=50)) == brute(docs)
+    assert rows(substring.without_repeats(spark.createDataFrame(docs, SCHEMA).coalesce(1), 2)) == brute(docs)
+
+
+def test_words_that_a_power_sum_cannot_tell_apart(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    docs = [(1, " ".join([*"cdefghijklmnopqrstu", word, *"vwx"])), (2, " ".join([*"cdefghijklmnopqrstu", word.translate({97: 98, 98: 97}), *"vwx"]))]
+    assert rows(substring.without_repeats(spark.createDataFrame(docs, SCHEMA))) == brute(docs)
 
 
 def test_on_the_small_table(spark):
