@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import decon
 from tests.conftest import DATA
@@ -57,3 +58,19 @@ def test_items_without_an_id(spark, bound):
     got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.items_sha256, r.contaminated) for r in decon.contamination(docs, items, bound).collect()}
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     assert got == {1: (12, 1, [None], sha(""), True), 2: (24, 2, [None, "b"], sha("b"), True), 3: (24, 1, [None], sha(""), True), 4: (1, 1, [""], sha(""), True), 5: (12, 1, ["b"], sha("b"), True)}
+
+
+@pytest.mark.parametrize("bound", [decon.BROADCAST_WORDS, 0])
+def test_edges(spark, bound):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))  # a sum of powers cannot tell it from its mirror image
+    mirror = word.translate({97: 98, 98: 97})
+    long = " ".join(f"q{k}" for k in range(90_000))
+    items = [(1, word), (2, " ".join(f"q{k}" for k in range(70_000, 70_012))), (3, " ".join("abcdefghij"))] + [(100 + k, f"the common words of all items are these ten here x{k}") for k in range(80)]
+    docs = [(1, mirror), (None, word), (2, long), (2, "nothing"), (2, long), (None, None), (3, "the common words of all items are these ten here and then the common words of all items are these ten here")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("words", F.lit("clash"))
+    got = decon.contamination(frame, spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(0)), bound)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == sorted(brute_rows(docs, items), key=str)
+
+
+def brute_rows(docs, items):
+    return [brute.contamination([d], items)[0] for d in docs]
