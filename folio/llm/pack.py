@@ -29,6 +29,9 @@ SIZE, END = 4096, 2
 DIMS, BITS, BUCKETS, TIE_BITS = 4, 11, 256, 19
 #: Tokens of one task, as far as documents allow, and ranges of the key for each task: tasks with several small ranges are more even.
 RANGE_TOKENS, RANGES_EACH = 4_000_000, 8
+#: Most ranges: their bounds and totals (two numbers each, 0.3 MB) are known to the driver and every task.  Beyond it a task,
+#: which reads its sorted rows as a stream, gets more rows.
+RANGES = 20_000
 #: Pieces whose ids a worker keeps: about 30 MB.
 KNOWN_PIECES = 1_000_000
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -96,6 +99,8 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.begin = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint16)
+        self.letters = np.zeros(1, np.int64)  # where each piece's bytes begin in text
+        self.text = np.zeros(0, np.uint8)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
@@ -104,15 +109,27 @@ class Encoder:
         found = np.array(self.library.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
         count = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
         assert len(count) == len(pieces), "every piece has one id that ends it"
-        keep = len(self.keys) < KNOWN_PIECES
-        old = (self.keys, np.diff(self.begin), self.flat) if keep else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
-        every = np.concatenate([old[0], keys])
-        counts = np.concatenate([old[1], count])
-        flat = np.concatenate([old[2], found])
-        begin = np.concatenate([[0], np.cumsum(counts)])
+        raw = [p.encode() for p in pieces]
+        sizes, own = np.array([len(p) for p in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+        every = keys
+        if len(self.keys) < KNOWN_PIECES:  # else the old ones go
+            every, found, own = np.concatenate([self.keys, keys]), np.concatenate([self.flat, found]), np.concatenate([self.text, own])
+            count, sizes = np.concatenate([np.diff(self.begin), count]), np.concatenate([np.diff(self.letters), sizes])
         order = np.argsort(every, kind="stable")
-        self.flat = flat[_gather(begin[order], counts[order])]
-        self.keys, self.begin = every[order], np.concatenate([[0], np.cumsum(counts[order])])
+        self.keys = every[order]
+        self.flat, self.begin = _sorted(found, count, order)
+        self.text, self.letters = _sorted(own, sizes, order)
+
+    def _strangers(self, place: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Documents with a piece that differs from the known piece of its hash, byte by byte."""
+        size, known = end - start, np.diff(self.letters)[place]
+        alike = size == known
+        at = np.cumsum(size[alike]) - size[alike]
+        wrong = data[_gather(start[alike], size[alike])] != self.text[_gather(self.letters[place][alike], size[alike])]
+        differ = ~alike
+        if wrong.any():
+            differ[np.flatnonzero(alike)] |= np.add.reduceat(wrong, at) > 0
+        return np.unique(doc[differ])
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Each document's ids, and its key on the curve."""
@@ -154,6 +171,7 @@ class Encoder:
                 raw = low.tobytes()
                 self._learn(every[unknown], [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
             place = np.searchsorted(self.keys, every)[back]
+            plain[self._strangers(place, low, start[own], end[own], np.repeat(np.arange(n), np.diff(first))[own])] = False
             counts = np.diff(self.begin)[place]
             flat = self.flat[_gather(self.begin[place], counts)]
             total = np.concatenate([[0], np.cumsum(counts)])
@@ -173,6 +191,12 @@ def _gather(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(begin - total[:-1], counts)
 
 
+def _sorted(flat: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists, one after the other in flat, in another order; and where each begins."""
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    return flat[_gather(begin[order], counts[order])], np.concatenate([[0], np.cumsum(counts[order])])
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     import os
@@ -257,8 +281,9 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, range_token
     rows = written(body.mapInArrow(_encoded(path or default_path()), f"doc_id {kind}, key long, n long, ids binary"), "tokens")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_tokens))
-    ranges = parts * RANGES_EACH
-    bounds = sorted({int(x) for x in rows.stat.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if total else []
+    ranges = min(parts * RANGES_EACH, RANGES)
+    parts = min(parts, ranges)
+    bounds = sorted({int(x) for x in rows.stat.approxQuantile("key", [k / ranges for k in range(1, ranges)], 0.2 / ranges)}) if total else []  # at most RANGES
     edges = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")

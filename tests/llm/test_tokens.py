@@ -103,3 +103,30 @@ def test_encoder_forgets_and_learns_again(library, monkeypatch):
         raw = np.frombuffer(t.encode(), np.uint8)
         ids, _ = own.slice(raw, np.array([0, len(raw)]))
         assert ids[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_pieces_of_one_hash_are_told_apart(spark, library, monkeypatch):
+    """Pieces are known by a hash, but their bytes decide."""
+    monkeypatch.setattr(pack.ts, "span_hash", lambda data, start, end, seed=0: np.full(len(start), 7, np.uint64))
+    own = pack.Encoder(bpe.default_path())
+    for t in ("cat", "cat dog", "dog dog", "a bc a", "cat"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ids, _ = own.slice(raw, np.array([0, len(raw)]))
+        assert ids[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_words_that_a_power_sum_cannot_tell_apart(spark, library):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    docs = [(1, word), (2, word.translate({97: 98, 98: 97})), (3, f"{word} {word}")]
+    check_pieces(pack.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs, library, 4096)
+
+
+def test_few_ranges_hold_everything(spark, library, monkeypatch):
+    monkeypatch.setattr(pack, "RANGES", 3)
+    docs = list(enumerate(texts(300)))
+    check_pieces(pack.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), range_tokens=500).collect(), docs, library, 4096)
+
+
+def test_counts_of_repeated_rows_and_null_ids(spark):
+    rows = bpe.token_counts(spark.createDataFrame([(1, "the cat"), (1, "the cat"), (None, "the cat"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 0), (0, 2), (1, 2), (1, 2)]
