@@ -67,6 +67,8 @@ the cat sat on the mat, and ran
 Nothing here is private. Not this.
 """
 
+#: Words of a piece and of its overlap with the next, and words of a block of pieces (72 bytes each for the scores).
+PIECE, OVERLAP, AREA = 2_048, 32, 200_000
 _MARK = re.compile(r"\{(email|ip|card|phone):(.*?)\}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?*%&$#|\"'"
@@ -84,8 +86,6 @@ def luhn(digits: str) -> bool:
 def shape(word: str) -> list[str]:
     """Features of a word: its shape, and what its digits add up to."""
     core = word.strip(_EDGE)
-    if len(core) > 64:
-        return ["bias", "long"]
     if not any(c.isdigit() or c == "@" for c in core):
         low = core.lower()
         if low in ("at", "dot", "[at]", "(at)", "[dot]", "(dot)"):
@@ -157,25 +157,43 @@ class Field:
                 self.move[:, k] = -1e4
                 self.move[[k, LABELS.index("B" + label[1:])], k] = 0
 
-    def rows(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Label scores of each word of each sequence."""
+    def row(self, words: list[str]) -> np.ndarray:
+        """Label scores of each word of a sequence."""
         none = len(self.number)
-        out = []
-        for words in sequences:
-            ids = [[self.number.get(x, none) for x in f] for f in word_features(words)]
-            out.append(np.stack([self.emit[f].sum(axis=0) for f in ids]))
-        return out
+        return np.stack([self.emit[[self.number.get(x, none) for x in f]].sum(axis=0) for f in word_features(words)])
 
     def decode(self, sequences: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each sequence; all sequences step forward together, longest first."""
-        rows = self.rows(sequences)
-        order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-        if not order:
+        """Best labels of each sequence.
+
+        Sequences are cut into pieces of at most PIECE words, which overlap by
+        OVERLAP words on either side of a cut; of each piece, the labels nearer
+        to its middle count.  Pieces of like length are decoded together, so a
+        block holds at most AREA words, its padding included.
+        """
+        pieces = [(i, lo) for i, words in enumerate(sequences) for lo in range(0, max(1, len(words) - 2 * OVERLAP), PIECE - 2 * OVERLAP)]
+        length = [min(PIECE, len(sequences[i]) - lo) for i, lo in pieces]
+        order = sorted(range(len(pieces)), key=lambda k: -length[k])
+        out = [np.zeros(len(words), np.int64) for words in sequences]
+        at = 0
+        while at < len(order):
+            block = order[at : at + max(1, AREA // max(1, length[order[at]]))]
+            at += len(block)
+            some = [k for k in block if length[k]]
+            rows = [self.row(sequences[pieces[k][0]][pieces[k][1] : pieces[k][1] + length[k]]) for k in some]
+            for k, path in zip(some, self.viterbi(rows), strict=True):
+                i, lo = pieces[k]
+                skip = OVERLAP if lo else 0
+                out[i][lo + skip : lo + length[k]] = path[skip:]
+        return out
+
+    def viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels under label scores; all rows step forward together, the longest come first."""
+        if not rows:
             return []
-        size = np.array([len(rows[i]) for i in order])
-        scores = np.zeros((len(order), size[0], len(LABELS)))
-        for k, i in enumerate(order):
-            scores[k, : size[k]] = rows[i]
+        size = np.array([len(x) for x in rows])
+        scores = np.zeros((len(rows), size[0], len(LABELS)))
+        for k, x in enumerate(rows):
+            scores[k, : size[k]] = x
         back = np.zeros(scores.shape, np.int8)
         best = scores[:, 0] + self.move[-1]
         for t in range(1, size[0]):
@@ -183,13 +201,13 @@ class Field:
             step = best[:live, :, None] + self.move[None, :-1]
             back[:live, t] = step.argmax(axis=1)
             best[:live] = step.max(axis=1) + scores[:live, t]
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(order)
-        for k, i in enumerate(order):
+        out = []
+        for k in range(len(rows)):
             path = np.zeros(size[k], np.int64)
             path[-1] = best[k].argmax()
             for t in range(size[k] - 1, 0, -1):
                 path[t - 1] = back[k, t, path[t]]
-            out[i] = path
+            out.append(path)
         return out
 
 

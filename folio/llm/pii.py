@@ -184,8 +184,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans, n_found (all spans)."""
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("found", lambda x: x["base"])
     count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_found"))

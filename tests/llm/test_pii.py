@@ -82,7 +82,7 @@ def test_viterbi_matches_exhaustive_search():
 
     field = crf.trained()
     words = ["call", "(212)", "555-0123", "x"]
-    (row,) = field.rows([words])
+    row = field.row(words)
     (path,) = field.decode([words])
     score = lambda p: sum(row[t, k] for t, k in enumerate(p)) + field.move[-1, p[0]] + sum(field.move[a, b] for a, b in zip(p[:-1], p[1:]))
     best = max(itertools.product(range(len(crf.LABELS)), repeat=len(words)), key=score)
@@ -91,5 +91,50 @@ def test_viterbi_matches_exhaustive_search():
     assert [x.tolist() for x in field.decode([words, longer, words[:1]])] == [x.tolist() for s in (words, longer, words[:1]) for x in field.decode([s])]
 
 
+def test_recall_of_added_spans_on_planted_forms(spark):
+    """Forms that no pattern knows, with digits and names that the labelled table does not hold, among other numbers."""
+    rng = random.Random(31)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9)))
+    forms = {
+        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"({digits(3)}) {digits(3)} {digits(4)}"],
+        "email": [lambda: f"{name()} [at] {name()} [dot] org", lambda: f"{name()} (at) {name()} (dot) net", lambda: f"{name()} [at] {name()} [dot] com"],
+    }
+    noise = ["in 1998", "version 2.1", "pages 11-19", "of 25 people", "at 10:30", "room 12", "3.5 of 7", "on 12/05/2001"]
+    docs, want = [], {}
+    for i in range(600):
+        kind = rng.choice([*forms])
+        planted = rng.choice(forms[kind])()
+        before = f"the {name()} {rng.choice(noise)} {name()} {rng.choice(['call', 'write to', 'ask', 'see'])}"
+        docs.append((i, f"{before} {planted} {name()} and {name()} {rng.choice(noise)}"))
+        want[i] = (kind, len(before) + 1, len(before) + 1 + len(planted))
+    got = {r.doc_id: [(x.kind, x.start, x.end) for x in r.found if not x.base] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hit = sum(any(k == want[i][0] and a < want[i][2] and want[i][1] < b for k, a, b in got[i]) for i in got)
+    extra = sum(not (a < want[i][2] and want[i][1] < b) for i in got for _, a, b in got[i])
+    print(f"recall {hit / len(docs):.3f}, spans elsewhere {extra / len(docs):.3f} a document")
+    assert hit >= 0.9 * len(docs) and extra <= 0.1 * len(docs)
+
+
+def test_pieces_of_a_long_sequence_are_labelled_as_a_whole(monkeypatch):
+    field = crf.trained()
+    rng = random.Random(8)
+    vocab = ["call", "(212)", "555-0123", "bob", "[at]", "mail", "[dot]", "org", "7", "1990", "4111", "1111", "the", "x9", "+44", "20", "7946", "0958"]
+    for n in (2, 70, 5000):
+        words = [rng.choice(vocab) for _ in range(n)]
+        (whole,) = field.viterbi([field.row(words)])
+        monkeypatch.setattr(crf, "PIECE", 200)
+        (cut,) = field.decode([words])
+        monkeypatch.undo()
+        assert cut.tolist() == whole.tolist() and (n < 70 or cut.any())
+
+
+def test_a_long_text_of_numbers(spark):
+    """Many short sequences and one of 250,000 words are decoded in bounded blocks."""
+    text = "1 " * 250_000 + " ".join(f"{'plain words ' * 8}{k}" for k in range(2000)) + " call (212) 555-0123 " + "9" * 300 + "@" + "x" * 300 + ".org"
+    (row,) = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    found = {(x.kind, text[x.start : x.end]) for x in row.found}
+    assert {("phone", "(212) 555-0123"), ("email", "9" * 300 + "@" + "x" * 300 + ".org")} <= found
+
+
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
