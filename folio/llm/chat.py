@@ -9,8 +9,8 @@ can be read back from it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,31 +20,66 @@ START, STOP = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
-#: Field paths of each known layout of one record a conversation.
-LAYOUTS: dict[str, tuple[str, ...]] = {
-    "messages": ("messages[].content", "messages[].role"),
-    "dialogue": ("conversations[].from", "conversations[].value"),
-    "instruction": ("instruction", "output"),
-    "instruction_input": ("input", "instruction", "output"),
-    "prompt": ("completion", "prompt"),
-    "response": ("prompt", "response"),
-    "question": ("answer", "question"),
-    "system_prompt": ("prompt", "response", "system"),
+
+class Turns(NamedTuple):
+    """A record whose fields are turns: a role and the fields that make up its text, one line each, empty ones left out."""
+
+    turns: tuple[tuple[str, tuple[str, ...]], ...]
+
+    def paths(self) -> tuple[str, ...]:
+        return tuple(sorted(f for _, fields in self.turns for f in fields))
+
+
+class Listed(NamedTuple):
+    """A record with a list of turns: the list's field, and in it those of role and text."""
+
+    field: str
+    role: str
+    text: str
+
+    def paths(self) -> tuple[str, ...]:
+        return tuple(sorted((f"{self.field}[].{self.role}", f"{self.field}[].{self.text}")))
+
+
+class Rows(NamedTuple):
+    """A table with a row for each turn: its columns of conversation, place, role and text."""
+
+    conv_id: str
+    turn: str
+    role: str
+    text: str
+
+    def paths(self) -> tuple[str, ...]:
+        return tuple(sorted(self))
+
+
+#: The mapping of each known layout.
+LAYOUTS: dict[str, Turns | Listed | Rows] = {
+    "messages": Listed("messages", "role", "content"),
+    "dialogue": Listed("conversations", "from", "value"),
+    "instruction": Turns((("user", ("instruction",)), (LEARNED, ("output",)))),
+    "instruction_input": Turns((("user", ("instruction", "input")), (LEARNED, ("output",)))),
+    "prompt": Turns((("user", ("prompt",)), (LEARNED, ("completion",)))),
+    "response": Turns((("user", ("prompt",)), (LEARNED, ("response",)))),
+    "question": Turns((("user", ("question",)), (LEARNED, ("answer",)))),
+    "system_prompt": Turns((("system", ("system",)), ("user", ("prompt",)), (LEARNED, ("response",)))),
+    "rows": Rows("conv_id", "turn", "role", "text"),
+    "message_rows": Rows("conversation_id", "position", "role", "content"),
 }
-#: Field paths of a table with a row for each turn.
-ROWS = ("conv_id", "role", "text", "turn")
+_RECORDS = {name: x for name, x in LAYOUTS.items() if not isinstance(x, Rows)}
+_TABLES = {name: x for name, x in LAYOUTS.items() if isinstance(x, Rows)}
 #: Names that other layouts give to roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 def fingerprint(paths: Column) -> Column:
     """Hash of an array of field paths, in any order, of which unknown ones are left out."""
-    known = sorted({p for layout in LAYOUTS.values() for p in layout} | {*ROWS})
+    known = sorted({p for layout in LAYOUTS.values() for p in layout.paths()})
     return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(F.array_distinct(paths), F.array(*map(F.lit, known)))), "\n"))
 
 
 def _literal(paths: tuple[str, ...]) -> Column:
-    return fingerprint(F.array(*map(F.lit, paths)))
+    return fingerprint(F.array(*map(F.lit, paths)) if paths else F.array().cast("array<string>"))
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -70,30 +105,23 @@ def record_paths(record: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(entries, of)), F.array().cast("array<string>"))
 
 
-def _turns(*parts: tuple[str, Column]) -> Column:
-    return F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text")) for k, (role, text) in enumerate(parts))).cast(TURNS)
+def _choice(value: Column, options: dict[str, Column], default: Column) -> Column:
+    """The option whose name value is."""
+    return reduce(lambda c, name: c.when(value == name, options[name]), options, F.when(F.lit(False), default)).otherwise(default)
 
 
-def _listed(record: Column, name: str, role: str, text: str) -> Column:
-    items = F.from_json(F.get_json_object(record, f"$.{name}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-    named = lambda x: reduce(lambda c, r: c.when(F.lower(x) == r, F.lit(ROLES[r])), ROLES, F.when(F.lit(False), x)).otherwise(x)
-    return F.transform(items, lambda x, k: F.struct(k.cast("long").alias("turn"), named(x[role]).alias("role"), x[text].alias("text"))).cast(TURNS)
+def _mapped(layout: Turns | Listed, record: Column) -> Column:
+    """Canonical turns of a record, as its layout's mapping has them."""
+    if isinstance(layout, Listed):
+        items = F.from_json(F.get_json_object(record, f"$.{layout.field}"), f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
+        role = lambda x: _choice(F.lower(x[layout.role]), {name: F.lit(own) for name, own in ROLES.items()}, x[layout.role])
+        return F.transform(items, lambda x, k: F.struct(k.cast("long").alias("turn"), role(x).alias("role"), x[layout.text].alias("text"))).cast(TURNS)
 
+    def text(fields: tuple[str, ...]) -> Column:
+        values = [F.get_json_object(record, f"$.{f}") for f in fields]
+        return values[0] if len(values) == 1 else F.concat_ws("\n", values[0], *(F.nullif(v, F.lit("")) for v in values[1:]))
 
-def _mapping(name: str, record: Column) -> Column:
-    """Canonical turns of a record in the layout of that name."""
-    field = lambda x: F.get_json_object(record, f"$.{x}")
-    build: dict[str, Callable[[], Column]] = {
-        "messages": lambda: _listed(record, "messages", "role", "content"),
-        "dialogue": lambda: _listed(record, "conversations", "from", "value"),
-        "instruction": lambda: _turns(("user", field("instruction")), (LEARNED, field("output"))),
-        "instruction_input": lambda: _turns(("user", F.concat_ws("\n", field("instruction"), F.nullif(field("input"), F.lit("")))), (LEARNED, field("output"))),
-        "prompt": lambda: _turns(("user", field("prompt")), (LEARNED, field("completion"))),
-        "response": lambda: _turns(("user", field("prompt")), (LEARNED, field("response"))),
-        "question": lambda: _turns(("user", field("question")), (LEARNED, field("answer"))),
-        "system_prompt": lambda: _turns(("system", field("system")), ("user", field("prompt")), (LEARNED, field("response"))),
-    }
-    return build[name]()
+    return F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), text(fields).alias("text")) for k, (role, fields) in enumerate(layout.turns))).cast(TURNS)
 
 
 def from_records(records: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
@@ -103,26 +131,28 @@ def from_records(records: DataFrame, conv_id: str = "conv_id", record: str = "re
     malformed or of an unknown layout get a null layout and no turns.
     """
     marked = records.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), fingerprint(record_paths(F.col(record))).alias("print"))
-    layout = reduce(lambda c, name: c.when(F.col("print") == _literal(LAYOUTS[name]), F.lit(name)), LAYOUTS, F.when(F.lit(False), F.lit("")))
+    layout = reduce(lambda c, name: c.when(F.col("print") == _literal(_RECORDS[name].paths()), F.lit(name)), _RECORDS, F.when(F.lit(False), F.lit("")))
     chosen = marked.withColumn("layout", layout)
-    turns = reduce(lambda c, name: c.when(F.col("layout") == name, _mapping(name, F.col("record"))), LAYOUTS, F.when(F.lit(False), F.lit(None).cast(TURNS)))
+    turns = _choice(F.col("layout"), {name: _mapped(x, F.col("record")) for name, x in _RECORDS.items()}, F.lit(None).cast(TURNS))
     return chosen.select("conv_id", "layout", F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
     """Canonical turns of a table with a row for each turn: conv_id, layout, turns in the order of turn, role, text.
 
-    The table's own fingerprint must be that of ROWS; further columns are
+    The fingerprint of the table's fields selects the mapping of its columns;
+    without one that is known, a ValueError is raised.  Further columns are
     ignored.  A null role or text is empty, null turns come first, repeated rows
     are turns each, rows without a conv_id are one conversation.
     """
-    spark = rows.sparkSession
-    want, got = spark.range(1).select(_literal(ROWS), _literal(tuple(schema_paths(rows.schema)))).first()
-    if want != got:
+    prints = rows.sparkSession.range(1).select(_literal(tuple(schema_paths(rows.schema))).alias("own"), *(_literal(x.paths()).alias(name) for name, x in _TABLES.items())).first()
+    name = next((n for n in _TABLES if prints[n] == prints["own"]), None)
+    if name is None:
         raise ValueError(f"no mapping for the fields {rows.columns}")
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return grouped.select("conv_id", F.lit("rows").alias("layout"), F.col("turns").cast(TURNS).alias("turns"))
+    own = _TABLES[name]
+    turn = F.struct(F.col(own.turn).cast("long").alias("turn"), F.coalesce(own.role, F.lit("")).alias("role"), F.coalesce(own.text, F.lit("")).alias("text"))
+    grouped = rows.groupBy(F.col(own.conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    return grouped.select("conv_id", F.lit(name).alias("layout"), F.col("turns").cast(TURNS).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -150,7 +180,7 @@ def formatted(turns: Column) -> Column:
 
 
 def mask(turns: Column) -> Column:
-    """Which runs of code points of formatted() are learned: array<struct<chars, learned>>, header, text and end of each turn."""
+    """Which runs of code points of formatted() are learned: for each turn, struct<chars, learned> of header, text and end."""
 
     def runs(t: Column) -> Column:
         role, text = F.coalesce(t["role"], F.lit("")), F.coalesce(t["text"], F.lit(""))
@@ -161,7 +191,23 @@ def mask(turns: Column) -> Column:
             run(F.lit(len(STOP) + 1), F.lit(False)),
         )
 
-    return F.flatten(F.transform(turns, runs))
+    return F.transform(turns, runs)
+
+
+def under_mask(text: Column, masks: Column) -> Column:
+    """The learned runs of a formatted text, cut out by its mask, as an array of escaped texts.
+
+    The text is first parted behind every turn's end, so that each run is cut
+    from its own turn and a conversation of any length is read once.
+    """
+    parts = F.split(text, r"(?<=<\|im_end\|>\n)")
+
+    def cut(part: Column, runs: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(runs, F.lit(1), k), F.lit(0).cast("long"), lambda a, r: a + r["chars"])
+        taken = F.transform(runs, lambda r, k: F.when(r["learned"], F.substr(part, (before(k) + 1).cast("int"), r["chars"].cast("int"))))
+        return F.filter(taken, lambda x: x.isNotNull())
+
+    return F.flatten(F.zip_with(F.slice(parts, F.lit(1), F.size(masks)), masks, cut))
 
 
 def read_back(text: Column) -> Column:
@@ -183,10 +229,10 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def digest(formatted_texts: DataFrame) -> DataFrame:
-    """What is read back from formatted texts: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    read = formatted_texts.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
+    """What is read back from formatted texts and their masks: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    read = formatted_texts.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("mask")).alias("learned"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform("learned", unescaped), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

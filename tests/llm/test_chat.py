@@ -43,15 +43,36 @@ def test_round_trip(spark):
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(made).collect()}
     assert got == want(rows)
     for r in made.collect():  # the mask covers the text and marks the assistant's part
-        assert sum(m.chars for m in r["mask"]) == len(r.formatted)
+        runs = [m for turn in r["mask"] for m in turn]
+        assert sum(m.chars for m in runs) == len(r.formatted)
         at, learned = 0, []
-        for m in r["mask"]:
+        for m in runs:
             if m.learned:
                 learned.append(r.formatted[at : at + m.chars])
             at += m.chars
         assert all("<|" not in x for x in learned)
 
 
+def test_the_loss_is_what_the_mask_covers(spark):
+    """A mask that is shifted by a character, or marks other turns, changes the loss."""
+    made = chat.format_turns(chat.from_rows(spark.createDataFrame(data(), SCHEMA)))
+    right = {r.conv_id: r.loss_sha256 for r in chat.digest(made).collect() if r.loss_chars}
+    assert len(right) > 5
+    run = lambda chars, learned: F.struct(chars.alias("chars"), learned.alias("learned"))
+    shifted = made.withColumn("mask", F.transform("mask", lambda runs: F.transform(runs, lambda r, k: run(r["chars"] + F.when(k == 0, 1).otherwise(0), r["learned"]))))
+    other = made.withColumn("mask", F.transform("mask", lambda runs: F.transform(runs, lambda r, k: run(r["chars"], ~r["learned"] & (k == 1)))))
+    for wrong in (shifted, other):
+        got = {r.conv_id: r.loss_sha256 for r in chat.digest(wrong).collect()}
+        assert all(got[c] != right[c] for c in right)
+
+
+def test_the_fingerprint_selects_the_columns_of_a_table(spark):
+    rows = [(7, 1, "assistant", "b"), (7, 0, "user", "a")]
+    for names, layout in ((["conv_id", "turn", "role", "text"], "rows"), (["conversation_id", "position", "role", "content"], "message_rows")):
+        (got,) = chat.from_rows(spark.createDataFrame(rows, names).withColumn("extra", F.lit(1))).collect()
+        assert (got.conv_id, got.layout, [(t.role, t.text) for t in got.turns]) == (7, layout, [("user", "a"), ("assistant", "b")])
+
+
 def test_control_strings_are_escaped(spark):
     (row,) = chat.format_turns(chat.from_rows(chat.probe(spark))).collect()
     assert row.formatted.count("<|im_start|>") == 2 and row.formatted.count("<|im_end|>") == 2
