@@ -163,8 +163,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0)) == 0
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted.
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted, and the columns to carry.
 
     Learned from labels (doc_id, quality) of documents outside the held-out
     fold, all of them; labels other than 0 and 1, and those without a document,
@@ -172,12 +172,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     counts.  Rows that repeat a doc_id are scored each; their labels count for
     each.  Where a class has no rows, every score is 0.5.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    table = written(docs.select("doc_id", "text").mapInArrow(_featured, f"doc_id {kind}, x array<double>"), "features")
+    row = F.struct("doc_id", *carry)
+    kind = docs.select(row.alias("row")).schema["row"].dataType.simpleString()
+    table = written(docs.select(row.alias("row"), "text").mapInArrow(_featured, f"row {kind}, x array<double>"), "features")
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("doc_id")))
-    partial = table.join(known, "doc_id").select("y", "x").mapInArrow(_moments, "y int, moments array<double>")
+    partial = table.select(F.col("row.doc_id").alias("doc_id"), "x").join(known, "doc_id").select("y", "x").mapInArrow(_moments, "y int, moments array<double>")
+    totals = partial.select("y", F.posexplode("moments").alias("at", "part")).groupBy("y", "at").agg(F.sum("part").alias("total"))
     sums = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
-    for r in partial.collect():  # two rows of 133 numbers for each task
-        sums[r.y] += r.moments
-    scored = table.mapInArrow(_scored(fit(sums)), f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    for r in totals.collect():  # 266 numbers, whatever the number of tasks
+        sums[r.y, r["at"]] = r.total
+    scored = table.mapInArrow(_scored(fit(sums)), f"row {kind}, score double")
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"row.{c}").alias(c) for c in carry))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -71,3 +72,47 @@ def test_features_count_what_they_say():
     assert np.isclose(x[0, at("words")], np.log1p(5)) and x[1, at("words")] == 0
     assert np.isclose(x[0, at("echo")], np.log(1.5 / 4.5 + 1e-3)) and np.isclose(x[0, at("bare")], np.log(1.5 / 4.5 + 1e-3))
     assert x[2, at("upper")] > 0 > x[0, at("upper")]
+
+
+def plain_features(text):
+    """The statistics of a text, counted word by word."""
+    letter = lambda c: c.isascii() and c.isalpha() or ord(c) > 127
+    sign = lambda c: c.isascii() and not c.isalnum() and c not in " \t\n\x0b\x0c\r"
+    words = [w.decode() for w in text.encode().split()]
+    letters, digits, signs = sum(map(letter, text)), sum(c.isascii() and c.isdigit() for c in text), sum(map(sign, text))
+    upper = sum("A" <= c <= "Z" or "\xc0" <= c <= "\xde" for c in text)
+    full = letters + digits + signs
+    odds = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5) + 1e-3)
+    n = len(words)
+    return [
+        math.log1p(n),
+        odds(upper, letters),
+        odds(signs, full),
+        odds(digits, full),
+        math.log((full + 1) / (n + 1)),
+        odds(sum(a == b for a, b in zip(words, words[1:])), n),
+        math.log1p(len({*words})) - 0.85 * math.log1p(n),
+        odds(sum(not any(letter(c) or c.isdigit() for c in w) for w in words), n),
+        odds(sum(sign(w[-1]) for w in words), n),
+        math.log((n + 1) / (text.count("\n") + 1)),
+        odds(sum(w[-1] in ".!?" for w in words), n),
+    ]
+
+
+def test_scores_of_a_whole_table_match_brute_force(spark):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()]
+    docs = [(i, t.encode("latin-1", "ignore").decode("latin-1")) for i, t in docs] + [(10_000, "")]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/sf0.001/labels.parquet").collect()}
+    x = np.array([plain_features(t) for _, t in docs])
+    y = np.array([-1 if fold(i) else labels.get(i, -1) for i, _ in docs])
+    common = sum(np.cov(x[y == k].T, bias=True) * (y == k).sum() for k in (0, 1)) / (y >= 0).sum()
+    log = []
+    for k in (0, 1):
+        cov = (1 - quality.POOLED - quality.UNIT) * np.cov(x[y == k].T, bias=True) + quality.POOLED * common
+        cov += (quality.UNIT * np.trace(cov) / x.shape[1] + 1e-6) * np.eye(x.shape[1])
+        gap = x - x[y == k].mean(axis=0)
+        log.append(-0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap) - 0.5 * np.linalg.slogdet(cov)[1] + np.log((y == k).sum()))
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.quality_scores(frame, spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")).collect()}
+    assert np.allclose([got[i] for i, _ in docs], want, atol=1e-6)
