@@ -24,7 +24,7 @@ from folio.llm.graph import components
 SHINGLE = 5
 #: 4 rows and 32 bands: a pair at similarity 0.75 shares no band with probability 5e-6.
 SLOTS, ROWS = 128, 4
-BLOCK = 2048
+BLOCK = 512
 #: Members that are verified against one copy of their hub's text.
 HUB_MEMBERS = 128
 #: Bands are verified in rounds; after each, pairs of one component need no verification any more.
