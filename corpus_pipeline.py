@@ -1,47 +1,80 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
+
+All stages but the last return rows of their input, with its columns.  Decisions
+are about rows: each row gets a key of its own, written with it at the stage's
+start, so rows without a doc_id and rows that share one are judged each by their
+own text.  A null text counts as an empty one.  Columns besides doc_id and text
+are carried along, whatever their names.  An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.llm.common import anti, shared_folder, small_batches, table
+from folio.llm.common import anti, scratch, shared_folder, small_batches, table, written
 from folio.llm.decon import contamination
 from folio.llm.exact import exact_groups
 from folio.llm.near import near_groups
 from folio.llm.pack import pack
 from folio.llm.quality import quality_scores
 
+#: Name of the row key within a stage.
+ROW = "folio row key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    return anti(keyed, rows.select(ROW), ROW).drop(ROW)
+
+
+def _order() -> Column:
+    """Rows in the order of doc_id, those without one last, and of their keys where they share one."""
+    return F.struct(F.isnull("doc_id").alias("none"), "doc_id", ROW)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of low quality go."""
-    small_batches(spark)
-    low = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id")
-    return anti(docs, low.distinct(), "doc_id")
+    """Documents that the classifier predicts to be of low quality go.
+
+    An empty text is scored like any other.  Without labels of both classes
+    nothing is rejected.
+    """
+    keyed = _keyed(docs)
+    scores = quality_scores(keyed, table(spark, sf_dir, "labels"), carry=(ROW,))
+    return _without(keyed, scores.where("predicted = 0"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
-    small_batches(spark)
-    return anti(docs, exact_groups(docs).where("not kept").select("doc_id"), "doc_id")
+    """Of equal texts the row of the smallest doc_id stays, of rows that share it the first; empty texts are equal."""
+    keyed = _keyed(docs)
+    groups = exact_groups(keyed.select(_order().alias("doc_id"), "text"))
+    return _without(keyed, groups.where("not kept").select(F.col("doc_id")[ROW].alias(ROW)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    small_batches(spark)
-    return anti(docs, near_groups(docs).where("not kept").select("doc_id"), "doc_id")
+    """Of each near-duplicate group the row of the smallest doc_id stays; texts without words are in no group and stay."""
+    keyed = _keyed(docs)
+    found = near_groups(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    placed = written(found.join(keyed.select(ROW, "doc_id"), ROW), "placed")
+    first = placed.groupBy("component_id").agg(F.min(_order()).alias("first")).select(F.col("first")[ROW].alias(ROW))
+    return _without(keyed, placed.join(first, ROW, "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    small_batches(spark)
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return anti(docs, hit.distinct(), "doc_id")
+    """Documents that hold a window of a benchmark item go; texts without words stay."""
+    keyed = _keyed(docs)
+    hit = contamination(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return _without(keyed, hit.select(F.col("doc_id").alias(ROW)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, neighbours on the curve side by side."""
+    """Pieces of token sequences, neighbours on the curve side by side; an empty text is its end token alone."""
     small_batches(spark)
     return pack(docs)
 
@@ -53,9 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces.  Stages' results stay in the shared folder as pipeline-*, what they wrote on the way goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
