@@ -1,10 +1,13 @@
 """Every stage of the pipeline against brute force, on its own input; and what the registered queries return."""
 
+from pathlib import Path
+
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from folio.llm import bpe, queries
+from folio.llm.common import shared_folder
 from tests.conftest import DATA
 from tests.llm import brute
 from tests.llm.test_tokens import check_pieces
@@ -15,7 +18,7 @@ COLUMNS = {
     "op2_": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op3_": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     "op4_": ["doc_id", "n_shingles", "component_id", "kept"],
-    "op5_": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op5_": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found"],
     "op6_": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op7_": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op8_": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -63,5 +66,48 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    folder = Path(shared_folder(spark))
+    before = {p.name for p in folder.iterdir()}
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and {"doc_id", "sequence_id", "ids"} <= {*got.columns}
+    assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before} == {"pipeline"}
+
+
+ODD = "doc_id long, text string, row long, component_id string, kept string, predicted int"
+
+
+def odd_rows(spark):
+    good = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(2).collect()
+    long = " ".join(f"w{k}" for k in range(60_000))
+    texts = [(None, good[0].text), (None, good[0].text), (3, good[0].text), (3, good[1].text), (3, good[1].text), (9, None), (9, ""), (None, None), (4, long), (5, long + " x")]
+    return [(i, t, 1, "clash", "clash", 0) for i, t in texts], long
+
+
+def left(spark, stage, rows):
+    out = stage(spark, spark.createDataFrame(rows, ODD).repartition(3), SF)
+    assert out.columns == [c.split()[0] for c in ODD.split(", ")]
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null, empty and long texts, equal rows and clashing columns."""
+    rows, long = odd_rows(spark)
+    a, b = rows[0][1], rows[3][1]
+    plain = [(r[0], r[1]) for r in rows]
+    exact = left(spark, corpus_pipeline.exact_stage, rows)
+    assert len(exact) == 5 and {(3, a), (3, b), (4, long), (5, long + " x")} <= {*exact} and sum(not t for _, t in exact) == 1
+    near = left(spark, corpus_pipeline.near_stage, rows)
+    assert near == sorted([(3, a), (3, b), (9, None), (9, ""), (None, None), (4, long)], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    hit = [(None, item, 1, "", "", 0), (9, item, 1, "", "", 0)]
+    assert left(spark, corpus_pipeline.decontamination_stage, rows + hit) == sorted(plain, key=str)
+    junk = [(None, "### || ### || x9 || " * 40, 1, "", "", 0), (9, "### || ### || x9 || " * 40, 1, "", "", 0)]
+    kept = left(spark, corpus_pipeline.quality_stage, rows + junk)
+    assert not any("||" in (t or "") for _, t in kept) and {(None, a), (3, a), (3, b)} <= {*kept}
+    packed = corpus_pipeline.packing_stage(spark, spark.createDataFrame(rows, ODD), SF).collect()
+    assert sum(r.start == 0 for r in packed) == len(rows)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_an_empty_table(spark, name, stage):
+    assert stage(spark, spark.createDataFrame([], ODD), SF).collect() == []
