@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from folio.llm import textscan as ts
 from folio.llm.common import written
 
-SPAN, K = 20, 5
+SPAN, K = 20, 3
 #: k-grams of a window, and so the most windows of one passage.
 HELD = SPAN - K + 1
 #: A k-gram is frequent from so many occurrences on; with very many words the bound rises, so that at most FREQUENT are
@@ -36,9 +36,9 @@ HOT, FREQUENT = 10_000, 500_000
 #: k-grams that a task counts at a time; those it meets only once there are not reported.
 COUNTED = 1 << 20
 #: Bytes of text for each group of shards (a group's passages come to about three times that), and words of one shard.
-GROUP_BYTES, SHARD_WORDS = 8 << 20, 200_000
+GROUP_BYTES, SHARD_WORDS = 4 << 20, 200_000
 #: Frequent windows that a task remembers, to send only the first ones.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 SLICE_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -157,12 +157,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield often()
 
 
-_ROW = "kind int, shard int, docs binary, texts binary, starts binary, sizes binary, bytes binary, parts binary, words binary"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_ROW = "kind int, shard int, n int, places binary, words binary"
+#: What is known of each passage: document, text, first window, number of windows, bytes, part of the group.
+_PLACES = (("doc", np.int64), ("text", np.int64), ("start", np.int32), ("count", np.uint8), ("bytes", np.int32), ("part", np.uint8))
 
 
-def _row(kind: int, shard: int, *columns: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], _NAMES)
+def _row(kind: int, shard: int, columns: list[np.ndarray], words: bytes, pack: zstandard.ZstdCompressor) -> pa.RecordBatch:
+    raw = b"".join(x.astype(t).tobytes() for x, (_, t) in zip(columns, _PLACES, strict=True))
+    values = ((kind, pa.int32()), (shard, pa.int32()), (len(columns[0]), pa.int32()), (pack.compress(raw), pa.binary()), (pack.compress(words), pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in values], [x.split()[0] for x in _ROW.split(", ")])
+
+
+def _places(rows: pa.Table, which: np.ndarray, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+    """The columns of _PLACES of these rows, one after the other."""
+    out: list[list[np.ndarray]] = [[] for _ in _PLACES]
+    for i in which.tolist():
+        n, raw, at = rows.column("n")[i].as_py(), unpack.decompress(rows.column("places")[i].as_py()), 0
+        for column, (_, t) in zip(out, _PLACES, strict=True):
+            column.append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) for x in out]
 
 
 def _keys(w: ts.Words, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,20 +236,20 @@ def _passages(frequent, groups: int):
                 if known:
                     later = np.concatenate([later, known])
                     first = first[~np.isin(first, known)]
+                a, b = w.start[start], w.end[start + count + SPAN - 2]
+                part = key & np.uint64(0xFF)
+                columns = [own, text, begin, count, b - a, part]
                 if len(later):
-                    yield _row(1, -1, own[later].tobytes(), text[later].tobytes(), begin[later].astype(np.int32).tobytes(), count[later].astype(np.int32).tobytes(), b"", b"", b"")
-                shard = (key[first] >> np.uint64(20)) % np.uint64(groups)
-                first = first[np.argsort(shard, kind="stable")]
-                shard = np.sort(shard).astype(np.int64)
+                    yield _row(1, int(text[later[0]]) % groups, [x[later] for x in columns], b"", pack)
+                shard = ((key >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+                first = first[np.lexsort((begin[first], own[first], shard[first]))]
+                shard = shard[first]
                 cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                a, b = w.start[start], w.end[start + count + SPAN - 2]
                 for lo, hi in zip(cuts, [*cuts[1:], len(first)], strict=True):
                     which = first[lo:hi]
                     size = b[which] - a[which]
                     at = np.arange(size.sum()) + np.repeat(a[which] - (np.cumsum(size) - size), size)
-                    part = (key[which] & np.uint64(0xFFFF)).astype(np.uint16)
-                    columns = (own[which], text[which], begin[which].astype(np.int32), count[which].astype(np.int32), size.astype(np.int32), part)
-                    yield _row(0, int(shard[lo]), *(x.tobytes() for x in columns), pack.compress(s.data[at].tobytes()))
+                    yield _row(0, int(shard[lo]), [x[which] for x in columns], s.data[at].tobytes(), pack)
 
     return passages
 
@@ -258,8 +272,8 @@ def _judge(data: np.ndarray, ends: np.ndarray, doc: np.ndarray, text: np.ndarray
     if not len(at):
         return at, at
     owner = np.searchsorted(w.first, at, side="right") - 1
-    bits = min(16, max(0, int(len(at) // shard_words).bit_length()))
-    shards = part.astype(np.int64)[owner] >> (16 - bits)
+    bits = min(8, max(0, int(len(at) // shard_words).bit_length()))
+    shards = part.astype(np.int64)[owner] >> (8 - bits)
     place = at - w.first[owner]
     order = np.lexsort((place, owner, text[owner], start[owner], doc[owner], shards))
     at, owner, shards, place = at[order], owner[order], shards[order], place[order]
@@ -300,18 +314,14 @@ def _judged(shard_words: int):
     def judged(rows: pa.Table) -> pa.Table:
         schema = pa.schema([("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
         kind = rows.column("kind").to_numpy()
-
-        def joined(name: str, where: np.ndarray, dtype) -> np.ndarray:
-            column = rows.column(name)
-            return np.concatenate([np.frombuffer(column[int(i)].as_buffer(), dtype) for i in where])
-
+        unpack = zstandard.ZstdDecompressor()
         out = []
         known, asked = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
         if len(known):
-            out.append([joined(c, known, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("sizes", np.int32))])
+            doc, text, start, count, *_ = _places(rows, known, unpack)
+            out.append([doc, text, start, count.astype(np.int32)])
         if len(asked):
-            doc, text, start, size, part = (joined(c, asked, t) for c, t in (("docs", np.int64), ("texts", np.int64), ("starts", np.int32), ("bytes", np.int32), ("parts", np.uint16)))
-            unpack = zstandard.ZstdDecompressor()
+            doc, text, start, _, size, part = _places(rows, asked, unpack)
             data = np.frombuffer(b"".join(unpack.decompress(rows.column("words")[int(i)].as_py()) for i in asked), np.uint8)
             which, at = _judge(data, np.cumsum(size.astype(np.int64)), doc, text, start, part, shard_words)
             if len(which):
@@ -364,10 +374,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYT
     frequent = grams.where(F.col("n") >= max(hot, -(-total // FREQUENT))).select("gram").collect()  # at most FREQUENT of them
     listed = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in frequent], np.int64).view(np.uint64)))
     rows = docs.mapInArrow(_passages(listed, groups), _ROW)
-    spread = F.pmod(F.xxhash64("docs", "starts"), F.lit(groups)).cast("int")
-    salted = rows.withColumn("shard", F.when(F.col("kind") == 1, spread).otherwise(F.col("shard")))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
-    found = salted.repartition(parts, "shard").groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
+    found = rows.repartition(parts, "shard").groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
     return found.groupBy(F.col("doc").alias("doc_key"), F.col("text").alias("text_key")).agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
 
 
