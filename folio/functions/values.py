@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -123,3 +123,16 @@ def typed_predicate(field: Column, op: str, value) -> Column:
     if op not in tests:
         raise ValueError(f"unknown operator {op}")
     return F.coalesce(tests[op](), F.lit(False))
+
+
+def json_schema(fields: DataFrame, key: str) -> DataFrame:
+    """key, schema: the JSON Schema of each set of typed fields (key, name, kind, options); every value but a list may be null."""
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    options = F.array_join(F.transform("options", quoted), ",")
+    one = F.when(F.col("kind") == "multi_select", F.concat(F.lit('{"type":"array","items":{"type":"string","enum":['), options, F.lit("]}}")))
+    for kind, name in (("number", "number"), ("boolean", "boolean")):
+        one = one.when(F.col("kind") == kind, F.lit(f'{{"type":["{name}","null"]}}'))
+    one = one.when(F.col("kind") == "enum", F.concat(F.lit('{"type":["string","null"],"enum":['), options, F.lit(",null]}"))).otherwise(F.lit('{"type":["string","null"]}'))
+    listed = fields.select(key, F.struct(quoted(F.col("name")).alias("name"), one.alias("one")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    properties = F.array_join(F.transform("x", lambda x: F.concat(x["name"], F.lit(":"), x["one"])), ",")
+    return listed.select(key, F.concat(F.lit('{"type":"object","properties":{'), properties, F.lit('},"required":['), F.array_join(F.col("x.name"), ","), F.lit('],"additionalProperties":false}')).alias("schema"))

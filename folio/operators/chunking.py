@@ -186,6 +186,33 @@ def pack_sentences(text: str, most: int, overlap: int) -> list[str]:
     return [*chunks, " ".join(held)] if held else chunks
 
 
+def packed_sentences(text: Column, most: int = MOST_CHARS, overlap: int = 0) -> Column:
+    """What pack_sentences() makes of a text, as an array: the fold stays in the JVM."""
+    sentences = F.filter(F.split(tx.strip(text), rf"(?<=[.!?]){tx.SPACE}+"), lambda x: x != "")
+    parts = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda k: F.substr(s, k * most + 1, F.lit(most)))))
+    no_text = F.array().cast("array<string>")
+
+    def tail(held: Column) -> Column:
+        """The last sentences that fit the overlap."""
+
+        def back(s: Column, x: Column) -> Column:
+            size = s["size"] + F.length(x) + F.when(F.size(s["kept"]) > 0, 1).otherwise(0)
+            fits = s["open"] & (size <= overlap)
+            return F.struct(F.when(fits, F.concat(F.array(x), s["kept"])).otherwise(s["kept"]).alias("kept"), F.when(fits, size).otherwise(s["size"]).alias("size"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(held), F.struct(no_text.alias("kept"), F.lit(0).alias("size"), F.lit(True).alias("open")), back, lambda s: s["kept"])
+
+    def add(s: Column, x: Column) -> Column:
+        full = (F.size(s["held"]) > 0) & (F.length(F.array_join(s["held"], " ")) + 1 + F.length(x) > most)
+        kept = tail(s["held"]) if overlap else no_text
+        begun = F.when(F.length(F.array_join(kept, " ")) + 1 + F.length(x) <= most, F.concat(kept, F.array(x))).otherwise(F.array(x))
+        done = F.when(full, F.concat(s["done"], F.array(F.array_join(s["held"], " ")))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(full, begun).otherwise(F.concat(s["held"], F.array(x))).alias("held"))
+
+    last = lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(F.array_join(s["held"], " ")))).otherwise(s["done"])
+    return F.aggregate(parts, F.struct(no_text.alias("done"), no_text.alias("held")), add, last)
+
+
 def typed_parts(text: str) -> list[tuple[str, str]]:
     """(kind, text): runs of table lines, captions and prose of a section."""
     out: list[tuple[str, str]] = []
@@ -256,6 +283,28 @@ def chunks_of(text: str | None, most: int = MOST_CHARS, least: int = LEAST_CHARS
     return [{"place": k, "section": name, "text": p} for k, (name, p) in enumerate(out)]
 
 
+def sections(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, place, section, first_line, last_line: the sections of every document, lines counted from 0."""
+
+    @F.pandas_udf("array<struct<section:string,first_line:int,last_line:int>>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: [{"section": s, "first_line": a, "last_line": b} for s, a, b in sections_of(t or "")])
+
+    return rows.select(key, F.posexplode(udf(text)).alias("place", "s")).select(key, "place", "s.*")
+
+
+def references(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, place, entry: the entries of every reference list."""
+
+    @F.pandas_udf("array<string>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: split_references(t or ""))
+
+    return rows.select(key, F.posexplode(udf(text)).alias("place", "entry"))
+
+
 def chunked(rows: DataFrame, key: str, text: str, most: int = MOST_CHARS) -> DataFrame:
     """key, place, section, chunk_text, content_type: typed chunks of every document."""
 
@@ -270,22 +319,27 @@ def chunked(rows: DataFrame, key: str, text: str, most: int = MOST_CHARS) -> Dat
 
 def page_spans(pages: DataFrame, key: str, page: str, text: str, most: int = MOST_CHARS) -> DataFrame:
     """key, place, first_page, last_page, chunk_text: paragraphs packed across the pages of a document."""
-    schema = f"{key} {pages.schema[key].dataType.simpleString()}, place int, first_page int, last_page int, chunk_text string"
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, held, first, last = [], "", None, None
-        for p, body in frame.sort_values(page)[[page, text]].itertuples(index=False):
-            for part in (x.strip() for x in re.split(r"\n\s*\n", body or "") if x.strip()):
-                if held and len(held) + len(part) + 2 > most:
-                    rows.append((first, last, held))
-                    held = ""
-                first = p if not held else first
-                held, last = f"{held}\n\n{part}".strip(), p
-        if held:
-            rows.append((first, last, held))
-        return pd.DataFrame([(frame[key].iloc[0], k, *r) for k, r in enumerate(rows)], columns=[key, "place", "first_page", "last_page", "chunk_text"])
-
-    return pages.groupBy(key).applyInPandas(pack, schema)
+    parts = F.filter(F.transform(F.split(text, rf"\n{tx.SPACE}*\n"), tx.strip), lambda x: x != "")
+    own = pages.select(key, F.col(page).alias("p"), parts.alias("parts"))
+    ordered = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "parts"))).alias("pages"))
+    flat = F.flatten(F.transform("pages", lambda x: F.transform(x["parts"], lambda t: F.struct(x["p"].alias("p"), t.alias("t")))))
+    chunk = lambda s: F.array(F.struct(s["first"].alias("first_page"), s["last"].alias("last_page"), s["open"].alias("chunk_text")))
+
+    def add(s: Column, x: Column) -> Column:
+        full = (s["open"] != "") & (F.length(s["open"]) + F.length(x["t"]) + 2 > most)
+        fresh = full | (s["open"] == "")
+        return F.struct(
+            F.when(full, F.concat(s["done"], chunk(s))).otherwise(s["done"]).alias("done"),
+            F.when(fresh, x["p"]).otherwise(s["first"]).alias("first"),
+            x["p"].alias("last"),
+            F.when(fresh, x["t"]).otherwise(F.concat(s["open"], F.lit("\n\n"), x["t"])).alias("open"),
+        )
+
+    kind = pages.schema[page].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    start = F.struct(F.array().cast(f"array<struct<first_page:{kind},last_page:{kind},chunk_text:string>>").alias("done"), none.alias("first"), none.alias("last"), F.lit("").alias("open"))
+    packed = F.aggregate(flat, start, add, lambda s: F.when(s["open"] != "", F.concat(s["done"], chunk(s))).otherwise(s["done"]))
+    return ordered.select(key, F.posexplode(packed).alias("place", "c")).select(key, "place", "c.*")
 
 
 def with_overlap(chunks: DataFrame, key: str, tail: int = 80) -> DataFrame:

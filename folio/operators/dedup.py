@@ -12,6 +12,21 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list[Column | str], n
     return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = 4096) -> DataFrame:
+    """rows with the sum of `value` up to each, by the whole number `order` within the keys.
+
+    Two levels, so that a key with most of the rows is no task of its own:
+    sums of stretches of `width` numbers are added up first, then the rows of
+    each stretch.
+    """
+    cut = rows.withColumn("_stretch", F.floor(F.col(order) / width)).withColumn("_value", value)
+    sums = cut.groupBy(*keys, "_stretch").agg(F.sum("_value").alias("_sum"))
+    ahead = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(*keys, "_stretch", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    own = F.sum("_value").over(Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.join(before, [*keys, "_stretch"]).withColumn(name, F.col("_before") + own).drop("_stretch", "_value", "_before")
+
+
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the first in order.  An aggregate, so copies collapse before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

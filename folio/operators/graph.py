@@ -60,3 +60,11 @@ def ranked(node_rows: DataFrame, edges: DataFrame, question: str) -> DataFrame:
     shared_words = F.size(F.array_intersect(words, tx.simple_tokens(F.col("label"))))
     rows = node_rows.where("kind <> 'paper'").join(degrees(edges), "id", "left")
     return rows.select("id", "label", (shared_words * 10 + F.coalesce("degree", F.lit(0))).alias("rank"))
+
+
+def searched(node_rows: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Papers and the concepts whose label holds the text, without regard to case; and the links with both ends among them."""
+    shown = node_rows.where((F.col("kind") == "paper") | F.contains(F.lower("label"), F.lit(text.lower())))
+    ids = shown.select("id")
+    left = edges.join(ids.withColumnsRenamed({"id": "source"}), "source", "left_semi")
+    return shown, left.join(ids.withColumnsRenamed({"id": "target"}), "target", "left_semi").select("source", "target", "relation")

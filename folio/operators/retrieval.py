@@ -53,6 +53,14 @@ def expanded(words: list[str], concepts: list[str], most: int = 8) -> list[str]:
     return out
 
 
+def expanded_queries(queries: DataFrame, concepts: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """key, query: each query (key, query) with its best-ranked concepts (key, label, rank) that are none of its words."""
+    new = concepts.join(queries, key).where(~F.array_contains(F.split(F.lower("query"), " "), F.lower("label")))
+    best = top_per_group(new.dropDuplicates([key, "label"]), [key], [F.desc("rank"), F.col("label")], most)
+    added = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "label"))).alias("x"))
+    return queries.join(added, key, "left").select(key, F.concat_ws(" ", "query", F.array_join(F.col("x.label"), " ")).alias("query"))
+
+
 def reranked(rows: DataFrame, score: Column | None = None, least: float = 0.05) -> DataFrame:
     """Rows by a reranker's score; without one they keep their order."""
     return rows if score is None else rows.withColumn("rerank", score).where(F.col("rerank") >= least)

@@ -38,16 +38,29 @@ def valid_citations(paragraphs: DataFrame, known: DataFrame) -> DataFrame:
     return marked.groupBy("paragraph").agg(F.count("id").alias("cited"), F.coalesce(F.sum("ok"), F.lit(0)).alias("valid"))
 
 
+#: Parts into which the chunks of one source are dealt.
+PARTS = 32
+
+
 def grounded(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """key, claim, grounded: whether a numeric claim of a text stands in a chunk of the source it cites.
 
-    texts: key, source, text.  chunks: source, chunk_text.  Claims meet the
-    chunks of their own source alone, by an equi-join.
+    texts: key, source, text.  chunks: source, chunk_text.  The different
+    claims about a source are looked for once, in its chunks alone; a source's
+    chunks are dealt in parts, and a chunk looks for all its source's claims at
+    once, so no row of a claim and a chunk is made.
     """
     claims = texts.select("key", "source", F.explode(F.array_distinct(tx.numeric_claims(F.col("text")))).alias("claim"))
-    both = claims.join(chunks, "source", "left")
-    hit = F.exists(tx.claim_forms(F.col("claim")), lambda f: F.col("chunk_text").contains(f))
-    return both.groupBy("key", "claim").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("grounded"))
+    once = claims.select("source", "claim").distinct()
+    # a claim whose digits no chunk has is not looked for there: one list a source and first digit
+    lists = once.withColumn("digit", F.regexp_extract("claim", "[0-9]", 0)).groupBy("source", "digit").agg(F.collect_list(F.struct("claim", tx.claim_forms(F.col("claim")).alias("forms"))).alias("claims"))
+    part = F.pmod(F.xxhash64("chunk_text"), F.lit(PARTS)).cast("int")
+    dealt = chunks.select("source", "chunk_text", part.alias("part"), F.explode(F.array_distinct(F.regexp_extract_all("chunk_text", F.lit("[0-9]"), 0))).alias("digit"))
+    asked = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    both = dealt.join(asked, ["source", "digit", "part"])
+    hits = F.filter("claims", lambda c: F.exists(c["forms"], lambda f: F.contains(F.col("chunk_text"), f)))
+    found = both.select("source", F.explode(F.transform(hits, lambda c: c["claim"])).alias("claim")).distinct()
+    return claims.join(found.withColumn("hit", F.lit(True)), ["source", "claim"], "left").select("key", "claim", F.coalesce("hit", F.lit(False)).alias("grounded"))
 
 
 def gap_guard(gaps: DataFrame, evidence: DataFrame, known: DataFrame) -> DataFrame:

@@ -41,12 +41,13 @@ def _month_costs(spark, sf_dir, start="2024-01-01"):
     return e.select("ts", F.round(F.col("value") * 0.001, 6).alias("cost"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("context"))
 
 
-@query(f"SELECT '2024-01' AS month, round(coalesce(sum(cost), 0), 4) AS total, count(*) AS calls, round(coalesce(sum(cost), 0) / 10 * 31, 4) AS projected FROM {_COST}")
-def monthly_cost_report(spark, sf_dir, elapsed: int = 10):
-    """elapsed: days of the month gone by; the clock is the caller's."""
-    total = F.coalesce(F.sum("cost"), F.lit(0.0))
-    rows = _month_costs(spark, sf_dir)
-    return rows.agg(F.lit("2024-01").alias("month"), F.round(total, 4).alias("total"), F.count(F.lit(1)).alias("calls"), F.round(total / max(1, elapsed) * 31, 4).alias("projected"))
+@query(f"SELECT '2024-01' AS month, round(coalesce(sum(cost), 0), 4) AS total, count(*) AS calls, round(coalesce(sum(cost), 0) / greatest(1, date_diff('day', DATE '2024-01-01', DATE '2024-01-11')) * day(last_day(DATE '2024-01-01')), 4) AS projected FROM {_COST}")
+def monthly_cost_report(spark, sf_dir, start: str = "2024-01-01", now: str = "2024-01-11"):
+    """Costs of the month that begins at start, projected to its end from the days gone by; the clock is the caller's."""
+    first = F.lit(start).cast("date")
+    elapsed, days = F.greatest(F.lit(1), F.datediff(F.lit(now).cast("date"), first)), F.dayofmonth(F.last_day(first))
+    rows = _month_costs(spark, sf_dir, start).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("sum"), F.count(F.lit(1)).alias("calls"))
+    return rows.select(F.date_format(first, "yyyy-MM").alias("month"), F.round("sum", 4).alias("total"), "calls", F.round(F.col("sum") / elapsed * days, 4).alias("projected"))
 
 
 @query(f"SELECT 'context' AS dimension, coalesce(context, 'other') AS value, round(sum(cost), 4) AS cost, count(*) AS calls FROM {_COST} GROUP BY 2 UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d'), round(sum(cost), 4), count(*) FROM {_COST} GROUP BY 2")
@@ -138,10 +139,10 @@ def timeline_30d(spark, sf_dir):
     return days.join(F.broadcast(last), F.col("d") >= F.col("since")).select(F.col("d").cast("string").alias("day"), "n")
 
 
-@query("SELECT l_shipmode AS mode, rate FROM (SELECT l_linestatus AS l_shipmode, round(count(*) FILTER (l_returnflag = 'N') / nullif(count(*) FILTER (l_returnflag IN ('N', 'R')), 0)::DOUBLE, 3) AS rate FROM lineitem GROUP BY 1)")
+@query("SELECT l_shipmode AS mode, rate FROM (SELECT l_linestatus AS l_shipmode, round_even(count(*) FILTER (l_returnflag = 'N') / nullif(count(*) FILTER (l_returnflag IN ('N', 'R')), 0)::DOUBLE, 3) AS rate FROM lineitem GROUP BY 1)")
 def quality_rates(spark, sf_dir):
     done, decided = F.count_if(F.col("l_returnflag") == "N"), F.count_if(F.col("l_returnflag").isin("N", "R"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("mode")).agg(F.round(F.try_divide(done.cast("double"), decided), 3).alias("rate"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("mode")).agg(F.bround(F.try_divide(done.cast("double"), decided), 3).alias("rate"))
 
 
 _FIELD = "CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END"

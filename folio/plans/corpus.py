@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
@@ -20,7 +21,8 @@ _SENTENCE = rf"CASE WHEN {_CHARS} < 200 THEN 0.4 ELSE greatest(0.0, 1.0 - abs(1.
 _PARAGRAPH = f"least((len({_LINES}) - len({_FULL})) / len({_LINES}) / 0.15, 1.0)"
 _LINE = f"CASE WHEN len(list_filter({_FULL}, lambda x: length(x) < 20)) / len({_FULL}) > 0.5 THEN 0.3 WHEN len(list_filter({_FULL}, lambda x: length(x) > 400)) / len({_FULL}) > 0.6 THEN 0.5 ELSE 1.0 END"
 _STRUCTURE = f"CASE WHEN len({_FULL}) > 0 THEN 0.45 * ({_SENTENCE}) + 0.35 * {_PARAGRAPH} + 0.20 * ({_LINE}) ELSE 0 END::DOUBLE"
-_HIT = " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))), 0)" for p in tx.MOJIBAKE)
+_MARKS = (r"\x{fffd}", r"[\x{c3}\x{c2}][\x{80}-\x{bf}\x{2122}\x{d7}\x{f7}]", r'\x{e2}\x{20ac}[\x{2122}\x{153}\x{178}\x{a6}"]', r"\x{c2}[ \x{a1}-\x{ac}\x{ae}-\x{b9}]")
+_HIT = " + ".join(f"coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}'), lambda x: length(x))), 0)" for p in _MARKS)
 _MOJIBAKE = f"greatest(0.0, 1.0 - 50.0 * ({_HIT}) / length(text))::DOUBLE"
 _SHORT = f"len(list_filter({_TRIMMED}, lambda x: length(x) < 30)) / len({_TRIMMED})"
 _CITED = rf"(len(list_filter({_TRIMMED}, lambda x: regexp_matches(x, '^[A-Z][a-z]+([, \t]+[A-Z][a-z]+){{0,3}}[ \t]*[,.]'))) + len(list_filter({_TRIMMED}, lambda x: regexp_matches(x, '\([0-9]{{4}}\)|\[[0-9]+\]|et al\.?|\b[0-9]{{4}}\b[ \t]*[.,;:]?[ \t]*$')))) / len({_TRIMMED})"
@@ -69,6 +71,17 @@ def weakest_signal(spark, sf_dir):
     return s.groupBy(name.alias("weakest")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_PAGES = "(SELECT conv_id, turn, " + ", ".join(f"{v} AS {k}" for k, v in _SIGNALS.items()) + " FROM conversations WHERE length(text) > 0)"
+
+
+@query(f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, round({_SCORE}, 6) AS score FROM {_PAGES}")
+def page_scores(spark, sf_dir):
+    """The score of every page of a document, pages counted from 1 (turns stand for pages)."""
+    c = table(spark, sf_dir, "conversations").where(F.length("text") > 0).select("conv_id", "turn", *(f(F.col("text")).alias(k) for k, f in tx.SIGNALS.items()))
+    page = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.select("conv_id", page.cast("long").alias("page"), F.round(_score(), 6).alias("score"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, source, round({_SCORE}, 6) AS score FROM {_ALL})
 SELECT source, max_by(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score, max(score) < 0.6 AS fallback FROM s GROUP BY source""")
 def best_engine(spark, sf_dir):
@@ -94,7 +107,16 @@ def chunk_char_windows(spark, sf_dir):
     return c.select("doc_id", "start", F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
+_PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+_PIECES = f"flatten(list_transform({_PARAGRAPHS}, lambda p: list_transform(generate_series(0, ((length(p) - 1) // 2000)::BIGINT), lambda k: substring(p, (k * 2000 + 1)::INT, 2000))))"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_transform({_PIECES}, lambda p: struct_pack(done := []::VARCHAR[], open := p)) AS parts FROM documents),
+f AS (SELECT doc_id, list_reduce(parts, lambda a, x: CASE WHEN length(a.open) + length(x.open) < 2000 THEN struct_pack(done := a.done, open := a.open || chr(10) || chr(10) || x.open)
+ ELSE struct_pack(done := list_append(a.done, a.open), open := x.open) END) AS r FROM p WHERE len(parts) > 0),
+c AS (SELECT doc_id, list_append(r.done, r.open) AS chunks FROM f)
+SELECT doc_id, unnest(generate_series(0, len(chunks) - 1))::INT AS place, unnest(chunks) AS chunk FROM c""")
 def chunk_paragraphs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(chunking.packed_paragraphs(F.col("text"))).alias("place", "chunk"))
@@ -105,7 +127,14 @@ def chunk_sections(spark, sf_dir):
     return chunking.chunked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-@query()
+@query(rf"""WITH t AS (SELECT conv_id, turn::INT AS p, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\n\r\f\v]*\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS parts FROM conversations WHERE text IS NOT NULL),
+u AS (SELECT conv_id, p, unnest(parts) AS part, unnest(generate_series(1, len(parts))) AS i FROM t),
+g AS (SELECT conv_id, list(struct_pack(done := []::STRUCT("first" INT, "last" INT, body VARCHAR)[], "first" := p, "last" := p, open := part) ORDER BY p, i) AS parts FROM u GROUP BY conv_id),
+f AS (SELECT conv_id, list_reduce(parts, lambda a, x: CASE WHEN length(a.open) + length(x.open) + 2 > 2000
+ THEN struct_pack(done := list_append(a.done, struct_pack("first" := a."first", "last" := a."last", body := a.open)), "first" := x."first", "last" := x."last", open := x.open)
+ ELSE struct_pack(done := a.done, "first" := a."first", "last" := x."last", open := a.open || chr(10) || chr(10) || x.open) END) AS r FROM g),
+c AS (SELECT conv_id, list_append(r.done, struct_pack("first" := r."first", "last" := r."last", body := r.open)) AS chunks FROM f)
+SELECT conv_id, unnest(generate_series(0, len(chunks) - 1))::INT AS place, unnest(list_transform(chunks, lambda x: x."first")) AS first_page, unnest(list_transform(chunks, lambda x: x."last")) AS last_page, unnest(list_transform(chunks, lambda x: x.body)) AS chunk_text FROM c""")
 def chunk_page_spans(spark, sf_dir):
     """Turns stand for pages."""
     pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("page"), "text")
@@ -117,6 +146,56 @@ def chunk_overlap(spark, sf_dir):
     return chunking.with_overlap(chunking.chunked(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
+#: A paper around each text: a title and an author, an abstract in its heading's line, headings of every kind, and what must be none.
+_BODY = "replace(replace(text, '|', '/'), chr(9), ' ')"
+_PAPER = f"""concat('Some Title of a Paper', chr(10), '**Ann Lee**', chr(10), 'Abstract. We present it.', chr(10), '1 Introduction', chr(10), {_BODY}, chr(10), '2.3 ................ 7', chr(10), '## Related Work', chr(10), 'It is known.', chr(10),
+ 'EXPERIMENTAL RESULTS', chr(10), 'We show that the method is good', chr(10), '\\\\section{{Conclusion}}', chr(10), 'Copyright 2020 of nobody', chr(10), 'References', chr(10), '[1] A. B.')"""
+_N = "(len(string_split(text, chr(10))) - 1)::INT"
+
+
+@query(f"""SELECT doc_id, place, section, first_line, last_line FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4, 5])::INT AS place, unnest(['Abstract', 'Introduction', 'Related work', 'Experimental results', 'Conclusion', 'References']) AS section,
+ unnest([2, 3, 6 + {_N}, 8 + {_N}, 10 + {_N}, 12 + {_N}])::INT AS first_line, unnest([2, 5 + {_N}, 7 + {_N}, 9 + {_N}, 11 + {_N}, 13 + {_N}])::INT AS last_line FROM documents)""")
+def detect_sections(spark, sf_dir):
+    """Headings by name, number, mark, capitals and LaTeX command, around whole texts without headings of their own."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(_PAPER).alias("paper")))
+    return chunking.sections(d, "doc_id", "paper")
+
+
+@query("""SELECT doc_id, place, entry FROM (SELECT doc_id, unnest([0, 1, 2])::INT AS place, CASE doc_id % 3 WHEN 0 THEN unnest(['[1] Lee, A. On x.', '[2] ' || t, '[13] End.']) WHEN 1 THEN unnest(['Lee, A. (1999). On x.', 'Sun, B. and C. 2001. ' || t, 'Zhu, C. (2020). End.']) ELSE unnest(['on x', 'by ' || t, 'end']) END AS entry
+FROM (SELECT doc_id, 'z' || length(text) || chr(10) || '  more' AS t FROM documents))""")
+def split_references(spark, sf_dir):
+    """Reference lists with numbers, by author and year, and by paragraph."""
+    t = "concat('z', length(text), chr(10), '  more')"
+    lists = f"""CASE doc_id % 3 WHEN 0 THEN concat('[1] Lee, A. On x.', chr(10), '[2] ', {t}, chr(10), '[13] End.') WHEN 1 THEN concat('Lee, A. (1999). On x.', chr(10), 'Sun, B. and C. 2001. ', {t}, chr(10), 'Zhu, C. (2020). End.') ELSE concat('on x', chr(10), chr(10), 'by ', {t}, chr(10), ' ', chr(10), 'end') END"""
+    return chunking.references(table(spark, sf_dir, "documents").select("doc_id", F.expr(lists).alias("list")), "doc_id", "list")
+
+
+_SENTENCES = rf"list_filter(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_SENTENCE_PARTS = f"flatten(list_transform({_SENTENCES}, lambda p: list_transform(generate_series(0, ((length(p) - 1) // 400)::BIGINT), lambda k: substring(p, (k * 400 + 1)::INT, 400))))"
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, {_SENTENCE_PARTS} AS parts FROM documents),
+r AS (SELECT doc_id, parts, 1 AS i, [parts[1]] AS held, []::VARCHAR[] AS done FROM p WHERE len(parts) > 0
+UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN overfull THEN CASE WHEN length(array_to_string(tail, ' ')) + 1 + length(x) <= 400 THEN list_append(tail, x) ELSE [x] END ELSE list_append(held, x) END,
+ CASE WHEN overfull THEN list_append(done, array_to_string(held, ' ')) ELSE done END
+FROM (SELECT *, coalesce(list_max(list_filter(generate_series(1, len(held)), lambda k: length(array_to_string(held[len(held) - k + 1:], ' ')) <= 80)), 0) AS most, held[len(held) - most + 1:] AS tail
+ FROM (SELECT *, parts[i + 1] AS x, length(array_to_string(held, ' ')) + 1 + length(parts[i + 1]) > 400 AS overfull FROM r WHERE i < len(parts)))),
+c AS (SELECT doc_id, list_append(done, array_to_string(held, ' ')) AS chunks FROM r WHERE i = len(parts))
+SELECT doc_id, unnest(generate_series(0, len(chunks) - 1))::INT AS place, md5(unnest(chunks)) AS chunk_md5 FROM c""")
+def pack_sentences(spark, sf_dir):
+    """Sentences packed up to 400 characters, each chunk with up to 80 characters' worth of the sentences before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.packed_sentences(F.col("text"), 400, 80)).alias("place", "chunk"))
+    return d.select("doc_id", "place", F.md5("chunk").alias("chunk_md5"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role AS section, coalesce(text, '') AS body FROM conversations), l AS (SELECT *, lag(body) OVER (PARTITION BY conv_id, section ORDER BY turn) AS before FROM c)
+SELECT conv_id, turn, md5(CASE WHEN before IS NULL THEN body ELSE right(before, 80) || ' ' || body END) AS chunk_md5 FROM l""")
+def overlap_with_previous(spark, sf_dir):
+    """Each chunk after the end of the one before it in its section (turns stand for chunks, roles for sections)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), F.col("role").alias("section"), F.coalesce("text", F.lit("")).alias("chunk_text"))
+    return chunking.with_overlap(c, "conv_id").select("conv_id", F.col("place").alias("turn"), F.md5("chunk_text").alias("chunk_md5"))
+
+
 _SECTION = "CASE doc_id % 8 WHEN 0 THEN 'Abstract' WHEN 1 THEN '2. Related Work' WHEN 2 THEN 'Methods' WHEN 3 THEN 'Experimental Results' WHEN 4 THEN 'Limitations' WHEN 5 THEN 'References' WHEN 6 THEN 'Introduction' ELSE source END"
 
 
@@ -144,9 +223,9 @@ def boilerplate_lines(spark, sf_dir):
 _KIND = "CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'figure_caption' WHEN 2 THEN 'reference' ELSE 'narrative' END"
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(left(text, 40), '[A-Za-z0-9]+')) < CASE {_KIND} WHEN 'table' THEN 10 WHEN 'reference' THEN 3 ELSE 5 END AS low FROM documents")
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) < CASE {_KIND} WHEN 'table' THEN 10 WHEN 'reference' THEN 3 ELSE 5 END AS low FROM documents")
 def low_value_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.low_value(F.substring("text", 1, 40), F.expr(_KIND)).alias("low"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.low_value(F.col("text"), F.expr(_KIND)).alias("low"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) < CASE {_KIND} WHEN 'table' THEN 10 WHEN 'reference' THEN 3 ELSE 5 END AS low FROM documents")
@@ -157,7 +236,24 @@ def low_value_chunks_whole(spark, sf_dir):
 _TEXT = "CASE doc_id % 6 WHEN 0 THEN '$$E = mc^2$$ ' || text WHEN 1 THEN 'Figure 3: ' || text WHEN 2 THEN 'a | b' || chr(10) || text WHEN 3 THEN 'x = µ + 1' || chr(10) || 'y = ν − 2' || chr(10) || 'a ≤ b' ELSE text END"
 
 
-@query()
+_BARE_LINES = "string_split(b, chr(10))"
+_COMMANDS = r"\\(alpha|beta|gamma|delta|epsilon|theta|lambda|mu|nu|rho|sigma|tau|phi|varphi|chi|psi|omega|Omega|Lambda|frac|sqrt|sum|prod|int|partial|nabla|cdot|times|leq|geq|neq|approx|equiv)\b"
+_OPERATORS = r"[A-Za-zΑ-Ωα-ω0-9_)\]][ \t]*[=<>][ \t]*[-A-Za-zΑ-Ωα-ω0-9_(\[]|[+*/^-]"
+_SIGNS = "∑∏∫∂∇≈≠≤≥±×÷∞°′″πµνρσχψωΩΛγφϕθλ"
+_N_SIGNS = f"length(regexp_replace(x, '[^{_SIGNS}]', '', 'g'))"
+_IS_FORMULA = rf"""length(x) BETWEEN 2 AND 200 AND NOT regexp_matches(x, '(?i)^(figure|table|fig\.?|tab\.?)[ \t]*[0-9]')
+ AND ((regexp_matches(x, '{_COMMANDS}') AND regexp_matches(x, '{_OPERATORS}')) OR {_N_SIGNS} >= 3 OR ({_N_SIGNS} >= 1 AND regexp_matches(x, '{_OPERATORS}') AND length(x) <= 80)
+ OR (regexp_matches(x, '\([ \t]*[0-9]{{1,3}}[ \t]*\)') AND (regexp_matches(x, '{_OPERATORS}') OR regexp_matches(x, '{_COMMANDS}') OR {_N_SIGNS} > 0)))"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_STRIP.format(f'({_TEXT})')} AS b FROM documents),
+n AS (SELECT doc_id, b, len({_BARE_LINES}) AS n, len(list_filter({_BARE_LINES}, lambda x: regexp_matches(x, '[^ \t][ \t]{{2,}}[^ \t]'))) AS aligned,
+ list_filter(list_transform({_BARE_LINES}, lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS own,
+ length(regexp_replace(b, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) AS letters, length(regexp_replace(b, '[^{_SIGNS}=<>+*/^()\[\]{{}}|-]', '', 'g')) AS signs FROM t),
+e AS (SELECT *, len(list_filter(own, lambda x: {_IS_FORMULA})) AS formulas FROM n)
+SELECT doc_id, CASE WHEN regexp_matches(b, '(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)') THEN 'equation' WHEN regexp_matches(b, '(?i)^(figure|table|fig\.?|tab\.?)[ \t]*[0-9]') THEN 'figure_caption'
+ WHEN contains(b, '|') AND contains(b, chr(10)) THEN 'table' WHEN n >= 3 AND aligned / n > 0.4 THEN 'table' WHEN formulas >= 3 AND formulas / len(own) >= 0.5 THEN 'equation'
+ WHEN letters + signs > 50 AND signs >= 20 AND letters / (letters + signs) < 0.45 THEN 'equation' ELSE 'narrative' END AS kind FROM e""")
 def classify_chunk(spark, sf_dir):
     text = F.expr(_TEXT.replace("chr(10)", "'\\n'"))
     return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.chunk_kind(text).alias("kind"))

@@ -15,23 +15,22 @@ from folio.plans.retrieval import _duck_keyword
 from folio.sources import sinks
 from folio.sources.tables import fan_out, table, year_of
 
-_ANSWER = "concat('As shown [CITE:', doc_id, '] and [CITE: ', doc_id + 100000, ' ] by ', left(text, 10))"
+_ANSWER = "concat('As shown [CITE:', doc_id, '] and [CITE: ', doc_id + 100000, ' ] by ', text)"
 
 
-@query("SELECT doc_id, 'As shown [CITE:' || doc_id || '] and [citation removed] by ' || left(text, 10) AS answer FROM documents")
+@query("SELECT doc_id, 'As shown [CITE:' || doc_id || '] and [citation removed] by ' || text AS answer FROM documents")
 def sanitize_citations(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.known_citations(F.expr(_ANSWER), F.array(F.col("doc_id").cast("string"))).alias("answer"))
 
 
 @query("SELECT doc_id, md5('As shown [CITE:' || doc_id || '] and [citation removed] by ' || text) AS answer_md5 FROM documents")
 def sanitize_citations_whole(spark, sf_dir):
-    answer = F.expr(_ANSWER.replace("left(text, 10)", "text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.known_citations(answer, F.array(F.col("doc_id").cast("string")))).alias("answer_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.known_citations(F.expr(_ANSWER), F.array(F.col("doc_id").cast("string")))).alias("answer_md5"))
 
 
-@query("SELECT conv_id, turn, '- ' || left(text, 15) || ' done' AS answer FROM conversations")
+@query(f"SELECT conv_id, turn, '- ' || replace(regexp_replace(text, '{tx.DECORATION}', '', 'g'), '•', '-') || ' done' AS answer FROM conversations")
 def strip_emoji(spark, sf_dir):
-    raw = F.concat(F.lit("• "), F.substring("text", 1, 15), F.lit("\U0001f600✨ done"))
+    raw = F.concat(F.lit("• "), F.col("text"), F.lit("\U0001f600✨ done"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.plain_answer(raw).alias("answer"))
 
 
@@ -65,9 +64,12 @@ def extract_intent_label(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.intent_label(raw, ["CLICK", "VIEW"]).alias("label"))
 
 
-@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', '''')) AS html_md5 FROM pages""")
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', '''')
+ || ' Andr' || chr(233) || ' Bj' || chr(246) || 'rk ' || chr(128512) || ' ' || chr(8364) || ' &#1114112; &#xD800; &#; ' || chr(233)) AS html_md5 FROM pages""")
 def unescape_entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.unescaped_entities(F.col("html"))).alias("html_md5"))
+    """Named and numeric entities; numbers that are no character stay, and an escaped ampersand may make an entity."""
+    raw = F.concat("html", F.lit(" Andr&#233; Bj&#xF6;rk &#x1F600; &#8364; &#1114112; &#xD800; &#; &amp;#233;"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.unescaped_entities(raw)).alias("html_md5"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 0 ELSE year(o_orderdate)::INT END AS year FROM orders")

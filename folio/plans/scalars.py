@@ -74,12 +74,12 @@ _MARKED = "concat('**', left(text, 10), '** and *', substring(text, 11, 8), '* `
 _STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\*\*([^*\n]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '`([^`\n]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
 
 
-@query(f"SELECT doc_id, {_STRIPPED.format(_MARKED)} AS plain FROM documents")
-def strip_markdown(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.strip_markdown(F.expr(_MARKED)).alias("plain"))
+_MARKED_WHOLE = f"concat(text, ' ', {_MARKED})"
 
 
-_MARKED_WHOLE = f"concat(text, ' ', {_MARKED})"
+@query(f"SELECT doc_id, {_STRIPPED.format(_MARKED_WHOLE)} AS plain FROM documents")
+def strip_markdown(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.strip_markdown(F.expr(_MARKED_WHOLE)).alias("plain"))
 
 
 @query(f"SELECT doc_id, md5({_STRIPPED.format(_MARKED_WHOLE)}) AS plain_md5 FROM documents")
@@ -99,7 +99,7 @@ def strip_layout(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_layout(F.col("text"))).alias("body_md5"))
 
 
-_LEAKED = "concat(left(text, 20), ' [12345678-abcd-4abc-8abc-1234567890ab, 12345678-ABCD-4abc-8abc-1234567890ac] mid (12345678-abcd-4abc-8abc-1234567890ab), bare 12345678-abcd-4abc-8abc-1234567890ab.')"
+_LEAKED = "concat(text, ' [12345678-abcd-4abc-8abc-1234567890ab, 12345678-ABCD-4abc-8abc-1234567890ac] mid (12345678-abcd-4abc-8abc-1234567890ab), bare 12345678-abcd-4abc-8abc-1234567890ab.')"
 _U = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
@@ -108,12 +108,9 @@ def strip_uuids(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.strip_uuids(F.expr(_LEAKED)).alias("clean"))
 
 
-_LEAKED_WHOLE = _LEAKED.replace("left(text, 20)", "text")
-
-
-@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LEAKED_WHOLE}, '(?i)[ ]*\[[ ]*{_U}([ ]*,[ ]*{_U})*[ ]*\]', '', 'g'), '(?i)[ ]*\({_U}\)', '', 'g'), '(?i)[ ]*{_U}', '', 'g'), '[ ]+([,.;])', '\1', 'g'), '[ ]{{2,}}', ' ', 'g')) AS clean_md5 FROM documents""")
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_LEAKED}, '(?i)[ ]*\[[ ]*{_U}([ ]*,[ ]*{_U})*[ ]*\]', '', 'g'), '(?i)[ ]*\({_U}\)', '', 'g'), '(?i)[ ]*{_U}', '', 'g'), '[ ]+([,.;])', '\1', 'g'), '[ ]{{2,}}', ' ', 'g')) AS clean_md5 FROM documents""")
 def strip_uuids_whole(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_uuids(F.expr(_LEAKED_WHOLE))).alias("clean_md5"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_uuids(F.expr(_LEAKED))).alias("clean_md5"))
 
 
 @query(r"""WITH h AS (SELECT p_partkey, concat('## ', p_partkey % 9, '.', p_partkey % 4, ' ', p_type, '  ', p_name, ':') AS x FROM part),
@@ -146,12 +143,12 @@ def normalize_whitespace(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(tx.normal_space(F.col("text"))).alias("text_md5"))
 
 
-@query("""SELECT doc_id, '[' || doc_id || '] ' || coalesce(nullif(source, ''), 'Unknown author') || ' (' || CASE WHEN doc_id % 7 = 0 THEN 'n.d.' ELSE (2000 + doc_id % 25)::VARCHAR END || '). *' || left(text, 20) || '*' || CASE WHEN doc_id % 3 = 0 THEN ' · [Link](http://d/' || doc_id || ')' ELSE '' END AS line FROM documents""")
+@query("""SELECT doc_id, '[' || doc_id || '] ' || coalesce(nullif(source, ''), 'Unknown author') || ' (' || CASE WHEN doc_id % 7 = 0 THEN 'n.d.' ELSE (2000 + doc_id % 25)::VARCHAR END || '). *' || text || '*' || CASE WHEN doc_id % 3 = 0 THEN ' · [Link](http://d/' || doc_id || ')' ELSE '' END AS line FROM documents""")
 def format_reference(spark, sf_dir):
     year = F.when(F.col("doc_id") % 7 == 0, "n.d.").otherwise((F.col("doc_id") % 25 + 2000).cast("string"))
     link = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" · [Link](http://d/"), F.col("doc_id"), F.lit(")"))).otherwise("")
     author = F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown author"))
-    line = F.concat(F.lit("["), F.col("doc_id"), F.lit("] "), author, F.lit(" ("), year, F.lit("). *"), F.substring("text", 1, 20), F.lit("*"), link)
+    line = F.concat(F.lit("["), F.col("doc_id"), F.lit("] "), author, F.lit(" ("), year, F.lit("). *"), F.col("text"), F.lit("*"), link)
     return docs(spark, sf_dir).select("doc_id", line.alias("line"))
 
 
@@ -161,21 +158,21 @@ COMMENTARY_TITLES = ("blog", "leaderboard", "vendor benchmark")
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(u, 'agentmarketcap\\.ai|appxlab\\.io|awesomeagents\\.ai|digitalapplied\\.com|easycoding\\.tools|lunexcoding\\.com|medium\\.com|particula\\.tech|pith\\.science') OR regexp_matches(h, 'blog|leaderboard|vendor benchmark') THEN 'industry_commentary' ELSE 'scholarly' END AS reference_group
-FROM (SELECT page_id, lower(CASE WHEN page_id % 5 = 0 THEN 'https://medium.com/x' ELSE url END) AS u, lower(CASE WHEN page_id % 11 = 0 THEN 'A Leaderboard' ELSE left(html, 40) END) AS h FROM pages)""")
+FROM (SELECT page_id, lower(CASE WHEN page_id % 5 = 0 THEN 'https://medium.com/x' ELSE url END) AS u, lower(CASE WHEN page_id % 11 = 0 THEN 'A Leaderboard' ELSE html END) AS h FROM pages)""")
 def classify_reference(spark, sf_dir):
     url = F.lower(F.when(F.col("page_id") % 5 == 0, "https://medium.com/x").otherwise(F.col("url")))
-    title = F.lower(F.when(F.col("page_id") % 11 == 0, "A Leaderboard").otherwise(F.substring("html", 1, 40)))
+    title = F.lower(F.when(F.col("page_id") % 11 == 0, "A Leaderboard").otherwise(F.col("html")))
     group = F.when(url.rlike(tx.any_of(COMMENTARY_HOSTS)) | title.rlike(tx.any_of(COMMENTARY_TITLES)), "industry_commentary").otherwise("scholarly")
     return table(spark, sf_dir, "pages").select("page_id", group.alias("reference_group"))
 
 
-_SAID = "CASE event_id % 8 WHEN 0 THEN 'List my projects' WHEN 1 THEN 'find papers about LLM evaluation' WHEN 2 THEN 'write me a report' WHEN 3 THEN ' help me ' WHEN 4 THEN 'search papers about X, then generate matrix' WHEN 5 THEN 'compare my papers' WHEN 6 THEN 'What does paper 3 say about it' ELSE event_type END"
+_SAID = "CASE event_id % 8 WHEN 0 THEN concat('List', chr(9), 'my ', chr(10), 'projects') WHEN 1 THEN 'find papers about LLM evaluation' WHEN 2 THEN 'write me a report' WHEN 3 THEN ' help me ' WHEN 4 THEN 'search papers about X, then generate matrix' WHEN 5 THEN 'compare my papers' WHEN 6 THEN 'What does paper 3 say about it' ELSE event_type END"
 
 
-@query(rf"""SELECT event_id, CASE WHEN regexp_matches(m, '^(list|show|get|view|display)[ ]+(my[ ]+)?(projects?|papers?|reports?|gaps?|conflicts?|matrices?|results?)\b') THEN 'DIRECT_LIST'
-WHEN regexp_matches(m, '^(compare|analyze|evaluate|assess)[ ]+(my[ ]+)?papers?') THEN 'ANALYZE' WHEN regexp_matches(m, '\bthen\b|\band\b.*\b(search|generate|detect|analyze|compare|write)\b') THEN 'COMPLEX'
-WHEN regexp_matches(m, '^(search|find|look[ ]+up|lookup)[ ]+(for[ ]+)?papers?') THEN 'SEARCH' WHEN regexp_matches(m, '^(write|generate|create|make)[ ]+(me[ ]+)?a?[ ]*(report|summary|literature[ ]+review|overview)') THEN 'REPORT'
-WHEN regexp_matches(m, 'what[ ]+does[ ]+.+[ ]say[ ]+about') THEN 'RAG_QA' WHEN regexp_matches(m, '^(help me|i want something|do something|help|idk)$') THEN 'AMBIGUOUS' END AS intent FROM (SELECT event_id, lower(trim({_SAID})) AS m FROM events)""")
+@query(rf"""SELECT event_id, CASE WHEN regexp_matches(m, '^(list|show|get|view|display)[ \t\n\r\f\v]+(my[ \t\n\r\f\v]+)?(projects?|papers?|reports?|gaps?|conflicts?|matrices?|results?)\b') THEN 'DIRECT_LIST'
+WHEN regexp_matches(m, '^(compare|analyze|evaluate|assess)[ \t\n\r\f\v]+(my[ \t\n\r\f\v]+)?papers?') THEN 'ANALYZE' WHEN regexp_matches(m, '\bthen\b|\band\b.*\b(search|generate|detect|analyze|compare|write)\b') THEN 'COMPLEX'
+WHEN regexp_matches(m, '^(search|find|look[ \t\n\r\f\v]+up|lookup)[ \t\n\r\f\v]+(for[ \t\n\r\f\v]+)?papers?') THEN 'SEARCH' WHEN regexp_matches(m, '^(write|generate|create|make)[ \t\n\r\f\v]+(me[ \t\n\r\f\v]+)?a?[ \t\n\r\f\v]*(report|summary|literature[ \t\n\r\f\v]+review|overview)') THEN 'REPORT'
+WHEN regexp_matches(m, 'what[ \t\n\r\f\v]+does[ \t\n\r\f\v]+(paper[ \t\n\r\f\v]+[A-Za-z0-9_-]+|["'']?[^"'']+["'']?)[ \t\n\r\f\v]+say[ \t\n\r\f\v]+about') THEN 'RAG_QA' WHEN regexp_matches(m, '^(help me|i want something|do something|help|idk)$') THEN 'AMBIGUOUS' END AS intent FROM (SELECT event_id, lower(trim({_SAID})) AS m FROM events)""")
 def intent_classify(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tx.intent(F.expr(_SAID)).alias("intent"))
 
@@ -332,9 +329,9 @@ def validate_enum(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "AUTOMOBILE"), "accepted").otherwise("quarantined").alias("status"))
 
 
-@query(r"""SELECT doc_id, len(w) < 6 AND len(list_intersect(w, ['the', 'of', 'la'])) = 0 AS off_topic FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(left(text, 12)), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents)""")
+@query(r"""SELECT doc_id, len(w) < 6 AND len(list_intersect(w, ['the', 'of', 'la'])) = 0 AS off_topic FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents)""")
 def offtopic_flag(spark, sf_dir):
-    own = tx.words(F.lower(F.substring(F.col("text"), 1, 12)))
+    own = tx.words(F.lower(F.col("text")))
     return docs(spark, sf_dir).select("doc_id", ((F.size(own) < 6) & ~F.arrays_overlap(own, F.array(F.lit("the"), F.lit("of"), F.lit("la")))).alias("off_topic"))
 
 
@@ -344,14 +341,21 @@ def offtopic_flag_whole(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", ((F.size(own) < 6) & ~F.arrays_overlap(own, F.array(F.lit("the"), F.lit("of"), F.lit("la")))).alias("off_topic"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 's' || doc_id END, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lower(trim(left(text, 20)))) AS key FROM documents""")
+@query("""SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 's' || doc_id END, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lower(trim(text))) AS key FROM documents""")
 def canonical_key(spark, sf_dir):
     s2 = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("s"), F.col("doc_id")))
     arxiv = F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source"))
-    return docs(spark, sf_dir).select("doc_id", F.coalesce(F.nullif(s2, F.lit("")), F.nullif(arxiv, F.lit("")), F.lower(F.trim(F.substring(F.col("text"), 1, 20)))).alias("key"))
+    return docs(spark, sf_dir).select("doc_id", F.coalesce(F.nullif(s2, F.lit("")), F.nullif(arxiv, F.lit("")), F.lower(F.trim(F.col("text")))).alias("key"))
 
 
 @query("""SELECT c_custkey, i::INT AS place, CASE WHEN i < 2 THEN ['high', 'low'][i + 1] ELSE 'medium' END AS score FROM customer, (SELECT unnest([0, 1, 2]) AS i)""")
 def array_align_default(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.array(F.lit("high"), F.lit("low")).alias("scores"), F.posexplode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("place", "hit"))
     return rows.select("c_custkey", "place", F.coalesce(F.get("scores", F.col("place")), F.lit("medium")).alias("score"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'low' ELSE 'medium' END AS confidence FROM events")
+def map_confidence(spark, sf_dir):
+    """A stated confidence as one of three; what is none of them is medium."""
+    raw = F.when(F.col("event_type") == "purchase", " HIGH").when(F.col("event_type") == "click", "Low ").when(F.col("event_type") == "view", "quite sure")
+    return table(spark, sf_dir, "events").select("event_id", tx.mapped_confidence(raw).alias("confidence"))

@@ -13,9 +13,49 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
-@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) <= 3 AS accepted FROM events")
+_NUMBERED = "e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED},
+r AS (SELECT event_id, user_id, n, 0::BIGINT AS in_window, true AS accepted, list_value(us) AS taken FROM e WHERE n = 1
+UNION ALL SELECT event_id, user_id, n, len(held)::BIGINT, len(held) < 3, CASE WHEN len(held) < 3 THEN list_append(held, us) ELSE held END
+FROM (SELECT e.*, list_filter(r.taken, lambda t: t > e.us - 604800000000) AS held FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id, user_id, in_window, accepted FROM r""")
 def sliding_rate_limit(spark, sf_dir):
-    return ev.attempts(events(spark, sf_dir), 86_400).select("event_id", "user_id", "in_window", (F.col("in_window") <= 3).alias("accepted"))
+    """At most three accepted events of a user in a week before each; refused ones do not count."""
+    return ev.accepted(events(spark, sf_dir), 3, 7 * 86_400)
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS attempts FROM events")
+def sliding_attempts(spark, sf_dir):
+    """All events of a user in the day that ends with each, refused or not."""
+    return ev.attempts(events(spark, sf_dir), 86_400).select("event_id", "user_id", F.col("in_window").alias("attempts"))
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED},
+r AS (SELECT event_id, user_id, n, us, true AS accepted, 1.0::DOUBLE AS left_over FROM e WHERE n = 1
+UNION ALL SELECT event_id, user_id, n, us, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END
+FROM (SELECT e.*, least(2.0, r.left_over + (e.us - r.us) / 1000000.0::DOUBLE * 0.000003::DOUBLE) AS have FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id, user_id, accepted FROM r""")
+def token_bucket(spark, sf_dir):
+    """Two tokens for each user, of which one comes back in about four days."""
+    return ev.taken_tokens(events(spark, sf_dir), 2.0, 0.000003)
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS step,
+ (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id, date_trunc('day', ts))) / 1000000.0 AS elapsed FROM events)
+SELECT event_id, step::INT AS step, step < 15 AND elapsed < 600 AS goes_on FROM s""")
+def session_limits(spark, sf_dir):
+    """A user's day is a session, which ends at 15 steps or after ten minutes."""
+    rows = events(spark, sf_dir).withColumn("session", F.date_trunc("day", "ts"))
+    return ev.bounded(rows).select("event_id", "step", "goes_on")
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'interaction' WHEN event_type = 'error' THEN 'failure' ELSE 'other' END AS kind,
+ CASE WHEN event_type IN ('click', 'view') THEN json_extract(props, '$.k')::BIGINT END AS target, CASE WHEN event_type = 'error' THEN round(value, 2) END AS code FROM events""")
+def typed_event_log(spark, sf_dir):
+    """The session log: each event carries the fields of its own type alone."""
+    return ev.typed(events(spark, sf_dir))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2")

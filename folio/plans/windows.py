@@ -10,12 +10,12 @@ from folio.operators import dedup
 from folio.plans.registry import query
 from folio.sources.tables import table
 
-_KEY = "coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE sha256(text) END, ''), lower(trim(left(text, 60))))"
+_KEY = "coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE sha256(text) END, ''), lower(trim(text)))"
 
 
 def _keyed(spark, sf_dir):
     strong = F.nullif(F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.sha2("text", 256)), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(strong, F.lower(F.trim(F.substring("text", 1, 60)))).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(strong, F.lower(F.trim("text"))).alias("key"))
 
 
 @query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) = 1")
@@ -34,6 +34,13 @@ def dedup_title_prefix(spark, sf_dir):
     return d.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY left(text, 80)")
+def dedup_title_prefix_case(spark, sf_dir):
+    """The variant with a key of 80 characters as they are: a title's beginning is the key."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("key"))
+    return d.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
 _CONF = "CASE event_type WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'medium' ELSE 'low' END"
 
 
@@ -59,8 +66,8 @@ def reference_numbering(spark, sf_dir):
 @query("SELECT doc_id, source, used::BIGINT AS used FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 30000")
 def context_budget(spark, sf_dir):
     """Blocks of each source while they fit the budget; the first that does not ends the list."""
-    used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", used.alias("used")).where("used <= 30000")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return dedup.running_sum(d, ["source"], "doc_id", F.col("n_chars"), "used").where("used <= 30000").select("doc_id", "source", "used")
 
 
 @query("""WITH m AS (SELECT conv_id, turn, role, CASE WHEN length(text) > 1200 THEN left(text, 1200) || '...' ELSE text END AS body FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8)
@@ -99,8 +106,8 @@ def query_terms(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey)) - 1) // 12 AS batch FROM orders")
 def batch_assign(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor((n - 1) / 12).cast("long").alias("batch"))
+    o = dedup.running_sum(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], "o_orderkey", F.lit(1).cast("long"), "n")
+    return o.select("o_orderkey", "o_orderstatus", F.floor((F.col("n") - 1) / 12).cast("long").alias("batch"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, len(string_split(text, chr(10))) AS n FROM documents),

@@ -12,6 +12,11 @@ def cell(frame: DataFrame, name: str) -> Column:
     return F.to_json(name) if kind.startswith(("array", "struct", "map")) else F.col(name).cast("string")
 
 
+def csv_lines(frame: DataFrame) -> DataFrame:
+    """line: each row as CSV, quoted where it must be."""
+    return frame.select(F.to_csv(F.struct(*(cell(frame, c).alias(c) for c in frame.columns))).alias("line"))
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     frame.select(*(cell(frame, c).alias(c) for c in frame.columns)).write.option("header", True).csv(path)
 
@@ -35,6 +40,11 @@ def refresh(frame: DataFrame, path: str, keys: list[str]) -> None:
     frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def refreshed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """What refresh() leaves: the old rows of other keys, and all new rows; keys are few."""
+    return old.join(F.broadcast(new.select(*keys).distinct()), keys, "left_anti").unionByName(new)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of old with the same key."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

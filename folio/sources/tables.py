@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
+from folio.functions.text import unescaped_entities
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +28,16 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str, categories: list[str] | None = None) -> DataFrame:
     """Records of a JSON-lines file; blank and malformed lines are dropped, and records outside the categories."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return in_categories(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), categories)
+
+
+def parsed_lines(lines: DataFrame, schema: str, categories: list[str] | None = None) -> DataFrame:
+    """The same from a column `value` of lines; a malformed line has no field at all."""
+    rows = lines.where(tx.strip(F.col("value")) != "").select(F.from_json("value", schema).alias("row")).select("row.*")
+    return in_categories(rows.dropna("all"), categories)
+
+
+def in_categories(rows: DataFrame, categories: list[str] | None) -> DataFrame:
     if categories is None:
         return rows
     return rows.where(F.arrays_overlap(F.split("categories", " "), F.array(*map(F.lit, categories))))
@@ -39,24 +53,58 @@ def blank_to_null(value: Column) -> Column:
 
 def scholarly_hits(spark: SparkSession, path: str) -> DataFrame:
     """Search hits of a JSON API, one object a line, as PAPER."""
+    return parsed_hits(spark.read.text(path))
+
+
+def parsed_hits(lines: DataFrame) -> DataFrame:
+    """The same from a column `value` of lines; lines that are no object, or have no title, are left out."""
     schema = "title string, abstract string, year int, venue string, url string, externalIds struct<DOI:string,ArXiv:string>, authors array<struct<name:string>>"
-    hits = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    hits = lines.select(F.from_json("value", schema).alias("hit")).where("hit.title IS NOT NULL").select("hit.*")
     return hits.select(
         F.lit("semantic_scholar").alias("source"), "title", "abstract", "year", blank_to_null(F.col("venue")).alias("venue"),
         F.col("externalIds.DOI").alias("doi"), F.col("externalIds.ArXiv").alias("arxiv_id"), "url", F.col("authors.name").alias("authors"),
     )
 
 
+def author_names(names: Column) -> Column:
+    """Names of a comma-separated list, trimmed, without blank ones."""
+    return F.filter(F.transform(F.split(names, ","), tx.strip), lambda x: x != "")
+
+
+def web_hits(lines: DataFrame) -> DataFrame:
+    """Answers of a web search, one JSON object with a list of results a row, as PAPER, in the order of the answer's places."""
+    schema = "results array<struct<title:string,url:string,publishedDate:string,author:string,text:string>>"
+    hits = lines.select(F.explode(F.from_json("value", schema)["results"]).alias("hit")).select("hit.*").where("title IS NOT NULL AND url IS NOT NULL")
+    none = F.lit(None).cast("string")
+    return hits.select(
+        F.lit("web").alias("source"), tx.strip(F.col("title")).alias("title"), F.col("text").alias("abstract"), year_of(F.col("publishedDate")).alias("year"), none.alias("venue"),
+        none.alias("doi"), none.alias("arxiv_id"), "url", F.coalesce(author_names(F.col("author")), F.array().cast("array<string>")).alias("authors"),
+    )
+
+
+def xml_body(document: Column) -> Column:
+    """Text of an article's <body> as Markdown: titles as headings, paragraphs apart, other marks left out; null without a body."""
+    body = F.regexp_extract(document, r"(?s)<body[^>]*>(.*?)</body>", 1)
+    marked = F.regexp_replace(F.regexp_replace(body, r"(?s)<title[^>]*>(.*?)</title>", "\n\n## $1\n\n"), r"</?(p|sec|list|list-item|table|fig)\b[^>]*>", "\n\n")
+    plain = unescaped_entities(F.regexp_replace(marked, r"<[^>]*>", ""))
+    parts = F.filter(F.transform(F.split(plain, "\n{2,}"), tx.squeeze), lambda x: x != "")
+    return F.nullif(F.array_join(parts, "\n\n"), F.lit(""))
+
+
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom feeds (one file a row), as PAPER; an entry's id loses its version."""
-    feeds = spark.read.text(path, wholetext=True)
+    """Entries of Atom feeds (one file a row), as PAPER."""
+    return parsed_entries(spark.read.text(path, wholetext=True))
+
+
+def parsed_entries(feeds: DataFrame) -> DataFrame:
+    """Entries of the feeds in the column `value`, entities read; an entry's id loses its version."""
     entry = feeds.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<entry>(.*?)</entry>"), 1)).alias("entry"))
-    field = lambda name: F.nullif(tx.squeeze(F.regexp_extract("entry", rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1)), F.lit(""))
+    field = lambda name: F.nullif(tx.squeeze(unescaped_entities(F.regexp_extract("entry", rf"(?s)<{name}[^>]*>(.*?)</{name}>", 1))), F.lit(""))
     number = F.split_part(F.split_part(field("id"), F.lit("/abs/"), F.lit(2)), F.lit("v"), F.lit(1))
     return entry.select(
         F.lit("arxiv").alias("source"), field("title").alias("title"), field("summary").alias("abstract"),
         F.substring(field("published"), 1, 4).try_cast("int").alias("year"), F.lit(None).cast("string").alias("venue"), field("arxiv:doi").alias("doi"),
-        number.alias("arxiv_id"), field("id").alias("url"), F.transform(F.regexp_extract_all("entry", F.lit(r"(?s)<name>(.*?)</name>"), 1), tx.squeeze).alias("authors"),
+        number.alias("arxiv_id"), field("id").alias("url"), F.transform(F.regexp_extract_all("entry", F.lit(r"(?s)<name>(.*?)</name>"), 1), lambda x: tx.squeeze(unescaped_entities(x))).alias("authors"),
     )
 
 
@@ -73,7 +121,11 @@ def rebuilt_text(index: Column) -> Column:
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded text files: path, text, status (`ocr_required` under 50 characters)."""
-    raw = spark.read.format("binaryFile").load(path)
+    return scanned(spark.read.format("binaryFile").load(path))
+
+
+def scanned(raw: DataFrame) -> DataFrame:
+    """The same from rows (path, content)."""
     body = F.decode("content", "UTF-8")
     return raw.select("path", body.alias("text"), F.when(F.length(tx.strip(body)) < 50, "ocr_required").otherwise("completed").alias("status"))
 
@@ -95,6 +147,23 @@ def strongest_id(papers: DataFrame) -> Column:
     return F.coalesce(blank_to_null(papers["arxiv_id"]), blank_to_null(papers["doi"]), F.lower(tx.strip(papers["title"])))
 
 
+class Source(NamedTuple):
+    """A place to search: its name, and how its papers (PAPER) are read.  `rows` reads lazily, so a search's filters reach the scan."""
+
+    name: str
+    rows: Callable[[SparkSession], DataFrame]
+
+    def search(self, spark: SparkSession, words: list[str], limit: int = 25, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
+        return search(self.rows(spark), words, limit, year_from, year_to)
+
+
+def search_all(spark: SparkSession, sources: list[Source], words: list[str], limit: int = 25, each: int = 25) -> DataFrame:
+    """Hits of several sources, a source only as far as those before it left room: place, then the order within the source."""
+    marked = [s.search(spark, words, each).withColumn("place", F.lit(k)) for k, s in enumerate(sources)]
+    every = reduce(DataFrame.unionByName, marked)  # at most `each` rows of each source
+    return every.orderBy("place", F.col("year").desc_nulls_last(), "title", "url").limit(limit)
+
+
 def fan_out(results: list[DataFrame]) -> DataFrame:
     """Rows of several sources, each paper once: that of the source named first."""
     every = None

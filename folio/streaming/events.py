@@ -6,6 +6,7 @@ Every operator takes any DataFrame, streaming or not, unless it says otherwise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,46 +52,138 @@ def attempts(events: DataFrame, seconds: int = 3600) -> DataFrame:
     return events.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
-def _by_user(events: DataFrame, step, schema: str, state: str) -> DataFrame:
-    return events.groupBy("user_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+class SlidingLimit(NamedTuple):
+    """A sliding window's limit: at most `most` accepted events in `seconds`, whose far edge does not count."""
 
+    most: int
+    seconds: float
 
-def limited(events: DataFrame, most: int = 100, seconds: int = 3600) -> DataFrame:
-    """Stream: accepted or refused, by the number of accepted events in the window before each; refused ones do not count."""
+    def verdict(self, taken: list[int], at: int) -> tuple[list[int], int, bool]:
+        """Times accepted so far, how many of them the window before `at` holds, and whether one more is accepted."""
+        taken = [t for t in taken if t > at - self.seconds * 1_000_000]
+        held, accepted = len(taken), len(taken) < self.most
+        return ([*taken, at] if accepted else taken), held, accepted
+
+
+class Bucket(NamedTuple):
+    """A token bucket: an event takes one token, `refill` tokens come back each second, up to `capacity`."""
+
+    capacity: float
+    refill: float
+
+    def verdict(self, left: float, last: int | None, at: int) -> tuple[float, bool]:
+        left = min(self.capacity, left + (0 if last is None else max(0, at - last) / 1e6 * self.refill))
+        return (left - 1, True) if left >= 1 else (left, False)
+
+
+def _micros(rows: pd.DataFrame) -> list[int]:
+    return rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+
+
+def _in_order(events: DataFrame) -> DataFrame:
+    """A user's events side by side and in order: folds over them hold the state of one user, however many events there are."""
+    return events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+
+
+def accepted(events: DataFrame, most: int = 100, seconds: int = 3600) -> DataFrame:
+    """Batch: event_id, user_id, in_window (accepted events in the window before), accepted.  Refused events do not count."""
+    limit = SlidingLimit(most, seconds)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, taken = None, []
+        for rows in batches:
+            held, verdicts = [], []
+            for own, at in zip(rows["user_id"].tolist(), _micros(rows), strict=True):
+                if own != user:
+                    user, taken = own, []
+                taken, n, ok = limit.verdict(taken, at)
+                held.append(n)
+                verdicts.append(ok)
+            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "in_window": held, "accepted": verdicts})
+
+    return _in_order(events).mapInPandas(fold, "event_id long, user_id long, in_window long, accepted boolean")
+
+
+def taken_tokens(events: DataFrame, capacity: float = 10.0, refill: float = 1.0) -> DataFrame:
+    """Batch: event_id, user_id, accepted, by a token bucket for each user."""
+    bucket = Bucket(capacity, refill)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, left, last = None, capacity, None
+        for rows in batches:
+            verdicts = []
+            for own, at in zip(rows["user_id"].tolist(), _micros(rows), strict=True):
+                if own != user:
+                    user, left, last = own, capacity, None
+                left, ok = bucket.verdict(left, last, at)
+                last = at
+                verdicts.append(ok)
+            yield pd.DataFrame({"event_id": rows["event_id"], "user_id": rows["user_id"], "accepted": verdicts})
+
+    return _in_order(events).mapInPandas(fold, "event_id long, user_id long, accepted boolean")
+
+
+def _by_user(events: DataFrame, step, schema: str, state: str, late: str) -> DataFrame:
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return marked.groupBy("user_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _keep(state: GroupState, value: tuple, last: int, seconds: float) -> None:
+    """State goes once the watermark has passed the time after which it says nothing."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(int(last / 1000 + seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def limited(events: DataFrame, most: int = 100, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """Stream: accepted or refused, by the number of accepted events in the window before each; refused ones do not count.
+
+    A user's state is dropped when the watermark has passed the window after the last event.
+    """
+    limit = SlidingLimit(most, seconds)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         taken = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         verdicts = []
-        for at in rows["ts"].astype("int64") // 1000:
-            taken = [t for t in taken if t > at - seconds * 1_000_000]
-            if len(taken) < most:
-                taken.append(int(at))
-                verdicts.append(True)
-            else:
-                verdicts.append(False)
-        state.update((taken,))
+        for at in _micros(rows):
+            taken, _, ok = limit.verdict(taken, at)
+            verdicts.append(ok)
+        _keep(state, (taken,), at, seconds)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "accepted": verdicts})
 
-    return _by_user(events.withColumn("ts", F.col("ts").cast("timestamp")), step, "event_id long, user_id long, accepted boolean", "taken array<long>")
+    return _by_user(events, step, "event_id long, user_id long, accepted boolean", "taken array<long>", late)
 
 
-def bucketed(events: DataFrame, capacity: float = 10.0, refill: float = 1.0) -> DataFrame:
-    """Stream: a token bucket for each user; an event takes one token, `refill` tokens come back each second."""
+def bucketed(events: DataFrame, capacity: float = 10.0, refill: float = 1.0, late: str = "1 hour") -> DataFrame:
+    """Stream: a token bucket for each user.  State is dropped when the bucket is sure to be full again."""
+    bucket = Bucket(capacity, refill)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         left, last = state.get if state.exists else (capacity, None)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         verdicts = []
-        for at in rows["ts"].astype("int64") / 1e9:
-            left = min(capacity, left + (0 if last is None else max(0.0, at - last) * refill))
+        for at in _micros(rows):
+            left, ok = bucket.verdict(left, last, at)
             last = at
-            verdicts.append(left >= 1)
-            left -= 1 if left >= 1 else 0
-        state.update((float(left), float(last)))
+            verdicts.append(ok)
+        _keep(state, (float(left), int(last)), last, capacity / refill)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "accepted": verdicts})
 
-    return _by_user(events, step, "event_id long, user_id long, accepted boolean", "left double, last double")
+    return _by_user(events, step, "event_id long, user_id long, accepted boolean", "left double, last long", late)
+
+
+def bounded(events: DataFrame, iterations: int = 15, seconds: int = 600) -> DataFrame:
+    """Batch: for each event, its number in its user's session, the seconds since the session began, and whether the session may go on."""
+    w = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
+    gone = (F.unix_micros(F.col("ts").cast("timestamp")) - F.min(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)) / 1_000_000
+    marked = events.withColumn("step", F.row_number().over(w)).withColumn("elapsed", gone)
+    return marked.withColumn("goes_on", (F.col("step") < iterations) & (F.col("elapsed") < seconds))
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -117,3 +210,10 @@ def final_text(deltas: DataFrame) -> DataFrame:
     kept = deltas.withColumn("_cut", last).where(F.struct("ts", "event_id") > F.col("_cut"))
     g = kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
     return g.select("user_id", F.array_join(F.col("x.event_type"), " ").alias("text"))
+
+
+def typed(events: DataFrame) -> DataFrame:
+    """event_id, kind, and the fields of its kind: an interaction's target, a failure's code; streaming or not."""
+    kind = F.when(F.col("event_type").isin("click", "view"), "interaction").when(F.col("event_type") == "error", "failure").otherwise("other")
+    rows = events.select("event_id", kind.alias("kind"), F.from_json("props", "k bigint")["k"].alias("k"), "value")
+    return rows.select("event_id", "kind", F.when(F.col("kind") == "interaction", F.col("k")).alias("target"), F.when(F.col("kind") == "failure", F.round("value", 2)).alias("code"))
