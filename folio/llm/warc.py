@@ -119,11 +119,11 @@ def with_revisits(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", F.unhex(F.sha2(body, 256)).alias("key"), F.octet_length(body).alias("size"))
     groups = written(keyed.groupBy("key", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
     size = groups.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
-    found = attach(keyed, groups.where("n > 1"), ["key", "size"], F.col("page_id"), "n")
-    dealt = found.repartition(partitions(pages, size, file_bytes), "key", "page_id")
+    found = attach(keyed.select("page_id", "key", "size"), groups.where("n > 1"), ["key", "size"], F.col("page_id"), "n")
+    refers = found.where(F.col("page_id") != F.col("first")).select("key", "page_id", F.col("first").cast("string").alias("refers_to")).distinct()
+    dealt = keyed.drop("size").repartition(partitions(pages, size, file_bytes), "key", "page_id")  # the one shuffle of html
     nth = F.row_number().over(Window.partitionBy("key", "page_id").orderBy("url"))
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first").cast("string"))
-    return dealt.select(F.col("page_id").cast("string").alias("page"), "url", "html", refers.alias("refers_to"), nth.alias("nth"))
+    return dealt.join(refers, ["key", "page_id"], "left").select(F.col("page_id").cast("string").alias("page"), "url", "html", "refers_to", nth.alias("nth"))
 
 
 def write(pages: DataFrame, folder: str, segment: int = SEGMENT, chunk: int = CHUNK, file_bytes: int = FILE_BYTES) -> None:
