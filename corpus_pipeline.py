@@ -22,7 +22,7 @@ from folio.llm.pack import pack
 from folio.llm.quality import quality_scores
 
 #: Name of the row key within a stage.
-ROW = "folio row key"
+ROW = "folio_row_key"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
