@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from folio.llm import bpe, queries
 from folio.llm.common import shared_folder
+from folio.llm.quality import quality_scores
 from tests.conftest import DATA
 from tests.llm import brute
 from tests.llm.test_tokens import check_pieces
@@ -102,8 +103,11 @@ def test_stages_on_odd_rows(spark):
     hit = [(None, item, 1, "", "", 0), (9, item, 1, "", "", 0)]
     assert left(spark, corpus_pipeline.decontamination_stage, rows + hit) == sorted(plain, key=str)
     junk = [(None, "### || ### || x9 || " * 40, 1, "", "", 0), (9, "### || ### || x9 || " * 40, 1, "", "", 0)]
-    kept = left(spark, corpus_pipeline.quality_stage, rows + junk)
-    assert not any("||" in (t or "") for _, t in kept) and {(None, a), (3, a), (3, b)} <= {*kept}
+    docs = spark.createDataFrame([(i, t, k, "clash", "clash", 0) for k, (i, t, *_) in enumerate(rows + junk)], ODD)
+    scores = quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet"), carry=("row",)).collect()
+    assert len(scores) == docs.count()
+    kept = {r.row for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()}
+    assert kept == {r.row for r in scores if r.predicted == 1}
     packed = corpus_pipeline.packing_stage(spark, spark.createDataFrame(rows, ODD), SF).collect()
     assert sum(r.start == 0 for r in packed) == len(rows)
 
