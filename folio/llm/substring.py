@@ -198,7 +198,7 @@ def _passages(frequent, groups: int):
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = frequent.value
         met: dict[int, tuple[int, int]] = {}  # frequent windows of this task: where one was sent from
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy()
             texts = batch.column(1).to_numpy()
