@@ -253,9 +253,9 @@ def union_all_measures(spark, sf_dir):
     return count(o, "orders").unionByName(count(o.where("o_orderstatus = 'O'"), "open")).unionByName(count(lines, "lines"))
 
 
-@query("SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def except_uncited(spark, sf_dir):
-    cited = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    cited = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey").join(cited, "p_partkey", "left_anti").distinct()
 
 
