@@ -196,6 +196,24 @@ def overlap_with_previous(spark, sf_dir):
     return chunking.with_overlap(c, "conv_id").select("conv_id", F.col("place").alias("turn"), F.md5("chunk_text").alias("chunk_md5"))
 
 
+_ABSTRACT = "concat('Abstract. We present ', source, ' and say in some more words what it is, so that this part has eighty characters or more.')"
+_METHODS = "concat('The method of ', lang, ' takes what it gets. It gives what it has, in eighty characters or more than that.')"
+_ENTRIES = [f"concat('[{k}] Lee, A. On ', source, ' and what is known of it, in a long title that has more than eighty characters in all.')" for k in (1, 2)]
+_LONG_PAPER = f"concat({_ABSTRACT}, chr(10), '1 Introduction', chr(10), {_BODY}, chr(10), '## Methods', chr(10), {_METHODS}, chr(10), 'References', chr(10), {_ENTRIES[0]}, chr(10), {_ENTRIES[1]})"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, source, lang, {_STRIP.format(_BODY)} AS body FROM documents),
+i AS (SELECT doc_id, source, lang, CASE WHEN length(body) >= 80 THEN body WHEN body <> '' AND length(body) + 15 >= 80 THEN '1 Introduction' || chr(10) || body END AS body FROM b),
+s AS (SELECT doc_id, 0 AS k, 'Abstract' AS section, {_ABSTRACT} AS chunk_text FROM i
+UNION ALL SELECT doc_id, 1, 'Introduction', regexp_replace(body, '([.!?])[ \t\n\r\f\v]+', '\1 ', 'g') FROM i WHERE body IS NOT NULL
+UNION ALL SELECT doc_id, 2, 'Methods', {_METHODS} FROM i UNION ALL SELECT doc_id, 3, 'References', {_ENTRIES[0]} FROM i UNION ALL SELECT doc_id, 4, 'References', {_ENTRIES[1]} FROM i)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS place, section, md5(chunk_text) AS chunk_md5 FROM s""")
+def chunk_whole_sections(spark, sf_dir):
+    """Papers cut by section, references by entry; chunks may be as long as a section."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(_LONG_PAPER).alias("paper")))
+    return chunking.chunked(d, "doc_id", "paper", 1_000_000).select("doc_id", "place", "section", F.md5("chunk_text").alias("chunk_md5"))
+
+
 _SECTION = "CASE doc_id % 8 WHEN 0 THEN 'Abstract' WHEN 1 THEN '2. Related Work' WHEN 2 THEN 'Methods' WHEN 3 THEN 'Experimental Results' WHEN 4 THEN 'Limitations' WHEN 5 THEN 'References' WHEN 6 THEN 'Introduction' ELSE source END"
 
 
