@@ -371,8 +371,8 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYT
     groups = max(1, -(-size // group_bytes))
     grams = written(docs.select("text").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = grams.where(F.col("n") >= max(hot, -(-total // FREQUENT))).select("gram").collect()  # at most FREQUENT of them
-    listed = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in frequent], np.int64).view(np.uint64)))
+    frequent = grams.where(F.col("n") >= max(hot, -(-total // FREQUENT))).select("gram").toArrow()  # at most FREQUENT of them
+    listed = spark.sparkContext.broadcast(np.sort(frequent.column("gram").to_numpy().view(np.uint64)))
     rows = docs.mapInArrow(_passages(listed, groups), _ROW)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
     found = rows.repartition(parts, "shard").groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
