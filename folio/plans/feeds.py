@@ -48,14 +48,14 @@ def read_atom_entries(spark, sf_dir):
     return st.parsed_entries(feeds).select("arxiv_id", "title", "year", F.array_join("authors", ",").alias("authors"))
 
 
-@query("SELECT url, 'Page ' || page_id AS title, md5(html) AS text_md5, CASE WHEN page_id % 2 = 0 THEN 2021 END::INT AS year, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 2 END::INT AS n_authors FROM pages")
+@query("SELECT url, 'Page ' || page_id AS title, md5(html) AS text_md5, CASE WHEN page_id % 2 = 0 THEN 2021 ELSE 0 END::INT AS year, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 2 END::INT AS n_authors FROM pages")
 def read_web_hits(spark, sf_dir):
     """Answers of a web search, authors as a comma-separated list with blanks in it."""
     date = F.when(F.col("page_id") % 2 == 0, "2021-03-04T05:06:07.000Z").otherwise("recently")
     author = F.when(F.col("page_id") % 3 != 0, F.lit(" Ann Lee, ,Bo Sun,"))
     hit = F.struct(F.concat(F.lit(" Page "), "page_id").alias("title"), "url", date.alias("publishedDate"), author.alias("author"), F.col("html").alias("text"))
     lines = table(spark, sf_dir, "pages").select(F.to_json(F.struct(F.array(hit).alias("results"))).alias("value"))
-    return st.web_hits(lines).select("url", "title", F.md5("abstract").alias("text_md5"), "year", F.size("authors").alias("n_authors"))
+    return st.web_hits(lines).select("url", "title", F.md5("abstract").alias("text_md5"), F.coalesce("year", F.lit(0)).alias("year"), F.size("authors").alias("n_authors"))
 
 
 @query("SELECT c_custkey, array_to_string(list_filter([trim(c_name), trim(c_mktsegment)], lambda x: x <> ''), '|') AS names FROM customer")
@@ -205,7 +205,7 @@ def batch_scoring(spark, sf_dir):
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 OR vec_id % 10 = 1 THEN 'old' ELSE 'new' END AS model, CASE WHEN vec_id % 3 = 0 OR vec_id % 10 = 1 THEN len(embedding) ELSE 2 END::INT AS size,
- CASE WHEN vec_id % 3 = 0 OR vec_id % 10 = 1 THEN NULL ELSE length('t' || vec_id) END::INT AS first FROM (SELECT *, vec_id % 3 <> 0 AS stale FROM embeddings)""")
+ CASE WHEN vec_id % 3 = 0 OR vec_id % 10 = 1 THEN 0 ELSE length('t' || vec_id) END::INT AS first FROM (SELECT *, vec_id % 3 <> 0 AS stale FROM embeddings)""")
 def reembed(spark, sf_dir):
     """Vectors that another model made are made anew from their texts (here: of two numbers); some texts fail and stay as they are."""
     target, old = "new", "old"
@@ -218,4 +218,4 @@ def reembed(spark, sf_dir):
     kept = rows.where("vec_id % 3 = 0").withColumn("model", F.lit(target))
     out = slots.renewed(rows.where("vec_id % 3 <> 0").unionByName(kept), "vec_id", "model", "embedding", target, embed)
     stale = (F.col("vec_id") % 3 == 0) | (F.col("model") == old)
-    return out.select("vec_id", F.when(stale, old).otherwise("new").alias("model"), F.size("embedding").alias("size"), F.when(~stale, F.get("embedding", F.lit(0)).cast("int")).alias("first"))
+    return out.select("vec_id", F.when(stale, old).otherwise("new").alias("model"), F.size("embedding").alias("size"), F.when(stale, 0).otherwise(F.get("embedding", F.lit(0)).cast("int")).alias("first"))

@@ -52,10 +52,10 @@ def session_limits(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'interaction' WHEN event_type = 'error' THEN 'failure' ELSE 'other' END AS kind,
- CASE WHEN event_type IN ('click', 'view') THEN json_extract(props, '$.k')::BIGINT END AS target, CASE WHEN event_type = 'error' THEN round(value, 2) END AS code FROM events""")
+ CASE WHEN event_type IN ('click', 'view') THEN json_extract(props, '$.k')::BIGINT ELSE -1 END AS target, CASE WHEN event_type = 'error' THEN round(value, 2) ELSE -1 END AS code FROM events""")
 def typed_event_log(spark, sf_dir):
     """The session log: each event carries the fields of its own type alone."""
-    return ev.typed(events(spark, sf_dir))
+    return ev.typed(events(spark, sf_dir)).fillna(-1)
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n, round(sum(value), 4) AS tokens FROM events GROUP BY 1, 2")
