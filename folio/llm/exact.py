@@ -3,9 +3,9 @@
 Every row gets a 64-bit key of its normalised text.  A directory over the key's
 leading bits splits overfull buckets, one more bit at a time, which doubles it
 where a bucket is as deep as the directory; a bucket is a range of keys.  Rows
-go to the owner of their bucket, which keeps its rows sorted by key and bytes:
-rows of one key are a chain, its links differ in bytes, and a link is a group
-of equal texts.  What the owners find is the index, written as shared files.
+whose key is not alone go to the owner of their bucket, which keeps its rows
+sorted by key and bytes: rows of one key are a chain, its links differ in
+bytes, and a link is a group of equal texts.  What the owners find is the index, written as shared files.
 
 A key that many rows share is dealt to several owners by a salt.  Each of them
 compares its own rows, and the first row of each of its links meets those of
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_KEYS, partitions, written
+from folio.llm.common import BROADCAST_KEYS, attach, partitions, written
 
 #: Entries of a bucket, and bytes of text that one owner task gets, as far as buckets can be dealt.
 CAPACITY, OWNER_BYTES = 4_000, 64 << 20
@@ -63,25 +63,34 @@ def index(docs: DataFrame, text: Column, key, capacity: int = CAPACITY) -> DataF
 
     first and members: smallest doc_id and number of rows of the link within
     the salt.  body: the text of a link's first row where its key is salted.
+    A key of one row is a chain of one link; its text stays where it is.
     """
-    entries = docs.select("doc_id", normalised(text).alias("body")).withColumn("key", key(F.col("body")))
-    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("body")).alias("bytes")), "keys")
-    total, size = keys.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    body = docs.select("doc_id", normalised(text).alias("body")).withColumn("key", key(F.col("body")))
+    entries = written(body.select("doc_id", "key", F.octet_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("text_sha256")), "entries")
+    keys = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")), "keys")
+    total, size = keys.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("bytes"))), F.lit(0))).first()
     bits = depth_of(total, capacity) + SPARE_BITS
     cells = written(keys.groupBy(cell(F.col("key"), bits).alias("cell")).agg(F.sum(F.least("rows", F.lit(ROWS_PER_SALT))).alias("entries")), "cells")
-    slots = written(directory(cells, bits, capacity, max(0, bits - SPARE_BITS - LESS_BITS)), "directory")
-    few = slots.count() <= BROADCAST_KEYS
+    slots = written(directory(cells, bits, capacity, max(0, bits - SPARE_BITS - LESS_BITS)), "directory").drop("depth")
+    slots = F.broadcast(slots) if slots.count() <= BROADCAST_KEYS else slots
+    shared = keys.where("rows > 1").select("key", "rows")
     bound = max(ROWS_PER_SALT, -(-total // BROADCAST_KEYS))
-    hot = keys.where(F.col("rows") > bound).select("key", F.ceil(F.col("rows") / F.greatest(F.lit(ROWS_PER_SALT), F.sqrt("rows"))).cast("int").alias("salts"))
-    salted = entries.join(F.broadcast(hot), "key", "left")  # at most rows / bound of them
-    salted = salted.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
-    placed = salted.withColumn("cell", cell(F.col("key"), bits)).join(F.broadcast(slots) if few else slots, "cell")
+    salts = F.when(F.col("rows") > bound, F.ceil(F.col("rows") / F.greatest(F.lit(ROWS_PER_SALT), F.sqrt("rows"))).cast("int"))
+
+    alone = attach(entries.select("doc_id", "key", "text_sha256"), shared, ["key"], F.col("doc_id"), "rows").where("rows is null")
+    alone = alone.withColumn("cell", cell(F.col("key"), bits)).join(slots, "cell")
+    single = alone.select("doc_id", "bucket", "key", F.lit(0).alias("salt"), F.lit(1).alias("link"), "text_sha256", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("members"), F.lit(None).cast("string").alias("body"))
+
+    several = attach(body, shared, ["key"], F.col("doc_id"), "rows").where("rows is not null").withColumn("salts", salts)
+    several = several.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
+    placed = several.withColumn("cell", cell(F.col("key"), bits)).join(slots, "cell").drop("rows")
     owned = placed.withColumn("text_sha256", F.sha2("body", 256)).repartition(partitions(docs, size, OWNER_BYTES), "bucket", "salt")
     chain = Window.partitionBy("bucket", "salt", "key").orderBy("body")
     link = Window.partitionBy("bucket", "salt", "key", "body")
     held = owned.withColumn("link", F.dense_rank().over(chain)).withColumn("first", F.min("doc_id").over(link)).withColumn("members", F.count(F.lit(1)).over(link))
     kept = F.when(F.col("salts").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")), F.col("body"))
-    return written(held.select("doc_id", "bucket", "key", "salt", "link", "text_sha256", "first", "members", kept.alias("body")), "index")
+    chains = held.select("doc_id", "bucket", "key", "salt", "link", "text_sha256", "first", "members", kept.alias("body"))
+    return written(single.unionByName(chains), "index")
 
 
 def exact_groups(docs: DataFrame, text: Column | str = "text", key=F.xxhash64, capacity: int = CAPACITY) -> DataFrame:
