@@ -105,11 +105,11 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column,
     are too many.  Rows of hot keys are spread by `spread` in the shuffle, where
     they meet nothing; all other keys have few rows each.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    total, largest = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     bound = max(hot_rows, -(-total // BROADCAST_KEYS))
     hot = groups.where(F.col(size) >= bound)
     values = [c for c in groups.columns if c not in keys]
-    if hot.isEmpty():
+    if largest < bound:
         return rows.join(groups, keys, "left")
     known = rows.join(F.broadcast(hot.withColumnsRenamed({v: f"hot {v}" for v in values})), keys, "left")
     salt = F.when(F.col(f"hot {size}").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1).otherwise(F.lit(0))
