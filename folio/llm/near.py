@@ -1,8 +1,9 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 Equal shingle sets collapse to one class first.  A band bucket never emits all
-its pairs: each member is checked against the bucket's smallest class, some
-bands at a time; links are contracted to components, pairs inside a component
+its pairs: each member is checked against the bucket's hub, the class that
+meets most others in all its buckets (of a text and its edited copies, the
+text itself), some bands at a time; links are contracted to components, pairs inside a component
 are left out of what follows, and only buckets that still hold several
 components in the end are joined on their rarest shingles, in blocks, where
 component, sizes, sketches and the places of shared shingles allow a link.
@@ -26,7 +27,7 @@ SHINGLE = 5
 SLOTS, ROWS = 128, 4
 BLOCK = 512
 #: Members that are verified against one copy of their hub's text.
-HUB_MEMBERS = 128
+HUB_MEMBERS = 32
 #: Bands are verified in rounds; after each, pairs of one component need no verification any more.
 ROUNDS = ((0, 2), (2, 8), (8, SLOTS // ROWS))
 #: Slots that must agree before two members of an unresolved bucket are verified: 0.55, over five deviations below 0.75.
@@ -34,25 +35,25 @@ LEAST_AGREE = int(SLOTS * 0.55)
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, sorted by (document, hash): hashes and each document's first."""
-    w = ts.words(data, offsets, ts.SPACE_WORDS, True, seed)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, sorted by (document, hash): hashes, each document's first, and an independent hash of each."""
+    w = ts.words(data, offsets, ts.SPACE_WORDS, True)
     count = np.diff(w.first)
     n = len(offsets) - 1
-    g = ts.grams(w.hash, SHINGLE)
     inside = ts.gram_mask(w.first, len(w.hash), SHINGLE)
-    doc = np.repeat(np.arange(n), count)
-    h, d = g[inside], doc[: len(g)][inside]
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    if len(short):  # the whole sequence is the one shingle
-        own = np.array([ts.grams(w.hash[w.first[i] : w.first[i + 1]], int(count[i]))[0] ^ np.uint64(count[i]) for i in short], dtype=np.uint64)
-        h, d = np.concatenate([h, own]), np.concatenate([d, short])
+    hashes = []
+    for own in (w.hash, ts.span_hash(ts.FOLD[data], w.start, w.end, 1)):
+        h = ts.grams(own, SHINGLE)[inside]
+        whole = [ts.grams(own[w.first[i] : w.first[i + 1]], int(count[i]))[0] ^ np.uint64(count[i]) for i in short]  # the one shingle
+        hashes.append(np.concatenate([h, np.array(whole, dtype=np.uint64)]))
+    h, other = hashes
+    d = np.concatenate([np.repeat(np.arange(n), count)[: len(inside)][inside], short])
     order = np.lexsort((h, d))
-    h, d = h[order], d[order]
+    h, d, other = h[order], d[order], other[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[fresh], d[fresh]
-    return h, np.searchsorted(d, np.arange(n + 1))
+    return h[fresh], np.searchsorted(d[fresh], np.arange(n + 1)), other[fresh]
 
 
 def superminhash(h: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -93,14 +94,14 @@ def superminhash(h: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.nda
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in ts.slices(batch.column(1), 1 << 20):
-            h, first = shingle_sets(s.data, s.offsets)
+            h, first, other = shingle_sets(s.data, s.offsets)
             size = np.diff(first)
             own = [batch.column(c).slice(s.lo, s.hi - s.lo) for c in (0, 2)]
             with np.errstate(over="ignore"):
                 sums = []
-                for hashes, begin in ((h, first), shingle_sets(s.data, s.offsets, 1)):  # independent hashes of the words
+                for hashes in (h, other):
                     pad = np.concatenate([ts.mix64(hashes), np.zeros(1, np.uint64)])
-                    sums.append(np.where(size > 0, np.add.reduceat(pad, np.minimum(begin[:-1], len(pad) - 1)), np.uint64(0)))
+                    sums.append(np.where(size > 0, np.add.reduceat(pad, np.minimum(first[:-1], len(pad) - 1)), np.uint64(0)))
                 bits = superminhash(h, first).view(np.uint64)
                 sketch = (ts.mix64(bits) >> np.uint64(56)).astype(np.uint8)
                 lanes = bits.reshape(len(size), SLOTS // ROWS, ROWS)
@@ -137,7 +138,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hubs, members = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         found = []
         for s in ts.slices(batch.column(3)):
-            h, first = shingle_sets(s.data, s.offsets)
+            h, first, _ = shingle_sets(s.data, s.offsets)
             for i in range(s.hi - s.lo):
                 a, b = hubs[s.lo + i], members[s.lo + i]
                 raw = s.data[s.offsets[i] : s.offsets[i + 1]]
@@ -157,8 +158,8 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     A hub `a` may have any number of members: they are dealt in blocks, and its
     text is sent once for each block, each member's text once for each pair.
+    pairs: cheap to read again.
     """
-    pairs = written(pairs, "asked")
     blocks = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("blocks")), "blocks")
     dealt = attach(pairs, blocks, ["a"], F.col("b"), "n").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
@@ -234,8 +235,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tagged = written(tagged.select("doc_id", "n_shingles", "rep", F.when(first, F.col("bands")).alias("bands"), F.when(first, F.col("sketch")).alias("sketch")), "classes")
     reps = tagged.where("bands is not null").dropDuplicates(["rep"])
     member = written(reps.select("rep", F.posexplode("bands").alias("band", "bucket")), "bands")
-    shared = written(member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    member = written(attach(member, shared, ["bucket"], F.col("rep"), "members").where("members is not null"), "buckets")
+    shared = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    member = written(attach(member, shared, ["bucket"], F.col("rep"), "members").where("members is not null"), "filled")
+    score = member.groupBy("rep").agg(F.sum("members").alias("score"))
+    member = written(member.join(score, "rep"), "scored")
+    hubs = member.groupBy("bucket").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("members"))
+    member = written(attach(member.drop("members"), written(hubs, "hubs"), ["bucket"], F.col("rep"), "members"), "buckets")
     star = member.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("band").alias("band"))
     star = written(star, "star")
     links = comp = None
@@ -273,7 +278,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in ts.slices(batch.column(1), 1 << 20):
-            h, first = shingle_sets(s.data, s.offsets)
+            h, first, _ = shingle_sets(s.data, s.offsets)
             doc = s.lo + np.repeat(np.arange(len(first) - 1), np.diff(first))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), ts.as_long(h)], ["rep", "shingle"])
 
@@ -302,4 +307,5 @@ def _unresolved(member: DataFrame, comp: DataFrame, tagged: DataFrame, star: Dat
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "size", "place", "sketch")
     pairs = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    return written(pairs.join(star, ["a", "b"], "left_anti"), "across")
+    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(pairs.join(done, ["a", "b"], "left_anti"), "across")
