@@ -1,9 +1,9 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next.
 
 All stages but the last return rows of their input, with its columns.  Decisions
-are about rows: each row gets a key of its own, written with it at the stage's
-start, so rows without a doc_id and rows that share one are judged each by their
-own text.  A null text counts as an empty one.  Columns besides doc_id and text
+are about rows: each row has a key of its own (its file and place there; rows of
+another source are written first), so rows without a doc_id and rows that share
+one are judged each by their own text.  A null text counts as an empty one.  Columns besides doc_id and text
 are carried along, whatever their names.  An empty table gives an empty one.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import anti, scratch, shared_folder, small_batches, table, written
@@ -21,13 +22,24 @@ from folio.llm.near import near_groups
 from folio.llm.pack import pack
 from folio.llm.quality import quality_scores
 
-#: Name of the row key within a stage.
-ROW = "folio_row_key"
+#: Names of the row key, and of what it is made of, within a stage.
+ROW, FILE, PLACE = "folio_row_key", "folio_file", "folio_place"
+#: Most file names that are sent to every executor.
+BROADCAST_FILES = 100_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a row key that is the same whenever the table is read: number of the file, and the row's place in it."""
     small_batches(docs.sparkSession)
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage")
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(PLACE))
+    except AnalysisException:  # no scan of files
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage")
+    names = placed.select(FILE).distinct()
+    numbers = written(names.select(FILE, F.row_number().over(Window.orderBy(FILE)).cast("long").alias("folio_file_number")), "files")  # one row a file
+    known = F.broadcast(numbers) if numbers.count() <= BROADCAST_FILES else numbers
+    key = F.shiftleft("folio_file_number", 40) + F.col(PLACE)
+    return placed.join(known, FILE).withColumn(ROW, key).drop(FILE, PLACE, "folio_file_number")
 
 
 def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
