@@ -238,7 +238,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shared = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     member = written(attach(member, shared, ["bucket"], F.col("rep"), "members").where("members is not null"), "filled")
     score = member.groupBy("rep").agg(F.sum("members").alias("score"))
-    member = written(member.join(score, "rep"), "scored")
+    member = member.join(score, "rep")
     hubs = member.groupBy("bucket").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("members"))
     member = written(attach(member.drop("members"), written(hubs, "hubs"), ["bucket"], F.col("rep"), "members"), "buckets")
     star = member.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("band").alias("band"))
@@ -248,11 +248,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
         pairs = star.where((F.col("band") >= lo) & (F.col("band") < hi)).select("a", "b")
         more = pairs if comp is None else written(_apart(pairs, comp), "pairs")
         links = _and(links, written(verify(more, docs), "links"))
-        comp = written(components(links, "a", "b"), "components")
+        comp = components(links, "a", "b")
     more = _unresolved(member, comp, tagged, star, docs)
     if not more.isEmpty():
         links = links.union(verify(more, docs))
-        comp = written(components(links, "a", "b"), "components")
+        comp = components(links, "a", "b")
     sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("copies").alias("copies"))
     placed = written(comp.join(sizes, "node").select("node", "component", "copies"), "placed")
     named = attach(tagged.select("doc_id", "n_shingles", F.col("rep").alias("node")), placed, ["node"], F.col("doc_id"), "copies")
