@@ -32,8 +32,8 @@ RANGE_TOKENS, RANGES_EACH = 4_000_000, 8
 #: Most ranges: their bounds and totals (two numbers each, 0.3 MB) are known to the driver and every task.  Beyond it a task,
 #: which reads its sorted rows as a stream, gets more rows.
 RANGES = 20_000
-#: Pieces whose ids a worker keeps: about 30 MB.
-KNOWN_PIECES = 1_000_000
+#: Pieces whose bytes and ids a worker keeps: about 15 MB, and as much again for a moment when it learns more.
+KNOWN_PIECES = 300_000
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 
 
@@ -188,7 +188,10 @@ class Encoder:
 def _gather(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... counts[0] of them, then those of begin[1], and so on."""
     total = np.concatenate([[0], np.cumsum(counts)])
-    return np.arange(total[-1]) + np.repeat(begin - total[:-1], counts)
+    kind = np.int32 if total[-1] < 1 << 31 and (not len(begin) or begin.max() < 1 << 31) else np.int64
+    out = np.repeat((begin - total[:-1]).astype(kind), counts)
+    out += np.arange(total[-1], dtype=kind)
+    return out
 
 
 def _sorted(flat: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +212,7 @@ def _encoded(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for s in ts.slices(batch.column(1), 1 << 20):
+            for s in ts.slices(batch.column(1), 1 << 19):
                 ids, keys = own.slice(s.data, s.offsets)
                 tie = batch.column(2).slice(s.lo, s.hi - s.lo).to_numpy().view(np.uint64) >> np.uint64(64 - TIE_BITS)
                 keys = (keys << np.uint64(TIE_BITS)) | tie
