@@ -236,11 +236,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     reps = tagged.where("bands is not null").dropDuplicates(["rep"])
     member = written(reps.select("rep", F.posexplode("bands").alias("band", "bucket")), "bands")
     shared = written(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    member = written(attach(member, shared, ["bucket"], F.col("rep"), "members").where("members is not null"), "filled")
-    score = member.groupBy("rep").agg(F.sum("members").alias("score"))
-    member = member.join(score, "rep")
-    hubs = member.groupBy("bucket").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("members"))
-    member = written(attach(member.drop("members"), written(hubs, "hubs"), ["bucket"], F.col("rep"), "members"), "buckets")
+    filled = written(attach(member, shared, ["bucket"], F.col("rep"), "members").where("members is not null"), "filled")
+    scored = filled.join(filled.groupBy("rep").agg(F.sum("members").alias("score")), "rep")
+    hubs = scored.groupBy("bucket").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("members"))
+    member = written(attach(member, written(hubs, "hubs"), ["bucket"], F.col("rep"), "members").where("members is not null"), "buckets")
     star = member.where("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b")).agg(F.min("band").alias("band"))
     star = written(star, "star")
     links = comp = None
