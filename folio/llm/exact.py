@@ -24,7 +24,7 @@ CAPACITY, OWNER_BYTES = 4_000, 64 << 20
 #: Bits of a cell beyond those that evenly spread keys need, and of the directory's first depth below those.
 SPARE_BITS, LESS_BITS = 4, 3
 #: Rows of one salt of a key; of a key with more rows than this squared, there are as many salts as rows in each.
-ROWS_PER_SALT = 2_000
+ROWS_PER_SALT = 500
 
 
 def normalised(text: Column) -> Column:
