@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, decon, exact, near, pack, pii, quality, substring, warc
+from folio.llm import bpe, chat, decon, exact, fingerprint, near, pack, pii, quality, substring, vectors, warc
 from folio.llm.common import table
 
 
@@ -52,9 +52,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _vector_sql(rounds: int = vectors.ROUNDS) -> str:
+    """Codebooks by rounds of joins: x has a row for each component, c one for each entry's."""
+    steps = [
+        "kept AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(e) // 4) AS part, (i - 1) % (len(e) // 4) AS pos, floor(1024 * e[i]::DOUBLE)::BIGINT AS v FROM (SELECT vec_id, e, unnest(generate_series(1, len(e))) AS i FROM kept))",
+        "ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256))",
+        "c0 AS MATERIALIZED (SELECT part, entry, pos, v FROM x JOIN ids USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        distance = f"SELECT vec_id, x.part, entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{k} c ON c.part = x.part AND c.pos = x.pos GROUP BY ALL"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d FROM ({distance}) GROUP BY vec_id, part)")
+        mean = f"SELECT x.part, entry, pos, floor(sum(x.v)::DOUBLE / count(*))::BIGINT AS v FROM x JOIN a{k} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY x.part, entry, pos"
+        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN ({mean}) m ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos)")
+    steps.append(f"found AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    books = f"(SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c{rounds})"
+    return f"""
+        WITH {", ".join(steps[:-2] + steps[-1:])}
+        SELECT f.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, {books} AS codebooks_sha256
+        FROM found f JOIN kept USING (vec_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts, op11_vector_codes, op13_fingerprints)}
 
 SQL = {
+    "op11_vector_codes": _vector_sql(),
     "op2_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
