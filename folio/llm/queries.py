@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, chat, decon, exact, fingerprint, near, pack, pii, quality, substring, vectors, warc
+from folio.llm import bpe, chat, decon, exact, fingerprint, near, pack, phrases, pii, quality, substring, vectors, warc
 from folio.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -81,10 +85,27 @@ def _vector_sql(rounds: int = vectors.ROUNDS) -> str:
         FROM found f JOIN kept USING (vec_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts, op11_vector_codes, op13_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts, op11_vector_codes, op12_collocations, op13_fingerprints)}
 
 SQL = {
     "op11_vector_codes": _vector_sql(),
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 30),
+        cut AS (SELECT c.*, unnest(generate_series(1, k - 1)) AS place FROM c),
+        s AS (SELECT c.lang, c.k, c.phrase, c.a, place, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score FROM cut c
+              JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:place], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[place + 1:], ' ')),
+        low AS (SELECT lang, k, phrase, a, min_by(struct_pack(l := l, r := r, score := score), score * 8 + place) AS x FROM s GROUP BY ALL),
+        part AS (SELECT lang, k, a, ws, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
+        held AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest(list_transform(generate_series(1, k - m + 1), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM part) GROUP BY ALL),
+        kept AS (SELECT low.lang, low.phrase, a, x.l AS l, x.r AS r, x.score AS score, row_number() OVER (PARTITION BY low.lang ORDER BY x.score DESC, a DESC, low.phrase) AS rank
+                 FROM low LEFT JOIN held h ON h.lang = low.lang AND h.phrase = low.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) WHERE rank <= 2000""",
     "op2_chat_format": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
