@@ -38,6 +38,54 @@ tel. {phone:555-012-3456} at night
 fax {phone:212-555-0165}, office hours
 dial {phone:030/555-0123} first
 mobile {phone:(030) 555 0177} only
+reach us at {phone:415.555.0188} or {phone:555.012.3477}
+call {phone:303.555.0142} today
+office {phone:(415)555-0139} is open
+the desk, {phone:(617)555-0121}, was busy
+abroad dial {phone:0044 20 7946 0321} please
+from there {phone:0049 30 5550 1234} works
+text {phone:415 555 0166} soon
+her line is {phone:617 555 0174} now
+write {email:ann at example dot org} at once
+he is {email:joe at mail dot example dot com} there
+mail {email:kim(at)example(dot)net} soon
+ask {email:lee[at]post[dot]org} about it
+the blue {phone:303-555-0134} and others
+so {phone:415-555-0198} it was
+ask {phone:202-555-0113} and then
+see {phone:646-555-0147} or wait
+is {phone:718-555-0162} right
+try {phone:(312) 555-0125} and then
+so {phone:312 555 0181} it was
+see {phone:(312)555-0116} and rest
+in 2001 ask {phone:503-555-0155} there
+write to {phone:602-555-0136} often
+see {email:max at domain dot com} and go
+so {email:eva at server dot org} or not
+reach {email:pat at post dot city dot net} and wait
+is {email:ida at host dot com} right
+try {email:una at group dot net} again
+see {email:sam(at)domain(dot)com} and go
+so {email:jan(at)server(dot)org} it is
+is {email:tim[at]house[dot]net} right
+reach {email:ula(at)post(dot)city(dot)net} and wait
+so {phone:(312) 555.0145} it was
+call {phone:(646) 555.0163} at once
+figure (415) 555 shown above
+in part (212) 555 of the list
+see (617) 555 and (303) 120 there
+order number 482-193-7734 was sent
+order 617-555-0112 has left
+invoice no. 212-431-9907 is due
+case number 555-201-3344 is open
+item 303-555-7812 in stock
+part 415.555.7712 of the set
+he met her at noon dot on time
+we looked at the dot com boom
+they stood at home dot by dot
+she was at home. Dot was at work. The dog sat at ease.
+we met at noon. Dot and Tim were there at last.
+look at this. Dot com or not, it is late.
 the version 2.0 of the license
 under version 3.1.4 and later
 see section 4.2.1 and table 12
@@ -75,6 +123,10 @@ _EDGE = ".,;:!?*%&$#|\"'"
 _RUN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]+")
 
 
+#: An address in one word without its signs.
+_SPELLED = re.compile(r"[^\[(]+[\[(]at[\])][^\[(]+(?:[\[(]dot[\])][^\[(]+)+")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -90,9 +142,11 @@ def shape(word: str) -> list[str]:
         low = core.lower()
         if low in ("at", "dot", "[at]", "(at)", "[dot]", "(dot)"):
             return ["bias", f"is {low}"]
+        if _SPELLED.fullmatch(low):
+            return ["bias", "spelled out"]
         kind = "none" if not core else "capital" if core[:1].isupper() else "lower"
-        cue = [f"cue {low}"] if low.rstrip(".") in ("call", "phone", "tel", "fax", "mobile", "dial", "ring", "card", "mail", "contact") else []
-        return ["bias", kind, *cue]
+        cue = [f"cue {low}"] if low.rstrip(".") in ("call", "phone", "tel", "fax", "mobile", "dial", "ring", "card", "mail", "contact", "order", "number", "case", "item", "invoice", "part", "figure", "line", "text", "office") else []
+        return ["bias", kind, *cue, *(["ends"] if word[-1:] in (".", "!", "?", ";", ":") else [])]
     digits = re.sub("[^0-9]", "", core)
     out = ["bias", "digits"]
     form = "".join(("9" if r[0].isdigit() else "a" if r[0].isalpha() else r) for r in _RUN.findall(core))

@@ -8,7 +8,9 @@ The field reads the words near any word that holds a digit or an at-sign.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match always begins where digits begin
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-_AT_WORDS = re.compile(rb"[\[(](?:at|AT|At)[\])]")
+_AT_WORDS = re.compile(rb"[\[(](?:at|AT|At)[\])]|(?<![^ ])(?:at|AT|At)(?= [^ ]{1,64} (?:dot|DOT|Dot) )")
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -153,6 +155,13 @@ def field_spans(data: np.ndarray, offsets: np.ndarray, field: crf.Field) -> list
     return out
 
 
+def apart(new: list[tuple[int, int, int]], known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, kind, end) of new that overlap none of known, which are in the order of their starts."""
+    begins = [a for a, _, _ in known]
+    reach = [*accumulate((b for _, _, b in known), max)]  # those of different kinds may overlap
+    return [x for x in new if not (k := bisect_left(begins, x[2])) or reach[k - 1] <= x[0]]
+
+
 def _found(field: crf.Field):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +172,7 @@ def _found(field: crf.Field):
                 spans, own = [], []
                 for d, (known, new) in enumerate(zip(base, more, strict=True)):
                     zero = point[s.offsets[d]]
-                    new = [x for x in new if not any(x[0] < y[2] and y[0] < x[2] for y in known)]
+                    new = apart(new, known)
                     rows = sorted([(*x, True) for x in known] + [(*x, False) for x in new])
                     spans.append([{"kind": KINDS[k], "start": int(point[a] - zero), "end": int(point[b] - zero), "base": own} for a, k, b, own in rows])
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))

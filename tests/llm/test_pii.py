@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -115,6 +116,41 @@ def test_recall_of_added_spans_on_planted_forms(spark):
     assert hit >= 0.9 * len(docs) and extra <= 0.1 * len(docs)
 
 
+def test_recall_on_shapes_and_words_that_were_not_trained(spark):
+    """Other digits, names, neighbours and some other forms; what looks alike but is none must stay."""
+    rng = random.Random(77)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 9)))
+    forms = [
+        lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"({digits(3)}){digits(3)}-{digits(4)}", lambda: f"00{rng.randrange(30, 50)} {digits(2)} {digits(4)} {digits(4)}",
+        lambda: f"{name()} at {name()} dot com", lambda: f"{name()}(at){name()}(dot)org", lambda: f"{name()} at {name()} dot {name()} dot net", lambda: f"{digits(3)} {digits(3)} {digits(4)}",
+        lambda: f"({digits(3)}) {digits(3)}.{digits(4)}", lambda: f"{digits(3)}/{digits(3)}-{digits(4)}",  # in no line of the table
+    ]
+    decoys = [lambda: f"figure ({digits(3)}) {digits(3)}", lambda: f"order number {digits(3)}-{digits(3)}-{digits(4)}", lambda: f"looked at the {name()} dot there", lambda: f"page {digits(3)} of {digits(3)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(3)},{digits(3)}"]
+    docs, want = [], {}
+    for i in range(900):
+        planted = forms[i % len(forms)]()
+        before = f"the {name()} {rng.choice(decoys)()} {name()} {name()} {rng.choice(['reach', 'try', 'see', 'so', 'is', 'ask'])}"
+        docs.append((i, f"{before} {planted} {name()} and {name()} {rng.choice(decoys)()}."))
+        want[i] = (len(before) + 1, len(before) + 1 + len(planted))
+    got = {r.doc_id: [(x.start, x.end) for x in r.found] for r in pii.personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hit = [any(a < want[i][1] and want[i][0] < b for a, b in got[i]) for i in range(len(docs))]
+    by_form = [sum(hit[k :: len(forms)]) / len(hit[k :: len(forms)]) for k in range(len(forms))]
+    extra = sum(not (a < want[i][1] and want[i][0] < b) for i in got for a, b in got[i]) / len(docs)
+    print(f"recall {sum(hit) / len(docs):.3f} {by_form}, spans elsewhere {extra:.3f} a document")
+    assert sum(hit) >= 0.9 * len(docs) and extra <= 0.1
+
+
+def test_many_spans_in_one_text_are_compared_once(spark):
+    text = " ".join(f"a{i}@b.org and (212) 555-{i % 10000:04d} or" for i in range(50_000))
+    began = time.monotonic()
+    (row,) = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(x.base for x in row.found) == 50_000 and len(row.found) > 95_000
+    assert time.monotonic() - began < 120
+    known = [(2, 0, 9), (3, 1, 4), (12, 0, 14)]
+    assert pii.apart([(0, 3, 2), (5, 3, 6), (9, 3, 12), (8, 3, 10), (13, 3, 20), (14, 3, 15)], known) == [(0, 3, 2), (9, 3, 12), (14, 3, 15)]
+
+
 def test_pieces_of_a_long_sequence_are_labelled_as_a_whole(monkeypatch):
     field = crf.trained()
     rng = random.Random(8)
