@@ -9,11 +9,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most ids that are sent to every executor; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: A key with so many rows is hot; at most BROADCAST_KEYS hot keys are sent to every executor.
 HOT_ROWS, BROADCAST_KEYS = 1_000, 500_000
+#: Most partitions of a shuffle: each map task keeps the sizes of all of them, and the driver those of all tasks.
+MOST_PARTITIONS = 20_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 500
 
@@ -77,8 +80,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def partitions(df: DataFrame, size: int, each: int) -> int:
-    """Partitions for `size` bytes of data: `each` bytes in one at most, and at least what the session has set."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    """Partitions for `size` bytes of data: what the session has set at least, and more while one would have over `each`
+    bytes, MOST_PARTITIONS at most; beyond that partitions grow, and what uses them takes its groups one by one."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), MOST_PARTITIONS))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with whole numbers for doc_id, and a table (number, doc_id) in the order of doc_id; None where they are numbers."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return docs.withColumn("doc_id", F.col("doc_id").cast("long")), None
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy("doc_id")
+    ids = written(ids.select(F.monotonically_increasing_id().alias("number"), "doc_id"), "numbers")
+    return docs.join(ids, "doc_id", "left").drop("doc_id").withColumnRenamed("number", "doc_id"), ids
+
+
+def named(rows: DataFrame, ids: DataFrame | None, *columns: str) -> DataFrame:
+    """rows with the ids of numbered() in these columns again."""
+    for c in columns if ids is not None else ():
+        own = [F.col("doc_id").alias(c) if x == c else F.col(f"`numbered {x}`").alias(x) for x in rows.columns]
+        rows = rows.select(*(F.col(x).alias(f"numbered {x}") for x in rows.columns)).join(ids, F.col(f"`numbered {c}`") == F.col("number"), "left").select(own)
+    return rows
 
 
 def sized(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textscan as ts
-from folio.llm.common import attach, semi, written
+from folio.llm.common import attach, named, numbered, semi, written
 from folio.llm.graph import components
 
 SHINGLE = 5
 #: 4 rows and 32 bands: a pair at similarity 0.75 shares no band with probability 5e-6.
 SLOTS, ROWS = 128, 4
 BLOCK = 512
+#: Elements whose permutations are held at a time (128 bytes each), and bytes of one text that are read at a time.
+RANKED, STRETCH = 1 << 17, 1 << 20
 #: Members that are verified against one copy of their hub's text.
 HUB_MEMBERS = 32
 #: Bands are verified in rounds; after each, pairs of one component need no verification any more.
@@ -35,21 +37,39 @@ LEAST_AGREE = int(SLOTS * 0.55)
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word, and each document's first word."""
+    w = ts.words(data, offsets, ts.SPACE_WORDS, True)
+    return w.hash, ts.span_hash(ts.FOLD[data], w.start, w.end, 1), w.first
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _hashed(); a long text is read in stretches that end between words."""
+    if len(offsets) > 2 or len(data) <= 2 * STRETCH:
+        return _hashed(data, offsets)
+    ends = np.flatnonzero(~ts.SPACE_WORDS[data])
+    cuts = ends[np.searchsorted(ends, np.arange(STRETCH, ends[-1], STRETCH))] if len(ends) else ends
+    bounds = np.unique(np.concatenate([[0], cuts, [len(data)]])).tolist()
+    some = [_hashed(data[a:b], np.array([0, b - a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    words, others = (np.concatenate([x[k] for x in some]) for k in (0, 1))
+    return words, others, np.array([0, len(words)])
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, sorted by (document, hash): hashes, each document's first, and an independent hash of each."""
-    w = ts.words(data, offsets, ts.SPACE_WORDS, True)
-    count = np.diff(w.first)
+    words, others, begin = _word_hashes(data, offsets)
+    count = np.diff(begin)
     n = len(offsets) - 1
-    inside = ts.gram_mask(w.first, len(w.hash), SHINGLE)
+    inside = ts.gram_mask(begin, len(words), SHINGLE)
     short = np.flatnonzero((count > 0) & (count < SHINGLE))
     hashes = []
-    for own in (w.hash, ts.span_hash(ts.FOLD[data], w.start, w.end, 1)):
+    for own in (words, others):
         h = ts.grams(own, SHINGLE)[inside]
-        whole = [ts.grams(own[w.first[i] : w.first[i + 1]], int(count[i]))[0] ^ np.uint64(count[i]) for i in short]  # the one shingle
+        whole = [ts.grams(own[begin[i] : begin[i + 1]], int(count[i]))[0] ^ np.uint64(count[i]) for i in short]  # the one shingle
         hashes.append(np.concatenate([h, np.array(whole, dtype=np.uint64)]))
     h, other = hashes
     d = np.concatenate([np.repeat(np.arange(n), count)[: len(inside)][inside], short])
-    order = np.lexsort((h, d))
+    order = np.lexsort((h, d)) if n > 1 else np.argsort(h, kind="stable")
     h, d, other = h[order], d[order], other[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
@@ -67,6 +87,17 @@ def superminhash(h: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.nda
     n = len(first) - 1
     sig = np.full(n * slots, np.inf)
     doc = np.repeat(np.arange(n), np.diff(first))
+    for lo in range(0, len(h), RANKED):
+        _ranked(h[lo : lo + RANKED], doc[lo : lo + RANKED], sig, slots)
+    return sig.reshape(n, slots)
+
+
+def _ranked(h: np.ndarray, doc: np.ndarray, sig: np.ndarray, slots: int) -> None:
+    """Lower the signatures by these elements; what earlier ones have reached stops them early."""
+    low = int(doc[0]) if len(doc) else 0
+    doc = doc - low
+    n = int(doc[-1]) + 1 if len(doc) else 0
+    sig = sig[low * slots : (low + n) * slots]  # of the documents that are met here
     perm = None
     for j in range(slots):
         if not len(h):
@@ -88,7 +119,6 @@ def superminhash(h: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np.nda
         on = open_docs[doc]
         if not on.all():
             h, doc, perm = h[on], doc[on], perm[on]
-    return sig.reshape(n, slots)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +251,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     its own component; a null doc_id is never linked and stays.  Rows that
     repeat a doc_id are one document, which is linked by the first of its texts
     (by a hash of the text) where they differ; n_shingles is each row's own.
-    doc_id is a whole number.  Columns besides doc_id and text are ignored.
+    doc_id may be of any type with an order.  Columns besides doc_id and text are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs, ids = numbered(docs.select("doc_id", "text"))
+    return named(_near_groups(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))), ids, "doc_id", "component_id")
+
+
+def _near_groups(docs: DataFrame) -> DataFrame:
     signed = written(docs.mapInArrow(_signatures, "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"), "signatures")
     several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("own"), F.max("text_key").alias("last")).where("own <> last")
     several = written(several.select("doc_id", "own"), "several")

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import exact, near
+from folio.llm import common, exact, near
 from folio.llm import textscan as ts
 from folio.llm.graph import components
 from tests.conftest import DATA
@@ -173,3 +173,42 @@ def test_components(spark, one_task):
     got = components(spark.createDataFrame(pairs, "x long, y long").repartition(5), "x", "y", one_task)
     want = {n: 1 for n in (1, 2, 3, 7, 8, 9)} | {20: 20, 21: 20} | {100 + i: 100 for i in range(61)}
     assert {r.node: r.component for r in got.collect()} == want
+
+
+def test_ids_of_any_type_with_an_order(spark):
+    docs = [(i, t) for i, t in tricky() if i % 3]
+    name = lambda i: f"id {i:05d}"
+    got = near.near_groups(spark.createDataFrame([(name(i), t, 1) for i, t in docs], "doc_id string, text string, number int"))
+    want = [(name(i), n, name(c), k) for i, n, c, k in brute.near(docs)]
+    assert rows(got, ["doc_id", "n_shingles", "component_id", "kept"]) == sorted(want)
+
+
+def test_a_very_long_text_is_hashed_in_stretches(monkeypatch):
+    rng = random.Random(6)
+    text = "  ".join(rng.choice(["Alpha", "é", "b" * 30]) + str(rng.randrange(500)) for _ in range(20_000)) + "\n" + "x" * 5000
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    want = near.shingle_sets(data, offsets)
+    signature = near.superminhash(want[0], want[1])
+    monkeypatch.setattr(near, "STRETCH", 1000)
+    monkeypatch.setattr(near, "RANKED", 777)
+    got = near.shingle_sets(data, offsets)
+    assert all((x == y).all() for x, y in zip(got, want))
+    assert (near.superminhash(got[0], got[1]) == signature).all()
+    pair = next(ts.slices(pa.array([text[:9000], "", "a b", text[9000:30_000]])))
+    h, first, _ = near.shingle_sets(pair.data, pair.offsets)
+    own = [near.superminhash(h[a:b], np.array([0, b - a]))[0] for a, b in zip(first[:-1], first[1:])]
+    assert (near.superminhash(h, first) == np.stack(own)).all()
+
+
+def test_partitions_are_bounded(spark):
+    docs = spark.range(1)
+    assert common.partitions(docs, 100 << 40, 16 << 20) == common.MOST_PARTITIONS
+    assert common.partitions(docs, 100, 16 << 20) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_very_long_equal_texts_of_a_salted_key(spark):
+    long = "lorem ipsum " * 100_000
+    docs = [(i, long + " " * (i % 3)) for i in range(40)] + [(100 + i, "x") for i in range(700)] + [(900, long + "y")]
+    got = exact.exact_groups(spark.createDataFrame(docs, SCHEMA), key=lambda body: F.lit(5).cast("long"))
+    assert rows(got, ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]) == brute.exact(docs)
