@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textscan as ts
-from folio.llm.common import written
+from folio.llm.common import MOST_PARTITIONS, named, numbered, written
 
 SPAN, K = 20, 3
 #: k-grams of a window, and so the most windows of one passage.
 HELD = SPAN - K + 1
 #: A k-gram is frequent from so many occurrences on; with very many words the bound rises, so that at most FREQUENT are
-#: listed (a broadcast of 4 MB).  Any list gives the same result: it only deals the work.
-HOT, FREQUENT = 10_000, 500_000
-#: k-grams that a task counts at a time; those it meets only once there are not reported.
-COUNTED = 1 << 20
+#: listed (a broadcast of 8 MB).  Any list gives the same result: it only deals the work.
+HOT, FREQUENT = 10_000, 1_000_000
+#: k-grams that a task gathers before it counts them, and counters that it keeps.
+COUNTED, COUNTERS = 1 << 20, 1 << 21
 #: Bytes of text for each group of shards (a group's passages come to about three times that), and words of one shard.
 GROUP_BYTES, SHARD_WORDS = 4 << 20, 200_000
 #: Frequent windows that a task remembers, to send only the first ones.
@@ -140,21 +140,37 @@ def _least(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k-grams that occur more than once in a stretch of the task's text."""
-    held: list[np.ndarray] = []
+    """k-grams that occur more than once in the task's text, by a summary of COUNTERS counters.
 
-    def often() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([ts.as_long(keys[counts > 1]), pa.array(counts[counts > 1], pa.int64())], ["gram", "n"])
+    Counts of all stretches are merged before any is dropped (Misra and Gries):
+    where there are too many, the largest that has no counter left is taken off
+    all.  So no count is more than words / COUNTERS too low, in a task and in
+    the sum of all tasks: half of the bound on frequent k-grams at most.
+    """
+    held: list[np.ndarray] = []
+    keys, counts, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        every, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        total[at[: len(keys)]] = counts
+        total[at[len(keys) :]] += n
+        if len(every) > COUNTERS:
+            total -= np.partition(total, len(total) - COUNTERS - 1)[len(total) - COUNTERS - 1]
+        return every[total > 0], total[total > 0]
 
     for batch in batches:
         for _, w in _slice_words(batch.column(0)):
             held.append(ts.grams(w.hash, K)[ts.gram_mask(w.first, len(w.hash), K)])
-            if sum(map(len, held)) >= COUNTED:
-                yield often()
-                held.clear()
+            size += len(held[-1])
+            if size >= COUNTED:
+                keys, counts = merged()
+                size = 0
     if held:
-        yield often()
+        keys, counts = merged()
+    yield pa.RecordBatch.from_arrays([ts.as_long(keys[counts > 1]), pa.array(counts[counts > 1])], ["gram", "n"])
 
 
 _ROW = "kind int, shard int, n int, places binary, words binary"
@@ -374,7 +390,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BYT
     frequent = grams.where(F.col("n") >= max(hot, -(-total // FREQUENT))).select("gram").toArrow()  # at most FREQUENT of them
     listed = spark.sparkContext.broadcast(np.sort(frequent.column("gram").to_numpy().view(np.uint64)))
     rows = docs.mapInArrow(_passages(listed, groups), _ROW)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(groups, MOST_PARTITIONS))  # a task takes its groups one by one
     found = rows.repartition(parts, "shard").groupBy("shard").applyInArrow(_judged(shard_words), "doc long, text long, start int, size int")
     return found.groupBy(F.col("doc").alias("doc_key"), F.col("text").alias("text_key")).agg(F.flatten(F.collect_list(F.array("start", "size"))).alias("spans"))
 
@@ -388,13 +404,14 @@ def without_repeats(docs: DataFrame, hot: int = HOT, group_bytes: int = GROUP_BY
     come after all others and are one document; rows that repeat a doc_id and
     its text are one document, of which no row is earlier than another.  Of
     different texts under one doc_id, windows at the same place go by text_key.
-    doc_id is a whole number; further columns are ignored.
+    doc_id may be of any type with an order; further columns are ignored.
     """
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    docs, ids = numbered(docs.select("doc_id", "text"))
+    body = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     spans = repeated_spans(body, hot, group_bytes, shard_words)
     keyed = body.withColumn("doc_key", F.coalesce("doc_id", F.lit(int(NO_ID))))
     joined = keyed.join(spans, ["doc_key", "text_key"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return named(joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string"), ids, "doc_id")
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import substring
+from folio.llm import textscan as ts
 from tests.conftest import DATA
 from tests.llm.brute import WORDS
 
@@ -115,3 +117,22 @@ def test_texts_that_share_an_id_do_not_depend_on_slices(spark, key):
     frame = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1)
     for df in (frame(docs), frame(docs[:1]).union(frame(docs[1:])), frame(docs[:2]).union(frame(docs[2:]))):
         assert sorted((r.n_words, r.n_removed) for r in substring.without_repeats(df).collect()) == [(26, 0), (56, 25), (56, 25)]
+
+
+def test_ids_of_any_type_with_an_order(spark):
+    docs = [(f"id {i:05d}", t) for i, t in cases()]
+    assert rows(substring.without_repeats(spark.createDataFrame(docs, "doc_id string, text string"), 3)) == brute(docs)
+
+
+def test_a_gram_that_every_stretch_holds_once_is_counted(monkeypatch):
+    monkeypatch.setattr(substring, "COUNTED", 60)
+    monkeypatch.setattr(substring, "COUNTERS", 90)
+    texts = [" ".join(f"u{k}_{j}" for j in range(60)) + " so it goes" for k in range(50)]
+    batches = [pa.record_batch([pa.array([t])], ["text"]) for t in texts]
+    found = {}
+    for b in substring._counted(iter(batches)):
+        found |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    s = next(ts.slices(pa.array(["so it goes"])))
+    gram = int(ts.grams(ts.words(s.data, s.offsets, ts.SPACE_WORDS, False).hash, 3).view("int64")[0])
+    total = sum(len(t.split()) - 2 for t in texts)
+    assert 50 - total / 90 <= found[gram] <= 50 and found[gram] > 1 and len(found) <= 90
