@@ -32,6 +32,8 @@ from folio.llm.common import attach, partitions, shared_path, written
 SEGMENT, CHUNK = 16_384, 4_096
 #: Bytes of html for each archive file, as far as rows can be dealt.
 FILE_BYTES = 16 << 20
+#: Records of one archive file; what a partition holds beyond them goes to further files.
+RECORDS = 4_096
 #: Bytes that are unzipped at a time, and of blocks in a batch.
 STEP, HELD = 1 << 20, 4 << 20
 END = "\r\n\r\n"
@@ -133,7 +135,8 @@ def write(pages: DataFrame, folder: str, segment: int = SEGMENT, chunk: int = CH
     may be of any type that can be cast to a string and back.
     """
     records = with_revisits(pages, file_bytes).mapInArrow(_written_records(segment, chunk), "value string")
-    records.write.option("lineSep", END).option("compression", "gzip").text(folder)
+    most = max(RECORDS, file_bytes // segment)  # a record has `segment` bytes at most, so a partition beyond its bytes makes several files
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(folder)
 
 
 def unzipped(raw: bytes) -> Iterator[bytes]:
