@@ -137,6 +137,26 @@ def from_records(records: DataFrame, conv_id: str = "conv_id", record: str = "re
     return chosen.select("conv_id", "layout", F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
+#: Layouts of records, in the order in which as_record() counts them.
+RECORD_LAYOUTS = list(_RECORDS)
+
+
+def as_record(turns: Column, layout: Column) -> Column:
+    """A JSON record of canonical turns in the layout of this number: lists keep all turns, others the first of each role."""
+    said = lambda role: F.coalesce(F.get(F.filter(turns, lambda t: t["role"] == role), F.lit(0))["text"], F.lit(""))
+    other = {own: name for name, own in reversed(ROLES.items())}
+
+    def record(own: Turns | Listed) -> Column:
+        if isinstance(own, Turns):
+            roles = {"user": ["user", "system"], "system": ["system"], LEARNED: [LEARNED]}
+            fields = [said(r).alias(f) for role, names in own.turns for f, r in zip(names, roles[role], strict=False)]
+            return F.to_json(F.struct(*fields))
+        role = lambda t: t["role"] if own.role == "role" else _choice(t["role"], {x: F.lit(y) for x, y in other.items()}, t["role"])
+        return F.to_json(F.struct(F.transform(turns, lambda t: F.struct(role(t).alias(own.role), t["text"].alias(own.text))).alias(own.field)))
+
+    return _choice(layout, {k: record(x) for k, x in enumerate(_RECORDS.values())}, F.lit(None).cast("string"))
+
+
 def from_rows(rows: DataFrame) -> DataFrame:
     """Canonical turns of a table with a row for each turn: conv_id, layout, turns in the order of turn, role, text.
 

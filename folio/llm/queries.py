@@ -19,6 +19,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(chat.from_rows(turns)))
 
 
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON records of all record layouts, by conv_id, are read by their fingerprints and formatted."""
+    turns = chat.from_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).where("conv_id is not null")
+    records = turns.select("conv_id", chat.as_record(F.col("turns"), F.pmod("conv_id", F.lit(len(chat.RECORD_LAYOUTS)))).alias("record"))
+    read = chat.from_records(records)
+    digest = chat.digest(chat.format_turns(read))
+    return read.select("conv_id", "layout").join(digest, "conv_id").select("conv_id", "layout", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -85,7 +94,7 @@ def _vector_sql(rounds: int = vectors.ROUNDS) -> str:
         FROM found f JOIN kept USING (vec_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts, op11_vector_codes, op12_collocations, op13_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_chat_format, chat_mixed_layouts, op3_exact_dedup, op4_minhash_near_dedup, op5_personal_data, op6_substring_dedup, op7_warc, op8_curve_packing, op9_decontamination, op10_token_counts, op11_vector_codes, op12_collocations, op13_fingerprints)}
 
 SQL = {
     "op11_vector_codes": _vector_sql(),
@@ -118,6 +127,19 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "chat_mixed_layouts": r"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          ['messages', 'dialogue', 'instruction', 'instruction_input', 'prompt', 'response', 'question', 'system_prompt'][conv_id % 8 + 1] AS layout
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, layout, coalesce(min_by(text, k) FILTER (role = 'user'), '') AS u, coalesce(min_by(text, k) FILTER (role = 'assistant'), '') AS a,
+                     coalesce(min_by(text, k) FILTER (role = 'system'), '') AS s, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS every,
+                     count(*) AS n, coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS learned FROM t GROUP BY ALL),
+        x AS (SELECT conv_id, layout, layout IN ('messages', 'dialogue') AS listed, n, every, learned, u, a, s FROM c),
+        y AS (SELECT conv_id, layout, CASE WHEN listed THEN n WHEN layout = 'system_prompt' THEN 3 ELSE 2 END AS n_turns,
+                     CASE WHEN listed THEN every ELSE CASE WHEN layout = 'system_prompt' THEN 'system' || chr(10) || s || chr(10) ELSE '' END || 'user' || chr(10) || u
+                       || CASE WHEN layout = 'instruction_input' AND s <> '' THEN chr(10) || s ELSE '' END || chr(10) || 'assistant' || chr(10) || a || chr(10) END AS body,
+                     CASE WHEN listed THEN learned ELSE a END AS loss FROM x)
+        SELECT conv_id, layout, n_turns, sha256(body) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM y""",
     "op6_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         every AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i, len(ws) AS n FROM w),
