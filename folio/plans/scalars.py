@@ -71,10 +71,14 @@ def normalize_source(spark, sf_dir):
 
 
 _MARKED = "concat('**', left(text, 10), '** and *', substring(text, 11, 8), '* `', right(text, 6), '` [', left(text, 4), '](http://x.y/z)  end')"
-_STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\*\*([^*\n]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '`([^`\n]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
+#: A star beside another one opens and closes nothing, so stars in a row are set aside as a sign first.
+_BOLD = r"regexp_replace({}, '\*\*([^*\n]+)\*\*', '\1', 'g')"
+_ASIDE = f"replace(replace({_BOLD}, '**', chr(1) || chr(1)), chr(1) || '*', chr(1) || chr(1))"
+_ITALIC = rf"replace(regexp_replace({_ASIDE}, '\*([^*\x01\n]+)\*', '\1', 'g'), chr(1), '*')"
+_STRIPPED = rf"regexp_replace(regexp_replace({_ITALIC}, '`([^`\n]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
 
 
-_MARKED_WHOLE = f"concat(text, ' ', {_MARKED})"
+_MARKED_WHOLE = f"concat(text, ' **a* ***b*** *c** ', {_MARKED})"
 
 
 @query(f"SELECT doc_id, {_STRIPPED.format(_MARKED_WHOLE)} AS plain FROM documents")
@@ -92,11 +96,32 @@ def strip_markdown_noise(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_noise(F.col("text"))).alias("plain_md5"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(x),
- '^[ \t]*[0-9]{1,4}[ \t]*$|^[ \t]*\*\*[0-9]{1,4}\*\*[ \t]*$|^[ \t]*(-{3,}|\*{3,})[ \t]*$|\.{3,}[ \t]*[0-9]{1,4}[ \t]*$|^[ \t]*(e-?mail|electronic address|tel\.?|phone|fax)[ \t]*[:-]|^[ \t]*(published by|©|copyright|doi:|http://|https://|www\.)')), chr(10)) AS t FROM documents)
-SELECT doc_id, md5(regexp_replace(regexp_replace(t, '([A-Za-z])-\n[ \t]*([a-z])', '\1\2', 'g'), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')) AS body_md5 FROM l""")
+#: Whole texts among lines of every kind that page layout leaves.
+_PAGED = """concat('Some phys- ics of text 13 More and 14 Than that', chr(10), ' 12 ', chr(10), '**7**', chr(10), '-----', chr(10), 'A. Title of it 12', chr(10), 'x arXiv:2101.00001v2 [cs] 1 Jan', chr(10), '# arXiv:2101.00001', chr(10),
+ text, chr(10), chr(10), chr(10), 'The last part ..... 9', chr(10), '...... 3', chr(10), 'Write E-mail: a.b@c.org to us', chr(10), 'Tel.: +32 1', chr(10), 'Doi:10.1/2', chr(10), 'Volume 3 | Issue 4 of it', chr(10), 'see http://x.org  twice')"""
+_BARE = "regexp_replace({}, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')"
+
+
+def _between(x: str) -> str:
+    """Page numbers between a word and a capital, twice, since one match may end where the next begins."""
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '([A-Za-z.)])[ \t]+[0-9]{{1,3}}([ \t]+[A-Z])', '\1 \2', 'g')"
+    return x
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split({_PAGED}, chr(10))) AS line, unnest(generate_series(1, len(string_split({_PAGED}, chr(10))))) AS i FROM documents),
+b AS (SELECT doc_id, i, {_BARE.format('line')} AS bare FROM l),
+m AS (SELECT *, {_BARE.format(rf"regexp_replace(bare, '(?i)\b(e-?mail|electronic address)[ \t]*[:-]?[ \t]*[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+[ \t]*', '', 'g')")} AS mailed FROM b
+ WHERE NOT regexp_matches(lower(bare), '^(-{{3,}}|\*{{3,}}|[0-9]{{1,4}}|\*\*[0-9]{{1,4}}\*\*)$') AND NOT regexp_matches(lower(bare), '^(e-?mail|electronic address|tel\.?|phone|fax)[ \t]*[:-]')
+ AND NOT regexp_matches(lower(bare), '^(published by|©|copyright|doi:|http://|https://|www\.|research article[ \t]+issn\b|i[ \t]*j[ \t]*t[ \t]*c[ \t]*physics\b|v[ \t]*olume[ \t]+[0-9]+[ \t]*\|[ \t]*issue[ \t]+[0-9]+)')),
+o AS (SELECT *, CASE WHEN contains(mailed, 'arXiv:') THEN regexp_replace({_BARE.format(r"regexp_replace(mailed, '(?i)arXiv:[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?([ \t]*\[[^\]]+\])?.*$', '')")}, '^#+[ \t]*', '') ELSE mailed END AS own FROM m),
+p AS (SELECT doc_id, i, CASE WHEN bare = '' THEN '' WHEN regexp_matches(own, '[ \t]*\.{{3,}}[ \t]*[0-9]{{1,4}}$') THEN nullif({_BARE.format(r"regexp_replace(own, '[ \t]*\.{3,}[ \t]*[0-9]{1,4}$', '')")}, '')
+ ELSE regexp_replace(regexp_replace({_between('own')}, '([\p{{L}}\p{{N}}_])-[ \t]+([\p{{L}}\p{{N}}_])', '\1\2', 'g'), ' {{2,}}', ' ', 'g') END AS clean
+ FROM o WHERE bare = '' OR (own <> '' AND NOT regexp_matches({_STRIPPED.format('own')}, '^(\*+[ \t]*)?([0-9]+(\.[0-9]+)*\.?|[A-Z]+)\.[ \t]+[A-Z][^.\n]{{0,80}}?(\*+[ \t]*)?[0-9]{{1,3}}$'))),
+t AS (SELECT doc_id, string_agg(clean, chr(10) ORDER BY i) FILTER (clean IS NOT NULL) AS t FROM p GROUP BY doc_id)
+SELECT doc_id, md5({_BARE.format(r"regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g')")}) AS body_md5 FROM t""")
 def strip_layout(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_layout(F.col("text"))).alias("body_md5"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(tx.strip_layout(F.expr(_PAGED))).alias("body_md5"))
 
 
 _LEAKED = "concat(text, ' [12345678-abcd-4abc-8abc-1234567890ab, 12345678-ABCD-4abc-8abc-1234567890ac] mid (12345678-abcd-4abc-8abc-1234567890ab), bare 12345678-abcd-4abc-8abc-1234567890ab.')"

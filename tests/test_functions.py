@@ -157,3 +157,28 @@ def test_hybrid_falls_back_to_keywords(spark):
     best = retrieval.hybrid(rows, [], ["rag", "retrieval", "augmented"], 5).collect()
     assert [r.chunk_id for r in best] == [1] and best[0].keyword > 0.3
     assert [r.chunk_id for r in retrieval.hybrid(rows, [1.0, 0.0], ["rag"], 5).collect()] == [1]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("phys- ics", "physics"),
+        ("a- b- c", "ab- c"),
+        ("Text 13 More", "Text More"),
+        ("a 1 B 2 C 3 d", "a B C 3 d"),
+        ("x arXiv:2101.00001v2 [cs] 1 Jan", "x"),
+        ("# arXiv:2101.00001\ny", "y"),
+        ("The part ..... 9\n..... 3", "The part"),
+        ("A. Title of it 12\n2.1. Other one 3\nkept", "kept"),
+        ("12\n**12**\n---\n***\nTel.: 1\nwww.x.org\nVolume 3 | Issue 4\nok", "ok"),
+        ("write e-mail: a@b.c to us", "write to us"),
+        ("a\n\n\n\nb", "a\n\nb"),
+    ],
+)
+def test_layout(spark, text, want):
+    assert spark.range(1).select(tx.strip_layout(F.lit(text)).alias("t")).first().t == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("**a*", "**a*"), ("*a*", "a"), ("***a***", "*a*"), ("*a**", "*a**"), ("**a** *b* `c` [d](e)", "a b c d")])
+def test_stars_beside_stars_open_nothing(spark, text, want):
+    assert spark.range(1).select(tx.strip_markdown(F.lit(text)).alias("t")).first().t == want
