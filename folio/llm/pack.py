@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +33,10 @@ RANGE_TOKENS, RANGES_EACH = 4_000_000, 8
 #: Most ranges: their bounds and totals (two numbers each, 0.3 MB) are known to the driver and every task.  Beyond it a task,
 #: which reads its sorted rows as a stream, gets more rows.
 RANGES = 20_000
-#: Pieces whose bytes and ids a worker keeps: about 15 MB, and as much again for a moment when it learns more.
-KNOWN_PIECES = 300_000
+#: Pieces whose bytes and ids a worker keeps: about 30 MB, and as much again for a moment when it learns more.
+KNOWN_PIECES = 600_000
+#: New pieces that are sorted among themselves before they join the others.
+RECENT_PIECES = 30_000
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 
 
@@ -86,6 +89,40 @@ def curve_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return hilbert(np.clip((at + 3) / 6 * top, 0, top).astype(np.uint64))
 
 
+def _gather(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... counts[0] of them, then those of begin[1], and so on."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    kind = np.int32 if total[-1] < 1 << 31 and (not len(begin) or begin.max() < 1 << 31) else np.int64
+    out = np.repeat((begin - total[:-1]).astype(kind), counts)
+    out += np.arange(total[-1], dtype=kind)
+    return out
+
+
+def _sorted(flat: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists, one after the other in flat, in another order; and where each begins."""
+    begin = np.concatenate([[0], np.cumsum(counts)])
+    return flat[_gather(begin[order], counts[order])], np.concatenate([[0], np.cumsum(counts[order])])
+
+
+class Pieces(NamedTuple):
+    """Pieces in the order of their keys: ids and how many each has, bytes and how many each has."""
+
+    keys: np.ndarray
+    flat: np.ndarray
+    count: np.ndarray
+    text: np.ndarray
+    size: np.ndarray
+
+
+_NOTHING = Pieces(np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+
+
+def _with(known: Pieces, new: Pieces) -> Pieces:
+    keys, flat, count, text, size = (np.concatenate(x) for x in zip(known, new, strict=True))
+    order = np.argsort(keys, kind="stable")
+    return Pieces(keys[order], _sorted(flat, count, order)[0], count[order], _sorted(text, size, order)[0], size[order])
+
+
 class Encoder:
     """Ids of texts by the library, which is asked once for each of the pieces that a worker remembers."""
 
@@ -96,29 +133,49 @@ class Encoder:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint16)
-        self.letters = np.zeros(1, np.int64)  # where each piece's bytes begin in text
-        self.text = np.zeros(0, np.uint8)
+        self.old = self.recent = _NOTHING
+        self._use()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = np.array(self.library.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
-        count = np.diff(np.flatnonzero(self.ends[found]), prepend=-1)
-        assert len(count) == len(pieces), "every piece has one id that ends it"
+    def _learn(self, keys: np.ndarray, pieces: list[str], forget: bool) -> None:
+        """Pieces become recent ones.  Those become old from time to time, when very many old ones go."""
+        model = self.library.model  # pieces without other letters are as its normaliser leaves them
+        lists = [[t.id for t in model.tokenize(p)] if p.isascii() else None for p in pieces]
+        rest = [k for k, ids in enumerate(lists) if ids is None]
+        if rest:
+            ids = np.array(self.library.encode_batch_fast([[pieces[k] for k in rest]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+            parts = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)
+            assert len(parts) == len(rest) + 1, "every piece has one id that ends it"
+            for k, part in zip(rest, parts, strict=False):
+                lists[k] = part.tolist()
+        count = np.array([len(x) for x in lists], np.int64)
+        found = np.array([i for x in lists for i in x], np.uint16)
         raw = [p.encode() for p in pieces]
         sizes, own = np.array([len(p) for p in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
-        every = keys
-        if len(self.keys) < KNOWN_PIECES:  # else the old ones go
-            every, found, own = np.concatenate([self.keys, keys]), np.concatenate([self.flat, found]), np.concatenate([self.text, own])
-            count, sizes = np.concatenate([np.diff(self.begin), count]), np.concatenate([np.diff(self.letters), sizes])
-        order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        self.flat, self.begin = _sorted(found, count, order)
-        self.text, self.letters = _sorted(own, sizes, order)
+        self.recent = _with(self.recent, Pieces(keys, found, count, own, sizes))
+        if len(self.recent.keys) >= RECENT_PIECES:
+            self.old = self.recent if forget and len(self.old.keys) >= KNOWN_PIECES else _with(self.old, self.recent)
+            self.recent = _NOTHING
+        self._use()
+
+    def _use(self) -> None:
+        """Where ids and bytes of all known pieces begin, the old ones first."""
+        both = self.old, self.recent
+        self.begin, self.letters = (np.concatenate([[0], np.cumsum(np.concatenate(x))]) for x in ([p.count for p in both], [p.size for p in both]))
+        self.flat, self.text = (np.concatenate(x) for x in ([p.flat for p in both], [p.text for p in both]))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key among the known pieces, -1 where it is none."""
+        place, before = np.full(len(keys), -1, np.int64), 0
+        for known in (self.old.keys, self.recent.keys):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                place[hit] = at[hit] + before
+            before += len(known)
+        return place
 
     def _strangers(self, place: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Documents with a piece that differs from the known piece of its hash, byte by byte."""
@@ -159,18 +216,12 @@ class Encoder:
         if plain.any():
             own = np.repeat(plain, np.diff(first))
             every, at, back = np.unique(hashes[own], return_index=True, return_inverse=True)
-            if len(self.keys):
-                near = np.minimum(np.searchsorted(self.keys, every), len(self.keys) - 1)
-                unknown = self.keys[near] != every
-            else:
-                unknown = np.ones(len(every), bool)
-            if unknown.any() and len(self.keys) >= KNOWN_PIECES:  # all of these at once, since the old ones go
-                unknown[:] = True
-            if unknown.any():
+            raw, forget = low.tobytes(), True
+            while len(unknown := np.flatnonzero((known := self._find(every)) < 0)):
                 where = np.flatnonzero(own)[at[unknown]]
-                raw = low.tobytes()
-                self._learn(every[unknown], [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, every)[back]
+                self._learn(every[unknown], [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)], forget)
+                forget = False  # what went is learned again, and stays for this slice
+            place = known[back]
             plain[self._strangers(place, low, start[own], end[own], np.repeat(np.arange(n), np.diff(first))[own])] = False
             counts = np.diff(self.begin)[place]
             flat = self.flat[_gather(self.begin[place], counts)]
@@ -185,21 +236,6 @@ class Encoder:
         return out, keys
 
 
-def _gather(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... counts[0] of them, then those of begin[1], and so on."""
-    total = np.concatenate([[0], np.cumsum(counts)])
-    kind = np.int32 if total[-1] < 1 << 31 and (not len(begin) or begin.max() < 1 << 31) else np.int64
-    out = np.repeat((begin - total[:-1]).astype(kind), counts)
-    out += np.arange(total[-1], dtype=kind)
-    return out
-
-
-def _sorted(flat: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists, one after the other in flat, in another order; and where each begins."""
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    return flat[_gather(begin[order], counts[order])], np.concatenate([[0], np.cumsum(counts[order])])
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     import os

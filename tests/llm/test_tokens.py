@@ -98,6 +98,7 @@ def test_packing_edges(spark):
 
 def test_encoder_forgets_and_learns_again(library, monkeypatch):
     monkeypatch.setattr(pack, "KNOWN_PIECES", 5)
+    monkeypatch.setattr(pack, "RECENT_PIECES", 3)
     own = pack.Encoder(bpe.default_path())
     for t in ("the cat sat on the mat", "dogs and cats and birds", "the cat again", "one two three four five six seven", "the"):
         raw = np.frombuffer(t.encode(), np.uint8)
