@@ -141,8 +141,8 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[str], forget: bool) -> None:
         """Pieces become recent ones.  Those become old from time to time, when very many old ones go."""
-        model = self.library.model  # pieces without other letters are as its normaliser leaves them
-        lists = [[t.id for t in model.tokenize(p)] if p.isascii() else None for p in pieces]
+        model = self.library.model  # printable ASCII is what the steps before the model leave as it is
+        lists = [[t.id for t in model.tokenize(p)] if p.isascii() and p.isprintable() else None for p in pieces]
         rest = [k for k, ids in enumerate(lists) if ids is None]
         if rest:
             ids = np.array(self.library.encode_batch_fast([[pieces[k] for k in rest]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
