@@ -34,6 +34,17 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest if c not in keys))
 
 
+def by_digest(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """The first row of each key by `seq`, with the number of its rows as `matches`.
+
+    A key may be a whole text: its length and SHA-256 are shuffled in its place.
+    """
+    rest = [c for c in rows.columns if c != key]
+    marked = rows.select(*rest, F.unhex(F.sha2(key, 256)).alias("_digest"), F.octet_length(key).alias("_size"))
+    first = marked.groupBy("_digest", "_size").agg(F.min(F.struct(seq, *(c for c in rest if c != seq))).alias("_row"), F.count(F.lit(1)).alias("matches"))
+    return first.select(*(F.col(f"_row.{c}").alias(c) for c in rest), "matches")
+
+
 def match_counts(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("matches")).drop(*keys)
 

@@ -22,14 +22,18 @@ def keyword(chunks: DataFrame, words: list[str]) -> DataFrame:
     return chunks.withColumn("keyword", F.round(vx.keyword_score(own, tx.tokens(F.col("chunk_text"))), 6))
 
 
-def hybrid(chunks: DataFrame, vector: list[float], words: list[str], top: int, key: str = "chunk_id", widen: int = 3, most: int = 200, least: float = 0.0) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, vector: list[float], words: list[str], top: int, key: str = "chunk_id", widen: int = 3, most: int = 200, least: float = 0.0) -> DataFrame:
     """Nearest chunks, over-fetched, then scored by keywords, similarity and content type.
 
-    chunks: key, chunk_text, content_type, embedding.  A zero or empty vector
-    falls back to keywords alone.
+    chunks: key, chunk_text, content_type.  vectors: key, embedding.  Vectors are
+    ranked by themselves, among the keys of chunks, and the few that are left
+    (at most `most` rows) are sent to the scan of the texts, so no text is
+    shuffled.  A zero or empty vector falls back to keywords alone.
     """
     if any(vector):
-        found = keyword(nearest(chunks.where("embedding IS NOT NULL"), vector, min(widen * top, most), key), words)
+        own = vectors.where("embedding IS NOT NULL").join(chunks.select(key), key, "left_semi")
+        best = nearest(own, vector, min(widen * top, most), key).select(key, "similarity")
+        found = keyword(chunks.join(F.broadcast(best), key), words)
     else:
         found = keyword(chunks, words).withColumn("similarity", F.lit(0.0))
     score = F.round(vx.blended(F.col("keyword"), F.col("similarity"), F.col("content_type")), 6)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
-from folio.operators import chunking
+from folio.operators import chunking, extraction
 from folio.plans.registry import query
 from folio.plans.scalars import _STRIPPED as STRIPPED
 from folio.sources.tables import spread, table
@@ -101,6 +101,48 @@ def page_repair(spark, sf_dir):
     return s.join(share, "source").select("doc_id", F.when(F.col("share") >= 0.5, "whole").when(F.col("weak"), "page").otherwise("none").alias("repair"))
 
 
+def _quality_sql(texts: str, keys: str) -> str:
+    """keys, text and score (0 of no text) of a query that has keys and text."""
+    columns = ", ".join(f"{v} AS {k}" for k, v in _SIGNALS.items())
+    return f"(SELECT {keys}, text, round({_SCORE}, 6) AS score FROM (SELECT {keys}, text, {columns} FROM ({texts}) WHERE length(text) > 0) UNION ALL SELECT {keys}, text, 0 FROM ({texts}) WHERE coalesce(length(text), 0) = 0)"
+
+
+#: Engines of the queries: a text as it is, in one line, and with a line for each sentence.
+_ENGINES = {"plain": "text", "joined": r"regexp_replace(text, '\n+', ' ', 'g')", "parted": r"regexp_replace(text, '([.!?]) +', '\1' || chr(10), 'g')"}
+_FAST = [extraction.Engine("plain", lambda t: t), extraction.Engine("joined", lambda t: F.regexp_replace(t, r"\n+", " "))]
+_SLOW = [extraction.Engine("parted", lambda t: F.regexp_replace(t, r"([.!?]) +", "$1\n"))]
+_TIERS = ", ".join(f"{name} AS {_quality_sql(f'SELECT doc_id, {sql} AS text FROM documents', 'doc_id')}" for name, sql in _ENGINES.items())
+
+
+@query(f"""WITH {_TIERS},
+f AS (SELECT p.doc_id, p.score AS s1, j.score AS s2, CASE WHEN j.score > p.score THEN j.text WHEN p.score > 0 THEN p.text END AS text, greatest(p.score, j.score) AS score, CASE WHEN j.score > p.score THEN 'joined' WHEN p.score > 0 THEN 'plain' ELSE '' END AS engine FROM plain p JOIN joined j USING (doc_id)),
+g AS (SELECT f.*, p.score AS s3, p.text AS t3, f.score < 0.8 AS asked FROM f JOIN parted p USING (doc_id))
+SELECT doc_id, CASE WHEN asked AND s3 > score THEN 'parted' ELSE engine END AS engine, md5(coalesce(CASE WHEN asked AND s3 > score THEN t3 ELSE text END, '')) AS text_md5, CASE WHEN asked THEN greatest(score, s3) ELSE score END AS score,
+ CASE WHEN asked THEN greatest(score, s3) ELSE score END < 0.8 AS fell_back, CASE WHEN asked THEN 3 ELSE 2 END AS n_tried FROM g""")
+def engine_routing(spark, sf_dir):
+    """The best text of two engines, and of a third one where both are under the bar."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = extraction.routed(d, "doc_id", "text", _FAST, _SLOW, 0.8)
+    return best.select("doc_id", "engine", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "score", "fell_back", F.size("tried").alias("n_tried"))
+
+
+_TURN_PAGES = "SELECT conv_id, turn, text FROM conversations"
+
+
+@query(rf"""WITH p AS {_quality_sql(_TURN_PAGES, 'conv_id, turn')},
+s AS (SELECT conv_id, turn, text AS fast, CASE WHEN turn % 3 = 2 THEN NULL ELSE {_ENGINES['parted']} END AS slow, score < 0.55 AS weak FROM p),
+d AS (SELECT conv_id, count(*) AS n, count(*) FILTER (weak) AS w, string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (weak) AS weak_pages, count(*) FILTER (weak) > 0 AND count(*) FILTER (weak) >= 0.5 * count(*) AS whole FROM s GROUP BY conv_id),
+m AS (SELECT s.conv_id, coalesce(string_agg(fast, chr(10) || chr(10) ORDER BY turn) FILTER (length(fast) > 0), '') AS before,
+ coalesce(string_agg(CASE WHEN whole OR (weak AND length(slow) > 0) THEN slow ELSE fast END, chr(10) || chr(10) ORDER BY turn) FILTER (length(CASE WHEN whole OR (weak AND length(slow) > 0) THEN slow ELSE fast END) > 0), '') AS text FROM s JOIN d USING (conv_id) GROUP BY s.conv_id),
+b AS {_quality_sql('SELECT conv_id, before AS text FROM m', 'conv_id')}, t AS {_quality_sql('SELECT conv_id, text FROM m', 'conv_id')}
+SELECT d.conv_id, n AS n_pages, coalesce(weak_pages, '') AS weak_pages, whole, md5(t.text) AS text_md5, b.score AS fast_score, t.score AS score FROM d JOIN b USING (conv_id) JOIN t USING (conv_id)""")
+def page_splice(spark, sf_dir):
+    """Weak pages from the slow engine, or all of a document of which half are weak (turns stand for pages; the slow engine lacks a third)."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 3 != 2, _SLOW[0].extract(F.col("text"))).alias("slow"))
+    r = extraction.repaired(turns, "conv_id", "turn", "text", "slow", 0.55)
+    return r.select("conv_id", F.col("n_pages").cast("long").alias("n_pages"), F.array_join(F.col("weak_pages").cast("array<string>"), ",").alias("weak_pages"), "whole", F.md5("text").alias("text_md5"), "fast_score", "score")
+
+
 @query("""SELECT doc_id, (k * 900)::INT AS start, md5(regexp_replace(substring(text, (k * 900 + 1)::INT, 1000), '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')) AS chunk_md5
 FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 1000) / 900.0))::BIGINT)) AS k FROM documents WHERE length(text) > 0)""")
 def chunk_char_windows(spark, sf_dir):

@@ -24,9 +24,11 @@ def _duck_keyword(words: list[str]) -> str:
 
 
 def chunks(spark, sf_dir):
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    rows = d.join(e, d.doc_id == e.vec_id)
-    return rows.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.expr(_KIND).alias("content_type"), "embedding")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.expr(_KIND).alias("content_type"), "source")
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
 def query_vector(spark, sf_dir, vec_id: int = 0) -> list[float]:
@@ -47,23 +49,22 @@ f AS (SELECT doc_id, text, {_SIM} AS similarity FROM documents JOIN embeddings e
 SELECT doc_id AS chunk_id, {_duck_keyword(WORDS)} AS keyword, similarity, round({_duck_keyword(WORDS)} * 0.45 + similarity * 0.55 + {_BOOST}, 6) AS score FROM f ORDER BY score DESC, chunk_id LIMIT 30""")
 def hybrid_retrieval(spark, sf_dir):
     """Flagship: the thirty best chunks for a query vector and its words."""
-    return rx.hybrid(chunks(spark, sf_dir), query_vector(spark, sf_dir), WORDS, 30).select("chunk_id", "keyword", "similarity", "score")
+    return rx.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), query_vector(spark, sf_dir), WORDS, 30).select("chunk_id", "keyword", "similarity", "score")
 
 
 @query(f"""WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 f AS (SELECT doc_id, text, {_SIM} AS similarity FROM documents JOIN embeddings e ON doc_id = vec_id, q WHERE source = 'src1' ORDER BY similarity DESC, doc_id LIMIT 10)
 SELECT doc_id AS chunk_id, round({_duck_keyword(WORDS)} * 0.45 + similarity * 0.55 + {_BOOST}, 6) AS score FROM f ORDER BY score DESC, chunk_id LIMIT 5""")
 def paper_retrieval(spark, sf_dir):
-    one = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("chunk_id"))
-    own = chunks(spark, sf_dir).join(one, "chunk_id", "left_semi")
-    return rx.hybrid(own, query_vector(spark, sf_dir), WORDS, 5, widen=2).select("chunk_id", "score")
+    own = chunks(spark, sf_dir).where("source = 'src1'")
+    return rx.hybrid(own, vectors(spark, sf_dir), query_vector(spark, sf_dir), WORDS, 5, widen=2).select("chunk_id", "score")
 
 
 @query(f"SELECT doc_id AS chunk_id, round({_duck_keyword(WORDS)} * 0.45 + {_BOOST}, 6) AS score FROM documents WHERE round({_duck_keyword(WORDS)} * 0.45 + {_BOOST}, 6) > 0 ORDER BY score DESC, chunk_id LIMIT 20")
 def keyword_retrieval(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = d.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.expr(_KIND).alias("content_type"), F.lit(None).cast("array<float>").alias("embedding"))
-    return rx.hybrid(rows, [], WORDS, 20).select("chunk_id", "score")
+    return rx.hybrid(rows, None, [], WORDS, 20).select("chunk_id", "score")
 
 
 ANGLES = {"method": ["the", "method"], "result": ["of", "and"], "limit": ["la", "die"], "future": ["this", "was"]}

@@ -20,12 +20,12 @@ def _keyed(spark, sf_dir):
 
 @query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) = 1")
 def dedup_strongest_id(spark, sf_dir):
-    return dedup.first_seen(_keyed(spark, sf_dir), ["key"], ["doc_id"]).select("doc_id", "source")
+    return dedup.by_digest(_keyed(spark, sf_dir), "key", "doc_id").select("doc_id", "source")
 
 
 @query(f"SELECT min(doc_id) AS doc_id, count(*) AS matches FROM documents GROUP BY {_KEY}")
 def dedup_match_counts(spark, sf_dir):
-    return dedup.match_counts(_keyed(spark, sf_dir), ["key"], "doc_id")
+    return dedup.by_digest(_keyed(spark, sf_dir), "key", "doc_id").select("doc_id", "matches")
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY trim(left(lower(text), 100))")

@@ -154,9 +154,9 @@ def test_chunkers(spark):
 
 def test_hybrid_falls_back_to_keywords(spark):
     rows = spark.createDataFrame([(1, "rag retrieval augmented", "method", [1.0, 0.0]), (2, "nothing shared", None, None)], "chunk_id int, chunk_text string, content_type string, embedding array<float>")
-    best = retrieval.hybrid(rows, [], ["rag", "retrieval", "augmented"], 5).collect()
+    best = retrieval.hybrid(rows, None, [], ["rag", "retrieval", "augmented"], 5).collect()
     assert [r.chunk_id for r in best] == [1] and best[0].keyword > 0.3
-    assert [r.chunk_id for r in retrieval.hybrid(rows, [1.0, 0.0], ["rag"], 5).collect()] == [1]
+    assert [r.chunk_id for r in retrieval.hybrid(rows, rows.select("chunk_id", "embedding"), [1.0, 0.0], ["rag"], 5).collect()] == [1]
 
 
 @pytest.mark.parametrize(
