@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.plans.registry import query
 from folio.sources.tables import table
 from folio.streaming import events as ev
+from folio.streaming import stateful as st
 
 
 def events(spark, sf_dir):
@@ -101,3 +102,27 @@ def message_idempotency(spark, sf_dir):
     """The first delivery of a message; user and type stand for its key."""
     g = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("x"))
     return g.select("user_id", "event_type", "x.event_id")
+
+
+_TWO_DAYS = 172_800
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, (1 + floor(value / 10))::BIGINT AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, n, us AS first, cost <= 12 AS accepted, (cost <= 12)::INT AS k, CASE WHEN cost <= 12 THEN cost ELSE 0 END AS used FROM e WHERE n = 1
+UNION ALL SELECT event_id, user_id, n, first, fits, k + fits::INT, used + CASE WHEN fits THEN cost ELSE 0 END
+FROM (SELECT *, k + 1 <= 3 AND used + cost <= 12 AS fits FROM (SELECT e.event_id, e.user_id, e.n, e.cost, CASE WHEN over THEN e.us ELSE r.first END AS first, CASE WHEN over THEN 0 ELSE r.k END AS k, CASE WHEN over THEN 0 ELSE r.used END AS used
+FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT e.us - r.first >= {_TWO_DAYS}000000 AS over))))
+SELECT event_id, user_id, first AS begin, accepted FROM r""")
+def request_windows(spark, sf_dir):
+    """Windows of two days that begin with a user's first request, each with budgets of requests and tokens."""
+    cost = (1 + F.floor(F.col("value") / 10)).cast("long")
+    return st.budgeted(events(spark, sf_dir).withColumn("cost", cost), 3, 12, _TWO_DAYS)
+
+
+@query("""WITH k AS (SELECT *, CASE event_type WHEN 'error' THEN 'tool' WHEN 'purchase' THEN 'final' ELSE 'part' END AS kind FROM events),
+r AS (SELECT *, coalesce(sum((kind <> 'part')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM k)
+SELECT max(event_id) FILTER (kind = 'final') AS event_id, user_id, string_agg(event_type || ' ', '' ORDER BY ts, event_id) FILTER (kind = 'part') AS text FROM r GROUP BY user_id, run HAVING count(*) FILTER (kind = 'final') > 0 AND count(*) FILTER (kind = 'part') > 0""")
+def gated_answers(spark, sf_dir):
+    """Answers of a user: what was said since the last tool call (an error here) or answer, put out by its end (a purchase)."""
+    kind = F.when(F.col("event_type") == "error", st.TOOL).when(F.col("event_type") == "purchase", st.FINAL).otherwise(st.PART)
+    return st.gated(events(spark, sf_dir).withColumn("kind", kind).withColumn("text", F.concat("event_type", F.lit(" "))))
