@@ -136,3 +136,15 @@ def json_schema(fields: DataFrame, key: str) -> DataFrame:
     listed = fields.select(key, F.struct(quoted(F.col("name")).alias("name"), one.alias("one")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
     properties = F.array_join(F.transform("x", lambda x: F.concat(x["name"], F.lit(":"), x["one"])), ",")
     return listed.select(key, F.concat(F.lit('{"type":"object","properties":{'), properties, F.lit('},"required":['), F.array_join(F.col("x.name"), ","), F.lit('],"additionalProperties":false}')).alias("schema"))
+
+
+def lower_confidence(primary: Column, verified: Column) -> Column:
+    """The lower of two stated confidences; words that are none count as medium, and the first one stays if both are alike."""
+    rank = lambda c: F.when(c == "high", 0).when(c == "low", 2).otherwise(1)
+    return F.when(rank(verified) > rank(primary), verified).otherwise(primary)
+
+
+def distinct_first(values: Column) -> Column:
+    """Values without those that stand earlier in another spelling; order and first spellings stay."""
+    low = F.transform(values, F.lower)
+    return F.filter(values, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)

@@ -69,3 +69,21 @@ def gap_guard(gaps: DataFrame, evidence: DataFrame, known: DataFrame) -> DataFra
     valid = F.coalesce("valid", F.lit(0))
     status = F.when(valid >= 2, "kept").when((valid == 1) & F.lower("text").rlike("single|one paper"), "downgraded").otherwise("dropped")
     return gaps.join(n, "gap", "left").select("gap", valid.alias("valid"), status.alias("status"))
+
+
+def language_audit(diagnostics: DataFrame, variants: DataFrame, key: str) -> DataFrame:
+    """key, counts (results by language), score (share of English ones, two digits half to even), other_languages of each search.
+
+    diagnostics: key, source, result_count; without results a source counts for
+    nothing.  variants: key, source, language, place: what a source was asked in,
+    the last one stated; English where none is.  other_languages: some variant is
+    in another language.  Without any result the score is 0.
+    """
+    asked = variants.groupBy(key, "source").agg(F.max_by("language", "place").alias("language"))
+    others = variants.groupBy(key).agg(F.bool_or(F.col("language") != "en").alias("other"))
+    found = diagnostics.where("result_count > 0").join(asked, [key, "source"], "left").groupBy(key, F.coalesce("language", F.lit("en")).alias("language")).agg(F.sum("result_count").alias("n"))
+    total = F.sum("n")
+    english = F.coalesce(F.sum(F.when(F.col("language") == "en", F.col("n"))), F.lit(0))
+    sums = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("counts"), F.bround(F.try_divide(english.cast("double"), total), 2).alias("score"))
+    every = diagnostics.select(key).distinct().join(sums, key, "left").join(others, key, "left")
+    return every.select(key, F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("other", F.lit(False)).alias("other_languages"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions import values as vx
+from folio.operators import synthesis as sx
 from folio.plans.registry import query
 from folio.sources.tables import table
 
@@ -169,10 +170,19 @@ def field_coverage(spark, sf_dir):
     return counts.unpivot(["total"], p.columns, "field", "populated").select("field", "populated", "total", F.round(F.try_divide(F.col("populated").cast("double"), F.col("total")), 3).alias("coverage"))
 
 
-@query("SELECT source, en, total, round(en / total::DOUBLE, 4) AS score, en < total AS other_languages FROM (SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) AS total FROM documents GROUP BY source)")
+@query("""WITH d AS (SELECT doc_id % 40 AS audit, source, n_chars % 9 - 2 AS result_count FROM documents), v AS (SELECT doc_id % 40 AS audit, source, arg_max(lang, doc_id) AS language FROM documents WHERE doc_id % 3 = 0 AND lang IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT audit, bool_or(language <> 'en') AS other FROM (SELECT doc_id % 40 AS audit, lang AS language FROM documents WHERE doc_id % 3 = 0 AND lang IS NOT NULL) GROUP BY audit),
+c AS (SELECT d.audit, coalesce(v.language, 'en') AS language, sum(result_count)::BIGINT AS n FROM d LEFT JOIN v ON v.audit = d.audit AND v.source = d.source WHERE result_count > 0 GROUP BY 1, 2)
+SELECT a.audit, coalesce(string_agg(language || ':' || n, ',' ORDER BY language), '') AS counts, coalesce(round_even(coalesce(sum(n) FILTER (language = 'en'), 0) / sum(n)::DOUBLE, 2), 0) AS score, coalesce(bool_or(other), false) AS other_languages
+FROM (SELECT DISTINCT audit FROM d) a LEFT JOIN c USING (audit) LEFT JOIN o USING (audit) GROUP BY a.audit""")
 def language_bias_audit(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("en"), F.count(F.lit(1)).alias("total"))
-    return g.select("source", "en", "total", F.round(F.coalesce(F.try_divide(F.col("en").cast("double"), F.col("total")), F.lit(1.0)), 4).alias("score"), (F.col("en") < F.col("total")).alias("other_languages"))
+    """Searches (a fortieth of the documents each) whose sources were asked in a language of their own, the last one stated."""
+    d = table(spark, sf_dir, "documents").withColumn("audit", F.col("doc_id") % 40)
+    diagnostics = d.select("audit", "source", (F.col("n_chars") % 9 - 2).alias("result_count"))
+    variants = d.where("doc_id % 3 = 0 AND lang IS NOT NULL").select("audit", "source", F.col("lang").alias("language"), F.col("doc_id").alias("place"))
+    a = sx.language_audit(diagnostics, variants, "audit")
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return a.select("audit", counts.alias("counts"), "score", "other_languages")
 
 
 _PERCENTS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -253,7 +263,12 @@ def pricing_summary(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(revenue), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"))
 
 
-@query("SELECT c_custkey, CASE WHEN r > 0.9 THEN 'high' WHEN r > 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT c_custkey, least(c_acctbal, 5000) / 5000 AS r FROM customer)")
+_STATED = {"primary": "CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'unclear' END", "verified": "CASE o_orderstatus WHEN 'O' THEN 'high' WHEN 'F' THEN 'low' ELSE 'none' END"}
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN CASE v WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END > CASE p WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END THEN v ELSE p END AS confidence
+FROM (SELECT o_orderkey, {_STATED['primary']} AS p, {_STATED['verified']} AS v FROM orders)""")
 def confidence_min(spark, sf_dir):
-    r = F.least("c_acctbal", F.lit(5000.0)) / 5000
-    return table(spark, sf_dir, "customer").select("c_custkey", F.when(r > 0.9, "high").when(r > 0.5, "medium").otherwise("low").alias("confidence"))
+    """Of two stated confidences the lower one; a word that is none counts as medium, and the first stays if both are alike."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *(F.expr(x).alias(name) for name, x in _STATED.items()))
+    return o.select("o_orderkey", vx.lower_confidence(F.col("primary"), F.col("verified")).alias("confidence"))
\ No newline at end of file

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as tx
 from folio.functions import values as vx
 from folio.plans.registry import query
+from folio.sources import tables as st
 from folio.sources.tables import table
 
 
@@ -333,9 +334,19 @@ def coerce_multiselect(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(vx.as_choices(raw, ["red", "click", "view"]), "|").alias("choices"))
 
 
-@query("SELECT c_custkey, list_sort(list_distinct([lower(c_mktsegment), 'building', 'machinery'])) AS terms FROM customer")
+@query("SELECT conv_id, turn, array_to_string(list_filter(ws, lambda x, i: list_position(list_transform(ws, lambda y: lower(y)), lower(x)) = i), ' ') AS terms FROM (SELECT conv_id, turn, string_split(text || ' ' || translate(left(text, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ') AS ws FROM conversations WHERE text IS NOT NULL)")
 def distinct_ci(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_sort(F.array_distinct(F.array(F.lower("c_mktsegment"), F.lit("building"), F.lit("machinery")))).alias("terms"))
+    """The words of each turn, once each, as they are spelled first."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    own = F.split(F.concat("text", F.lit(" "), F.translate(F.left("text", F.lit(40)), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), " ")
+    return c.select("conv_id", "turn", F.array_join(vx.distinct_first(own), " ").alias("terms"))
+
+
+@query("SELECT page_id, page_id % 3 = 0 OR starts_with(html, '%PDF') AS is_pdf FROM pages")
+def pages_magic(spark, sf_dir):
+    """Whether a download is what it is taken for: its first bytes, not its name, tell (a third of the pages get those of a PDF)."""
+    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), F.coalesce("html", F.lit("")))).otherwise(F.coalesce("html", F.lit(""))).cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", st.is_pdf(content).alias("is_pdf"))
 
 
 @query("SELECT c_custkey, list_sort(list_filter(['AUTOMOBILE', 'BUILDING', 'name'], lambda x: x <> c_mktsegment)) AS missing FROM customer")

@@ -66,6 +66,11 @@ def in_categories(rows: DataFrame, categories: list[str] | None) -> DataFrame:
 PAPER = "source string, title string, abstract string, year int, venue string, doi string, arxiv_id string, url string, authors array<string>"
 
 
+def is_pdf(content: Column) -> Column:
+    """Whether bytes begin as a PDF does; pages of an error in its place do not."""
+    return F.coalesce(F.startswith(content, F.lit("%PDF").cast("binary")), F.lit(False))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(tx.strip(value), F.lit(""))
 
