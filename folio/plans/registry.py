@@ -27,4 +27,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from folio.plans import aggregates, corpus, details, feeds, graph, relational, retrieval, scalars, streams, windows  # noqa: F401
+    from folio.plans import aggregates, corpus, details, feeds, graph, relational, retrieval, scalars, streams, web, windows  # noqa: F401
