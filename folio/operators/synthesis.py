@@ -87,3 +87,45 @@ def language_audit(diagnostics: DataFrame, variants: DataFrame, key: str) -> Dat
     sums = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("counts"), F.bround(F.try_divide(english.cast("double"), total), 2).alias("score"))
     every = diagnostics.select(key).distinct().join(sums, key, "left").join(others, key, "left")
     return every.select(key, F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("other", F.lit(False)).alias("other_languages"))
+
+
+def conflict_claims(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims and their evidence from pairs (pair_id, paper_a, paper_b, claim_a, claim_b, confidence).
+
+    Claims: claim_id, field_origin, text, type, supports, contradicts,
+    confidence; a blank claim is none, without a confidence it is medium.
+    Evidence, two rows for each claim: claim_id, paper, polarity, snippet: its
+    own paper supports it with its first 500 characters, the other contradicts
+    it.  claim_id is made of the pair's and the side, so both tables are made
+    from the pairs alone and agree however often they are.
+    """
+    claim_id = lambda k: (F.col("pair_id") * 2 + k).alias("claim_id")
+    side = lambda k, own, other: F.struct(claim_id(k), F.lit(f"claim_{own}").alias("field_origin"), F.col(f"claim_{own}").alias("said"), F.col(f"paper_{own}").alias("own"), F.col(f"paper_{other}").alias("other"))
+    rows = pairs.select("confidence", F.explode(F.array(side(0, "a", "b"), side(1, "b", "a"))).alias("x")).select("confidence", "x.*").withColumn("text", tx.strip(F.col("said"))).where("text <> ''")
+    confidence = F.coalesce(F.nullif("confidence", F.lit("")), F.lit("medium"))
+    claims = rows.select("claim_id", "field_origin", "text", F.lit("contradict").alias("type"), F.lit(1).alias("supports"), F.lit(1).alias("contradicts"), confidence.alias("confidence"))
+    proof = lambda paper, polarity, snippet: F.struct(F.col(paper).alias("paper"), F.lit(polarity).alias("polarity"), snippet.alias("snippet"))
+    both = F.array(proof("own", "support", F.substring("said", 1, 500)), proof("other", "contradict", F.lit(None).cast("string")))
+    return claims, rows.select("claim_id", F.explode(both).alias("e")).select("claim_id", "e.*")
+
+
+def pruned(reports: DataFrame, known: DataFrame, key: str = "report") -> DataFrame:
+    """key, sections, total, invalid, cited: reports without citations that are not known, from the bottom up.
+
+    reports: key, sections: array<struct<title, paragraphs: array<struct<text,
+    cites>>>>.  Paragraphs that are left without a citation go, then sections
+    without a paragraph; all others stay in their order, with their fields.
+    total, invalid: citations there were, and of unknown papers; cited:
+    different known papers.  The trees stay whole: ids alone are looked up, and
+    a report gets the list of those that are known.
+    """
+    cites = F.flatten(F.flatten(F.transform("sections", lambda s: F.transform(s["paragraphs"], lambda p: p["cites"]))))
+    ids = reports.select(key, F.explode(F.array_distinct(cites)).alias("id"))
+    found = ids.join(known.select("id").distinct(), "id", "left_semi").groupBy(key).agg(F.collect_set("id").alias("good"))
+    kind = reports.schema["sections"].dataType.elementType["paragraphs"].dataType.elementType["cites"].dataType.simpleString()
+    rows = reports.join(found, key, "left").withColumn("good", F.coalesce("good", F.array().cast(kind))).withColumn("every", F.coalesce(cites, F.array().cast(kind)))
+    own = lambda p: p.withField("cites", F.filter(p["cites"], lambda c: F.array_contains(F.col("good"), c)))
+    kept = lambda s: s.withField("paragraphs", F.filter(F.transform(s["paragraphs"], own), lambda p: F.size(p["cites"]) > 0))
+    sections = F.filter(F.transform("sections", kept), lambda s: F.size(s["paragraphs"]) > 0)
+    valid = F.size(F.filter("every", lambda c: F.array_contains(F.col("good"), c)))
+    return rows.select(key, sections.alias("sections"), F.size("every").alias("total"), (F.size("every") - valid).alias("invalid"), F.size("good").alias("cited"))

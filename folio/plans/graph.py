@@ -153,3 +153,48 @@ def pages_links(spark, sf_dir):
  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g'))) AS text_md5 FROM pages""")
 def pages_html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.html_text(F.col("html"))).alias("text_md5"))
+
+
+_SIDES = "pair_id, unnest([0, 1]) AS k, unnest([pa, pb]) AS own, unnest([pb, pa]) AS other, unnest([ca, cb]) AS said, confidence"
+_PAIRS = """(SELECT l_orderkey * 10 + l_linenumber AS pair_id, l_partkey AS pa, l_suppkey AS pb, '  ships ' || l_shipdate::DATE AS ca, CASE l_returnflag WHEN 'N' THEN '  ' WHEN 'R' THEN 'returns ' || l_returnflag || ' ' ELSE NULL END AS cb, CASE WHEN l_linestatus = 'O' THEN 'high' END AS confidence FROM lineitem)"""
+
+
+def _conflicts(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    said = F.when(F.col("l_returnflag") == "N", "  ").when(F.col("l_returnflag") == "R", F.concat(F.lit("returns "), "l_returnflag", F.lit(" ")))
+    ships = F.concat(F.lit("  ships "), F.to_date("l_shipdate").cast("string"))
+    return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pair_id"), F.col("l_partkey").alias("paper_a"), F.col("l_suppkey").alias("paper_b"), ships.alias("claim_a"), said.alias("claim_b"), F.when(F.col("l_linestatus") == "O", "high").alias("confidence"))
+
+
+@query(f"SELECT pair_id * 2 + k AS claim_id, CASE k WHEN 0 THEN 'claim_a' ELSE 'claim_b' END AS field_origin, trim(said) AS text, 'contradict' AS type, 1 AS supports, 1 AS contradicts, coalesce(confidence, 'medium') AS confidence FROM (SELECT {_SIDES} FROM {_PAIRS}) WHERE trim(said) <> ''")
+def conflict_claims(spark, sf_dir):
+    return sx.conflict_claims(_conflicts(spark, sf_dir))[0]
+
+
+@query(f"""WITH c AS (SELECT * FROM (SELECT {_SIDES} FROM {_PAIRS}) WHERE trim(said) <> '')
+SELECT pair_id * 2 + k AS claim_id, own AS paper, 'support' AS polarity, left(said, 500) AS snippet FROM c UNION ALL SELECT pair_id * 2 + k, other, 'contradict', NULL FROM c""")
+def conflict_evidence(spark, sf_dir):
+    """Two pieces of evidence for each claim of a conflict, tied to it by an identifier of its own."""
+    return sx.conflict_claims(_conflicts(spark, sf_dir))[1]
+
+
+@query("""WITH l AS (SELECT o_custkey AS report, o_orderkey AS section, (l_linenumber - 1) // 2 AS para, l_linenumber AS n, CASE WHEN l_quantity > 25 THEN -1 - l_partkey ELSE l_partkey END AS cite FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+v AS (SELECT *, cite IN (SELECT p_partkey FROM part) AS good FROM l),
+p AS (SELECT report, section, para, string_agg(cite::VARCHAR, ',' ORDER BY n, cite) FILTER (good) AS cites FROM v GROUP BY ALL),
+s AS (SELECT report, section, string_agg('p' || para || ':' || cites, ';' ORDER BY para) AS body, count(*) AS n_paragraphs FROM p WHERE cites IS NOT NULL GROUP BY ALL),
+r AS (SELECT report, count(*) AS n_sections, sum(n_paragraphs)::BIGINT AS n_paragraphs, string_agg('s' || section || '[' || body || ']', '' ORDER BY section) AS tree FROM s GROUP BY report)
+SELECT a.report, coalesce(n_sections, 0) AS n_sections, coalesce(n_paragraphs, 0) AS n_paragraphs, md5(coalesce(tree, '')) AS tree_md5, total, invalid, cited
+FROM (SELECT report, count(*) AS total, count(*) FILTER (NOT good) AS invalid, count(DISTINCT CASE WHEN good THEN cite END) AS cited FROM v GROUP BY report) a LEFT JOIN r USING (report)""")
+def report_pruning(spark, sf_dir):
+    """Reports (a customer's orders) without unknown citations, and what that leaves empty."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cite = F.when(F.col("l_quantity") > 25, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    paras = l.groupBy("o_custkey", "o_orderkey", F.floor((F.col("l_linenumber") - 1) / 2).alias("para")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", cite.alias("cite")))).alias("x"))
+    paras = paras.select("o_custkey", "o_orderkey", F.struct("para", F.concat(F.lit("p"), F.col("para").cast("string")).alias("text"), F.col("x.cite").alias("cites")).alias("p"))
+    sections = paras.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list("p")).alias("paragraphs"))
+    reports = sections.groupBy(F.col("o_custkey").alias("report")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("title"), "paragraphs"))).alias("sections"))
+    kept = sx.pruned(reports, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
+    text = lambda p: F.concat(p["text"], F.lit(":"), F.array_join(p["cites"].cast("array<string>"), ","))
+    tree = F.array_join(F.transform("sections", lambda s: F.concat(F.lit("s"), s["title"].cast("string"), F.lit("["), F.array_join(F.transform(s["paragraphs"], text), ";"), F.lit("]"))), "")
+    n = F.aggregate("sections", F.lit(0).cast("long"), lambda a, s: a + F.size(s["paragraphs"]))
+    return kept.select("report", F.size("sections").cast("long").alias("n_sections"), n.alias("n_paragraphs"), F.md5(tree).alias("tree_md5"), F.col("total").cast("long").alias("total"), F.col("invalid").cast("long").alias("invalid"), F.col("cited").cast("long").alias("cited"))

@@ -41,8 +41,8 @@ def refresh(frame: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def refreshed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """What refresh() leaves: the old rows of other keys, and all new rows; keys are few."""
-    return old.join(F.broadcast(new.select(*keys).distinct()), keys, "left_anti").unionByName(new)
+    """What refresh() leaves: the old rows of other keys, and all new rows.  Spark broadcasts the new keys if they are few."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

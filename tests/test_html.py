@@ -52,3 +52,29 @@ def test_language_audit(spark):
 @pytest.mark.parametrize(("first", "second", "want"), [("high", "low", "low"), ("low", "high", "low"), ("medium", "unclear", "medium"), ("unclear", "medium", "unclear"), ("high", "x", "x"), ("high", None, None)])
 def test_lower_confidence(spark, first, second, want):
     assert spark.range(1).select(vx.lower_confidence(F.lit(first), F.lit(second)).alias("c")).first().c == want
+
+
+def test_conflict_claims_and_their_evidence(spark):
+    pairs = spark.createDataFrame([(7, "p", "q", " A said ", "b" * 600, None), (8, "q", "r", " ", None, "high"), (9, "p", "r", "x", "y", "low")], "pair_id long, paper_a string, paper_b string, claim_a string, claim_b string, confidence string")
+    claims, evidence = sx.conflict_claims(pairs)
+    own = {r.claim_id: r for r in claims.collect()}
+    assert {k: (r.field_origin, r.text[:6], r.confidence) for k, r in own.items()} == {14: ("claim_a", "A said", "medium"), 15: ("claim_b", "bbbbbb", "medium"), 18: ("claim_a", "x", "low"), 19: ("claim_b", "y", "low")}
+    rows = evidence.collect()
+    assert len(rows) == 8 and {r.claim_id for r in rows} == {*own}
+    assert sorted((r.claim_id, r.paper, r.polarity, len(r.snippet or "")) for r in rows if r.claim_id < 18) == [(14, "p", "support", 8), (14, "q", "contradict", 0), (15, "p", "contradict", 0), (15, "q", "support", 500)]
+
+
+def test_reports_are_pruned_from_the_bottom(spark):
+    tree = "array<struct<title:string,paragraphs:array<struct<text:string,cites:array<bigint>>>>>"
+    rows = [
+        (1, [("a", [("x", [1, 9, 2, 1]), ("y", [9])]), ("b", [("z", [])]), ("c", [("w", [2])])]),
+        (2, [("a", [("x", [9])])]),
+        (3, []),
+    ]
+    reports = spark.createDataFrame(rows, f"report int, sections {tree}")
+    known = spark.createDataFrame([(1,), (2,), (2,), (5,)], "id long")
+    got = {r.report: r for r in sx.pruned(reports, known).collect()}
+    plain = lambda sections: [(s.title, [(p.text, p.cites) for p in s.paragraphs]) for s in sections]
+    assert plain(got[1].sections) == [("a", [("x", [1, 2, 1])]), ("c", [("w", [2])])]
+    assert (got[1].total, got[1].invalid, got[1].cited) == (6, 2, 2)
+    assert (got[2].sections, got[2].total, got[2].invalid, got[2].cited) == ([], 1, 1, 0) and (got[3].sections, got[3].total) == ([], 0)
