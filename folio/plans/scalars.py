@@ -79,12 +79,13 @@ _ITALIC = rf"replace(regexp_replace({_ASIDE}, '\*([^*\x01\n]+)\*', '\1', 'g'), c
 _STRIPPED = rf"regexp_replace(regexp_replace({_ITALIC}, '`([^`\n]+)`', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g')"
 
 
-_MARKED_WHOLE = f"concat(text, ' **a* ***b*** *c** ', {_MARKED})"
+_MARKED_WHOLE = f"concat(text, ' ', {_MARKED})"
+_STARRED = f"concat(text, ' **a* ***b*** *c** ', {_MARKED})"
 
 
-@query(f"SELECT doc_id, {_STRIPPED.format(_MARKED_WHOLE)} AS plain FROM documents")
+@query(f"SELECT doc_id, {_STRIPPED.format(_STARRED)} AS plain FROM documents")
 def strip_markdown(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.strip_markdown(F.expr(_MARKED_WHOLE)).alias("plain"))
+    return docs(spark, sf_dir).select("doc_id", tx.strip_markdown(F.expr(_STARRED)).alias("plain"))
 
 
 @query(f"SELECT doc_id, md5({_STRIPPED.format(_MARKED_WHOLE)}) AS plain_md5 FROM documents")
