@@ -12,9 +12,9 @@ from folio.operators import slots
 from folio.plans.graph import _COLUMNS, _LINKS, _NODES, papers
 from folio.plans.registry import query
 from folio.plans.retrieval import ANGLES, _duck_keyword
-from folio.sources import sinks
+from folio.sources import hits, sinks
 from folio.sources import tables as st
-from folio.sources.tables import table
+from folio.sources.tables import staging_path, table
 
 
 def documents(spark, sf_dir):
@@ -219,3 +219,13 @@ def reembed(spark, sf_dir):
     out = slots.renewed(rows.where("vec_id % 3 <> 0").unionByName(kept), "vec_id", "model", "embedding", target, embed)
     stale = (F.col("vec_id") % 3 == 0) | (F.col("model") == old)
     return out.select("vec_id", F.when(stale, old).otherwise("new").alias("model"), F.size("embedding").alias("size"), F.when(stale, 0).otherwise(F.get("embedding", F.lit(0)).cast("int")).alias("first"))
+
+
+@query("SELECT doc_id AS id, md5(text) AS title, (1990 + doc_id % 30)::INT AS year FROM documents WHERE doc_id % 11 <> 0 AND 1990 + doc_id % 30 BETWEEN 2001 AND 2012")
+def hits_source(spark, sf_dir):
+    """Documents as pages of a service's answers, written and read back by the data source, which gets the years as bounds."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("title"), F.when(F.col("doc_id") % 11 != 0, (1990 + F.col("doc_id") % 30).cast("int")).alias("year"), F.lit(0).alias("answer"))
+    placed = dedup.running_sum(d, ["answer"], "id", F.lit(1).cast("long"), "n").select((F.col("n") - 1).alias("place"), "id", "title", "year")
+    folder = staging_path(spark, "hits")
+    hits.write_pages(placed, folder)
+    return hits.read_hits(spark, folder).where("year BETWEEN 2001 AND 2012")

@@ -28,21 +28,25 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written in the folder of spark.checkpoint.dir and read back, so that what they cost is paid once.
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share.
 
-    A local session without that setting writes to a temporary folder; a cluster
-    gets an error, since its executors would write into folders of their own.
+    A local session without that setting gets a temporary folder; a cluster an
+    error, since its executors would write into folders of their own.
     """
-    spark = rows.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="folio-")
-    path = f"{folder.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written in the shared folder and read back, so that what they cost is paid once."""
+    path = staging_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, categories: list[str] | None = None) -> DataFrame:
