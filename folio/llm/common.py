@@ -119,15 +119,20 @@ def anti(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return rows.join(sized(ids), column, "left_anti")
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], spread: Column, size: str, hot_rows: int = HOT_ROWS, few: int = 0) -> DataFrame:
     """rows, left joined with groups: a written table with one row for each key and the number of its rows in `size`.
 
     A key may hold any share of the rows.  Hot keys are broadcast: their number
     is bounded, since the bound on a key's rows grows with all rows once there
     are too many.  Rows of hot keys are spread by `spread` in the shuffle, where
     they meet nothing; all other keys have few rows each.
+
+    Up to `few` groups are all broadcast: where rows hold texts, it should not
+    be left to a race of stages whether they are shuffled.
     """
-    total, largest = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    total, largest, many = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0)), F.count(F.lit(1))).first()
+    if many <= few:
+        return rows.join(F.broadcast(groups), keys, "left")
     bound = max(hot_rows, -(-total // BROADCAST_KEYS))
     hot = groups.where(F.col(size) >= bound)
     values = [c for c in groups.columns if c not in keys]

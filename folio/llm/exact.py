@@ -23,6 +23,8 @@ from folio.llm.common import BROADCAST_KEYS, attach, partitions, written
 CAPACITY, OWNER_BYTES = 4_000, 64 << 20
 #: Bits of a cell beyond those that evenly spread keys need, and of the directory's first depth below those.
 SPARE_BITS, LESS_BITS = 4, 3
+#: Keys of more than one row that are all sent to every executor (16 bytes each); with more, rows are shuffled to meet them.
+FEW_KEYS = 100_000
 #: Rows of one salt of a key; of a key with more rows than this squared, there are as many salts as rows in each.
 ROWS_PER_SALT = 500
 
@@ -77,11 +79,11 @@ def index(docs: DataFrame, text: Column, key, capacity: int = CAPACITY) -> DataF
     bound = max(ROWS_PER_SALT, -(-total // BROADCAST_KEYS))
     salts = F.when(F.col("rows") > bound, F.ceil(F.col("rows") / F.greatest(F.lit(ROWS_PER_SALT), F.sqrt("rows"))).cast("int"))
 
-    alone = attach(entries.select("doc_id", "key", "text_sha256"), shared, ["key"], F.col("doc_id"), "rows").where("rows is null")
+    alone = attach(entries.select("doc_id", "key", "text_sha256"), shared, ["key"], F.col("doc_id"), "rows", few=FEW_KEYS).where("rows is null")
     alone = alone.withColumn("cell", cell(F.col("key"), bits)).join(slots, "cell")
     single = alone.select("doc_id", "bucket", "key", F.lit(0).alias("salt"), F.lit(1).alias("link"), "text_sha256", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("members"), F.lit(None).cast("string").alias("body"))
 
-    several = attach(body, shared, ["key"], F.col("doc_id"), "rows").where("rows is not null").withColumn("salts", salts)
+    several = attach(body, shared, ["key"], F.col("doc_id"), "rows", few=FEW_KEYS).where("rows is not null").withColumn("salts", salts)
     several = several.withColumn("salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")))
     placed = several.withColumn("cell", cell(F.col("key"), bits)).join(slots, "cell").drop("rows")
     owned = placed.withColumn("text_sha256", F.sha2("body", 256)).repartition(partitions(docs, size, OWNER_BYTES), "bucket", "salt")
