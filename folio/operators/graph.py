@@ -27,18 +27,50 @@ def links(papers: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     return c.select(F.concat(F.lit("paper:"), F.col(key)).alias("source"), F.concat_ws(":", "kind", F.lower("label")).alias("target"), F.concat(F.lit("uses_"), F.col("kind")).alias("relation"))
 
 
+#: Papers of a block: two blocks give at most its square of pairs in one row's expansion.
+BLOCK = 1000
+
+
 def shared(papers: DataFrame, key: str, columns: dict[str, str], most_papers: int | None = None) -> DataFrame:
     """a, b, kind, n: pairs of papers (a < b) with n common concepts of a kind.
 
     The pairs are the result, so a concept of m papers gives m * (m - 1) / 2
-    rows.  most_papers, if given, leaves out concepts that say little because
+    rows.  Papers with the same concepts of a kind are one class: n is found
+    for pairs of classes, and pairs of papers are made from blocks of their
+    members where these lie, so no pair is shuffled, sorted or counted.
+
+    most_papers, if given, leaves out concepts that say little because
     so many papers state them; it is the caller's choice and none by default.
     """
-    c = long_concepts(papers, key, columns)
+    c = long_concepts(papers.where(F.col(key).isNotNull()), key, columns)
     if most_papers is not None:
         c = c.join(c.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= most_papers), ["kind", "label"], "left_semi")
-    both = c.withColumnsRenamed({key: "a"}).join(c.withColumnsRenamed({key: "b"}), ["kind", "label"]).where("a < b")
-    return both.groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("n"))
+    own = c.groupBy(key, "kind").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    # a class is cut into blocks by a hash of the key, so that none is too large for a row
+    sizes = own.groupBy("kind", "labels").agg(F.count(F.lit(1)).alias("m"))
+    placed = own.join(sizes.where(F.col("m") > BLOCK), ["kind", "labels"], "left")
+    block = F.when(F.col("m").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.ceil(F.col("m") / BLOCK)))
+    blocks = placed.groupBy("kind", "labels", block.alias("block")).agg(F.collect_list(key).alias("members"))
+
+    classes = sizes.select("kind", "labels")
+    each = classes.withColumn("label", F.explode("labels"))
+    other = each.withColumnsRenamed({"labels": "labels_b"})
+    apart = each.join(other, ["kind", "label"]).where("labels < labels_b").groupBy("kind", "labels", "labels_b").agg(F.count(F.lit(1)).alias("n"))
+    alike = classes.select("kind", "labels", F.col("labels").alias("labels_b"), F.size("labels").cast("long").alias("n"))
+    right = blocks.withColumnsRenamed({"labels": "labels_b", "block": "block_b", "members": "members_b"})
+    both = alike.unionByName(apart).join(blocks, ["kind", "labels"]).join(right, ["kind", "labels_b"])
+    same = F.col("labels") == F.col("labels_b")
+    within = same & (F.col("block") == F.col("block_b"))
+    met = both.where(~same | (F.col("block") < F.col("block_b")) | (within & (F.size("members") > 1)))
+    # pairs of blocks differ in what they give: they are dealt out before any is expanded
+    dealt = met.select("kind", "n", "members", "members_b", within.alias("within")).repartition(_parts(papers))
+    x = dealt.select("kind", "n", "within", "members_b", F.explode("members").alias("x")).select("kind", "n", "within", "x", F.explode("members_b").alias("y"))
+    return x.where(~F.col("within") | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind", "n")
+
+
+def _parts(rows: DataFrame) -> int:
+    """Enough partitions for all cores to end at about the same time."""
+    return max(8 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
