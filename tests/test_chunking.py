@@ -118,3 +118,9 @@ def test_heading_context_is_the_recurrence(spark):
         current[d] = want[d, k] = now
     got = chunking.heading_context(spark.createDataFrame(heads, "d int, k int, name string"), "d", "k", "name").collect()
     assert {(r.d, r.k): r.context for r in got} == want
+
+
+def test_no_line_is_read_again_for_each_heading(spark):
+    found = chunking.sections(spark.createDataFrame([(1, "# Results\na"), (2, "no heading"), (3, None)], "id int, text string"), "id", "text")
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "Results", 0, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("abstract|keywords?") == 3  # one test, one name, which is named twice
