@@ -124,3 +124,10 @@ def test_no_line_is_read_again_for_each_heading(spark):
     found = chunking.sections(spark.createDataFrame([(1, "# Results\na"), (2, "no heading"), (3, None)], "id int, text string"), "id", "text")
     assert [tuple(r) for r in found.collect()] == [(1, 0, "Results", 0, 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("abstract|keywords?") == 3  # one test, one name, which is named twice
+
+
+def test_headings_of_any_length(spark):
+    long = "Electroencephalographically " * 5
+    text = f"# {long}\na\n## Results\n" + "\n".join(f"{k} Title Of It" for k in range(1, 5))
+    found = chunking.sections(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").orderBy("place").collect()
+    assert [(r.section.split()[0], r.first_line, r.last_line) for r in found] == [("Electroencephalographically", 0, 1), ("Results", 2, 2), *(("Title", k, k) for k in range(3, 7))]
