@@ -20,6 +20,8 @@ HIDDEN = ("figure", "math")
 MAIN = "ltx_page_main"
 BLOCKS = ("p", "div", "section", "article", "blockquote", "table", "tr", "nav", "header", "footer", "main", "pre", "dl", "dd", "dt")
 MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+#: Characters of html in a partition: about 100 MB of a task's memory in sorts.
+PART_CHARS = 4_000_000
 _TOKEN = r"<[^>]*>|[^<]+"
 
 
@@ -31,6 +33,16 @@ def _rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "at", "token", F.when(F.col("token").startswith("<"), tag).alias("tag"), F.col("token").startswith("</").alias("closes"))
 
 
+def _dealt(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """Pages in partitions of about PART_CHARS, before they become rows: what a task sorts does not grow with the table.
+
+    All windows are over the pages' key or more, so this is the only shuffle.
+    """
+    chars = pages.agg(F.sum(F.length(html).cast("long"))).first()[0] or 0
+    least = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.select(key, html).repartition(max(least, -(-chars // PART_CHARS)), key)
+
+
 def markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, markdown: the main part of each page, or else its body, as Markdown; null of a page with neither.
 
@@ -41,7 +53,7 @@ def markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = _rows(pages, key, html)
+    rows = _rows(_dealt(pages, key, html), key, html)
     step = lambda on: F.when(on, F.when(F.col("closes"), -1).otherwise(1)).otherwise(0)
 
     # the part that is shown

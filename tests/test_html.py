@@ -78,3 +78,12 @@ def test_reports_are_pruned_from_the_bottom(spark):
     assert plain(got[1].sections) == [("a", [("x", [1, 2, 1])]), ("c", [("w", [2])])]
     assert (got[1].total, got[1].invalid, got[1].cited) == (6, 2, 2)
     assert (got[2].sections, got[2].total, got[2].invalid, got[2].cited) == ([], 1, 1, 0) and (got[3].sections, got[3].total) == ([], 0)
+
+
+def test_partitions_are_bounded_before_pages_become_rows(spark, monkeypatch):
+    monkeypatch.setattr(hx, "PART_CHARS", 1000)
+    pages = spark.createDataFrame([(k, f"<body><p>{'x' * 990}{k}</p></body>") for k in range(40)], "id int, html string")
+    found = hx.markdown(pages, "id", "html")
+    assert sorted(r.markdown for r in found.collect()) == sorted("x" * 990 + str(k) for k in range(40))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
