@@ -85,11 +85,9 @@ def read_json_lines(spark, sf_dir):
 @query("SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+'), ' ')) AS text_md5 FROM documents")
 def rebuild_inverted_index(spark, sf_dir):
     """Texts as maps from words to their positions, and back."""
-    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    each = documents(spark, sf_dir).select("doc_id", F.explode_outer(words).alias("x")).select("doc_id", "x.*")
-    lists = each.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    entry = F.when(F.col("word").isNotNull(), F.struct("word", "places"))
-    maps = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("index"))
+    d = st.spread(documents(spark, sf_dir).select("doc_id", "text"))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0)
+    maps = d.select("doc_id", st.inverted_index(words).alias("index"))
     return maps.select("doc_id", F.md5(st.rebuilt_text(F.col("index"))).alias("text_md5"))
 
 

@@ -4,7 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from folio.plans import registry
 from folio.sources import sinks, tables
+from tests.conftest import DATA
+
+registry.load()
 
 
 def test_hits_and_atom(spark, tmp_path):
@@ -59,3 +63,10 @@ def test_search_and_fan_out(spark):
     assert [r.url for r in tables.search(first, ["cancer"], year_from=2010, year_to=2030).collect()] == ["u1"]
     got = sorted((r.url, r.source, r.matches) for r in tables.fan_out([first, second]).collect())
     assert got == [("u1", "a", 2), ("u2", "a", 1), ("u3", "a", 2)]
+
+
+def test_inverted_index_is_made_without_a_shuffle_of_words(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "é"]), (2, []), (3, None)], "id int, words array<string>").select("id", tables.inverted_index(F.col("words")).alias("m"))
+    assert [r.m for r in rows.orderBy("id").collect()] == [{"b": [0, 2], "a": [1], "é": [3]}, {}, None]
+    plan = registry.QUERIES["rebuild_inverted_index"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
