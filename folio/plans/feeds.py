@@ -69,7 +69,10 @@ def read_xml_full_text(spark, sf_dir):
     """Articles in XML; those without a body are left out."""
     text = F.replace(F.replace("text", F.lit("<"), F.lit("(")), F.lit("&"), F.lit("+"))
     body = F.concat(F.lit('<article><front><title>no</title></front><body id="b"><sec><title>'), "source", F.lit(" &amp; <b>more</b></title><p>"), F.regexp_replace(text, r"\n{2,}", "\n"), F.lit("</p><p>e<i>nd</i></p></sec></body></article>"))
-    rows = documents(spark, sf_dir).where(F.trim("text") != "").select("doc_id", st.xml_body(F.when(F.col("doc_id") % 5 == 0, F.lit("<article><front/></article>")).otherwise(body)).alias("body"))
+    d = st.spread(documents(spark, sf_dir).select("doc_id", "source", "text")).where(F.trim("text") != "")
+    own = st.xml_body(F.when(F.col("doc_id") % 5 == 0, F.lit("<article><front/></article>")).otherwise(body))
+    # a filter on a projected column is moved below it and reads each body again; one on a generated column is not
+    rows = d.select("doc_id", F.explode_outer(F.array(own)).alias("body"))
     return rows.where("body IS NOT NULL").select("doc_id", F.md5("body").alias("body_md5"))
 
 

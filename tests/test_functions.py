@@ -182,3 +182,9 @@ def test_layout(spark, text, want):
 @pytest.mark.parametrize(("text", "want"), [("**a*", "**a*"), ("*a*", "a"), ("***a***", "a"), ("*a**", "*a**"), ("**a** *b* `c` [d](e)", "a b c d")])
 def test_stars_beside_stars_open_nothing(spark, text, want):
     assert spark.range(1).select(tx.strip_markdown(F.lit(text)).alias("t")).first().t == want
+
+
+def test_forms_of_a_line_and_entities_are_made_once(spark):
+    count = lambda c, sign: spark.range(1).select(F.concat(F.col("id"), F.lit("")).alias("x")).select(c(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString().count(sign)
+    assert count(tx.layout_line, "electronic address)[ \\t]*[:-]?") == 1
+    assert count(lambda x: tx.unescaped_entities(F.regexp_replace(x, "once", "")), "once") == 1
