@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from tests.conftest import DATA
 from folio.plans import registry
 
 registry.load()
@@ -39,3 +40,11 @@ def test_cleaned_to_the_end(spark, folder):
     assert of(spark, folder, "strip_uuids_whole", "doc_id", "clean_md5")[12] == md5(LONG.replace(" 12345678-abcd-4abc-8abc-1234567890ab", "") + " mid, bare.")
     assert of(spark, folder, "sanitize_citations_whole", "doc_id", "answer_md5")[12] == md5("As shown [CITE:12] and [citation removed] by " + LONG.replace("[CITE:77]", "[citation removed]"))
     assert of(spark, folder, "strip_emoji_whole", "conv_id", "answer_md5")[1] == md5("- " + LONG.replace("\u2728", "") + " done")
+
+
+def test_page_repair_scores_each_text_once(spark):
+    from folio.plans import registry
+
+    registry.load()
+    plan = registry.QUERIES["page_repair"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # the scores are read back, not made again for the share
