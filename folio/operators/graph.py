@@ -42,7 +42,8 @@ def shared(papers: DataFrame, key: str, columns: dict[str, str], most_papers: in
     most_papers, if given, leaves out concepts that say little because
     so many papers state them; it is the caller's choice and none by default.
     """
-    c = long_concepts(papers.where(F.col(key).isNotNull()), key, columns)
+    # labels take long for the few bytes of a paper: papers are dealt out before they are cleaned
+    c = long_concepts(papers.where(F.col(key).isNotNull()).select(key, *dict.fromkeys(columns.values())).repartition(papers.sparkSession.sparkContext.defaultParallelism), key, columns)
     if most_papers is not None:
         c = c.join(c.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= most_papers), ["kind", "label"], "left_semi")
     own = c.groupBy(key, "kind").agg(F.array_sort(F.collect_list("label")).alias("labels"))
@@ -64,7 +65,9 @@ def shared(papers: DataFrame, key: str, columns: dict[str, str], most_papers: in
     met = both.where(~same | (F.col("block") < F.col("block_b")) | (within & (F.size("members") > 1)))
     # pairs of blocks differ in what they give: they are dealt out before any is expanded
     dealt = met.select("kind", "n", "members", "members_b", within.alias("within")).repartition(_parts(papers))
-    x = dealt.select("kind", "n", "within", "members_b", F.explode("members").alias("x")).select("kind", "n", "within", "x", F.explode("members_b").alias("y"))
+    # generated code holds all rows that it makes of one row: transform ends it between the expansions, so these are a block's members, not its pairs
+    x = dealt.select("kind", "n", "within", "members_b", F.explode(F.transform("members", lambda m: F.struct(m.alias("x")))).alias("m"))
+    x = x.select("kind", "n", "within", "m.x", F.explode("members_b").alias("y"))
     return x.where(~F.col("within") | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "kind", "n")
 
 

@@ -28,3 +28,11 @@ def test_pairs_are_not_shuffled(spark):
     papers = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y")], "p int, method string, dataset string")
     plan = gx.shared(papers, "p", COLUMNS)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < min(plan.index(x) for x in ("Aggregate", "Join", "Repartition") if x in plan)  # nothing but a filter and a projection follows
+
+
+def test_no_row_is_expanded_to_all_pairs_of_two_blocks_in_generated_code(spark):
+    """Generated code holds what it makes of one row: it may make a block's members of it, not the pairs of two blocks."""
+    papers = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y")], "p int, method string, dataset string")
+    plan = gx.shared(papers, "p", COLUMNS)._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    expansions = [line for line in plan.split("\n") if "Generate explode" in line][:2]
+    assert "members_b" in expansions[0] and "transform" in expansions[1]
